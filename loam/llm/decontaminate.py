@@ -128,6 +128,20 @@ def merged(spans: list[list[int]]) -> list[list[int]]:
     return out
 
 
+def matches(auto: Automaton, text: str | None) -> tuple[int, list[list[int]], set[str], int]:
+    """Number of words, hit spans in order, items hit and longest match of one text."""
+    ws = words(text)
+    spans, found, best = [], set(), 0
+    if auto.least and len(ws) >= auto.least:
+        get = auto.vocab.get
+        ids = np.array([get(w, -1) for w in ws], np.int32)
+        known = np.flatnonzero(np.diff(np.r_[False, ids >= 0, False]))
+        for a, e in known.reshape(-1, 2).tolist():  # runs of words that some item has
+            if e - a >= auto.least:
+                best = max(best, auto.read(ids[a:e].tolist(), a, spans, found))
+    return len(ws), merged(spans), found, best
+
+
 SCAN = "doc_id long, row_id long, n_words long, spans array<array<long>>, items array<string>, longest long"
 _SCAN_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.list_(pa.string()), pa.int64()]
 
@@ -138,26 +152,31 @@ def _scan(docs: DataFrame, items: list[tuple[str, list[bytes]]], window: int, hi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = shared.value
-        get = auto.vocab.get
         for b in batches:
             out = []
             for d, r, t in zip(b.column("doc_id").to_pylist(), b.column("row_id").to_pylist(), b.column("text").to_pylist()):
-                ws = words(t)
-                spans, found, best = [], set(), 0
-                if auto.least and len(ws) >= auto.least:
-                    ids = np.array([get(w, -1) for w in ws], np.int32)
-                    known = np.flatnonzero(np.diff(np.r_[False, ids >= 0, False]))
-                    for a, e in known.reshape(-1, 2).tolist():  # runs of words that some item has
-                        if e - a >= auto.least:
-                            best = max(best, auto.read(ids[a:e].tolist(), a, spans, found))
+                n, spans, found, best = matches(auto, t)
                 if spans or not hits_only:
-                    out.append((d, r, len(ws), merged(spans), sorted(found), best))
+                    out.append((d, r, n, spans, sorted(found), best))
             for i in range(0, len(out), 5000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 5000]), _SCAN_TYPES)], names)
 
     return docs.mapInArrow(run, SCAN)
 
 
+def _shards(items: DataFrame, shard_words: int) -> list[list[tuple[str, list[bytes]]]]:
+    shards: list[list[tuple[str, list[bytes]]]] = [[]]
+    size = 0
+    for r in items.select(F.col("item_id").cast("string"), "text").toLocalIterator():
+        w = words(r["text"])
+        if size + len(w) > shard_words and shards[-1]:
+            shards.append([])
+            size = 0
+        shards[-1].append((r["item_id"], w))
+        size += len(w)
+    return shards
+
+
 def scan(docs: DataFrame, items: DataFrame, window: int = 13, shard_words: int = 5_000_000) -> DataFrame:
     """``doc_id, row_id, n_words, spans, items, longest`` for every row of ``docs`` (doc_id, text).
 
@@ -169,15 +188,7 @@ def scan(docs: DataFrame, items: DataFrame, window: int = 13, shard_words: int =
     Items are read in blocks of about ``shard_words`` words, each an automaton of bounded size that is broadcast; test
     sets beyond that take one pass a block, and only rows with hits are merged."""
     rows = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row_id"), F.col("text").cast("string"))
-    shards: list[list[tuple[str, list[bytes]]]] = [[]]
-    size = 0
-    for r in items.select(F.col("item_id").cast("string"), "text").toLocalIterator():
-        w = words(r["text"])
-        if size + len(w) > shard_words and shards[-1]:
-            shards.append([])
-            size = 0
-        shards[-1].append((r["item_id"], w))
-        size += len(w)
+    shards = _shards(items, shard_words)
     first = _scan(rows, shards[0], window, False)
     if len(shards) == 1:
         return first
@@ -193,11 +204,28 @@ def judged(scanned: DataFrame, share: float = 0.05) -> DataFrame:
     return scanned.withColumn("n_hit", n).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * round(1 / share) >= F.col("n_words")))
 
 
-def clean(docs: DataFrame, items: DataFrame, window: int = 13, share: float = 0.05) -> DataFrame:
-    """``docs`` without contaminated documents, all columns. Only rows to be dropped are marked, by a task's own rows:
-    the scan keeps one row of positions for each document, so the join back is by doc_id on the few that go."""
-    bad = judged(scan(docs, items, window), share).filter("contaminated").select("doc_id")
-    return drop_ids(docs, bad)
+def clean(docs: DataFrame, items: DataFrame, window: int = 13, share: float = 0.05, shard_words: int = 5_000_000) -> DataFrame:
+    """``docs`` without contaminated documents, all columns.
+
+    With items of one block each task drops its own rows and nothing is shuffled. With more, documents are judged over
+    all blocks first and dropped by doc_id, so rows that share the id of a contaminated one go with it."""
+    shards = _shards(items, shard_words)
+    if len(shards) > 1:
+        return drop_ids(docs, judged(scan(docs, items, window, shard_words), share).filter("contaminated").select("doc_id"))
+    shared = docs.sparkSession.sparkContext.broadcast(Automaton(shards[0], window))
+    at = docs.columns.index("text")
+    part = round(1 / share)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for t in b.column(at).to_pylist():
+                n, spans, _, _ = matches(shared.value, t)
+                hit = sum(e - a for a, e in spans)
+                keep.append(not hit or hit * part < n)
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def drop_ids(docs: DataFrame, ids: DataFrame, broadcast_bytes: int = 64 << 20) -> DataFrame:
