@@ -10,7 +10,9 @@ from loam.llm.decontaminate import op2_decontamination
 from loam.llm.exact_dedup import OP7_SQL, op7_exact_dedup
 from loam.llm.language import op4_language
 from loam.llm.lengths import op6_token_counts
+from loam.llm.licenses import op3_licenses
 from loam.llm.packing import op10_packing
+from loam.llm.privacy import op5_private_data
 from loam.llm.quality import op9_quality
 from loam.llm.simhash import op8_simhash
 from loam.llm.store import op1_token_output
@@ -18,7 +20,9 @@ from loam.llm.store import op1_token_output
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_decontamination": op2_decontamination,
+    "op3_licenses": op3_licenses,
     "op4_language": op4_language,
+    "op5_private_data": op5_private_data,
     "op6_token_counts": op6_token_counts,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_simhash": op8_simhash,
