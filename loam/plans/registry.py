@@ -1,4 +1,31 @@
 """All queries of the reference-side operators, with their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+import importlib
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a function of (spark, sf_dir) under a name, with equivalent SQL where SQL can express it."""
+
+    def put(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return put
+
+
+for _m in ("retrieval", "notes", "graph", "maintenance", "chats", "topics", "evaluation", "monitoring", "screening", "serving"):
+    try:
+        importlib.import_module(f"loam.plans.{_m}")
+    except ModuleNotFoundError as e:
+        if e.name != f"loam.plans.{_m}":
+            raise
