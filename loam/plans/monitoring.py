@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from loam.operators import monitor as mo
 from loam.plans.registry import query
 from loam.session import table
+from loam.sources import corpus
+from loam.streaming import monitor as st
 
 #: Squeezed times, in whole seconds from the first of January 2024.
 TS = "to_timestamp(CAST(floor((epoch(ts) - 1704067200) / 60) AS BIGINT) + 1704067200)"
@@ -100,3 +102,68 @@ def w10(spark, sf_dir):
 def w11(spark, sf_dir):
     le = mo.latency_buckets(events(spark, sf_dir), "ns", "sec")
     return le.select("ns", mo.bucket(F.col("le")).alias("b"), "n")
+
+
+@query("w02_stream_counts", "SELECT event_type, CAST(epoch(time_bucket(INTERVAL '10 minutes', ts)) / 60 AS BIGINT) + 10 AS minute, count(*) AS n FROM events GROUP BY ALL")
+def w02_stream(spark, sf_dir):
+    """The windowed count as a stream over the table's files, run to its end; what it wrote, by window."""
+    return _streamed(spark, sf_dir, lambda s: st.windowed_counts(s, "event_type"), "complete").select("event_type", F.round(F.unix_seconds("end") / 60).cast("long").alias("minute"), "n")
+
+
+@query("w07_stream_hold")
+def w07_stream(spark, sf_dir):
+    def plan(s):
+        x = s.select((F.col("user_id") % 4).cast("int").alias("ns"), F.date_trunc("hour", "ts").alias("end"), (F.col("value") > 60).alias("breach"))
+        return st.hold_states(x.withWatermark("end", "1 hour"), "ns", 120)
+
+    return _streamed(spark, sf_dir, plan, "append")
+
+
+def _streamed(spark, sf_dir, plan, mode):
+    """Results go to a Parquet folder batch by batch; in complete mode the last batch has them all."""
+    import uuid
+
+    from loam.session import shared_dir
+
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex[:12]}"
+    name = f"{sf_dir}/events.parquet"
+    # a stream reads a folder; the glob finds a single file as well as a folder of files
+    src = st.event_stream(spark, name + "*" if not name.endswith("*") else name, spark.read.parquet(name).schema)
+    schema = plan(src).schema
+
+    def put(df, epoch):
+        df.write.parquet(f"{root}/out/{epoch}")
+
+    plan(src).writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    done = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{root}/out")
+    if mode == "complete":
+        batch = F.regexp_extract(F.col("_metadata.file_path"), r"/out/(\d+)/", 1).cast("long")
+        last = done.agg(F.max(batch)).first()[0]
+        done = spark.read.schema(schema).parquet(f"{root}/out/{last or 0}")
+    return done
+
+
+@query("w12_stream_index", f"WITH notes AS ({corpus.NOTES_SQL}), later AS ({corpus.LATER_SQL}) SELECT path AS source, greatest(n.mtime, coalesce(l.mtime, 0)) AS mtime FROM notes n LEFT JOIN (SELECT path, mtime FROM later) l USING (path)")
+def w12(spark, sf_dir):
+    """Two scans arrive as files of changes; the chunk table after both."""
+    import uuid
+
+    from loam.session import shared_dir
+
+    root = f"{shared_dir(spark)}/index-{uuid.uuid4().hex[:12]}"
+    n = corpus.notes(spark, sf_dir).drop("doc_id")
+    late = corpus.later_notes(corpus.notes(spark, sf_dir)).drop("doc_id")
+    seen = lambda d, s: d.withColumn("seen", F.timestamp_seconds(F.lit(1704067200 + s)))
+    seen(n, 0).write.parquet(f"{root}/in/scan=1")
+    seen(late, 60).write.parquet(f"{root}/in/scan=2")
+    corpus.as_chunks(n.limit(0)).write.parquet(f"{root}/v/-1")
+    version = [-1]
+
+    def write(df, epoch):
+        df.write.mode("overwrite").parquet(f"{root}/v/{epoch}")
+        version[0] = epoch
+
+    schema = seen(n, 0).schema
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{root}/in")
+    st.incremental_index(stream, lambda: spark.read.parquet(f"{root}/v/{version[0]}"), write, corpus.as_chunks, f"{root}/state").awaitTermination()
+    return spark.read.parquet(f"{root}/v/{version[0]}").select("source", "mtime")
