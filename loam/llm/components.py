@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from loam.session import materialise
 
 
+def free_name(columns: list[str], stem: str) -> str:
+    """``stem``, with underscores before it until no column has that name."""
+    taken = {c.lower() for c in columns}
+    while stem.lower() in taken:
+        stem = "_" + stem
+    return stem
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``node, root`` for every node of ``edges`` (a, b): ``root`` is the smallest node of its component.
 

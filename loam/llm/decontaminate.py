@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loam.llm.components import free_name
 from loam.session import table
 
 #: Maps every byte that is in no word to a space and A-Z to a-z; bytes from 0x80 on are word bytes.
@@ -263,9 +264,10 @@ def remove_spans(docs: DataFrame, items: DataFrame, window: int = 13, most_words
 
         return text.combine(spans, one)
 
-    spans = hit.filter("not _go").groupBy("doc_id").agg(F.first("spans").alias("_spans"))
+    name = free_name(docs.columns, "_spans")
+    spans = hit.filter("not _go").groupBy("doc_id").agg(F.first("spans").alias(name))
     joined = kept.join(spans, "doc_id", "left")
-    return joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut("text", "_spans"))).select(docs.columns)
+    return joined.withColumn("text", F.when(F.col(name).isNull(), F.col("text")).otherwise(cut("text", name))).select(docs.columns)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loam.llm.components import free_name
 from loam.session import table
 
 #: Character classes of the shape n-grams; characters of no class here are letters of lower case (2), of upper case
@@ -183,7 +184,8 @@ def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs`` whose score reaches ``threshold``, all columns."""
-    return scored(docs, train(docs, labels), "_quality").filter(F.col("_quality") >= threshold).select(docs.columns)
+    name = free_name(docs.columns, "_quality")
+    return scored(docs, train(docs, labels), name).filter(F.col(name) >= threshold).select(docs.columns)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str, threshold: float = 0.7) -> DataFrame:
