@@ -93,6 +93,18 @@ def b02_postings(spark, sf_dir):
     return lexical.index(chunks(spark, sf_dir))["postings"].groupBy("term").agg(F.count("*").alias("n_chunks"), F.sum("tf").alias("total"))
 
 
+@query("b02_stored_index", f"{N}, {BM25}, {SEARCH} SELECT query_id, pos, chunk_id, score FROM hits WHERE pos <= 10")
+def b02_stored(spark, sf_dir):
+    """The search over an index that was written and read back."""
+    import uuid
+
+    from loam.session import shared_dir
+
+    path = f"{shared_dir(spark)}/lexical-{uuid.uuid4().hex[:12]}"
+    lexical.write_index(chunks(spark, sf_dir), path)
+    return lexical.search(questions(spark, sf_dir), chunks(spark, sf_dir), 10, lexical.read_index(spark, path)).select("query_id", "pos", "chunk_id", "score")
+
+
 @query("b03_bm25", f"{N}, {BM25}, {SEARCH} SELECT query_id, pos, chunk_id, score FROM hits WHERE pos <= 10")
 def b03(spark, sf_dir):
     return lexical.search(questions(spark, sf_dir), chunks(spark, sf_dir), 10).select("query_id", "pos", "chunk_id", "score")
