@@ -124,7 +124,7 @@ def m11(spark, sf_dir):
     return x.select("path", "pos", "b.kind", F.md5("b.text").alias("text_md5"))
 
 
-@query("m12_excerpt")
+@query("m12_excerpt", f"""{N} SELECT path, CASE WHEN contains(content, '## 👤 User') THEN left(regexp_replace({STRIP.format("string_split(left(content, 8000), '## 👤 User')[2]")}, '\\s+', ' ', 'g'), 500) ELSE '' END AS excerpt FROM notes WHERE category = 'chat'""")
 def m12(spark, sf_dir):
     return corpus.notes(spark, sf_dir).filter("category = 'chat'").select("path", md.transcript_excerpt(F.col("content")).alias("excerpt"))
 

@@ -270,7 +270,12 @@ def r09(spark, sf_dir):
     return rank.recency(x, rank.Config()).select("query_id", "chunk_id", "pos")
 
 
-@query("r10_inject_recent")
+INJECT = f"""rec AS (SELECT scope, chunk_id, source, title, category, row_number() OVER (PARTITION BY scope ORDER BY {TIME} DESC, source) AS pos FROM (SELECT DISTINCT scope FROM q), chunks WHERE {SCOPED}),
+kp AS (SELECT *, scope <> 'notes' OR NOT {LIKE} AS keep FROM rec WHERE pos <= 48), gd AS (SELECT scope, chunk_id, row_number() OVER (PARTITION BY scope ORDER BY pos) AS pos FROM (SELECT *, max(keep) OVER (PARTITION BY scope) AS any_keep FROM kp) WHERE keep OR NOT any_keep),
+pl AS (SELECT query_id, chunk_id, pos FROM hits WHERE pos <= 10 UNION ALL SELECT query_id, chunk_id, gd.pos + 1000000 FROM q JOIN gd USING (scope) WHERE gd.pos <= 12 AND regexp_matches(question, '{INTENT}', 'i') AND (query_id, chunk_id) NOT IN (SELECT (query_id, chunk_id) FROM hits WHERE pos <= 10))"""
+
+
+@query("r10_inject_recent", f"{N}, {BM25.replace(QUESTIONS_SQL, CUES_SQL.format(QUESTIONS_SQL))}, {SEARCH}, {INJECT} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS pos, chunk_id FROM pl")
 def r10(spark, sf_dir):
     q = cue_questions(spark, sf_dir)
     pool = lexical.search(q, chunks(spark, sf_dir), 10).join(q.select("query_id", "scope"), "query_id")

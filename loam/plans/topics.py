@@ -93,7 +93,12 @@ def t05(spark, sf_dir):
     return t.cascade(docs(spark, sf_dir), routes(spark), votes(spark, sf_dir))
 
 
-@query("t06_stubs")
+NAMES = " ".join(f"WHEN '{r[0]}' THEN '{r[1]}'" for r in ROUTES)
+STUBS = f"""SELECT doc_id, concat(CASE topic {' '.join(f"WHEN '{r[0]}' THEN '{r[2]}'" for r in ROUTES)} END, '/AI Chat Links/2024-01-01 - Chat ', CAST(doc_id AS VARCHAR), ' - ', left(md5(CAST(doc_id AS VARCHAR)), 12), '.md') AS path,
+  concat('# Chat ', CAST(doc_id AS VARCHAR), chr(10), chr(10), 'Topic: [[', CASE topic {NAMES} END, ']]', chr(10), 'Transcript: [[05 AI Chats/x]]', chr(10), chr(10), '> ', left(regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g'), 280), chr(10)) AS body FROM kw JOIN documents USING (doc_id)"""
+
+
+@query("t06_stubs", f"WITH {MATCH} {STUBS}")
 def t06(spark, sf_dir):
     d = docs(spark, sf_dir)
     chats = d.select("doc_id", F.concat(F.lit("Chat "), F.col("doc_id").cast("string")).alias("title"), F.lit("2024-01-01").alias("date"), F.left(F.md5(F.col("doc_id").cast("string")), F.lit(12)).alias("token"), F.lit("05 AI Chats/x").alias("link"), F.col("text").alias("prompt"))
