@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -153,6 +154,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     return recipes.select("doc_id", "row_id", "start", "n_tokens").join(lists, "row_id").withColumn("ids", F.col("x.ids")).drop("x")
 
 
+@lru_cache(maxsize=1)
 def _zeros() -> list[np.ndarray]:
     """For each k, what 2**k zero bytes make of a CRC-32 register that holds one bit (32 columns over GF(2))."""
     step = np.array([0xEDB88320, *(1 << i for i in range(31))], np.uint32)  # one zero bit

@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from itertools import chain
 
 import numpy as np
 
-#: Entries of a worker's word cache, about 200 bytes each; a full cache takes no more words.
-CACHE_WORDS = 1_000_000
-#: Stands between words that are encoded together; words that hold it are encoded alone.
-MARK = "\x01"
+#: Entries of a worker's caches of words and of their pieces, about 200 bytes each. Full caches take no more.
+CACHE_WORDS, CACHE_PIECES = 900_000, 100_000
+#: Words that are cut into pieces here: printable ASCII without the apostrophe, and letters of Latin-1.
+PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]+")
+PIECE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+#: Words that both ways must encode alike before the short one is used.
+TRIAL = ["Ab,", "naïve", "ÉÀ!!", "x###", "|", "a1b22", "+1", "(555)", "end.", "straße", "a@b.de", "a_b", "<a>"]
 
 _encoders: dict[str, "Encoder"] = {}
 
@@ -18,8 +23,9 @@ _encoders: dict[str, "Encoder"] = {}
 class Encoder:
     """Ids of whole texts as little-endian unsigned integers of ``width`` bytes (2 where the vocabulary allows, else 4).
 
-    Pre-tokenization of this kind of vocabulary never crosses a space or line feed, so a text's ids are those of its
-    space-separated words in turn. Words repeat, so their ids are kept in a bounded cache of the worker."""
+    Where pre-tokenization never crosses a space or line feed, a text's ids are those of its space-separated words in
+    turn. Words repeat, so their ids are kept in a bounded cache of the worker; plain words are cut at the vocabulary's
+    own piece borders and only the pieces go through its merges. Other vocabularies encode texts as they are."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -28,59 +34,69 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
         self.type = np.dtype("<u2" if self.width == 2 else "<u4")
-        mark = self.tok.encode(MARK, add_special_tokens=False).ids
-        self.mark = mark[0] if len(mark) == 1 else None
-        #: Whether case and a final mark don't matter to the ids, by trial.
-        one, two = (self.tok.encode(x, add_special_tokens=False).ids for x in ("Ab,", "ab"))
-        self.lower = one[:-1] == two
-        self.cache: dict[str, bytes] = {"": b""}
-
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of new words, which also go to the cache while it has room. The vocabulary is of lower case and a full
-        stop or comma after a letter is a piece of its own, so words that differ in these only are encoded once."""
-        stems = [self._stem(w) for w in words]
-        new = self._encoded(list({s for s, _ in stems} | {".", ","}))
-        out = {w: new[s] + new[end] if end else new[s] for w, (s, end) in zip(words, stems)}
-        if len(self.cache) < CACHE_WORDS:
-            self.cache.update(out)
-        return out
-
-    def _stem(self, w: str) -> tuple[str, str]:
-        if not self.lower or "|" in w:
-            return w, ""
-        w = w.lower() if w.isascii() else w
-        if w[-1:] in (".", ",") and "a" <= w[-2:-1] < "ɐ" and w[-2].isalpha():
-            return w[:-1], w[-1]
-        return w, ""
-
-    def _encoded(self, words: list[str]) -> dict[str, bytes]:
-        new: dict[str, bytes] = {}
-        alone = [w for w in words if MARK in w] if self.mark is not None else words
-        for w in alone:
-            new[w] = np.array(self.tok.encode(w, add_special_tokens=False).ids, self.type).tobytes()
-        joint = [w for w in words if MARK not in w] if self.mark is not None else []
-        for i in range(0, len(joint), 1024):
-            part = joint[i : i + 1024]
-            ids = np.array(self.tok.encode(f" {MARK} ".join(part), add_special_tokens=False).ids, self.type)
-            raw, cuts = ids.tobytes(), np.flatnonzero(ids == self.mark) * self.width
-            for w, a, b in zip(part, [0, *(cuts + self.width).tolist()], [*cuts.tolist(), len(raw)]):
-                new[w] = raw[a:b]
-        return new
+        self.code = "H" if self.width == 2 else "I"
+        self.merge = self.tok.model.tokenize
+        self.letters: dict[int, str] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {"": b""}
+        self.ends = {}
+        try:
+            self.letters = {ord(c): self.tok.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xDF, 0x100)) if c.isalpha()}
+            self.ends = {c: self._piece(c) for c in ".,"}
+            self.by_words = all(self._word(w) == self._whole(w) for w in TRIAL) and b"".join(map(self._whole, TRIAL)) == self._whole(" ".join(TRIAL)) == self._whole("\n".join(TRIAL))
+        except Exception:  # a model that can't be asked for single pieces
+            self.by_words = False
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.type).tobytes()
+
+    def _merged(self, p: str) -> bytes:
+        """Ids of one piece in lower case."""
+        return array(self.code, [t.id for t in self.merge(p if p.isascii() else p.translate(self.letters))]).tobytes()
+
+    def _piece(self, p: str) -> bytes:
+        got = self.pieces.get(p)
+        if got is None:
+            got = self._merged(p)
+            if len(self.pieces) < CACHE_PIECES:
+                self.pieces[p] = got
+        return got
+
+    def _word(self, w: str) -> bytes:
+        low = w.lower()
+        stem, end = (low, b"") if low[-1:] not in self.ends else (low[:-1], self.ends[low[-1:]])
+        if stem.isalpha() and (stem.isascii() or PLAIN.fullmatch(w)):  # letters alone, or before a stop or comma
+            return (self.words.get(stem) or self._merged(stem)) + end
+        if PLAIN.fullmatch(w) and "<|" not in w:
+            return b"".join(map(self._piece, PIECE.findall(low)))
+        return self._whole(w)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """A null text has no ids."""
+        if not self.by_words:
+            return [self._whole(t or "") for t in texts]
         out: list[bytes] = []
-        for i in range(0, len(texts), 256):
-            split = [(t or "").replace("\n", " ").split(" ") for t in texts[i : i + 256]]
+        for i in range(0, len(texts), 64):
+            split = [(t or "").replace("\n", " ").split(" ") for t in texts[i : i + 64]]
             words = list(chain.from_iterable(split))
-            got = list(map(self.cache.get, words))
-            if None in got:
-                new = self._learn(list({w for w, g in zip(words, got) if g is None}))
-                got = [new[w] if g is None else g for w, g in zip(words, got)]
+            got = list(map(self.words.get, words))
+            new: dict[str, bytes] = {}
+            at = -1
+            try:
+                while True:  # the places of words that aren't in the cache
+                    at = got.index(None, at + 1)
+                    w = words[at]
+                    if w not in new:
+                        new[w] = self._word(w)
+                    got[at] = new[w]
+            except ValueError:
+                pass
+            if len(self.words) < CACHE_WORDS:
+                self.words.update(new)
             at = 0
-            for w in split:
-                out.append(b"".join(got[at : at + len(w)]))
-                at += len(w)
+            for ws in split:
+                out.append(b"".join(got[at : at + len(ws)]))
+                at += len(ws)
         return out
 
 
