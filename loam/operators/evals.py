@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loam.functions.ranking import global_rank
 from loam.operators.rank import cap_per_source
 
 
@@ -96,7 +97,7 @@ def sweep_report(files: DataFrame, samples: DataFrame) -> DataFrame:
 
 def spread_sample(cases: DataFrame, n: int) -> DataFrame:
     """``n`` cases spread evenly by position (``case_id`` order): those at int(i * size / n)."""
-    x = cases.withColumn("_r", F.row_number().over(W.orderBy("case_id")) - 1).crossJoin(F.broadcast(cases.agg(F.count("*").alias("_c"))))
+    x = global_rank(cases, "_r", F.col("case_id").asc()).withColumn("_r", F.col("_r") - 1).crossJoin(F.broadcast(cases.agg(F.count("*").alias("_c"))))
     size = F.col("_c")
     picked = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.floor(i * size / n))
     return x.filter((size <= n) | F.array_contains(picked, F.col("_r").cast("long"))).drop("_r", "_c")

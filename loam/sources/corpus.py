@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loam.functions.ranking import global_rank
 from loam.session import table
 
 #: Path components that scans leave out; a component that starts with a full stop is left out always.
@@ -97,8 +97,8 @@ def note_attributes(path: Column) -> list[Column]:
 
 def newest_sessions(files: DataFrame) -> DataFrame:
     """One row a session id of ``files`` (session_id, path, mtime): the first path wins; newest first by ``pos``."""
-    one = files.withColumn("n", F.row_number().over(W.partitionBy("session_id").orderBy("path"))).filter("n = 1").drop("n")
-    return one.withColumn("pos", F.row_number().over(W.orderBy(F.desc("mtime"), "path")))
+    one = files.groupBy("session_id").agg(F.min_by(F.struct("path", "mtime"), "path").alias("f")).select("session_id", "f.*")
+    return global_rank(one, "pos", F.col("mtime").desc(), F.col("path").asc())
 
 
 CASE_FIELDS = "question string, expected_sources array<string>, scope string"
