@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loam.llm.tokens import default_vocabulary, encoder
-from loam.session import table
+from loam.session import materialise, table
 
 #: Lengths that share one window partition of the suffix sums.
 BAND = 1024
@@ -38,10 +38,11 @@ def length_histogram(lengths: DataFrame, column: str = "n_tokens") -> DataFrame:
     length; ``quantile`` is the share of documents of at most that length. Repeated rows count each; a null length
     counts as 0; an empty table gives no row.
 
-    Documents are summed up to one row a length before any shuffle. Suffix sums take two levels: bands of ``BAND``
-    lengths in parallel, then the bands' totals, of which there are as many as the longest document has thousands."""
+    Documents are summed up to one row a length before any shuffle, and that table is written, so that texts are encoded
+    once. Suffix sums take two levels: bands of ``BAND`` lengths in parallel, then the bands' totals, of which there are
+    as many as the longest document has thousands."""
     h = lengths.groupBy(F.coalesce(F.col(column).cast("long"), F.lit(0)).alias("length")).agg(F.count("*").alias("n_docs"))
-    h = h.withColumns({"band": F.expr(f"length div {BAND}"), "n_tokens": F.col("length") * F.col("n_docs")})
+    h = materialise(h.withColumns({"band": F.expr(f"length div {BAND}"), "n_tokens": F.col("length") * F.col("n_docs")}), "histogram")
     tot = h.groupBy("band").agg(F.sum("n_docs").alias("bd"), F.sum("n_tokens").alias("bt"))
     one = W.partitionBy(F.lit(0)).orderBy("band")
     before, every = one.rowsBetween(W.unboundedPreceding, -1), W.partitionBy(F.lit(0))
