@@ -150,14 +150,14 @@ def v02(spark, sf_dir):
 x AS (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings),
 c AS (SELECT vec_id, label, round(sum(x.v * t.v) / sqrt(sum(CAST(x.v AS DOUBLE) * x.v) * sum(t.v * t.v)), 6) AS cosine FROM x JOIN t USING (i) GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY cosine DESC, label) AS n, lead(cosine) OVER (PARTITION BY vec_id ORDER BY cosine DESC, label) AS second FROM c)
-SELECT vec_id, label AS topic, cosine AS best, round(cosine - coalesce(second, 0), 5) AS margin FROM r WHERE n = 1""")
+SELECT vec_id, label AS topic, cosine AS best, round(cosine - coalesce(second, 0), 6) AS margin FROM r WHERE n = 1""")
 def v05(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     topics = e.filter("vec_id % 20 = 0").select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", "i").agg(F.avg("v").alias("v"))
     topics = topics.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("t"))
     c = e.join(F.broadcast(topics.withColumnRenamed("label", "topic"))).select("vec_id", "topic", F.round(vectors.cosine("embedding", "t"), 6).alias("cosine"))
     top = c.groupBy("vec_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("c"), "topic"))), 1, 2).alias("x"))
-    return top.select("vec_id", F.col("x")[0]["topic"].alias("topic"), (-F.col("x")[0]["c"]).alias("best"), F.round(-F.col("x")[0]["c"] + F.coalesce(F.get(F.col("x"), F.lit(1))["c"], F.lit(0.0)), 5).alias("margin"))
+    return top.select("vec_id", F.col("x")[0]["topic"].alias("topic"), (-F.col("x")[0]["c"]).alias("best"), F.round(-F.col("x")[0]["c"] + F.coalesce(F.get(F.col("x"), F.lit(1))["c"], F.lit(0.0)), 6).alias("margin"))
 
 
 @query("v06_clusters")
