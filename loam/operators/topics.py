@@ -38,8 +38,8 @@ def keyword_hit(text: Column, kw: Column) -> Column:
 
 
 def route_keywords(routes: DataFrame, column: str = "keywords") -> DataFrame:
-    """``id, route_ix, kw, kw_len`` of routes (id, route_ix, keywords)."""
-    return routes.select("id", "route_ix", F.explode(column).alias("k")).select("id", "route_ix", F.lower(strip(F.col("k"))).alias("kw")).withColumn("kw_len", F.char_length("kw")).filter("kw <> ''")
+    """``id, route_ix, kw_ix, kw, kw_len`` of routes (id, route_ix, keywords)."""
+    return routes.select("id", "route_ix", F.posexplode(column).alias("kw_ix", "k")).select("id", "route_ix", "kw_ix", F.lower(strip(F.col("k"))).alias("kw")).withColumn("kw_len", F.char_length("kw")).filter("kw <> ''")
 
 
 def match_routes(texts: DataFrame, routes: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -48,7 +48,7 @@ def match_routes(texts: DataFrame, routes: DataFrame, key: str = "doc_id") -> Da
     kws = route_keywords(routes)
     low = texts.select(key, F.lower(F.coalesce("text", F.lit(""))).alias("_t"))
     hits = low.join(F.broadcast(kws), keyword_hit(F.col("_t"), F.col("kw")))
-    return hits.groupBy(key).agg(F.min_by(F.struct("id", "kw"), F.struct((-F.col("kw_len")).alias("l"), "route_ix")).alias("b")).select(key, F.col("b.id").alias("topic"), F.col("b.kw").alias("kw"))
+    return hits.groupBy(key).agg(F.min_by(F.struct("id", "kw"), F.struct((-F.col("kw_len")).alias("l"), "route_ix", "kw_ix")).alias("b")).select(key, F.col("b.id").alias("topic"), F.col("b.kw").alias("kw"))
 
 
 def project_link(matched: DataFrame, routes: DataFrame, key: str = "doc_id") -> DataFrame:

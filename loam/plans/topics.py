@@ -34,7 +34,7 @@ def hit(kw: str) -> str:
     return f"regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}_]){kw}($|[^\\p{{L}}\\p{{N}}_])')"
 
 
-MATCH = "k AS (" + " UNION ALL ".join(f"SELECT doc_id, '{r[0]}' AS topic, '{kw}' AS kw, {ix} AS ix FROM documents WHERE {hit(kw)}" for ix, r in enumerate(ROUTES) for kw in r[4]) + "), kw AS (SELECT doc_id, arg_min(topic, (-length(kw), ix)) AS topic, arg_min(kw, (-length(kw), ix)) AS kw FROM k GROUP BY doc_id)"
+MATCH = "k AS (" + " UNION ALL ".join(f"SELECT doc_id, '{r[0]}' AS topic, '{kw}' AS kw, {ix} AS ix, {j} AS j FROM documents WHERE {hit(kw)}" for ix, r in enumerate(ROUTES) for j, kw in enumerate(r[4])) + "), kw AS (SELECT doc_id, arg_min(topic, (-length(kw), ix, j)) AS topic, arg_min(kw, (-length(kw), ix, j)) AS kw FROM k GROUP BY doc_id)"
 
 
 @query("t01_keyword_route", f"WITH {MATCH} SELECT * FROM kw")
