@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +20,3 @@ def query(name: str, sql: str | None = None):
         return f
 
     return put
-
-
-for _m in ("retrieval", "notes", "graph", "maintenance", "chats", "topics", "evaluation", "monitoring", "screening", "serving"):
-    importlib.import_module(f"loam.plans.{_m}")
