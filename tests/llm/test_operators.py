@@ -425,3 +425,42 @@ def test_licenses(spark):
     r = got.filter("doc_id = 1").first()
     assert rows[0][1][r["start"] : r["end"]] == "Released under the MIT License." and r["conditional_bytes"] < r["plain_bytes"]
     assert {r["doc_id"]: r["licenses"] for r in licenses.licenses(got).collect()}[1] == ["MIT"]
+
+
+MIT_TEXT = """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+BSD_TEXT = """Copyright (c) 2020, Some One
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice.
+2. Redistributions in binary form must reproduce the above copyright notice."""
+APACHE_TEXT = """# Copyright 2020 Some One
+#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at"""
+
+
+def test_wrapped_licenses():
+    got = lambda t: {(r[2], r[7]) for r in licenses.notices(t) if r[7] != "rejected"}
+    assert got(MIT_TEXT) == {("MIT", "exact"), ("MIT", "modified")} and got(MIT_TEXT.split("\n", 1)[1]) == {("MIT", "modified")}
+    assert ("BSD-2-Clause", "exact") in got(BSD_TEXT) and ("BSD-3-Clause", "exact") not in got(BSD_TEXT)
+    assert ("BSD-3-Clause", "exact") in got(BSD_TEXT + "\n3. Neither the name of the holder nor the names of its contributors may be used.")
+    assert got(APACHE_TEXT) == {("Apache-2.0", "exact")}
+    assert got("// SPDX-License-Identifier: MIT") == {("MIT", "exact")}
+    assert got("SPDX-License-Identifier: (GPL-2.0-or-later WITH Classpath-exception-2.0) OR EPL-2.0") == {("GPL-2.0", "exact"), ("EPL-2.0", "exact")}
+    four = ["Released under the MIT License.", "Licensed under the BSD 3-Clause License.", "Licensed under CC BY 4.0.", "Licensed under the Apache Licence, Version 2.0"]
+    text = "\n".join(four)
+    assert got(text) == {("MIT", "exact"), ("BSD-3-Clause", "exact"), ("CC-BY-4.0", "exact"), ("Apache-2.0", "modified")}
+    assert [text[r[0] : r[1]] for r in licenses.notices(text)] == four
