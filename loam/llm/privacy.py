@@ -93,55 +93,72 @@ def revealing_terms(docs: DataFrame, some: DataFrame, threshold: float = 0.5, le
 
     ``some`` has the rows of ``found`` with base spans. A term's context is the line that the value stands in. With
     document frequencies over the whole corpus, share = PMI(term; value) / -log p(value); a term reveals a value if the
-    share reaches ``threshold`` and the pair occurs in ``least_contexts`` different lines at least, so that copies of one
-    line, and values and terms that occur by chance, say nothing.
+    share reaches ``threshold`` and the pair occurs in ``least_contexts`` different lines, or in all lines of a value that
+    has fewer. So few lines are weak evidence: there p(value | term) must reach ``threshold`` too, else any word of
+    middling frequency beside a value that occurs once would count.
 
     Only words that stand near values often enough are counted over the corpus. They are broadcast up to
-    ``broadcast_bytes``, else joined in a shuffle of words summed by task."""
+    ``broadcast_bytes``, else joined to the words summed over the corpus; values likewise."""
     line = F.explode(F.split("text", "\n")).alias("line")
     near = some.select("row_id", F.array_distinct(F.col("base.value")).alias("values"), line)
-    pairs = near.select("row_id", "line", F.explode("values").alias("value")).filter(F.col("line").contains(F.col("value")))
-    pairs = pairs.select("row_id", "value", F.xxhash64("line").alias("context"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.replace(F.col("line"), F.col("value"), F.lit(" "))), F.lit(WORD), F.lit(0)))).alias("term"))
-    both = materialise(pairs.groupBy("value", "term").agg(F.countDistinct("row_id").alias("n_both"), F.countDistinct("context").alias("contexts")).filter(F.col("contexts") >= least_contexts), "pairs")
+    near = near.select("row_id", "line", F.explode("values").alias("value")).filter(F.col("line").contains(F.col("value"))).withColumn("context", F.xxhash64("line"))
+    pairs = near.select("row_id", "value", "context", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.replace(F.col("line"), F.col("value"), F.lit(" "))), F.lit(WORD), F.lit(0)))).alias("term"))
+    n_value = some.select("row_id", F.explode(F.array_distinct("base.value")).alias("value")).groupBy("value").agg(F.count("*").alias("n_value"))
+    n_lines = near.groupBy("value").agg(F.countDistinct("context").alias("n_lines"))
+    values = materialise(n_value.join(n_lines, "value"), "values")
+    if values.count() * 64 <= broadcast_bytes:
+        values = F.broadcast(values)
+    both = pairs.groupBy("value", "term").agg(F.countDistinct("row_id").alias("n_both"), F.countDistinct("context").alias("contexts"))
+    both = materialise(both.join(values, "value").filter(F.col("contexts") >= F.least(F.lit(least_contexts), "n_lines")).drop("n_lines"), "pairs")
     terms = materialise(both.select("term").distinct(), "terms")
     n_terms = terms.count()
     if not n_terms:
         return both.select("term", "value", F.lit(0.0).alias("share")).limit(0)
-    wanted = F.broadcast(terms) if n_terms * 64 <= broadcast_bytes else terms
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(WORD), F.lit(0)))).alias("term"))
-    n_term = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
-    n_value = some.select("row_id", F.explode(F.array_distinct("base.value")).alias("value")).groupBy("value").agg(F.count("*").alias("n_value"))
+    if n_terms * 64 <= broadcast_bytes:
+        n_term = words.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+    else:
+        n_term = words.groupBy("term").agg(F.count("*").alias("n_term")).join(terms, "term", "left_semi")
     n = float(docs.count())
     pmi = F.log(F.col("n_both") * n / (F.col("n_term") * F.col("n_value")))
     share = F.when(F.col("n_value") < n, pmi / F.log(n / F.col("n_value"))).otherwise(0.0)
-    return both.join(n_term, "term").join(n_value, "value").select("term", "value", share.alias("share")).filter(F.col("share") >= threshold)
+    sure = (F.col("contexts") >= least_contexts) | (F.col("n_both") >= threshold * F.col("n_term"))
+    return both.join(n_term, "term").filter(sure).select("term", "value", share.alias("share")).filter(F.col("share") >= threshold)
 
 
-def private_spans(docs: DataFrame, threshold: float = 0.5, least_contexts: int = 3, remove_from: float = 0.8, broadcast_bytes: int = 64 << 20) -> DataFrame:
+def private_spans(docs: DataFrame, threshold: float = 0.5, least_contexts: int = 3, remove_from: float = 0.8, broadcast_bytes: int = 64 << 20, every_row: bool = False) -> DataFrame:
     """``row_id, doc_id, text, base, terms`` for each row of ``docs`` (doc_id, text).
 
-    ``base`` are the personal values. ``terms`` are words of rows that hold a value and that reveal this value, of kind
-    ``term`` (to be generalised) or ``term_removed`` (share of ``remove_from`` or more). Rows without values have none.
+    ``base`` are the personal values. ``terms`` are words that reveal a value, of kind ``term`` (to be generalised) or
+    ``term_removed`` (share of ``remove_from`` or more): with ``every_row`` in all rows, as they disclose the person where
+    the value is absent too; else only in rows that hold the value.
     Null texts are empty texts; repeated rows get the same spans each; an empty table gives no row.
 
-    Only rows with values, which a first pass keeps, take part in joins; the others pass straight through."""
-    every = found(docs)
+    Rows are written once with their values. Word hits are shuffled as narrow rows; those of a row meet its text by
+    broadcast up to ``broadcast_bytes``, else in a shuffle."""
+    every = materialise(found(docs), "found")
     some = materialise(every.filter(F.size("base") > 0), "private")
     reveal = materialise(revealing_terms(docs, some, threshold, least_contexts, broadcast_bytes), "reveal")
     empty = F.from_json(F.lit("[]"), f"array<{SPAN}>")
-    clean = every.filter(F.size("base") == 0).withColumn("terms", empty)
     if not reveal.limit(1).count():
-        return clean.unionByName(some.withColumn("terms", empty))
-    values = some.select("row_id", F.explode(F.array_distinct("base.value")).alias("value"))
-    told = values.join(reveal, "value").groupBy("row_id", "term").agg(F.max("share").alias("share"))
-    told = told.groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("_told"))
-    joined = some.join(told, "row_id", "left")
+        return every.withColumn("terms", empty)
+    if every_row:
+        terms = materialise(reveal.groupBy("term").agg(F.max("share").alias("share")), "revealing")
+        wanted = F.broadcast(terms) if terms.count() * 64 <= broadcast_bytes else terms
+        words = every.select("row_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term"))
+        told = words.join(wanted, "term")
+    else:
+        values = some.select("row_id", F.explode(F.array_distinct("base.value")).alias("value"))
+        told = values.join(reveal, "value").groupBy("row_id", "term").agg(F.max("share").alias("share"))
+    told = materialise(told.groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("_told")), "told")
+    if (told.agg(F.sum(F.size("_told") * 64 + 64)).first()[0] or 0) <= broadcast_bytes:
+        told = F.broadcast(told)
+    joined = every.join(told, "row_id", "left")
     hits = located(F.lower("text"), WORD, lambda v: F.map_contains_key("_told", v))
     kind = lambda v: F.when(F.element_at("_told", v) >= remove_from, F.lit("term_removed")).otherwise(F.lit("term"))
     spans = F.transform(hits, lambda x: F.struct(F.lit(len(PATTERNS)).alias("o"), kind(x["value"]).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["value"].alias("value")))
     outside = lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-    marked = joined.withColumn("terms", F.when(F.col("_told").isNull(), empty).otherwise(F.filter(spans, outside))).drop("_told")
-    return clean.unionByName(marked)
+    return joined.withColumn("terms", F.when(F.col("_told").isNull(), empty).otherwise(F.filter(spans, outside))).drop("_told")
 
 
 def sanitised(spans: DataFrame) -> DataFrame:
@@ -157,7 +174,7 @@ def sanitised(spans: DataFrame) -> DataFrame:
 
 
 def op5_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = private_spans(table(spark, sf_dir, "documents"))
+    x = private_spans(table(spark, sf_dir, "documents"), every_row=True)
     n = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     every = F.concat("base", F.array_sort("terms"))
     return x.select("doc_id", *(n(k) for k in PATTERNS), F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(every).alias("spans"))

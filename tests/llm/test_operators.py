@@ -368,6 +368,16 @@ def test_revealing_terms(spark):
     assert privacy.private_spans(d.limit(0)).count() == 0
 
 
+def test_terms_of_rare_values_in_every_row(spark):
+    rows = [(i, f"{'Zorblax ' if i < 4 else ''}w{i} a@b.com is here") for i in range(6)] + [(i, f"filler text {i} is here") for i in range(6, 60)]
+    rows += [(60, "zorblax without value"), (61, "Quux is at c@d.org here"), (62, "quux once more"), (63, "+1 202 555 0133 is text")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for limit in (64 << 20, 0):
+        got = {r["doc_id"]: [r["text"][t["s"] : t["e"]] for t in r["terms"]] for r in privacy.private_spans(d, broadcast_bytes=limit, every_row=True).collect()}
+        assert got[0] == ["Zorblax"] and got[60] == ["zorblax"] and got[61] == ["Quux", "at"] and got[62] == ["quux"]
+        assert got[5] == got[6] == got[63] == [] and len(got) == 64
+
+
 def test_language_held_out(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet")
     f = language.learn(d)
