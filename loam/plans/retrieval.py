@@ -174,10 +174,20 @@ def v04(spark, sf_dir):
 
 #: The embedding leg over distinct sparse slots: dot products of unit vectors, so squared distance is 2 - 2 * dot.
 def vector_leg(spark: SparkSession, sf_dir: str, k: int = 60) -> DataFrame:
-    c, q = chunks(spark, sf_dir), questions(spark, sf_dir)
-    near = vectors.knn(vectors.embed(q, "query_id", "question"), vectors.embed(c, "chunk_id", "chunk"), 400, "query_id", "chunk_id")
-    x = near.join(c, "chunk_id").join(q.select("query_id", "scope"), "query_id").filter(lexical.scope_matches(F.col("scope"), F.col("category")))
-    return rank.renumber(x).filter(F.col("pos") <= k)
+    return scoped_neighbours(questions(spark, sf_dir), chunks(spark, sf_dir), k)
+
+
+def scoped_neighbours(q: DataFrame, c: DataFrame, k: int) -> DataFrame:
+    """The ``k`` nearest chunks in the scope of each question (query_id, question, scope): a search for each scope, over
+    its own chunks alone."""
+    scope = F.coalesce(F.when(F.col("scope").isin("chats", "notes"), F.col("scope")), F.lit("all"))
+    asked = vectors.embed(q, "query_id", "question").join(q.select("query_id", "scope"), "query_id")
+    held = vectors.embed(c, "chunk_id", "chunk").join(c.select("chunk_id", "category"), "chunk_id")
+    out = None
+    for s in ("chats", "notes", "all"):
+        part = vectors.knn(asked.filter(scope == s), held.filter(lexical.scope_matches(F.lit(s), F.col("category"))), k, "query_id", "chunk_id")
+        out = part if out is None else out.unionByName(part)
+    return out.join(c, "chunk_id").join(q.select("query_id", "scope"), "query_id")
 
 
 #: Two lists to fuse: keyword hits, and the newest notes of the scope.

@@ -251,3 +251,15 @@ def test_retrieval_end_to_end(spark):
     rows, agg = evals.run(got, got, cases, c, 4, [4])
     assert {r["query_id"]: r["status"] for r in rows.collect()} == {1: "hit", 2: "hit", 3: "ungradable"}
     assert [tuple(r) for r in agg.select("k", "hit_rate", "mrr", "cases").collect()] == [(4, 1.0, 1.0, 2)]
+
+
+def test_vector_leg_fills_rare_scopes(spark):
+    from loam.plans.retrieval import scoped_neighbours
+
+    c = spark.createDataFrame([(i, "apple pie", "note") for i in range(450)] + [(500 + i, f"car {i}", "chat") for i in range(3)], "chunk_id long, chunk string, category string")
+    q = spark.createDataFrame([(1, "apple pie", "chats"), (2, "apple pie", "notes"), (3, "car", None)], "query_id long, question string, scope string")
+    got = {}
+    for r in scoped_neighbours(q, c, 5).orderBy("query_id", "pos").collect():
+        got.setdefault(r["query_id"], []).append((r["pos"], r["chunk_id"]))
+    assert sorted(x for _, x in got[1]) == [500, 501, 502] and [p for p, _ in got[1]] == [1, 2, 3]
+    assert got[2] == [(i + 1, i) for i in range(5)] and {x for _, x in got[3]} >= {500, 501, 502}
