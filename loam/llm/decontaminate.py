@@ -178,7 +178,7 @@ def _shards(items: DataFrame, shard_words: int) -> list[list[tuple[str, list[byt
     return shards
 
 
-def scan(docs: DataFrame, items: DataFrame, window: int = 13, shard_words: int = 5_000_000) -> DataFrame:
+def scan(docs: DataFrame, items: DataFrame, window: int = 13, shard_words: int = 5_000_000, row_id: str | None = None) -> DataFrame:
     """``doc_id, row_id, n_words, spans, items, longest`` for every row of ``docs`` (doc_id, text).
 
     ``spans`` are word positions (end exclusive) that lie in an occurrence of a window of ``items`` (item_id, text):
@@ -187,8 +187,9 @@ def scan(docs: DataFrame, items: DataFrame, window: int = 13, shard_words: int =
     are judged one by one and equal items are all named.
 
     Items are read in blocks of about ``shard_words`` words, each an automaton of bounded size that is broadcast; test
-    sets beyond that take one pass a block, and only rows with hits are merged."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row_id"), F.col("text").cast("string"))
+    sets beyond that take one pass a block, and only rows with hits are merged. Row ids are those of the column
+    ``row_id``, if given."""
+    rows = docs.select(F.col("doc_id").cast("long"), (F.col(row_id) if row_id else F.monotonically_increasing_id()).alias("row_id"), F.col("text").cast("string"))
     shards = _shards(items, shard_words)
     first = _scan(rows, shards[0], window, False)
     if len(shards) == 1:
@@ -208,11 +209,14 @@ def judged(scanned: DataFrame, share: float = 0.05) -> DataFrame:
 def clean(docs: DataFrame, items: DataFrame, window: int = 13, share: float = 0.05, shard_words: int = 5_000_000) -> DataFrame:
     """``docs`` without contaminated documents, all columns.
 
-    With items of one block each task drops its own rows and nothing is shuffled. With more, documents are judged over
-    all blocks first and dropped by doc_id, so rows that share the id of a contaminated one go with it."""
+    With items of one block each task drops its own rows and nothing is shuffled. With more, rows are written
+    with numbers, judged over all blocks and dropped by number, with the same result."""
     shards = _shards(items, shard_words)
     if len(shards) > 1:
-        return drop_ids(docs, judged(scan(docs, items, window, shard_words), share).filter("contaminated").select("doc_id"))
+        name = free_name(docs.columns, "_row_id")
+        rows = numbered(docs, name)
+        bad = judged(scan(rows, items, window, shard_words, name), share).filter("contaminated").select(F.col("row_id").alias(name))
+        return drop_ids(rows, bad, key=name).select(docs.columns)
     shared = docs.sparkSession.sparkContext.broadcast(Automaton(shards[0], window))
     at = docs.columns.index("text")
     part = round(1 / share)
@@ -229,23 +233,32 @@ def clean(docs: DataFrame, items: DataFrame, window: int = 13, share: float = 0.
     return docs.mapInArrow(run, docs.schema)
 
 
-def drop_ids(docs: DataFrame, ids: DataFrame, broadcast_bytes: int = 64 << 20) -> DataFrame:
-    """``docs`` without the doc_ids of ``ids``; these are broadcast up to a checked size, else both sides are shuffled."""
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` written with a number for each row in column ``name``, so that every pass reads the same numbers."""
     from loam.session import materialise
 
-    ids = materialise(ids.filter("doc_id is not null").distinct(), "dropped")
+    return materialise(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
+def drop_ids(docs: DataFrame, ids: DataFrame, broadcast_bytes: int = 64 << 20, key: str = "doc_id") -> DataFrame:
+    """``docs`` without the ids of ``ids`` in column ``key``; these are broadcast up to a checked size, else both sides are shuffled."""
+    from loam.session import materialise
+
+    ids = materialise(ids.filter(F.col(key).isNotNull()).distinct(), "dropped")
     if ids.count() * 16 <= broadcast_bytes:
         ids = F.broadcast(ids)
-    return docs.join(ids, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(ids, key, "left_anti").select(docs.columns)
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, window: int = 13, most_words: int = 200, share: float = 0.05) -> DataFrame:
     """``docs`` with ``text`` freed of hit spans. A document goes wholly if a span has over ``most_words`` words or hit
     words are at least ``share`` of all; from the others each span is cut out, from its first word to its last."""
-    judged_ = judged(scan(docs, items, window), share)
+    number = free_name(docs.columns, "_row_id")
+    rows = numbered(docs, number)
+    judged_ = judged(scan(rows, items, window, row_id=number), share)
     longest = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: F.greatest(a, s[1] - s[0]))
-    hit = judged_.filter("n_hit > 0").select("doc_id", "spans", (F.col("contaminated") | (longest > most_words)).alias("_go"))
-    kept = drop_ids(docs, hit.filter("_go").select("doc_id"))
+    hit = judged_.filter("n_hit > 0").select(F.col("row_id").alias(number), "spans", (F.col("contaminated") | (longest > most_words)).alias("_go"))
+    kept = drop_ids(rows, hit.filter("_go").select(number), key=number)
 
     @F.pandas_udf("string")
     def cut(text, spans):
@@ -265,8 +278,8 @@ def remove_spans(docs: DataFrame, items: DataFrame, window: int = 13, most_words
         return text.combine(spans, one)
 
     name = free_name(docs.columns, "_spans")
-    spans = hit.filter("not _go").groupBy("doc_id").agg(F.first("spans").alias(name))
-    joined = kept.join(spans, "doc_id", "left")
+    spans = hit.filter("not _go").select(number, F.col("spans").alias(name))
+    joined = kept.join(spans, number, "left")
     return joined.withColumn("text", F.when(F.col(name).isNull(), F.col("text")).otherwise(cut("text", name))).select(docs.columns)
 
 

@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm.components import components, join_groups
-from loam.llm.decontaminate import drop_ids
+from loam.llm.components import components, free_name, join_groups
+from loam.llm.decontaminate import drop_ids, numbered
 from loam.session import materialise, table
 
 #: Fingerprints that one task's trie holds at a time, and node pairs that are split at a time.
@@ -42,15 +42,17 @@ def fingerprint(text: str | None, size: int = 4) -> int:
     return int(np.packbits(2 * count > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, size: int = 4) -> DataFrame:
-    """``doc_id, fp`` (the 64 bits as a signed long) of each whole text; 0 for texts without words."""
+def fingerprints(docs: DataFrame, size: int = 4, row_id: str | None = None) -> DataFrame:
+    """``doc_id, row_id, fp`` (the 64 bits as a signed long) of each whole text; 0 for texts without words. The row ids
+    are those of the column ``row_id``, else null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t, size) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row_id"), pa.array(fp)], ["doc_id", "row_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    row = F.col(row_id) if row_id else F.lit(None)
+    return docs.select(F.col("doc_id").cast("long"), row.cast("long").alias("row_id"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, row_id long, fp long")
 
 
 def layouts(n: int, distance: int) -> list[list[tuple[int, int]]]:
@@ -246,19 +248,30 @@ def near_groups(docs: DataFrame, size: int = 4, distance: int = 4) -> DataFrame:
     rows are rows of their own in one component. An empty table gives no row.
 
     Rows are summed to distinct fingerprints before anything is joined, so copies cost nothing further."""
-    rows = materialise(fingerprints(docs, size), "fingerprints")
-    distinct = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "distinct")
+    out = _grouped(docs, size, distance)
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("best.d").alias("component_id"), "group_size")
+
+
+def _grouped(docs: DataFrame, size: int, distance: int, row_id: str | None = None) -> DataFrame:
+    """``doc_id, row_id, fp, best, group_size``; ``best`` is the first row of the component: smallest doc_id, null last,
+    then the smallest row id."""
+    rows = materialise(fingerprints(docs, size, row_id), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("d"), F.col("row_id").alias("r")))
+    distinct = materialise(rows.groupBy("fp").agg(first.alias("first"), F.count("*").alias("n")), "distinct")
     roots = materialise(components(links(distinct.select("fp"), distance)), "roots")
     known = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    comps = known.groupBy("root").agg(F.min("first_id").alias("component_id"), F.sum("n").alias("group_size"), F.count("*").alias("fps"))
+    comps = known.groupBy("root").agg(F.min("first").alias("best"), F.sum("n").alias("group_size"), F.count("*").alias("fps"))
     label = materialise(join_groups(known.select("fp", "root", "n"), comps, "root", "fps", distinct.count()), "labels")
-    out = join_groups(rows, label.select("fp", "component_id", "group_size", "n"), "fp", "n", rows.count())
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "group_size")
+    return join_groups(rows, label.select("fp", "best", "group_size", "n"), "fp", "n", rows.count())
 
 
 def near_dedup(docs: DataFrame, size: int = 4, distance: int = 4) -> DataFrame:
-    """``docs`` with the row of the smallest doc_id of each component alone, all columns; rows without doc_id stay."""
-    return drop_ids(docs, near_groups(docs, size, distance).filter("doc_id <> component_id").select("doc_id"))
+    """One row of ``docs`` of each component, all columns: that of the smallest doc_id, null last, and of equal ids the
+    first. Rows are written with numbers and dropped by them, so equal or missing doc_ids don't matter."""
+    name = free_name(docs.columns, "_row_id")
+    rows = numbered(docs, name)
+    gone = _grouped(rows, size, distance, name).filter(F.col("row_id") != F.col("best.r")).select(F.col("row_id").alias(name))
+    return drop_ids(rows, gone, key=name).select(docs.columns)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

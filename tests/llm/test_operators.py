@@ -279,6 +279,18 @@ def test_simhash(spark, docs, rows):
     assert simhash.near_groups(docs.limit(0)).count() == 0
 
 
+def test_stages_drop_rows_not_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(300)), " ".join(f"b{i}" for i in range(300))
+    rows = [(1, a, 0), (2, a, 1), (2, b, 2), (1, a, 3), (None, a, 4), (None, "c d e f g", 5), (None, "c d e f g", 6)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, _row_id int").coalesce(1)
+    kept = simhash.near_dedup(d)
+    assert kept.columns == d.columns and sorted(r["_row_id"] for r in kept.collect()) == [0, 2, 5]
+    items = spark.createDataFrame([(1, "c d e f g"), (2, a)], "item_id long, text string")
+    for shard in (10**6, 8):
+        assert [r["_row_id"] for r in decontaminate.clean(d, items, shard_words=shard).collect()] == [2]
+    assert [r["_row_id"] for r in decontaminate.remove_spans(d, items).collect()] == [2]
+
+
 @pytest.mark.parametrize("layout_rows", [1000, 1 << 40])
 def test_trie_join_finds_every_link(spark, layout_rows, monkeypatch):
     rng = np.random.default_rng(5)
