@@ -15,8 +15,6 @@ from loam.session import table
 
 #: Lengths of the n-grams, hash functions, and slots of the filter, each with one bit a language.
 LENGTHS, HASHES, SLOTS = (1, 2, 3, 4), 3, 1 << 17
-#: Languages that one slot has bits for.
-MOST_LANGUAGES = 64
 
 _letters: list[np.ndarray] = []
 
@@ -58,22 +56,23 @@ def _slots(h: np.ndarray) -> list[np.ndarray]:
 
 
 class Filters:
-    """Slot s holds a mask of the languages that set bit s; the masks of an n-gram's slots, ANDed, are the languages
+    """Slot s holds a mask of the languages that set bit s, in words of 64 languages; the masks of an n-gram's slots, ANDed, are the languages
     that contain it."""
 
     def __init__(self, grams_of: dict[str, np.ndarray]):
-        self.languages = sorted(grams_of)[:MOST_LANGUAGES]
-        self.masks = np.zeros(SLOTS, np.uint64)
+        self.languages = sorted(grams_of)
+        self.masks = np.zeros((max(1, -(-len(self.languages) // 64)), SLOTS), np.uint64)
         for i, name in enumerate(self.languages):
             for s in _slots(grams_of[name]):
-                self.masks[s] |= np.uint64(1 << i)
-        bits = [float((self.masks >> np.uint64(i) & np.uint64(1)).mean()) for i in range(len(self.languages))]
+                self.masks[i // 64][s] |= np.uint64(1 << i % 64)
+        bits = [float((self.masks[i // 64] >> np.uint64(i % 64) & np.uint64(1)).mean()) for i in range(len(self.languages))]
         self.false = np.array([b**HASHES for b in bits])
 
     def counts(self, h: np.ndarray) -> np.ndarray:
         """Of n-grams that each language contains, corrected for those that it only seems to contain."""
-        mask = np.bitwise_and.reduce([self.masks[s] for s in _slots(h)])
-        seen = np.array([int((mask >> np.uint64(i) & np.uint64(1)).sum()) for i in range(len(self.languages))], float)
+        slots = _slots(h)
+        mask = [np.bitwise_and.reduce([m[s] for s in slots]) for m in self.masks]
+        seen = np.array([int((mask[i // 64] >> np.uint64(i % 64) & np.uint64(1)).sum()) for i in range(len(self.languages))], float)
         return np.maximum((seen - len(h) * self.false) / np.maximum(1 - self.false, 1e-9), 0)
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -89,10 +88,10 @@ def learn(docs: DataFrame, per_language: int = 2000, grams_each: int = 4000) ->
     """Filters of the ``grams_each`` most frequent n-grams of each language in about ``per_language`` of its documents.
 
     Only rows whose remainder isn't 2 and that have a text and a language teach. The bound is kept by a hash of doc_id
-    against the language's share, so what is counted and what reaches the driver don't grow with the corpus. The 64 most
-    frequent languages are learned."""
+    against the language's share, so what is counted and what reaches the driver grow with the languages, not with the
+    corpus. Every language of such rows is learned."""
     some = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "lang").filter("doc_id is not null and text is not null and lang is not null").filter(remainder() != 2)
-    of = some.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
+    of = some.groupBy("lang").count()
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     some = some.join(F.broadcast(of), "lang").filter(part * F.col("count") < per_language)
 
@@ -115,7 +114,7 @@ def learn(docs: DataFrame, per_language: int = 2000, grams_each: int = 4000) ->
 
 def identify(docs: DataFrame, filters: Filters) -> DataFrame:
     """``doc_id, lang_pred, score`` of each whole text; ``und`` and 0 for null texts and those without letters."""
-    shared = docs.sparkSession.sparkContext.broadcast(filters)  # SLOTS masks, a fixed size
+    shared = docs.sparkSession.sparkContext.broadcast(filters)  # SLOTS masks for each 64 languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

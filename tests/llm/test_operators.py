@@ -413,6 +413,13 @@ def test_language_filter_is_bit_sliced():
     assert f.counts(np.setdiff1d(g["x"], g["y"]))[1] < 1
 
 
+def test_more_than_64_languages(spark):
+    word = lambda i: "".join(chr(0x4E00 + 20 * i + j) for j in range(12))
+    d = spark.createDataFrame([(20 * i + j, word(i), f"l{i:03}") for i in range(150) for j in range(12)], "doc_id long, text string, lang string")
+    got = language.identify(d, language.learn(d)).join(d.select("doc_id", "lang"), "doc_id").collect()
+    assert len(got) == 1800 and all(r["lang"] == r["lang_pred"] for r in got)
+
+
 def test_quality_held_out(spark, sf):
     d, lab = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     s = quality.scored(d.select("doc_id", "text"), quality.train(d, lab)).join(lab, "doc_id").filter(quality.remainder() == 2).collect()
