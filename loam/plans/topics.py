@@ -118,15 +118,9 @@ def t08(spark, sf_dir):
     return w.filter(t.noisy(F.col("tok")))
 
 
-def phrases(spark, sf_dir):
-    """Pairs of the first letters of documents' words: short, so that near duplicates are common."""
-    w = docs(spark, sf_dir).select(F.explode(t.candidate_phrases(F.col("text"))).alias("p")).select(F.split("p", " ").alias("s"))
-    return w.select(F.concat(F.left(F.col("s")[0], F.lit(5)), F.lit(" "), F.left(F.col("s")[1], F.lit(5))).alias("phrase")).distinct()
-
-
 @query("t09_near_duplicates")
 def t09(spark, sf_dir):
-    return t.near_duplicate_pairs(phrases(spark, sf_dir)).groupBy(F.col("a").alias("phrase")).agg(F.count("*").alias("n_near"))
+    return t.near_duplicate_counts(docs(spark, sf_dir).select(F.explode(t.candidate_phrases(F.col("text"))).alias("phrase")))
 
 
 @query("t10_learned")

@@ -263,3 +263,11 @@ def test_vector_leg_fills_rare_scopes(spark):
         got.setdefault(r["query_id"], []).append((r["pos"], r["chunk_id"]))
     assert sorted(x for _, x in got[1]) == [500, 501, 502] and [p for p, _ in got[1]] == [1, 2, 3]
     assert got[2] == [(i + 1, i) for i in range(5)] and {x for _, x in got[3]} >= {500, 501, 502}
+
+
+def test_near_duplicates_of_whole_phrases(spark):
+    long = "x" * 30 + " " + "y" * 30
+    p = ["planning meetings", "planning meeting", "planned meetings", "meetings planning", long, long[:-1] + "z", "other phrase"]
+    got = {r["phrase"]: r["n_near"] for r in topics.near_duplicate_counts(spark.createDataFrame([(x,) for x in p], "phrase string")).collect()}
+    near = {a: sum(a != b and spark.range(1).select(topics.near_duplicate(F.lit(a), F.lit(b))).first()[0] for b in p) for a in p}
+    assert got == near and got[long] == 1 and got["other phrase"] == 0 and got["planning meetings"] == 2
