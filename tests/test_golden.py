@@ -271,3 +271,16 @@ def test_near_duplicates_of_whole_phrases(spark):
     got = {r["phrase"]: r["n_near"] for r in topics.near_duplicate_counts(spark.createDataFrame([(x,) for x in p], "phrase string")).collect()}
     near = {a: sum(a != b and spark.range(1).select(topics.near_duplicate(F.lit(a), F.lit(b))).first()[0] for b in p) for a in p}
     assert got == near and got[long] == 1 and got["other phrase"] == 0 and got["planning meetings"] == 2
+
+
+def test_near_pairs_are_exact(spark, sf):
+    from loam.plans.retrieval import v04
+
+    e = {r["vec_id"]: r["embedding"] for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    got = {}
+    for r in v04(spark, sf).collect():
+        got.setdefault(r["query_id"], []).append((r["pos"], r["item_id"]))
+    assert set(got) == set(e)
+    for a in list(e)[:20]:
+        want = sorted((round(sum((float(x) - float(y)) ** 2 for x, y in zip(e[a], e[b])), 6), b) for b in e)[:4]
+        assert [i for _, i in sorted(got[a])] == [b for _, b in want]
