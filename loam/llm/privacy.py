@@ -1,8 +1,8 @@
 """Personal data and the terms that give it away; DataFrame operations only.
 
-Patterns find personal values. Corpus statistics then say how much a term that stands near a value tells about it: the
-pointwise mutual information of term and value, as a share of the value's own information. Terms above a threshold are
-spans too, to be generalised or removed with the values."""
+Patterns find personal values. Corpus statistics then say how much a term that stands near a value tells about the entity
+that the value names: the pointwise mutual information of term and entity, as a share of the entity's own information.
+Terms above a threshold are spans too, to be generalised or removed with the values."""
 
 from __future__ import annotations
 
@@ -22,8 +22,11 @@ PATTERNS = {
 }
 #: What a text must hold for a kind to be looked for.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-#: Words of the statistics: letters and digits, and what lies between them.
-WORD = r"[\p{L}\p{N}]++"
+#: Words of the statistics: runs of letters and digits with a letter.
+WORD = r"(?<![\p{L}\p{N}])\p{N}*+\p{L}[\p{L}\p{N}]*+"
+#: Words on each side of a value, on its line, that count as standing near it; matches that are summed at a time;
+#: code points of a place where spans of terms and values meet.
+NEAR, STEP, CELL = 8, 64, 32
 SPAN = "struct<o:int,kind:string,s:int,e:int,value:string>"
 
 
@@ -45,20 +48,41 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def located(text: Column, pattern: str, wanted=None) -> Column:
+def _bind(x: Column, f) -> Column:
+    """``f(x)`` with ``x`` evaluated once, however often ``f`` and the lambdas in it use it."""
+    return F.transform(F.array(x), f)[0]
+
+
+def located(text: Column, pattern: str) -> Column:
     """``s, e, value`` of every match of a pattern, in code points: matches and the pieces between them alternate.
-    ``wanted`` may say which matches to take up."""
+
+    Positions are summed in blocks of ``STEP`` matches and then over the blocks, so that no long array is copied once a
+    match."""
     raw = F.arrays_zip(F.split(text, pattern, -1).alias("piece"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"))
-    empty = F.from_json(F.lit("[]"), "array<struct<s:int,e:int,value:string>>")
+    none = F.from_json(F.lit("[]"), "array<struct<s:int,e:int,value:string>>")
+    nones = F.from_json(F.lit("[]"), "array<array<struct<s:int,e:int,value:string>>>")
 
     def step(a: Column, x: Column) -> Column:
         s = a["at"] + F.char_length(x["piece"])
         e = s + F.coalesce(F.char_length(x["value"]), F.lit(0))
-        take = x["value"].isNotNull() & (wanted(x["value"]) if wanted else F.lit(True))
         more = F.concat(a["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["value"].alias("value"))))
-        return F.struct(e.alias("at"), F.when(take, more).otherwise(a["out"]).alias("out"))
+        return F.struct(e.alias("at"), F.when(x["value"].isNotNull(), more).otherwise(a["out"]).alias("out"))
+
+    def block(r: Column, i: Column) -> Column:
+        return F.aggregate(F.slice(r, i + 1, F.lit(STEP)), F.struct(F.lit(0).alias("at"), none.alias("out")), step)
 
-    return F.aggregate(raw, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda a: a["out"])
+    def moved(x: Column, by: Column) -> Column:
+        return F.struct((x["s"] + by).alias("s"), (x["e"] + by).alias("e"), x["value"].alias("value"))
+
+    def join(a: Column, b: Column) -> Column:
+        own = F.transform(b["out"], lambda x: moved(x, a["at"]))
+        return F.struct((a["at"] + b["at"]).alias("at"), F.concat(a["out"], F.array(own)).alias("out"))
+
+    def whole(r: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.size(r) - 1, F.lit(STEP)), lambda i: block(r, i))
+        return F.aggregate(blocks, F.struct(F.lit(0).alias("at"), nones.alias("out")), join, lambda a: F.flatten(a["out"]))
+
+    return _bind(raw, whole)
 
 
 def _of_kind(o: int, kind: str, matches: Column) -> Column:
@@ -82,39 +106,95 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
+def entities(kind: Column, value: Column) -> Column:
+    """What a value identifies, as ``entity, wide``: itself in its normal form, and the wider entity that recurs where single
+    values are rare: the domain of an address, the network (two parts) of an ip, the issuer (six digits) of a card, the
+    exchange (all but four digits) of a phone number."""
+    low, digits = F.lower(value), F.regexp_replace(value, "[^0-9]", "")
+    own = F.when(kind.isin("card", "phone"), F.concat(kind, F.lit(":"), digits)).otherwise(low)
+    wide = (
+        F.when(kind == "email", F.concat(F.lit("@"), F.substring_index(low, "@", -1)))
+        .when(kind == "ip", F.concat(F.substring_index(value, ".", 2), F.lit(".*")))
+        .when(kind == "card", F.concat(F.lit("issuer:"), F.left(digits, F.lit(6))))
+        .otherwise(F.concat(F.lit("exchange:"), F.left(digits, F.length(digits) - 4)))
+    )
+    return F.array(F.struct(own.alias("entity"), F.lit(False).alias("wide")), F.struct(wide.alias("entity"), F.lit(True).alias("wide")))
+
+
+def _words(text: Column) -> Column:
+    """Words of a text in lower case, in order."""
+    return F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.lower(w))
+
+
+def _distinct_words(text: str) -> Column:
+    return F.array_distinct(_words(F.col(text)))
+
+
+def _near(kind: str) -> Column:
+    """``kind, value, terms`` of each value of one kind in column ``text``."""
+    text, pattern = F.col("text"), PATTERNS[kind]
+    raw = F.struct(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("v"))
+
+    def one(r: Column, v: Column, i: Column) -> Column:
+        left = _words(F.substring_index(F.get(r["p"], i), "\n", -1))
+        right = _words(F.substring_index(F.get(r["p"], i + 1), "\n", 1))
+        last = _bind(left, lambda w: F.slice(w, F.greatest(F.size(w) - NEAR, F.lit(0)) + 1, F.lit(NEAR)))
+        return F.struct(F.lit(kind).alias("kind"), v.alias("value"), F.array_distinct(F.concat(last, F.slice(right, 1, NEAR))).alias("terms"))
+
+    def around(r: Column) -> Column:  # an invalid match keeps its place, so that pieces and matches stay in step
+        return F.filter(F.transform(r["v"], lambda v, i: F.when(_valid(kind, v), one(r, v, i))), lambda x: x.isNotNull())
+
+    none = F.from_json(F.lit("[]"), "array<struct<kind:string,value:string,terms:array<string>>>")
+    return F.when(F.exists("base", lambda x: x["kind"] == kind), _bind(raw, around)).otherwise(none)
+
+
+def contexts(some: DataFrame) -> DataFrame:
+    """``row_id, entity, wide, terms``: for each occurrence of a value and each entity of it the different words near it.
+
+    Near are ``NEAR`` words on each side, on the value's line, up to the next match of the same kind. They come from the
+    pieces between matches, so each piece of a text is read twice at most, however many values a line holds."""
+    each = some.select("row_id", F.explode(F.concat(*(_near(kind) for kind in PATTERNS))).alias("x"))
+    each = each.select("row_id", F.explode(entities(F.col("x.kind"), F.col("x.value"))).alias("y"), F.col("x.terms").alias("terms"))
+    return each.select("row_id", "y.entity", "y.wide", "terms")
+
+
 def found(docs: DataFrame) -> DataFrame:
     """``row_id, doc_id, text, base``: personal values of every row (doc_id, text)."""
-    d = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    d = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long"), text.alias("text"))
     return d.withColumn("base", base_spans(F.col("text")))
 
 
+def _bounded(df: DataFrame, broadcast_bytes: int, row_bytes: int = 64) -> DataFrame:
+    """``df``, marked for a broadcast if its rows fit."""
+    return F.broadcast(df) if df.count() * row_bytes <= broadcast_bytes else df
+
+
 def revealing_terms(docs: DataFrame, some: DataFrame, threshold: float = 0.5, least_contexts: int = 3, broadcast_bytes: int = 64 << 20) -> DataFrame:
-    """``term, value, share``: terms that reveal a personal value.
-
-    ``some`` has the rows of ``found`` with base spans. A term's context is the line that the value stands in. With
-    document frequencies over the whole corpus, share = PMI(term; value) / -log p(value); a term reveals a value if the
-    share reaches ``threshold`` and the pair occurs in ``least_contexts`` different lines, or in all lines of a value that
-    has fewer. So few lines are weak evidence: there p(value | term) must reach ``threshold`` too, else any word of
-    middling frequency beside a value that occurs once would count.
-
-    Only words that stand near values often enough are counted over the corpus. They are broadcast up to
-    ``broadcast_bytes``, else joined to the words summed over the corpus; values likewise."""
-    line = F.explode(F.split("text", "\n")).alias("line")
-    near = some.select("row_id", F.array_distinct(F.col("base.value")).alias("values"), line)
-    near = near.select("row_id", "line", F.explode("values").alias("value")).filter(F.col("line").contains(F.col("value"))).withColumn("context", F.xxhash64("line"))
-    pairs = near.select("row_id", "value", "context", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.replace(F.col("line"), F.col("value"), F.lit(" "))), F.lit(WORD), F.lit(0)))).alias("term"))
-    n_value = some.select("row_id", F.explode(F.array_distinct("base.value")).alias("value")).groupBy("value").agg(F.count("*").alias("n_value"))
-    n_lines = near.groupBy("value").agg(F.countDistinct("context").alias("n_lines"))
-    values = materialise(n_value.join(n_lines, "value"), "values")
-    if values.count() * 64 <= broadcast_bytes:
-        values = F.broadcast(values)
+    """``term, value, share``: terms that reveal a protected entity (``value``: see entities).
+
+    ``some`` has the rows of ``found`` with base spans. With document frequencies over the whole corpus, share =
+    PMI(term; entity) / -log p(entity), the part of the entity's information that the term gives. A term reveals an
+    entity if the share reaches ``threshold``, p(entity | term) reaches it too, and the term stands near the entity in
+    ``least_contexts`` different contexts; of an entity that has fewer contexts, in all of them (a single value only,
+    not a wider entity).
+
+    As p(entity | term) has a lower bound, revealing terms occur at most 1 / threshold times as often as they stand near
+    values, whatever the size of the corpus. The words of the corpus are summed in tasks; those that stand near values
+    are broadcast up to ``broadcast_bytes``, else joined to the sums."""
+    near = materialise(contexts(some).withColumn("context", F.xxhash64("terms")), "contexts")
+    values = near.groupBy(F.col("entity").alias("value"), "wide").agg(F.countDistinct("row_id").alias("n_value"), F.countDistinct("context").alias("n_contexts"))
+    values = _bounded(materialise(values, "values"), broadcast_bytes)
+    pairs = near.select("row_id", F.col("entity").alias("value"), "context", F.explode("terms").alias("term"))
     both = pairs.groupBy("value", "term").agg(F.countDistinct("row_id").alias("n_both"), F.countDistinct("context").alias("contexts"))
-    both = materialise(both.join(values, "value").filter(F.col("contexts") >= F.least(F.lit(least_contexts), "n_lines")).drop("n_lines"), "pairs")
+    least = F.when(F.col("wide"), F.lit(least_contexts)).otherwise(F.least(F.lit(least_contexts), "n_contexts"))
+    both = materialise(both.join(values, "value").filter(F.col("contexts") >= least).drop("n_contexts", "wide"), "pairs")
     terms = materialise(both.select("term").distinct(), "terms")
     n_terms = terms.count()
     if not n_terms:
         return both.select("term", "value", F.lit(0.0).alias("share")).limit(0)
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(WORD), F.lit(0)))).alias("term"))
+    text = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    words = text.select(F.explode(_distinct_words("text")).alias("term"))
     if n_terms * 64 <= broadcast_bytes:
         n_term = words.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
     else:
@@ -122,43 +202,58 @@ def revealing_terms(docs: DataFrame, some: DataFrame, threshold: float = 0.5, le
     n = float(docs.count())
     pmi = F.log(F.col("n_both") * n / (F.col("n_term") * F.col("n_value")))
     share = F.when(F.col("n_value") < n, pmi / F.log(n / F.col("n_value"))).otherwise(0.0)
-    sure = (F.col("contexts") >= least_contexts) | (F.col("n_both") >= threshold * F.col("n_term"))
+    sure = F.col("n_both") >= threshold * F.col("n_term")
     return both.join(n_term, "term").filter(sure).select("term", "value", share.alias("share")).filter(F.col("share") >= threshold)
 
 
-def private_spans(docs: DataFrame, threshold: float = 0.5, least_contexts: int = 3, remove_from: float = 0.8, broadcast_bytes: int = 64 << 20, every_row: bool = False) -> DataFrame:
+def private_spans(
+    docs: DataFrame, threshold: float = 0.5, least_contexts: int = 3, remove_from: float = 0.8, broadcast_bytes: int = 64 << 20, every_row: bool = False
+) -> DataFrame:
     """``row_id, doc_id, text, base, terms`` for each row of ``docs`` (doc_id, text).
 
-    ``base`` are the personal values. ``terms`` are words that reveal a value, of kind ``term`` (to be generalised) or
+    ``base`` are the personal values. ``terms`` are words that reveal an entity, of kind ``term`` (to be generalised) or
     ``term_removed`` (share of ``remove_from`` or more): with ``every_row`` in all rows, as they disclose the person where
-    the value is absent too; else only in rows that hold the value.
+    the value is absent too; else only in rows that hold the value. Words that overlap a value are part of it.
     Null texts are empty texts; repeated rows get the same spans each; an empty table gives no row.
 
-    Rows are written once with their values. Word hits are shuffled as narrow rows; those of a row meet its text by
-    broadcast up to ``broadcast_bytes``, else in a shuffle."""
+    Rows are written once with their values. Words meet the revealing terms where they lie, by broadcast up to
+    ``broadcast_bytes``, else in a shuffle of narrow rows. Texts are not shuffled, unless the rows with hits are too
+    many for a broadcast of that size."""
     every = materialise(found(docs), "found")
     some = materialise(every.filter(F.size("base") > 0), "private")
-    reveal = materialise(revealing_terms(docs, some, threshold, least_contexts, broadcast_bytes), "reveal")
-    empty = F.from_json(F.lit("[]"), f"array<{SPAN}>")
+    reveal = materialise(revealing_terms(every, some, threshold, least_contexts, broadcast_bytes), "reveal")
+    none = F.from_json(F.lit("[]"), f"array<{SPAN}>")
     if not reveal.limit(1).count():
-        return every.withColumn("terms", empty)
+        return every.withColumn("terms", none)
+    told = term_spans(every, some, reveal, remove_from, broadcast_bytes, every_row)
+    if (told.agg(F.sum(F.size("terms") * 40 + 64)).first()[0] or 0) <= broadcast_bytes:
+        told = F.broadcast(told)
+    return every.join(told, "row_id", "left").select("row_id", "doc_id", "text", "base", F.coalesce("terms", none).alias("terms"))
+
+
+def term_spans(every: DataFrame, some: DataFrame, reveal: DataFrame, remove_from: float, broadcast_bytes: int, every_row: bool) -> DataFrame:
+    """``row_id, terms`` of the rows that hold revealing terms: their spans outside personal values, in order.
+
+    First the different words of each row meet the terms, then only rows with such a word are cut into positions. Spans
+    meet values by row and place, so a text of many values costs no more than their number."""
     if every_row:
         terms = materialise(reveal.groupBy("term").agg(F.max("share").alias("share")), "revealing")
-        wanted = F.broadcast(terms) if terms.count() * 64 <= broadcast_bytes else terms
-        words = every.select("row_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term"))
-        told = words.join(wanted, "term")
+        words = every.select("row_id", F.explode(_distinct_words("text")).alias("term"))
+        told = words.join(_bounded(terms, broadcast_bytes), "term")
     else:
-        values = some.select("row_id", F.explode(F.array_distinct("base.value")).alias("value"))
-        told = values.join(reveal, "value").groupBy("row_id", "term").agg(F.max("share").alias("share"))
-    told = materialise(told.groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("_told")), "told")
-    if (told.agg(F.sum(F.size("_told") * 64 + 64)).first()[0] or 0) <= broadcast_bytes:
-        told = F.broadcast(told)
-    joined = every.join(told, "row_id", "left")
-    hits = located(F.lower("text"), WORD, lambda v: F.map_contains_key("_told", v))
-    kind = lambda v: F.when(F.element_at("_told", v) >= remove_from, F.lit("term_removed")).otherwise(F.lit("term"))
-    spans = F.transform(hits, lambda x: F.struct(F.lit(len(PATTERNS)).alias("o"), kind(x["value"]).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["value"].alias("value")))
-    outside = lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-    return joined.withColumn("terms", F.when(F.col("_told").isNull(), empty).otherwise(F.filter(spans, outside))).drop("_told")
+        named = some.select("row_id", F.explode("base").alias("x")).select("row_id", F.explode(entities(F.col("x.kind"), F.col("x.value"))).alias("y"))
+        told = named.select("row_id", F.col("y.entity").alias("value")).distinct().join(reveal, "value").groupBy("row_id", "term").agg(F.max("share").alias("share"))
+    told = materialise(told, "told")
+    of = every.join(_bounded(told.select("row_id").distinct(), broadcast_bytes), "row_id")
+    places = materialise(of.select("row_id", F.explode(located(F.col("text"), WORD)).alias("x")).select("row_id", "x.s", "x.e", F.lower("x.value").alias("term")).join(told, ["row_id", "term"]), "places")
+    cell = lambda s, e: F.explode(F.sequence(F.floor(s / CELL), F.floor((e - 1) / CELL))).alias("cell")
+    values = some.select("row_id", F.explode("base").alias("b")).select("row_id", F.col("b.s").alias("bs"), F.col("b.e").alias("be"), cell(F.col("b.s"), F.col("b.e")))
+    own = places.select("row_id", "s", "e", cell(F.col("s"), F.col("e"))).join(values, ["row_id", "cell"]).filter("bs < e and s < be")
+    kind = F.when(F.col("share") >= remove_from, F.lit("term_removed")).otherwise(F.lit("term"))
+    span = F.struct("s", F.lit(len(PATTERNS)).alias("o"), kind.alias("kind"), "e", F.col("term").alias("value"))
+    rows = places.join(own.select("row_id", "s").distinct(), ["row_id", "s"], "left_anti").groupBy("row_id").agg(F.sort_array(F.collect_list(span)).alias("x"))
+    again = F.transform("x", lambda x: F.struct(x["o"].alias("o"), x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["value"].alias("value")))
+    return materialise(rows.select("row_id", again.alias("terms")), "hits")
 
 
 def sanitised(spans: DataFrame) -> DataFrame:
@@ -174,7 +269,14 @@ def sanitised(spans: DataFrame) -> DataFrame:
 
 
 def op5_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal values of every document as the contract counts and hashes them, and all spans with revealing terms.
+
+    One row for each row of ``documents``; null texts are empty and have no span, repeated rows have theirs each, an empty
+    table gives no row. ``n_values`` are the values of all kinds, ``n_terms`` the spans of terms."""
     x = private_spans(table(spark, sf_dir, "documents"), every_row=True)
     n = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    every = F.concat("base", F.array_sort("terms"))
-    return x.select("doc_id", *(n(k) for k in PATTERNS), F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(every).alias("spans"))
+    terms = lambda k: F.filter("terms", lambda s: s["kind"] == k)
+    return x.select(
+        "doc_id", *(n(k) for k in PATTERNS), F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"),
+        spans_text(F.concat("base", terms("term"), terms("term_removed"))).alias("spans"), F.size("base").cast("long").alias("n_values"), F.size("terms").cast("long").alias("n_terms"),
+    )
