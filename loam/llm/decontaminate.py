@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.llm.components import free_name
-from loam.session import table
+from loam.session import materialise, table
 
 #: Maps every byte that is in no word to a space and A-Z to a-z; bytes from 0x80 on are word bytes.
 _WORD = set(range(0x30, 0x3A)) | set(range(0x61, 0x7B)) | set(range(0x80, 0x100))
+#: Words of one block of items: at most twice as many states of the automaton, about 200 MB in a worker.
+BLOCK_WORDS = 300_000
 FOLD = bytes((c if c in _WORD else 0x20) for c in bytes(range(256)).lower())
 
 
@@ -165,39 +167,51 @@ def _scan(docs: DataFrame, items: list[tuple[str, list[bytes]]], window: int, hi
     return docs.mapInArrow(run, SCAN)
 
 
-def _shards(items: DataFrame, shard_words: int) -> list[list[tuple[str, list[bytes]]]]:
-    shards: list[list[tuple[str, list[bytes]]]] = [[]]
-    size = 0
-    for r in items.select(F.col("item_id").cast("string"), "text").toLocalIterator():
-        w = words(r["text"])
-        if size + len(w) > shard_words and shards[-1]:
-            shards.append([])
-            size = 0
-        shards[-1].append((r["item_id"], w))
-        size += len(w)
-    return shards
+class Blocks:
+    """Items in blocks of about ``block_words`` words, dealt by a hash on Spark; the driver holds one block at a time.
+
+    A null item_id counts as the empty string, whatever the type of the others. One item is never divided."""
+
+    def __init__(self, items: DataFrame, block_words: int):
+        rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string"))
+        size = rows.agg(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))).alias("n")).first()["n"] or 0
+        self.n = max(1, -(-size // block_words))
+        self.rows = rows if self.n == 1 else materialise(rows.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(self.n))), "items")
+
+    def read(self, k: int) -> list[tuple[str, list[bytes]]]:
+        """Identifiers and words of the items of block ``k``."""
+        rows = self.rows if self.n == 1 else self.rows.filter(F.col("block") == k)
+        return [(r["item_id"], words(r["text"])) for r in rows.select("item_id", "text").toLocalIterator()]
 
 
-def scan(docs: DataFrame, items: DataFrame, window: int = 13, shard_words: int = 5_000_000, row_id: str | None = None) -> DataFrame:
+def scan(docs: DataFrame, items: DataFrame, window: int = 13, block_words: int = BLOCK_WORDS, row_id: str | None = None) -> DataFrame:
     """``doc_id, row_id, n_words, spans, items, longest`` for every row of ``docs`` (doc_id, text).
 
     ``spans`` are word positions (end exclusive) that lie in an occurrence of a window of ``items`` (item_id, text):
     ``window`` words in a row, or a whole item of fewer words. ``longest`` is the longest match in runs of words that are
-    long enough for a window. Null texts have no words; items without words, or none at all, hit nothing; repeated rows
-    are judged one by one and equal items are all named.
-
-    Items are read in blocks of about ``shard_words`` words, each an automaton of bounded size that is broadcast; test
-    sets beyond that take one pass a block, and only rows with hits are merged. Row ids are those of the column
-    ``row_id``, if given."""
-    rows = docs.select(F.col("doc_id").cast("long"), (F.col(row_id) if row_id else F.monotonically_increasing_id()).alias("row_id"), F.col("text").cast("string"))
-    shards = _shards(items, shard_words)
-    first = _scan(rows, shards[0], window, False)
-    if len(shards) == 1:
-        return first
-    more = reduce(DataFrame.unionByName, [_scan(rows, s, window, True) for s in shards[1:]])
-    every = first.unionByName(more).groupBy("row_id").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("s"), F.array_sort(F.flatten(F.collect_set("items"))).alias("items"), F.max("longest").alias("longest"))
+    long enough for a window. Null texts have no words; items without words, or none at all, hit nothing; a null item_id
+    counts as the empty string; repeated rows are judged one by one and equal items are all named. Row ids are those of
+    the column ``row_id``, if given. An empty table gives no row.
+
+    Items are read in blocks of about ``block_words`` words, each an automaton of bounded size that is broadcast. Test
+    sets beyond that take one pass a block over rows that are written with numbers; what each pass finds is written, and
+    only rows with hits are merged."""
+    return _scanned(docs, Blocks(items, block_words), window, row_id)
+
+
+def _scanned(docs: DataFrame, blocks: Blocks, window: int, row_id: str | None) -> DataFrame:
+    number = F.col(row_id) if row_id else F.monotonically_increasing_id()
+    rows = docs.select(F.col("doc_id").cast("long"), number.alias("row_id"), F.col("text").cast("string"))
+    if blocks.n == 1:
+        return _scan(rows, blocks.read(0), window, False)
+    rows = rows if row_id else materialise(rows, "numbered")
+    parts = [materialise(_scan(rows, blocks.read(k), window, k > 0), "scanned") for k in range(blocks.n)]
+    every = reduce(DataFrame.unionByName, parts).groupBy("row_id").agg(
+        F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("s"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("longest").alias("longest"),
+    )
     join = F.udf(merged, "array<array<long>>")
-    return every.select("doc_id", "row_id", "n_words", join("s").alias("spans"), F.array_distinct("items").alias("items"), "longest")
+    return every.select("doc_id", "row_id", "n_words", join("s").alias("spans"), "items", "longest")
 
 
 def judged(scanned: DataFrame, share: float = 0.05) -> DataFrame:
@@ -206,18 +220,19 @@ def judged(scanned: DataFrame, share: float = 0.05) -> DataFrame:
     return scanned.withColumn("n_hit", n).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * round(1 / share) >= F.col("n_words")))
 
 
-def clean(docs: DataFrame, items: DataFrame, window: int = 13, share: float = 0.05, shard_words: int = 5_000_000) -> DataFrame:
-    """``docs`` without contaminated documents, all columns.
+def clean(docs: DataFrame, items: DataFrame, window: int = 13, share: float = 0.05, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``docs`` without contaminated rows, all columns; null and empty texts stay, an empty table gives no row.
 
-    With items of one block each task drops its own rows and nothing is shuffled. With more, rows are written
-    with numbers, judged over all blocks and dropped by number, with the same result."""
-    shards = _shards(items, shard_words)
-    if len(shards) > 1:
+    Each row is judged by its own text, whatever its doc_id. With items of one block each task drops its own rows and
+    nothing is shuffled. With more, rows are written with numbers, judged over all blocks and dropped by number, with the
+    same result."""
+    blocks = Blocks(items, block_words)
+    if blocks.n > 1:
         name = free_name(docs.columns, "_row_id")
         rows = numbered(docs, name)
-        bad = judged(scan(rows, items, window, shard_words, name), share).filter("contaminated").select(F.col("row_id").alias(name))
+        bad = judged(_scanned(rows, blocks, window, name), share).filter("contaminated").select(F.col("row_id").alias(name))
         return drop_ids(rows, bad, key=name).select(docs.columns)
-    shared = docs.sparkSession.sparkContext.broadcast(Automaton(shards[0], window))
+    shared = docs.sparkSession.sparkContext.broadcast(Automaton(blocks.read(0), window))
     at = docs.columns.index("text")
     part = round(1 / share)
 
@@ -235,15 +250,11 @@ def clean(docs: DataFrame, items: DataFrame, window: int = 13, share: float = 0.
 
 def numbered(docs: DataFrame, name: str) -> DataFrame:
     """``docs`` written with a number for each row in column ``name``, so that every pass reads the same numbers."""
-    from loam.session import materialise
-
     return materialise(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
 def drop_ids(docs: DataFrame, ids: DataFrame, broadcast_bytes: int = 64 << 20, key: str = "doc_id") -> DataFrame:
     """``docs`` without the ids of ``ids`` in column ``key``; these are broadcast up to a checked size, else both sides are shuffled."""
-    from loam.session import materialise
-
     ids = materialise(ids.filter(F.col(key).isNotNull()).distinct(), "dropped")
     if ids.count() * 16 <= broadcast_bytes:
         ids = F.broadcast(ids)
@@ -284,6 +295,9 @@ def remove_spans(docs: DataFrame, items: DataFrame, window: int = 13, most_words
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, hit words and hit items of every document, and whether it is contaminated (a twentieth of its words or more).
+
+    One row for each row of ``documents``, null texts with 0 words; ``longest`` is the longest match."""
     x = judged(scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
     names = F.array_join(F.array_sort("items"), ",")
     return x.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), "contaminated", "longest")
