@@ -36,8 +36,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"no end after {most_rounds} rounds")
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int) -> DataFrame:
-    """``rows`` inner-joined to ``groups``, which has one row a key and the number of rows in ``size``.
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``groups`` (``how``: inner or left), which has one row a key and the number of rows in ``size``.
 
     Keys that over a thousandth of the rows hold, 1000 at most, are joined by broadcast where the rows lie; the others'
     rows meet in tasks. So no task gets more than a thousandth of the rows for one key."""
@@ -45,4 +45,4 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows:
     hot, rest = groups.filter(F.col(size) >= large), groups.filter(F.col(size) < large)
     marked = rows.join(F.broadcast(hot.select(key, F.lit(True).alias("_hot"))), key, "left")
     a = marked.filter("_hot").drop("_hot").join(F.broadcast(hot), key)
-    return a.unionByName(marked.filter("_hot is null").drop("_hot").join(rest, key))
+    return a.unionByName(marked.filter("_hot is null").drop("_hot").join(rest, key, how))

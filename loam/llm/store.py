@@ -1,9 +1,10 @@
 """Content-addressed store of token ids: chunks by rolling hash, recipes of documents, Merkle manifests.
 
-A store is a folder of four Parquet tables; the ids in it are little-endian unsigned integers.
+A store is a folder of five Parquet tables; the ids in it are little-endian unsigned integers.
 
 ``chunks``    hash (binary, 16 bytes of BLAKE2b), ids (binary), width — each distinct chunk once
-``recipes``   part, doc_id, row_id, start, n_tokens, chunks (array of hashes in order), root (hash of the recipe)
+``recipes``   part, doc_id, row_id, start, n_tokens, chunks (array of hashes in order), root (hash of the recipe), place
+``nodes``     part, level, place, root — inner nodes of the Merkle tree, each of at most FAN children
 ``parts``     part, first_id, n_docs, n_tokens, root — one row for each range of doc_id, in ascending order
 ``manifest``  version, width, end_id, n_docs, n_tokens, root — one row
 """
@@ -11,9 +12,10 @@ A store is a folder of four Parquet tables; the ids in it are little-endian unsi
 from __future__ import annotations
 
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loam.llm.components import join_groups
 from loam.llm.tokens import default_vocabulary, encoder
 from loam.session import materialise, shared_dir, table
 
@@ -28,6 +31,8 @@ from loam.session import materialise, shared_dir, table
 WINDOW, LEAST, MOST = 16, 64, 4096
 #: A boundary falls where so many bits of the rolling hash are zero: one id in 2**BITS.
 BITS = 9
+#: Children of one node of the Merkle tree, and bytes of a broadcast row of a chunk's hash with its first place.
+FAN, HASH_ROW = 1024, 200
 
 
 def cuts(ids: np.ndarray, bits: int = BITS, least: int = LEAST, most: int = MOST) -> list[int]:
@@ -100,21 +105,24 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, pa
     Documents stand in ascending doc_id order, null ids last, rows of one id in input order; null texts count as empty,
     so each document has its end id at least. Repeated rows are stored as documents of their own and share all chunks.
 
-    Tasks write chunks as they cut them; of the hashes that occur again (narrow rows, broadcast only up to
-    ``broadcast_bytes``) the first occurrence is kept, so ids themselves are shuffled only beyond that bound. Recipes
-    hold hashes. Documents are ordered by a range partition of narrow rows; positions come from sums by part."""
+    Tasks write chunks as they cut them to a table outside the store, which is deleted at the end; of the hashes that
+    occur again (narrow rows, broadcast only up to ``broadcast_bytes``) the first occurrence is kept, so ids themselves are
+    shuffled only beyond that bound. Recipes hold hashes. Documents are ordered by a range partition of narrow rows;
+    positions come from sums by part."""
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    raw = f"{path}/cut"
-    chunked(docs, vocabulary, end_id).write.option("compression", "zstd").parquet(raw)
-    cut = spark.read.schema("doc_id long, row_id long, seq long, hash binary, ids binary").parquet(raw)
+    scratch = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex[:12]}"
+    chunked(docs, vocabulary, end_id).write.option("compression", "zstd").parquet(f"{scratch}/cut")
+    cut = spark.read.schema("doc_id long, row_id long, seq long, hash binary, ids binary").parquet(f"{scratch}/cut")
     width = encoder(vocabulary).width
-    twice = cut.groupBy("hash").agg(F.count("*").alias("c"), F.min(F.struct("row_id", "seq")).alias("kept")).filter("c > 1").drop("c")
+    twice = cut.groupBy("hash").agg(F.count("*").alias("c"), F.min(F.struct("row_id", "seq")).alias("kept")).filter("c > 1")
     twice = materialise(twice, "repeated-chunks")
-    if twice.count() * 100 <= broadcast_bytes:
-        twice = F.broadcast(twice)
+    if twice.count() * HASH_ROW <= broadcast_bytes:
+        marked = cut.join(F.broadcast(twice), "hash", "left")
+    else:
+        marked = join_groups(cut, twice, "hash", "c", cut.count(), "left")
     first = F.col("kept").isNull() | ((F.col("kept.row_id") == F.col("row_id")) & (F.col("kept.seq") == F.col("seq")))
-    cut.join(twice, "hash", "left").filter(first).select("hash", "ids", F.lit(width).alias("width")).write.option("compression", "zstd").parquet(f"{path}/chunks")
+    marked.filter(first).select("hash", "ids", F.lit(width).alias("width")).write.option("compression", "zstd").parquet(f"{path}/chunks")
 
     n: Column = F.expr(f"octet_length(ids) div {width}")
     docs_ = cut.select("doc_id", "row_id", "seq", "hash", n.alias("n")).groupBy("doc_id", "row_id").agg(
@@ -122,27 +130,64 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, pa
     )
     key = [F.col("doc_id").asc_nulls_last(), F.col("row_id").asc()]
     ordered = docs_.withColumn("root", _root("chunks")).repartitionByRange(parts, *key).withColumn("part", F.spark_partition_id().cast("long")).sortWithinPartitions(*key)
-    ordered.write.parquet(f"{path}/ordered")
-    ordered = spark.read.schema(ordered.schema).parquet(f"{path}/ordered")
+    ordered.write.parquet(f"{scratch}/ordered")
+    ordered = spark.read.schema(ordered.schema).parquet(f"{scratch}/ordered")
     by_part = _running(ordered.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_docs"), F.min("doc_id").alias("first_id")))
-    within = W.partitionBy("part").orderBy(*key).rowsBetween(W.unboundedPreceding, -1)
+    in_part = W.partitionBy("part").orderBy(*key)
     recipes = (
-        ordered.withColumn("at", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
+        ordered.withColumn("at", F.coalesce(F.sum("n_tokens").over(in_part.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+        .withColumn("place", F.row_number().over(in_part) - 1)
         .join(F.broadcast(by_part.select("part", "before")), "part")
-        .select("part", "doc_id", "row_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "chunks", "root")
+        .select("part", "doc_id", "row_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "chunks", "root", F.col("place").cast("long").alias("place"))
     )
     recipes.write.parquet(f"{path}/recipes")
-    roots = spark.read.parquet(f"{path}/recipes").groupBy("part").agg(_fold("start", "root").alias("root"))
-    by_part.join(roots, "part").select("part", "first_id", "n_docs", "n_tokens", "root").write.parquet(f"{path}/parts")
+    nodes = tree(spark.read.parquet(f"{path}/recipes"))
+    nodes.write.parquet(f"{path}/nodes")
+    tops = _tops(spark.read.parquet(f"{path}/nodes"))
+    by_part.join(tops, "part").select("part", "first_id", "n_docs", "n_tokens", "root").write.parquet(f"{path}/parts")
     p = spark.read.parquet(f"{path}/parts")
     p.agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n_docs"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"), _fold("part", "root").alias("root")).select(
         F.lit(1).alias("version"), F.lit(width).alias("width"), F.lit(end_id).alias("end_id"), "n_docs", "n_tokens", "root"
     ).write.parquet(f"{path}/manifest")
+    _delete(spark, scratch)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store its path names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def _fold(order: str, root: str) -> Column:
-    """Hash of the children's hashes in order: an inner node of the Merkle tree."""
-    return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, root))), lambda x: F.hex(x[root])), ""), 256)
+    """SHA-256 of the children's hashes in order: an inner node of the Merkle tree."""
+    return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, root))), lambda x: x[root]), ""), 256)
+
+
+def tree(recipes: DataFrame) -> DataFrame:
+    """``part, level, place, root`` of all inner nodes over the roots of ``recipes`` (part, place, root).
+
+    A node folds at most ``FAN`` children, so no row and no task grows with a part; each level is a thousandth of the one
+    below, and levels go on until every part has one node."""
+    level, out = materialise(recipes.select("part", "place", "root"), "roots"), []
+    while True:
+        k = len(out) + 1
+        up = level.withColumn("up", F.expr(f"place div {FAN}")).groupBy("part", "up").agg(_fold("place", "root").alias("root"))
+        level = materialise(up.select("part", F.lit(k).alias("level"), F.col("up").alias("place"), "root"), "nodes")
+        out.append(level)
+        if not level.filter("place > 0").limit(1).count():
+            return reduce(DataFrame.unionByName, out)
+
+
+def _tops(nodes: DataFrame) -> DataFrame:
+    """``part, root``: the node of the highest level of each part."""
+    return nodes.groupBy("part").agg(F.max_by("root", "level").alias("root"))
+
+
+def _meet(steps: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``steps`` (with hash) left-joined to ``chunks``; hashes of many steps don't meet in one task."""
+    uses = materialise(steps.groupBy("hash").agg(F.count("*").alias("_uses")), "uses")
+    n = uses.agg(F.sum("_uses")).first()[0] or 0
+    return join_groups(steps, chunks.join(uses, "hash"), "hash", "_uses", n, "left").drop("_uses")
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
@@ -150,7 +195,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     read = lambda t: spark.read.parquet(f"{path}/{t}")
     recipes = read("recipes")
     steps = recipes.select("row_id", F.posexplode("chunks").alias("seq", "hash"))
-    lists = steps.join(read("chunks").select("hash", "ids"), "hash").groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("seq", "ids"))).alias("x"))
+    lists = _meet(steps, read("chunks").select("hash", "ids")).groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("seq", "ids"))).alias("x"))
     return recipes.select("doc_id", "row_id", "start", "n_tokens").join(lists, "row_id").withColumn("ids", F.col("x.ids")).drop("x")
 
 
@@ -195,16 +240,16 @@ def chunk_digests(chunks: DataFrame, width: int) -> DataFrame:
 
 
 def digests(spark: SparkSession, path: str, width: int) -> DataFrame:
-    """``doc_id, row_id, start, n_tokens, ids_crc32, intact`` of each document, from the stored chunks and recipes.
+    """``doc_id, start, n_tokens, ids_crc32, intact, row_id`` of each document, from the stored chunks and recipes.
 
     Each chunk file is read once; a document's CRC-32 comes from its chunks' by ``shifted``, so that only narrow rows
     are shuffled. A missing or changed chunk, or a recipe that doesn't fit its root, makes ``intact`` false."""
     recipes = spark.read.parquet(f"{path}/recipes")
     steps = recipes.select("row_id", F.posexplode("chunks").alias("seq", "hash"))
-    found = steps.join(chunk_digests(spark.read.parquet(f"{path}/chunks"), width), "hash", "left")
+    found = _meet(steps, chunk_digests(spark.read.parquet(f"{path}/chunks"), width))
     lists = found.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("seq", "n", "crc", "good", "hash"))).alias("x"))
     rows = recipes.select("doc_id", "row_id", "start", "root").join(lists, "row_id")
-    names = ["doc_id", "row_id", "start", "n_tokens", "ids_crc32", "intact"]
+    names = ["doc_id", "start", "n_tokens", "ids_crc32", "intact", "row_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -220,26 +265,35 @@ def digests(spark: SparkSession, path: str, width: int) -> DataFrame:
             after = np.repeat(done[ends - 1], ends - starts) - done
             total = np.bitwise_xor.reduceat(shifted(crc, after * 4), starts)
             ok = [bool(good[s:e].all()) and hashlib.sha256(b"".join(h[s:e]).hex().upper().encode()).hexdigest() == r for s, e, r in zip(starts, ends, b.column("root").to_pylist())]
-            cols = [b.column("doc_id"), b.column("row_id"), b.column("start"), pa.array(np.add.reduceat(n, starts)), pa.array(total.astype(np.int64)), pa.array(ok)]
+            cols = [b.column("doc_id"), b.column("start"), pa.array(np.add.reduceat(n, starts)), pa.array(total.astype(np.int64)), pa.array(ok), b.column("row_id")]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return rows.select("doc_id", "row_id", "start", "root", "x").mapInArrow(run, "doc_id long, row_id long, start long, n_tokens long, ids_crc32 long, intact boolean")
+    return rows.select("doc_id", "row_id", "start", "root", "x").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, intact boolean, row_id long")
 
 
-def verify(spark: SparkSession, path: str) -> bool:
-    """Whether every part's root and the manifest's follow from the recipes, and every recipe's from its chunks."""
+def tree_holds(spark: SparkSession, path: str) -> bool:
+    """Whether all nodes, parts' roots and the manifest's root and sums follow from the recipes."""
     read = lambda t: spark.read.parquet(f"{path}/{t}")
-    roots = read("recipes").groupBy("part").agg(_fold("start", "root").alias("again"))
-    bad = read("parts").join(roots, "part", "full").filter(~F.col("again").eqNullSafe(F.col("root"))).limit(1).count()
-    top = read("parts").agg(_fold("part", "root").alias("again")).join(read("manifest"), F.col("again") == F.col("root")).count()
-    m = read("manifest").first()
-    return not bad and top == 1 and not digests(spark, path, m["width"]).filter("not intact").limit(1).count()
+    key = ["part", "level", "place"]
+    bad = tree(read("recipes")).withColumnRenamed("root", "again").join(read("nodes"), key, "full").filter(~F.col("again").eqNullSafe(F.col("root"))).limit(1).count()
+    bad += _tops(read("nodes")).withColumnRenamed("root", "again").join(read("parts"), "part", "full").filter(~F.col("again").eqNullSafe(F.col("root"))).limit(1).count()
+    sums = read("parts").agg(_fold("part", "root").alias("root"), F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n_docs"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"))
+    return not bad and sums.join(read("manifest"), ["root", "n_docs", "n_tokens"]).count() == 1
+
+
+def verify(spark: SparkSession, path: str) -> bool:
+    """Whether the tree holds and every document's recipe and chunks fit their hashes."""
+    width = spark.read.parquet(f"{path}/manifest").first()["width"]
+    return tree_holds(spark, path) and not digests(spark, path, width).filter("not intact").limit(1).count()
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
+    """Write ``documents`` as a store in the shared folder, verify its tree and read every document back from its chunks.
 
+    One row for each row of ``documents``: doc_id, start, n_tokens (with the end id), ids_crc32; then ``intact``, whether
+    tree, recipe and chunks fit their hashes, and the number of the row. Null texts have the end id alone."""
     path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex[:12]}"
     vocabulary = default_vocabulary()
     write_store(table(spark, sf_dir, "documents"), path, vocabulary)
-    return digests(spark, path, encoder(vocabulary).width)
+    holds = tree_holds(spark, path)
+    return digests(spark, path, encoder(vocabulary).width).withColumn("intact", F.col("intact") & F.lit(holds))
