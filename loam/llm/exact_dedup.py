@@ -1,8 +1,8 @@
 """Exact deduplication by two passes over a Bloom filter; DataFrame operations only.
 
-Pass 1 counts the slots of a blocked Bloom filter over all rows' hashes and keeps those that two rows or more set. Pass
-2 tests every row: a row with a slot of its own can have no equal and passes straight through; only the others are
-shuffled and grouped by their exact key."""
+Pass 1 counts the bits that each row's hash sets in a blocked Bloom filter and fills the filter with those that two rows or
+more set alike. Pass 2 tests every row: a row whose bits are not in it can have no equal and passes straight through; only
+the others are shuffled and grouped by their exact key."""
 
 from __future__ import annotations
 
@@ -34,18 +34,20 @@ def _bit(bitmap: str, at: str) -> Column:
 
 
 def repeated_filter(rows: DataFrame, key: str, n_rows: int) -> tuple[DataFrame, int]:
-    """Pass 1: ``block, bitmap`` of the slots that at least two rows set, and the number of blocks.
+    """Pass 1: ``block, bitmap`` of the bits of keys that share both bits with another row's, and the number of blocks.
 
-    Slots are counted in each task before they are shuffled, so a key that many rows hold costs one row a task."""
+    What is shuffled is one number for each different key of a task, which holds block and bits: at most a row a document,
+    and a key that many rows hold costs one row a task. The few that occur again fill the filter."""
     blocks = max(1, -(-n_rows * BITS_PER_ROW // BLOCK))
     block, one, two = _slots(key, blocks)
-    slots = rows.select(block.alias("block"), F.explode(F.array(one, two)).alias("bit"))
-    often = slots.groupBy("block", "bit").agg(F.count("*").alias("n")).filter("n > 1")
-    return often.groupBy("block").agg(F.expr("bitmap_construct_agg(bit)").alias("bitmap")), blocks
+    slots = rows.select(((block * BLOCK + one) * BLOCK + two).alias("slot"))
+    often = slots.groupBy("slot").agg(F.count("*").alias("n")).filter("n > 1")
+    bits = often.select(F.expr(f"slot div {BLOCK * BLOCK}").alias("block"), F.explode(F.array(F.expr(f"slot div {BLOCK} % {BLOCK}"), F.expr(f"slot % {BLOCK}"))).alias("bit"))
+    return bits.groupBy("block").agg(F.expr("bitmap_construct_agg(bit)").alias("bitmap")), blocks
 
 
 def flagged(rows: DataFrame, key: str, broadcast_bytes: int) -> DataFrame:
-    """``rows`` with ``maybe``: whether another row may have the same key (never false for one that has)."""
+    """``rows`` (a written table) with ``maybe``: whether another row may have the same key (never false for one that has)."""
     filt, blocks = repeated_filter(rows, key, rows.count())
     filt = materialise(filt, "bloom")
     if blocks * (BLOCK // 8) <= broadcast_bytes:
@@ -63,8 +65,9 @@ def exact_groups(docs: DataFrame, keep: list[str] | None = None, broadcast_bytes
     last, then the first row. Repeated rows of one id are told apart, so exactly one row of a group is kept. Null texts
     are empty texts, which are equal to each other. An empty table gives no row.
 
-    The filter is broadcast up to ``broadcast_bytes``; a larger one is joined by block in a shuffle. Groups that hold
-    over a thousandth of the possibly repeated rows, 1000 at most, are joined by broadcast and never meet in a task."""
+    Texts are read and hashed once: rows are written with their hashes, and both passes read what they need of them. The
+    filter is broadcast up to ``broadcast_bytes``; a larger one is joined by block in a shuffle. Groups that hold over a
+    thousandth of the possibly repeated rows, 1000 at most, are joined by broadcast and never meet in a task."""
     keep = keep or []
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -72,12 +75,14 @@ def exact_groups(docs: DataFrame, keep: list[str] | None = None, broadcast_bytes
         F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("_chars"),
         *(F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)),
     )
+    rows = materialise(rows, "hashed")
     names = [F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)]
     tested = flagged(rows, "text_sha256", broadcast_bytes)
     alone = tested.filter(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", *names)
     some = materialise(tested.filter("maybe").drop("maybe").withColumn("_row", F.monotonically_increasing_id()), "repeated")
     best = F.min(F.struct((-F.col("_chars")).alias("c"), F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("d"), F.col("_row").alias("r")))
-    groups = materialise(some.groupBy("text_sha256").agg(F.count("*").cast("long").alias("group_size"), best.alias("b")).select("text_sha256", "group_size", F.col("b.d").alias("keep_id"), F.col("b.r").alias("_best")), "groups")
+    groups = some.groupBy("text_sha256").agg(F.count("*").cast("long").alias("group_size"), best.alias("b"))
+    groups = materialise(groups.select("text_sha256", "group_size", F.col("b.d").alias("keep_id"), F.col("b.r").alias("_best")), "groups")
     both = join_groups(some, groups, "text_sha256", "group_size", some.count())
     return alone.unionByName(both.select("doc_id", "keep_id", "group_size", (F.col("_row") == F.col("_best")).alias("kept"), "text_sha256", *names))
 
@@ -90,6 +95,7 @@ def exact_dedup(docs: DataFrame, broadcast_bytes: int = 64 << 20) -> DataFrame:
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group, size and survivor of every row of ``documents``; edge cases as in exact_groups."""
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
