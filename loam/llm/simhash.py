@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -14,10 +15,10 @@ from loam.llm.components import components, free_name, join_groups
 from loam.llm.decontaminate import drop_ids, numbered
 from loam.session import materialise, table
 
-#: Fingerprints that one task's trie holds at a time, and node pairs that are split at a time.
+#: Fingerprints that one task's trie holds at a time, and node pairs that are split at a time in a task.
 HELD, FRONT = 1 << 18, 1 << 16
-#: A group of more fingerprints is dealt to several tasks by the next bits.
-LARGE, SPLIT_BITS = 100_000, 4
+#: Node pairs of more fingerprints are split into pairs of their children, so many bits lower, until none has more.
+LARGE, SPLIT_BITS = 200_000, 2
 
 
 def fingerprint(text: str | None, size: int = 4) -> int:
@@ -169,52 +170,91 @@ class Trie:
         return self.comp[own], own
 
 
-def links(distinct: DataFrame, distance: int = 4) -> DataFrame:
+def _node_pairs(hot: DataFrame, blocks: DataFrame, width: list[int], distance: int) -> tuple[DataFrame, list[int]]:
+    """Pairs of trie nodes below the hot blocks that may hold links, each of at most ``LARGE`` fingerprints, and the depths
+    (bits below the block) that they lie at: ``layout, block, depth, a, b, pair``, with a = b for a node and itself.
+
+    ``hot`` (layout, block, x) are the fingerprints of hot blocks and ``blocks`` (layout, block, n) their counts. Only
+    counts of nodes are joined: pairs are split level by level while they are too large, and dropped when their bits
+    differ in more than ``distance`` places."""
+    todo = blocks.select("layout", "block", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
+    out, depth = [], 0
+    while True:
+        depth += SPLIT_BITS
+        last = depth + SPLIT_BITS > 64 - max(width)
+        nodes = hot.groupBy("layout", "block", _prefix(width, depth).alias("p")).agg(F.count("*").alias("n"))
+        nodes = materialise(nodes.withColumn("up", F.shiftrightunsigned("p", SPLIT_BITS)), "nodes")
+        one = nodes.select("layout", "block", F.col("up").alias("a"), F.col("p").alias("pa"), F.col("n").alias("na"))
+        two = nodes.select("layout", "block", F.col("up").alias("b"), F.col("p").alias("pb"), F.col("n").alias("nb"))
+        pairs = todo.join(one, ["layout", "block", "a"]).join(two, ["layout", "block", "b"]).filter("(a <> b or pa <= pb)").filter(F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= distance)
+        size = F.when(F.col("pa") == F.col("pb"), F.col("na")).otherwise(F.col("na") + F.col("nb"))
+        pairs = materialise(pairs.select("layout", "block", F.col("pa").alias("a"), F.col("pb").alias("b"), (size > F.lit(-1 if last else LARGE)).alias("more")), "node-pairs")
+        out.append(pairs.filter(F.lit(True) if last else ~F.col("more")).select("layout", "block", F.lit(depth).alias("depth"), "a", "b"))
+        todo = pairs.filter("more").drop("more")
+        if last or not todo.limit(1).count():
+            every = reduce(DataFrame.unionByName, out)
+            return materialise(every.withColumn("pair", F.monotonically_increasing_id()), "pairs"), list(range(SPLIT_BITS, depth + 1, SPLIT_BITS))
+
+
+def _prefix(width: list[int], depth: int) -> Column:
+    """The ``depth`` bits of ``x`` that follow the block of its layout."""
+    shift = "case layout " + " ".join(f"when {i} then {64 - w - depth}" for i, w in enumerate(width)) + " end"
+    return F.expr(f"shiftrightunsigned(x, {shift})").bitwiseAND(F.lit((1 << depth) - 1))
+
+
+def links(distinct: DataFrame, distance: int = 4, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """``a, b`` (fingerprints as longs): a forest that links the same fingerprints as all pairs of at most
     ``distance`` differing bits do. ``distinct`` has each ``fp`` once.
 
     Each fingerprint goes to one trie for each layout of its bits, dealt by the leading block; nodes of a trie are
     traversed in pairs. A task keeps a forest, never all pairs, so what it returns is at most its input. A block that
-    many fingerprints share is dealt by pairs of its next nodes."""
+    many fingerprints share is dealt by pairs of its lower nodes, each small enough for one task."""
     spark, n = distinct.sparkSession, distinct.count()
     plans = layouts(n, distance)
     width = [sum(w for _, w in p[: len(p) - distance]) for p in plans]
     each = F.array(*(F.struct(F.lit(i).alias("layout"), _ordered("fp", p).alias("x"), F.shiftrightunsigned(_ordered("fp", p), 64 - width[i]).alias("block")) for i, p in enumerate(plans)))
     rows = distinct.select(F.explode(each).alias("e")).select("e.*")
-    keys = rows.groupBy("layout", "block").agg(F.count("*").alias("n")).filter("n > 1")
-    keys = materialise(keys.select("layout", "block", (F.col("n") > LARGE).alias("large")), "blocks")
-    rows = rows.join(keys, ["layout", "block"])
-    sub = F.expr("case layout " + " ".join(f"when {i} then shiftrightunsigned(x, {64 - w - SPLIT_BITS}) & {(1 << SPLIT_BITS) - 1}" for i, w in enumerate(width)) + " end")
-    rows = rows.withColumn("_s", sub).withColumn("pair", F.explode(F.when(F.col("large"), F.transform(F.sequence(F.lit(0), F.lit((1 << SPLIT_BITS) - 1)), lambda o: F.least(o, "_s") * (1 << SPLIT_BITS) + F.greatest(o, "_s"))).otherwise(F.array(F.lit(-1).cast("long")))))
-    dealt = rows.select("layout", "block", "pair", "x").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "layout", "block", "pair").sortWithinPartitions("layout", "block", "pair")
+    blocks = materialise(rows.groupBy("layout", "block").agg(F.count("*").alias("n")).filter(F.col("n") > LARGE), "blocks")
+    few = lambda t, size: F.broadcast(t) if t.count() * size <= broadcast_bytes else t
+    marked = rows.join(few(blocks.select("layout", "block", F.lit(True).alias("hot")), 64), ["layout", "block"], "left")
+    dealt = marked.filter("hot is null").select("layout", "block", F.lit(-1).cast("long").alias("pair"), F.lit(-1).alias("how"), "x")
+    if blocks.limit(1).count():
+        hot = materialise(marked.filter("hot").select("layout", "block", "x"), "hot")
+        pairs, depths = _node_pairs(hot, blocks, width, distance)
+        at = hot.withColumn("node", F.explode(F.array(*(F.struct(F.lit(t).alias("depth"), _prefix(width, t).alias("p")) for t in depths)))).select("layout", "block", "x", "node.*")
+        differ = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) * 4 + F.col("depth") * 128
+        own = pairs.select("layout", "block", "depth", F.col("a").alias("p"), "pair", (differ + F.when(F.col("a") == F.col("b"), 2).otherwise(0)).alias("how"))
+        other = pairs.filter("a <> b").select("layout", "block", "depth", F.col("b").alias("p"), "pair", (differ + 1).alias("how"))
+        for side in (own, other):
+            dealt = dealt.unionByName(at.join(few(side, 100), ["layout", "block", "depth", "p"]).select("layout", "block", "pair", F.col("how").cast("int").alias("how"), "x"))
+    dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "layout", "block", "pair").sortWithinPartitions("layout", "block", "pair")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve(layout, block, pair, x):
+        def solve(layout, block, pair, how, x):
+            """``how``: -1 for a whole block; else the side (left, right, a node and itself), bits that differ, depth."""
             for i in np.unique(layout):
                 of = layout == i
-                g = np.stack([block[of], pair[of]])
+                g, h = np.stack([block[of], pair[of]]), how[of]
                 v = x[of].view(np.uint64)
-                order = np.lexsort((v, g[1], g[0]))
-                v, g = v[order], g[:, order]
+                order = np.lexsort((v, h & 3, g[1], g[0]))
+                v, g, h = v[order], g[:, order], h[order]
                 starts = np.flatnonzero(np.r_[True, (g[:, 1:] != g[:, :-1]).any(0)])
                 ends = np.r_[starts[1:], len(v)]
-                pairs = g[1, starts]
-                whole = pairs < 0
+                whole = h[starts] < 0
                 trie = Trie(v, distance)
                 lo, hi = starts[whole], ends[whole]
                 todo = [(width[i], np.stack([lo, hi, lo, hi, np.zeros_like(lo)])[:, hi - lo > 1])]
-                for s, e, p in zip(starts[~whole], ends[~whole], pairs[~whole]):
-                    a, b = int(p) >> SPLIT_BITS, int(p) & (1 << SPLIT_BITS) - 1
-                    if a == b:
-                        todo.append((width[i] + SPLIT_BITS, np.array([[s], [e], [s], [e], [0]])))
+                for s, e in zip(starts[~whole].tolist(), ends[~whole].tolist()):
+                    depth, differ = width[i] + (int(h[s]) >> 7), int(h[s]) >> 2 & 31
+                    if h[s] & 3 == 2:
+                        todo.append((depth, np.array([[s], [e], [s], [e], [0]])))
                         continue
-                    top = v[s:e] >> np.uint64(64 - width[i] - SPLIT_BITS) & np.uint64((1 << SPLIT_BITS) - 1)
-                    m = s + int(np.searchsorted(top, np.uint64(b)))
+                    m = s + int(np.searchsorted(h[s:e] & 3, 1))
                     if s < m < e:
-                        todo.append((width[i] + SPLIT_BITS, np.array([[s], [m], [m], [e], [(a ^ b).bit_count()]])))
+                        todo.append((depth, np.array([[s], [m], [m], [e], [differ]])))
                 for depth, t in todo:
                     if t.shape[1]:
-                        trie.join(t[:, t[4] <= distance], depth)
+                        trie.join(t, depth)
                 a, b = trie.forest()
                 yield _back(v[a], plans[i]).view(np.int64), _back(v[b], plans[i]).view(np.int64)
 
@@ -222,7 +262,7 @@ def links(distinct: DataFrame, distance: int = 4) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            cols = [b.column(c).to_numpy() for c in ("layout", "block", "pair", "x")]
+            cols = [b.column(c).to_numpy() for c in ("layout", "block", "pair", "how", "x")]
             held.append(cols)
             size += b.num_rows
             if size >= HELD:
@@ -275,4 +315,5 @@ def near_dedup(docs: DataFrame, size: int = 4, distance: int = 4) -> DataFrame:
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every row of ``documents``; edge cases as in near_groups."""
     return near_groups(table(spark, sf_dir, "documents"))
