@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -40,7 +40,8 @@ def length_histogram(lengths: DataFrame, column: str = "n_tokens") -> DataFrame:
 
     Documents are summed up to one row a length before any shuffle, and that table is written, so that texts are encoded
     once. Suffix sums take two levels: bands of ``BAND`` lengths in parallel, then the bands' totals, of which there are
-    as many as the longest document has thousands."""
+    as many as the longest document has thousands. So a task of the sums gets ``BAND`` rows at most, however many documents
+    there are."""
     h = lengths.groupBy(F.coalesce(F.col(column).cast("long"), F.lit(0)).alias("length")).agg(F.count("*").alias("n_docs"))
     h = materialise(h.withColumns({"band": F.expr(f"length div {BAND}"), "n_tokens": F.col("length") * F.col("n_docs")}), "histogram")
     tot = h.groupBy("band").agg(F.sum("n_docs").alias("bd"), F.sum("n_tokens").alias("bt"))
@@ -62,13 +63,23 @@ def length_histogram(lengths: DataFrame, column: str = "n_tokens") -> DataFrame:
 
 
 def truncated_totals(histogram: DataFrame, limits: DataFrame) -> DataFrame:
-    """For each ``limit`` of a short table: ids of all documents, ids left when cut there, documents that are cut."""
-    cut: Column = F.col("length") > F.col("limit")
-    return (
-        histogram.join(F.broadcast(limits.select("limit").distinct()))
-        .groupBy("limit")
-        .agg(F.sum(F.col("length") * F.col("n_docs")).alias("total"), F.sum(F.least("length", "limit") * F.col("n_docs")).alias("left"), F.coalesce(F.sum(F.when(cut, F.col("n_docs"))), F.lit(0)).alias("cut_docs"))
-    )
+    """For each different ``limit``: ids of all documents, ids ``left`` when cut there, and ``cut_docs``, documents that are cut.
+
+    The answer stands in the sums of the first length that reaches the limit, which is looked up in the limit's band, else
+    in the next band that has lengths. An empty histogram gives 0 for every limit."""
+    cols = ["length", "n_docs", "docs_ge", "tokens_lt"]
+    h = histogram.select(F.col("length").alias("at"), F.expr(f"length div {BAND}").alias("band"), F.struct(*cols).alias("row"))
+    ask = limits.select(F.col("limit").cast("long").alias("limit")).filter("limit is not null").distinct().withColumn("band", F.expr(f"limit div {BAND}"))
+    both = h.withColumn("limit", F.lit(None).cast("long")).unionByName(ask.withColumn("at", F.col("limit")), allowMissingColumns=True)
+    on = W.partitionBy("band").orderBy(F.col("at"), F.col("limit").isNull()).rowsBetween(W.currentRow, W.unboundedFollowing)
+    here = both.withColumn("here", F.first("row", ignorenulls=True).over(on)).filter("limit is not null").select("limit", "band", "here")
+    after = W.partitionBy(F.lit(0)).orderBy("band").rowsBetween(1, W.unboundedFollowing)  # one row a band
+    bands = both.groupBy("band").agg(F.min_by("row", F.when(F.col("row").isNotNull(), F.col("at"))).alias("row"))
+    x = here.join(bands.select("band", F.first("row", ignorenulls=True).over(after).alias("next")), "band").withColumn("r", F.coalesce("here", "next"))
+    total = histogram.agg(F.coalesce(F.max(F.col("tokens_lt") + F.col("tokens_ge")), F.lit(0)).alias("total"))
+    left = F.coalesce(F.col("r.tokens_lt") + F.col("limit") * F.col("r.docs_ge"), F.col("total"))
+    cut = F.col("r.docs_ge") - F.when(F.col("r.length") == F.col("limit"), F.col("r.n_docs")).otherwise(0)
+    return x.join(F.broadcast(total)).select("limit", "total", left.alias("left"), F.coalesce(cut, F.lit(0)).alias("cut_docs"))
 
 
 def length_quantile(histogram: DataFrame, q: float) -> DataFrame:
@@ -77,4 +88,5 @@ def length_quantile(histogram: DataFrame, q: float) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact length histogram of ``documents`` with its sums, one row for each length; null texts have length 0."""
     return length_histogram(encoded_lengths(table(spark, sf_dir, "documents"), default_vocabulary()))
