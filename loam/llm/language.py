@@ -20,8 +20,9 @@ _letters: list[np.ndarray] = []
 
 
 def _letter_table() -> np.ndarray:
+    """Whether each code point is a letter."""
     if not _letters:
-        _letters.append(np.array([chr(i).isalpha() for i in range(0x30000)]))
+        _letters.append(np.array([chr(i).isalpha() for i in range(0x110000)]))
     return _letters[0]
 
 
@@ -30,7 +31,7 @@ def grams(text: str | None) -> np.ndarray:
     if not text:
         return np.zeros(0, np.uint64)
     p = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
-    p = np.where(_letter_table()[np.minimum(p, 0x2FFFF)], p, 32)
+    p = np.where(_letter_table()[p], p, 32)
     p = np.r_[32, p, 32]
     p = p[np.r_[True, (p[1:] != 32) | (p[:-1] != 32)]].astype(np.uint64)
     if len(p) < 2:
