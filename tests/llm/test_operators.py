@@ -69,7 +69,7 @@ def test_store_round_trip(spark, docs, rows, tmp_path):
     whole = {r["start"]: b"".join(r["ids"]) for r in store.read_store(spark, path).collect()}
     assert [crc(np.frombuffer(whole[w[1]], "<u2")) for w in want] == [w[3] for w in want]
     n = spark.read.parquet(f"{path}/chunks").agg(F.count("*"), F.countDistinct("hash")).first()
-    assert n[0] == n[1]
+    assert n[0] == n[1] and sorted(p.name for p in (tmp_path / "s").iterdir()) == ["chunks", "manifest", "nodes", "parts", "recipes"]
     # beyond the broadcast bound the same chunks are kept
     store.write_store(docs, path + "2", VOCAB, 2, parts=2, broadcast_bytes=0)
     assert spark.read.parquet(f"{path}2/chunks").exceptAll(spark.read.parquet(f"{path}/chunks")).count() == 0
@@ -89,6 +89,21 @@ def test_store_finds_damage(spark, docs, tmp_path):
     assert not store.verify(spark, path)
 
 
+def test_tree_of_bounded_nodes(spark, tmp_path, monkeypatch):
+    """Nodes fold FAN children at most, on as many levels as it takes; any changed root shows at the top."""
+    monkeypatch.setattr(store, "FAN", 4)
+    roots = [(p, i, hashlib.sha256(f"{p}/{i}".encode()).hexdigest()) for p, n in ((0, 70), (1, 3), (5, 1)) for i in range(n)]
+    d = spark.createDataFrame(roots, "part long, place long, root string")
+    got = {(r["part"], r["level"], r["place"]): r["root"] for r in store.tree(d).collect()}
+    fold = lambda xs: hashlib.sha256("".join(xs).encode()).hexdigest()
+    for p in (0, 1, 5):
+        level, k = [r for q, _, r in roots if q == p], 0
+        while k < 4:
+            level, k = [fold(level[i : i + 4]) for i in range(0, len(level), 4)], k + 1
+            assert [got[p, k, i] for i in range(len(level))] == level
+    assert len(got) == 18 + 5 + 2 + 1 + 4 + 4 and {r["part"]: r["root"] for r in store._tops(store.tree(d)).collect()}[0] == got[0, 4, 0]
+
+
 def test_cuts_are_local():
     rng = np.random.default_rng(0)
     a, b = rng.integers(0, 49000, 9000), rng.integers(0, 49000, 500)
@@ -175,8 +190,11 @@ def test_length_histogram(spark, docs, rows):
         assert r["n_docs"] == n.count(x) and r["docs_ge"] == sum(v >= x for v in n) and r["tokens_ge"] == sum(v for v in n if v >= x)
         assert r["docs_lt"] == sum(v < x for v in n) and r["tokens_lt"] == sum(v for v in n if v < x) and r["truncated_total"] == sum(min(v, x) for v in n)
     assert h.count() == len(set(n)) and lengths.length_histogram(lengths.encoded_lengths(docs.limit(0), VOCAB)).count() == 0
-    t = lengths.truncated_totals(h, spark.createDataFrame([(3,), (10**6,)], "limit long")).orderBy("limit").collect()
-    assert [(r["total"], r["left"], r["cut_docs"]) for r in t] == [(sum(n), sum(min(v, 3) for v in n), sum(v > 3 for v in n)), (sum(n), sum(n), 0)]
+    ask = [0, 1, 2, 3, 1000, 1024, 2047, 2048, 5000, max(n) - 1, max(n), max(n) + 1, 10**6]
+    t = lengths.truncated_totals(h, spark.createDataFrame([(x,) for x in [*ask, 3, None]], "limit long")).orderBy("limit").collect()
+    assert [(r["limit"], r["total"], r["left"], r["cut_docs"]) for r in t] == [(x, sum(n), sum(min(v, x) for v in n), sum(v > x for v in n)) for x in sorted(set(ask))]
+    none = lengths.truncated_totals(h.limit(0), spark.createDataFrame([(3,)], "limit long")).collect()
+    assert [tuple(r) for r in none] == [(3, 0, 0, 0)]
     assert lengths.length_quantile(h, 0.5).first()["length"] == sorted(n)[(len(n) + 1) // 2 - 1]
 
 
@@ -207,16 +225,28 @@ def test_decontamination(spark):
     for some in (items, [x for x in items if x[1] and len(x[1].split()) >= 5], []):
         b = spark.createDataFrame(some, "item_id long, text string")
         for shard in (10**6, 8):
-            got = {r["doc_id"]: r for r in decontaminate.judged(decontaminate.scan(d, b, shard_words=shard)).collect()}
+            got = {r["doc_id"]: r for r in decontaminate.judged(decontaminate.scan(d, b, block_words=shard)).collect()}
             for i, t in enumerate(texts):
                 n, hit, found = plain_scan(t, some)
                 assert (got[i]["n_words"], got[i]["n_hit"], got[i]["items"]) == (n, hit, found)
                 assert got[i]["contaminated"] == (hit > 0 and 20 * hit >= n)
             bad = {i for i in got if got[i]["contaminated"]}
-            kept = {r["doc_id"] for r in decontaminate.clean(d, b, shard_words=shard).collect()}
+            kept = {r["doc_id"] for r in decontaminate.clean(d, b, block_words=shard).collect()}
             assert kept == set(got) - bad
 
 
+def test_items_without_an_id_and_repeated_row_ids(spark):
+    item = " ".join(f"q{i}" for i in range(15))
+    d = spark.createDataFrame([(1, "a clean text"), (1, "start " + item + " end"), (None, "x " + item + " y " + item), (3, None), (4, "")], "doc_id long, text string")
+    b = spark.createDataFrame([(None, item), ("b1", item), ("a1", "clean"), ("z", None)], "item_id string, text string")
+    for block in (10**6, 8):
+        got = sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in decontaminate.judged(decontaminate.scan(d, b, block_words=block)).collect()), key=key)
+        assert got == sorted([(1, 3, 1, ["a1"]), (1, 17, 15, ["", "b1"]), (None, 32, 30, ["", "b1"]), (3, 0, 0, []), (4, 0, 0, [])], key=key)
+        assert decontaminate.scan(d.limit(0), b, block_words=block).count() == decontaminate.clean(d.limit(0), b, block_words=block).count() == 0
+    long = d.filter("text like 'start%' or text like 'x %'").withColumn("text", F.concat("text", F.lit(" w" * 700)))
+    assert sorted(r["text"][:8].strip() for r in decontaminate.remove_spans(long, b).collect()) == ["start  e", "x  y  w"]
+
+
 def test_spans_are_cut(spark):
     item = " ".join(f"q{i}" for i in range(15))
     text = "start " + " ".join(f"f{i}" for i in range(400)) + " Q0, " + item[3:] + " end é"
@@ -287,7 +317,7 @@ def test_stages_drop_rows_not_ids(spark):
     assert kept.columns == d.columns and sorted(r["_row_id"] for r in kept.collect()) == [0, 2, 5]
     items = spark.createDataFrame([(1, "c d e f g"), (2, a)], "item_id long, text string")
     for shard in (10**6, 8):
-        assert [r["_row_id"] for r in decontaminate.clean(d, items, shard_words=shard).collect()] == [2]
+        assert [r["_row_id"] for r in decontaminate.clean(d, items, block_words=shard).collect()] == [2]
     assert [r["_row_id"] for r in decontaminate.remove_spans(d, items).collect()] == [2]
 
 
@@ -493,3 +523,217 @@ def test_wrapped_licenses():
     text = "\n".join(four)
     assert got(text) == {("MIT", "exact"), ("BSD-3-Clause", "exact"), ("CC-BY-4.0", "exact"), ("Apache-2.0", "modified")}
     assert [text[r[0] : r[1]] for r in licenses.notices(text)] == four
+
+
+def _verdicts(text):
+    return {(r[2], r[7]) for r in licenses.notices(text) if r[7] != "rejected"}
+
+
+def test_versions_and_shared_wordings():
+    gnu = lambda what, name, v, stop=";": f"# This {what} is free software{stop} you can redistribute it and/or modify\n# it under the terms of the {name} as published by\n# the Free Software Foundation; either version {v} of the License, or\n# (at your option) any later version."
+    cases = [(gnu("program", "GNU General Public License", "2"), "GPL-2.0"), (gnu("program", "GNU General Public License", "3", ":"), "GPL-3.0"),
+             (gnu("library", "GNU Lesser General Public License", "2.1"), "LGPL-2.1"), (gnu("library", "GNU Lesser General Public License", "3", ":"), "LGPL-3.0"),
+             (gnu("program", "GNU Affero General Public License", "3", ":"), "AGPL-3.0")]
+    for text, name in cases:
+        assert _verdicts(text) == {(name, "exact")}, text
+        assert _verdicts(text.replace("redistribute it", "share it")) == {(name, "modified")}, text
+    assert _verdicts(gnu("program", "GNU General Public License", "1")) == set()
+    assert _verdicts("Licensed under the Apache License, Version 1.1") == set()
+    assert _verdicts("Licensed under CC BY-SA 3.0.") == set()
+    assert _verdicts(licenses.GRANT) == {("0BSD OR ISC", "exact")} and _verdicts(licenses.BSD) == {("BSD-1-Clause OR BSD-2-Clause OR BSD-3-Clause", "exact")}
+    isc = licenses.GRANT[:-1] + licenses.ISC_TERMS + licenses.AS_IS_ISC
+    assert _verdicts(isc) == {("ISC", "exact")} and _verdicts(licenses.GRANT + licenses.AS_IS_ISC) == {("0BSD", "exact")}
+    assert _verdicts(licenses.BSD + licenses.BSD_1 + licenses.BSD_2) == {("BSD-2-Clause", "exact")}
+    assert _verdicts(licenses.BSD + licenses.BSD_1 + licenses.BSD_2 + licenses.BSD_3) == {("BSD-3-Clause", "exact")}
+
+
+def test_whole_license_texts_in_comments():
+    """Every whole text, wrapped in a comment between other lines, is found as itself and nothing else."""
+    import textwrap
+
+    for name, t in licenses.TEMPLATES[licenses.TEMPLATES.index(("Apache-2.0", licenses.APACHE)) :]:
+        lines = "\n".join(" * " + x for p in t.split("\n") for x in textwrap.wrap(p, 70))
+        text = "int before;\n" * 200 + "/*\n" + lines + "\n */\n" + "int after;\n" * 200
+        assert _verdicts(text) == {(name, "exact")}, name
+
+
+def test_licenses_against_plain_compression():
+    """Of wordings with a few words changed, the row's sizes are those of plain zstandard with the template as raw
+    dictionary, and no template that the word check admits for the same span reduces it more."""
+    import random
+
+    import zstandard as z
+
+    def plain(text, template=None):
+        d = z.ZstdCompressionDict(template.encode(), dict_type=z.DICT_TYPE_RAWCONTENT) if template else None
+        return len(z.ZstdCompressor(level=19, write_content_size=False, **({"dict_data": d, "write_dict_id": False} if d else {})).compress(text.encode()))
+
+    rng, n = random.Random(11), 0
+    for name, t in licenses.TEMPLATES:
+        w = t.split()
+        for k in sorted(rng.sample(range(len(w)), max(1, len(w) // 12))):
+            if not any(c.isdigit() for c in w[k]) and licenses.WORDS.findall(w[k].lower()) and not set(licenses.WORDS.findall(w[k].lower())) & licenses.TELLING:
+                w[k] = "changed"
+        text = "Some notes come first\n" + " ".join(w) + "\nlicense and more"
+        for r in licenses.notices(text):
+            a, b, i = r[0], r[1], r[3]
+            if i >= 0 and i < len(licenses.TEMPLATES):
+                assert (r[4], r[5]) == (plain(text[a:b]), plain(text[a:b], licenses.TEMPLATES[i][1])) and r[6] == pytest.approx((r[4] - r[5]) / r[4])
+            if r[7] == "modified":
+                n += 1
+                have = [x.lower() for x in licenses.WORDS.findall(text[a:b])]
+                for j, (_, other) in enumerate(licenses.TEMPLATES):
+                    want = [x.lower() for x in licenses.WORDS.findall(other)]
+                    d = licenses._difference(want, have)
+                    if d[0] == "modified" and d[3] == (0, len(have)) and not licenses._VERSIONS[j] & set(d[1]) and not licenses.TELLING & {*d[1], *d[2]}:
+                        assert r[6] >= (r[4] - plain(text[a:b], other)) / r[4]
+    assert n > 20
+
+
+def test_language_against_sets_of_grams(spark):
+    """Learning and prediction by plain sets of n-grams (the filters' false positives aside)."""
+    import random
+
+    rng = random.Random(4)
+    alphabets = {"x": "abcdefgh", "y": "efghijkl", "z": "klmnopqé", "w": "жзийклмн"}
+    text = lambda a: " ".join("".join(rng.choices(a, k=rng.randint(1, 7))) for _ in range(rng.randint(3, 30)))
+    rows = [(i, text(alphabets[k]) if i % 11 else None, k if i % 7 else None) for i, k in enumerate(rng.choices("xyzw", k=160))]
+    rows += [(500, "12 34 !!", "x"), (501, "", "y"), (502, "\U00030001\U00030002", None), (None, "abc", "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+    def plain(t):
+        s = " ".join("".join(c if c.isalpha() else " " for c in (t or "").lower()).split())
+        s = f" {s} " if s else ""
+        return [s[i : i + n] for n in language.LENGTHS for i in range(len(s) - n + 1) if s[i : i + n] != " "]
+
+    known = {}
+    for i, t, k in rows:
+        if i is not None and t is not None and k is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            known.setdefault(k, set()).update(plain(t))
+    got = {r["doc_id"]: r for r in language.identify(d, language.learn(d, grams_each=10**6)).collect()}
+    for i, t, _ in rows:
+        g = plain(t)
+        n = {k: sum(x in known[k] for x in g) for k in sorted(known)}
+        if not g:
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+        elif sum(n.values()):
+            top = max(n.values())
+            assert n[got[i]["lang_pred"]] >= top - 0.5 and got[i]["score"] == pytest.approx(top / sum(n.values()), abs=0.02)
+        else:
+            assert got[i]["lang_pred"] in known  # letters that no language has
+
+
+def test_language_of_an_empty_table(spark, docs):
+    assert language.identify(docs.limit(0), language.learn(docs)).count() == 0
+    assert licenses.license_blocks(docs.limit(0)).count() == 0
+
+
+def test_quality_features_by_hand():
+    """The n-grams of a text, by strings."""
+    for t in ["Ab c. Ab Ab ab é\n#1", "x", "  ", "one one one two", "Z9,!|%&*$ 🙂"]:
+        cls = "".join(f"{quality.MARKS.get(c, 0 if c.isspace() else 3 if c.isupper() else 2 if c.isalpha() else 4 if c.isdigit() else 14 if ord(c) < 128 else 15):x}" for c in t)
+        cls = re.sub(r"(.)\1+", r"\1", cls)
+        shapes = {cls[i : i + n] for n in range(1, quality.SHAPES + 1) for i in range(len(cls) - n + 1)}
+        w = t.lower().split()
+        same = "".join("1" if a == b else "0" for a, b in zip(w, w[1:]))
+        runs = {same[i : i + n] for n in range(1, quality.REPEATS + 1) for i in range(len(same) - n + 1)}
+        at = {quality._SHAPE_AT[len(x) - 1] + int(x, 16) for x in shapes} | {quality._REPEAT_AT + (1 << len(x)) + int(x, 2) for x in runs}
+        words = {quality._WORD_AT + zlib.crc32(x.encode()) % (1 << quality.WORD_BITS) for x in w}
+        f = set(quality.features(t).tolist())
+        assert at | words <= f and len(f - at - words) <= len(set(zip(w, w[1:])))
+        assert all(x >= quality._WORD_AT + (1 << quality.WORD_BITS) for x in f - at - words)
+
+
+def test_quality_model_is_the_optimum():
+    """Ratios by plain counting, and a duality gap of almost nothing: primal and dual objective meet only at the optimum."""
+    rng = np.random.default_rng(6)
+    y = np.where(np.arange(60) % 3 > 0, 1, -1)
+    x = [np.unique(rng.integers(0, 60 if s > 0 else 80, 15)).astype(np.int32) for s in y]
+    r = quality._ratio(x, y)
+    has = lambda k, s: 1 + sum(k in i for i, t in zip(x, y) if t == s)
+    sums = {s: sum(has(k, s) for k in range(80)) + quality.SIZE - 80 for s in (1, -1)}
+    for k in range(80):
+        want = np.log(has(k, 1) / sums[1]) - np.log(has(k, -1) / sums[-1]) if has(k, 1) + has(k, -1) > 3 else 0
+        assert r[k] == pytest.approx(want, abs=1e-5)
+    cost = 1.0
+    w, b = quality._fit(x, y, r, cost, 400, 0)
+    caps = np.array([cost * 0.5 / (y == s).mean() for s in y])
+    v = np.zeros((60, 80))
+    for i, k in enumerate(x):
+        v[i, k] = quality._scaled(k, r)
+    m = y * (v @ w[:80] + b)
+    primal = 0.5 * (float(w @ w) + b * b) + float((caps * np.maximum(0, 1 - m)).sum())
+    # the dual variables follow from w only up to ties, so bound from below by projected descent on the same problem
+    q = (v * y[:, None]) @ (v * y[:, None]).T + np.outer(y, y)
+    a = np.zeros(60)
+    for _ in range(20000):
+        a = np.clip(a + (1 - q @ a) / np.linalg.norm(q, 2), 0, caps)
+    assert primal == pytest.approx(float(a.sum() - 0.5 * a @ q @ a), rel=2e-3)
+    model = quality.Model(r, w, b, 1.0, 0.0)
+    plain = lambda t: 1 / (1 + np.exp(-(sum(w[k] * s for k, s in zip(quality.features(t), quality._scaled(quality.features(t), r))) + b)))
+    for t in ("one two one", "", None, "x" * 300):
+        assert model.score(t) == pytest.approx(plain(t), abs=1e-6)
+
+
+def test_private_spans_against_plain_counting(spark):
+    """Terms and the query's ``spans`` string by plain Python: words near values, document frequencies, the three conditions."""
+    import math
+    import random
+
+    rng = random.Random(9)
+    voc = [f"w{c}" for c in "abcdefghijklmnopqrstuvwxyz"] + ["Ünï", "İz", "x1", "77"]
+    names = ["zora", "Quill", "blem"]
+    values = ["z@acme.org", "q@acme.org", "b@home.net", "10.1.2.3", "10.1.9.9", "+1 202 555 0133", "4111 1111 1111 1111", "4111-1111-1111-1112"]
+    texts = []
+    for _ in range(120):
+        line = lambda: " ".join(rng.choices(voc, k=rng.randint(3, 12)))
+        t = [line() for _ in range(rng.randint(1, 3))]
+        if rng.random() < 0.5:
+            v = rng.randrange(len(values))
+            t[0] = f"{line()} {names[v % 3] if rng.random() < 0.8 else ''} {values[v]} {line()} {rng.choice(values) if rng.random() < 0.2 else ''}"
+        if rng.random() < 0.1:
+            t.append(rng.choice(names) + " alone")
+        texts.append("\n".join(t))
+    texts += [None, "", texts[0], texts[0]]
+    word = re.compile(r"(?<![^\W_])[^\W_]+")
+    words = lambda t: [(m.start(), m.end(), m[0].lower()) for m in word.finditer(t or "") if any(c.isalpha() for c in m[0])]
+
+    def ents(k, v):
+        d = re.sub("[^0-9]", "", v)
+        own = f"{k}:{d}" if k in ("card", "phone") else v.lower()
+        wide = {"email": "@" + v.lower().split("@")[-1], "ip": ".".join(v.split(".")[:2]) + ".*", "card": "issuer:" + d[:6], "phone": "exchange:" + d[:-4]}[k]
+        return [(own, False), (wide, True)]
+
+    both, ctx, rows_of, n_ctx, df, wide_of = {}, {}, {}, {}, Counter(), {}
+    for i, t in enumerate(texts):
+        df.update({w for _, _, w in words(t)})
+        for k, p in BASE.items():
+            every = [(m.start(), m.end()) for m in re.finditer(p, t or "")]
+            ok = {(s, e) for q, s, e in plain_spans(t) if q == k}
+            for j, (s, e) in enumerate(every):
+                if (s, e) in ok:
+                    lo = max(every[j - 1][1] if j else 0, t.rfind("\n", 0, s) + 1)
+                    hi = min(every[j + 1][0] if j + 1 < len(every) else len(t), t.find("\n", e) if "\n" in t[e:] else len(t))
+                    near = [w for _, _, w in words(t[lo:s])][-8:] + [w for _, _, w in words(t[e:hi])][:8]
+                    near = tuple(dict.fromkeys(near))
+                    for ent, wide in ents(k, t[s:e]):
+                        wide_of[ent] = wide
+                        rows_of.setdefault(ent, set()).add(i)
+                        n_ctx.setdefault(ent, set()).add(near)
+                        for w in near:
+                            both.setdefault((ent, w), set()).add(i)
+                            ctx.setdefault((ent, w), set()).add(near)
+    n, best = len(texts), {}
+    for (ent, w), r in both.items():
+        least = 3 if wide_of[ent] else min(3, len(n_ctx[ent]))
+        p = len(rows_of[ent]) / n
+        share = math.log(len(r) * n / (df[w] * len(rows_of[ent]))) / math.log(1 / p)
+        if len(ctx[ent, w]) >= least and len(r) >= 0.5 * df[w] and share >= 0.5:
+            best[w] = max(best.get(w, 0), share)
+    assert {"zora", "quill"} & set(best) and len(best) < 40
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for limit in (64 << 20, 0):
+        for r in privacy.private_spans(d, broadcast_bytes=limit, every_row=True).collect():
+            base = plain_spans(texts[r["doc_id"]])
+            want = [(s, e, w, "term_removed" if best[w] >= 0.8 else "term") for s, e, w in words(texts[r["doc_id"]]) if w in best and not any(a < e and s < b for _, a, b in base)]
+            assert [(t["s"], t["e"], t["value"], t["kind"]) for t in r["terms"]] == want
