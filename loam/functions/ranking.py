@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,3 +21,13 @@ def global_rank(df: DataFrame, name: str, *order: Column, parts: int | None = No
     before = sizes.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     inside = F.row_number().over(W.partitionBy("_part").orderBy(*order))
     return dealt.withColumn("_in", inside).join(F.broadcast(before), "_part").withColumn(name, F.col("_in") + F.col("_before")).drop("_part", "_in", "_before")
+
+
+def grouped_rank(df: DataFrame, name: str, by: list[str], *order: Column, parts: int | None = None) -> DataFrame:
+    """Adds ``name``: 1, 2, ... within each group of ``by``, by ``order``: ranks over the whole table less what stands before
+    the group, so that a group of very many rows is no single task."""
+    x = global_rank(df, "_g", *(F.col(c).asc() for c in by), *order, parts=parts)
+    first = x.groupBy(*by).agg(F.min("_g").alias("_0"))
+    first = first.select("_0", *(F.col(c).alias(f"_by_{c}") for c in by))
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by))
+    return x.join(first, same).withColumn(name, F.col("_g") - F.col("_0") + 1).drop("_g", "_0", *(f"_by_{c}" for c in by))

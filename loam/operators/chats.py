@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loam.functions.markdown import strip
+from loam.functions.ranking import grouped_rank
 
 #: Words that make a session School, then Personal; all others are Coding.
 SCHOOL = ["essay", "thesis", "slave trade", "grading", "class", "homework", "math"]
@@ -137,8 +138,8 @@ def chat_index(chats: DataFrame, project: Column | None = None) -> DataFrame:
     x = chats.filter(name.rlike(CHAT_NAME) & F.get(dirs, F.lit(2)).isin("Coding", "School", "Personal", "General"))
     link = F.concat(F.lit("[["), F.regexp_replace("path", r"\.md$", ""), F.lit("|"), part(2), F.lit("]]"))
     row = F.concat_ws(" | ", F.concat(F.lit("| "), part(1)), link, F.lower(F.get(dirs, F.lit(2))), F.concat(project if project is not None else F.lit(""), F.lit(" |")))
-    w = W.partitionBy("source").orderBy(F.desc("date"), F.desc("mtime"), "path")
-    return x.select(F.get(dirs, F.lit(1)).alias("source"), part(1).alias("date"), "mtime", "path", row.alias("row")).withColumn("pos", F.row_number().over(w)).select("source", "pos", "row")
+    x = x.select(F.get(dirs, F.lit(1)).alias("source"), part(1).alias("date"), "mtime", "path", row.alias("row"))
+    return grouped_rank(x, "pos", ["source"], F.desc("date"), F.desc("mtime"), F.col("path")).select("source", "pos", "row")
 
 
 def header_only(content: Column) -> Column:

@@ -16,12 +16,20 @@ def unique_sources(cands: DataFrame) -> DataFrame:
     return first.withColumn("pos", F.row_number().over(W.partitionBy("query_id").orderBy("_p"))).select("query_id", "pos", "source")
 
 
+def _expected(cases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Query ids and expected sources (query_id, source) of cases: rows (query_id, expected_sources) or, where a case may
+    expect very many, one row a source (query_id, source)."""
+    if "source" in cases.columns:
+        return cases.select("query_id").distinct(), cases.select("query_id", "source").distinct()
+    return cases.select("query_id"), cases.select("query_id", F.explode("expected_sources").alias("source")).distinct()
+
+
 def score_cases(ranked: DataFrame, cases: DataFrame, k: int) -> DataFrame:
-    """``query_id, hit, rank, reciprocal_rank`` of every case (query_id, expected_sources): the first expected source among
-    the first ``k`` of ``ranked`` (query_id, pos, source)."""
-    e = cases.select("query_id", F.explode("expected_sources").alias("source")).distinct()
+    """``query_id, hit, rank, reciprocal_rank`` of every case (see _expected): the first expected source among the first
+    ``k`` of ``ranked`` (query_id, pos, source)."""
+    ids, e = _expected(cases)
     r = ranked.filter(F.col("pos") <= k).join(e, ["query_id", "source"]).groupBy("query_id").agg(F.min("pos").alias("rank"))
-    x = cases.select("query_id").join(r, "query_id", "left")
+    x = ids.join(r, "query_id", "left")
     return x.select("query_id", F.col("rank").isNotNull().alias("hit"), "rank", F.coalesce(1.0 / F.col("rank"), F.lit(0.0)).alias("reciprocal_rank"))
 
 
@@ -42,7 +50,7 @@ def aggregate(scores: DataFrame, *by: str) -> DataFrame:
 
 def gradable(cases: DataFrame, indexed: DataFrame) -> DataFrame:
     """Cases of which some expected source is indexed (source)."""
-    e = cases.select("query_id", F.explode("expected_sources").alias("source")).join(indexed.select("source").distinct(), "source", "left_semi")
+    e = _expected(cases)[1].join(indexed.select("source").distinct(), "source", "left_semi")
     return cases.join(e.select("query_id").distinct(), "query_id", "left_semi")
 
 
@@ -51,7 +59,7 @@ def run(cands: DataFrame, pool: DataFrame, cases: DataFrame, indexed: DataFrame,
     ok = gradable(cases, indexed)
     s = score_at(cands, ok, [*ks, 4, k])
     in_pool = score_cases(unique_sources(pool), ok, 1 << 30).select("query_id", F.col("hit").alias("in_pool"))
-    rows = cases.select("query_id").join(s.filter(F.col("k") == k), "query_id", "left").join(in_pool, "query_id", "left")
+    rows = _expected(cases)[0].join(s.filter(F.col("k") == k), "query_id", "left").join(in_pool, "query_id", "left")
     rows = rows.select("query_id", F.when(F.col("hit").isNull(), "ungradable").when(F.col("hit"), "hit").otherwise("miss").alias("status"), "rank", "in_pool")
     return rows, aggregate(s, "k")
 
@@ -76,14 +84,20 @@ def sweep_views(pool: DataFrame, ranked: DataFrame, cases: DataFrame, ks: list[i
 
 
 def latency(samples: DataFrame, value: str, *by: str) -> DataFrame:
-    """``n, median, p95, mean, min, max``; p95 is the sample at the rounded rank 0.95 (n - 1), half to even."""
-    w = W.partitionBy(*by).orderBy(value)
-    x = samples.withColumns({"_i": F.row_number().over(w) - 1, "_n": F.count("*").over(W.partitionBy(*by))})
-    at = F.bround(0.95 * (F.col("_n") - 1)).cast("int")
-    return x.groupBy(*by).agg(
-        F.count("*").alias("n"), F.percentile(value, F.lit(0.5)).alias("median"), F.max(F.when(F.col("_i") == at, F.col(value))).alias("p95"),
-        F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"),
-    )
+    """``n, median, p95, mean, min, max``; p95 is the sample at the rounded rank 0.95 (n - 1), half to even. Null samples
+    are left out.
+
+    Ranks are taken over the whole table by range parts, so that a group of very many samples is no single task."""
+    key = F.struct(*by) if by else F.lit(0)  # null keys are groups too
+    x = global_rank(samples.select(key.alias("_k"), value).filter(F.col(value).isNotNull()), "_g", "_k", value)
+    g = x.groupBy("_k").agg(F.min("_g").alias("_0"), F.count("*").alias("n"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"))
+    at = F.bround(0.95 * (F.col("n") - 1)).cast("long")
+    lo, hi = F.floor((F.col("n") - 1) / 2), F.ceil((F.col("n") - 1) / 2)
+    i = F.col("_g") - F.col("_0")
+    few = x.join(g.select("_k", "_0", "n"), "_k").filter((i == at) | (i == lo) | (i == hi))
+    pick = lambda c: F.max(F.when(i == c, F.col(value)))
+    told = few.groupBy("_k").agg(((pick(lo) + pick(hi)) / 2).alias("median"), pick(at).alias("p95"))
+    return g.join(told, "_k").select(*(F.col(f"_k.{c}").alias(c) for c in by), "n", "median", "p95", "mean", "min", "max")
 
 
 def sweep_report(files: DataFrame, samples: DataFrame) -> DataFrame:
@@ -103,10 +117,14 @@ def spread_sample(cases: DataFrame, n: int) -> DataFrame:
     return x.filter((size <= n) | F.array_contains(picked, F.col("_r").cast("long"))).drop("_r", "_c")
 
 
-def fingerprint(cases: DataFrame) -> DataFrame:
-    """``cases, sha256`` of a case table: the hash of the rows' hashes in order."""
+def fingerprint(cases: DataFrame, block: int = 1024) -> DataFrame:
+    """``cases, sha256`` of a case table: the hash of the hashes of blocks of rows in order of case_id, each the hash of
+    its rows' hashes. So no row gathers more than a block, or one hash a block."""
     row = F.sha2(F.concat_ws("\x01", F.col("case_id").cast("string"), "question", F.array_join("expected_sources", "\x02"), "scope"), 256)
-    return cases.agg(F.count("*").alias("cases"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("case_id", row.alias("h")))), lambda x: x["h"]), ""), 256).alias("sha256"))
+    x = global_rank(cases.select("case_id", row.alias("h")), "_r", F.col("case_id").asc(), F.col("h").asc())
+    join = lambda by: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, "h"))), lambda x: x["h"]), ""), 256)
+    parts = x.groupBy(F.expr(f"(_r - 1) div {block}").alias("b")).agg(F.count("*").alias("n"), join("_r").alias("h"))
+    return parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("cases"), join("b").alias("sha256"))
 
 
 def baseline(scorecards: DataFrame, of: DataFrame) -> DataFrame:

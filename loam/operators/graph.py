@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loam.functions import markdown as md
+from loam.functions.ranking import global_rank
 from loam.operators import vectors
 
 CHAT_ROOT, COPY_DIR = "05 AI Chats", "AI Chat Links"
@@ -115,17 +115,12 @@ def changes(now: DataFrame, before: DataFrame) -> DataFrame:
 
 
 def issue_list(broken: DataFrame, orphaned: DataFrame, untagged: DataFrame) -> DataFrame:
-    """``kind, note_id, title, detail, action, n``: one typed list, numbered within each kind by note and detail.
-
-    Numbers start after those of the kinds before, which are three counts."""
+    """``kind, note_id, title, detail, action, n``: one typed list, numbered by kind, note and detail."""
     s = F.array_join(F.slice("suggestions", 1, 3), " · ")
     b = broken.select(F.lit(0).alias("o"), F.lit("broken-link").alias("kind"), F.col("source").alias("note_id"), F.col("source_title").alias("title"), F.concat(F.lit("Points at missing “"), "target", F.lit("”.")).alias("detail"), F.lit("Retarget or create the target note").alias("action"))
     o = orphaned.select(F.lit(1).alias("o"), F.lit("orphan").alias("kind"), F.col("path").alias("note_id"), "title", F.lit("Zero backlinks · not cited by any hub.").alias("detail"), F.lit("Link from a hub or MOC").alias("action"))
     t = untagged.select(F.lit(2).alias("o"), F.lit("tagless").alias("kind"), F.col("path").alias("note_id"), "title", F.when(s != "", F.concat(F.lit("No tags. Suggested: "), s, F.lit("."))).otherwise("No tags.").alias("detail"), F.when(s != "", "Apply suggested tags").otherwise("Add tags").alias("action"))
-    every = b.unionByName(o).unionByName(t)
-    sizes = every.groupBy("o").count()
-    before = sizes.withColumn("before", F.coalesce(F.sum("count").over(W.orderBy("o").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("o", "before")
-    return every.join(F.broadcast(before), "o").withColumn("n", F.row_number().over(W.partitionBy("o").orderBy("note_id", "detail")) + F.col("before")).drop("o", "before")
+    return global_rank(b.unionByName(o).unionByName(t), "n", F.col("o"), F.col("note_id"), F.col("detail")).drop("o")
 
 
 def ghost_edges(chunks: DataFrame, near: DataFrame, explicit: DataFrame, threshold: float = 1.2) -> DataFrame:

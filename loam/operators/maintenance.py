@@ -30,6 +30,14 @@ def write_version(chunks: DataFrame, root: str, version: int, buckets: int = 64)
     chunks.withColumn("bucket", F.pmod(F.xxhash64("source"), F.lit(buckets)).cast("int")).repartition("bucket").write.partitionBy("bucket").parquet(f"{root}/v={version}")
 
 
+def read_version(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
+    """A written version of the chunk table, the newest if none is named."""
+    every = spark.read.parquet(root)
+    if version is None:
+        version = every.agg(F.max("v")).first()[0]
+    return every.filter(F.col("v") == version).drop("v", "bucket")
+
+
 def rebuild(notes: DataFrame, chunker) -> DataFrame:
     """The chunk table from scratch."""
     return chunker(notes)
@@ -48,6 +56,14 @@ def verdict(s: DataFrame) -> DataFrame:
     return s.withColumn("failure", F.when(F.col("batches_failed") > 0, "batches failed").when((F.col("chunks_written") == 0) & (F.col("reindexed") > 0), "nothing written"))
 
 
+def provenance(stamps: DataFrame, runs: DataFrame) -> DataFrame:
+    """``runs`` (index, model, full) with ``verdict``: refused where the index is stamped (index, model) with another model
+    and the run is not a full one, else new, incremental or rebuild."""
+    x = runs.join(stamps.select("index", F.col("model").alias("stamp")), "index", "left")
+    other = F.col("stamp").isNotNull() & ~F.col("stamp").eqNullSafe(F.col("model"))
+    return x.withColumn("verdict", F.when(F.col("full"), "rebuild").when(other, "refused").when(F.col("stamp").isNull(), "new").otherwise("incremental")).drop("stamp")
+
+
 def check_provenance(spark: SparkSession, meta: DataFrame | None, model: str, full: bool = False) -> DataFrame:
     """The one-row stamp to write with an index. An incremental run over an index of another model is refused."""
     row = meta.select("model").first() if meta is not None else None

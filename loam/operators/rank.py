@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loam.operators import lexical
+from loam.session import materialise
 
 RRF_K = 60
 ALPHA, BETA, GAMMA, RERANK_SCALE = 0.05, 0.04, 0.06, 20.0
@@ -34,6 +35,7 @@ EXPANSIONS: list[tuple[list[list[list[str]]], str]] = [
     ([[["cleanup"], ["script", "handwritten", "deleted"]]], "clean_empty_chats hand-written recovered"),
     ([[["resume"], ["redo", "redid", "rebuild", "session"]]], "Resume Rebuild Job Hunt"),
 ]
+#: Fixed value: what asks for recent things.
 RECENCY = (
     r"(?i)\b(latest|recent|recently|lately|newest|nowadays|currently|today|tonight|yesterday|"
     r"this (?:morning|afternoon|evening|week|month|year)|(?:last|past) (?:few |couple(?: of)? )?(?:day|days|night|week|weeks|month|months)|"
@@ -211,6 +213,11 @@ def expand(question: Column, rewrite: Column | None = None) -> Column:
     return F.when((cand == "") | (F.lower(cand) == low), q).otherwise(F.concat(q, F.lit(" "), cand))
 
 
+def widened(queries: DataFrame) -> DataFrame:
+    """``queries`` with the expanded question, which both legs of a retrieval ask."""
+    return queries.withColumn("question", expand(F.col("question")))
+
+
 def _any_of(text: Column, alternatives: list[list[list[str]]]) -> Column:
     out = F.lit(False)
     for a in alternatives:
@@ -234,16 +241,16 @@ def new_chat_words(question: Column, rewrite: Column) -> Column:
 def retrieve(queries: DataFrame, chunks: DataFrame, vector_leg: DataFrame, cfg: Config, idx: dict[str, DataFrame] | None = None, scorer=overlap) -> DataFrame:
     """Hybrid retrieval of every query (query_id, question, scope): ``query_id, pos, chunk_id, ...`` of at most ``cfg.k``.
 
-    ``vector_leg`` is a ranked list of candidates of at least twice the pool. Legs are guarded and cut before they are
-    fused; intent is read from the question as asked, keyword search uses the expanded one."""
+    ``vector_leg`` is a ranked list of candidates of at least twice the pool, for the questions as ``widened`` gives them.
+    Legs are guarded and cut before they are fused; intent, anchors and reranking read the question as asked."""
     q = queries.withColumns({"asked": F.col("question"), "intent": has_recency_intent(F.col("question"))})
-    wide = q.withColumn("question", expand(F.col("question")))
+    wide = widened(q)
     cols = ["query_id", "pos", "chunk_id", "source", "title", "chunk", "category", "mtime"]
     scoped = lambda d: d.select(*cols).join(q.select("query_id", "scope"), "query_id")
     cut = lambda d: guard(scoped(d)).filter(F.col("pos") <= cfg.pool)
     words = lexical.search(wide.select("query_id", "question", "scope"), chunks, 2 * cfg.pool, idx)
     pool = rrf([cut(vector_leg), cut(words)], cfg.pool).join(q.select("query_id", "scope"), "query_id")
-    pool = inject_recent(pool, q, chunks, cfg.inject) if cfg.inject else pool
+    pool = materialise(inject_recent(pool, q, chunks, cfg.inject) if cfg.inject else pool, "pool")  # short lists from here on
     pool = siblings(guard(pool), q)
     pool = siblings(rerank(pool, q, scorer), q, "rerank_score")
     pool = recency(pool.join(q.select("query_id", "intent"), "query_id"), cfg)

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 DIM = 64
 
 
-def embed(df: DataFrame, key: str, text: str, dim: int = DIM) -> DataFrame:
-    """``key, embedding``: counts of words by ``md5(word) mod dim``, at unit length; zeros for texts without words."""
-    word = F.explode(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9_]+"), F.lit(0)))
+def embed(df: DataFrame, key: str, text: str, dim: int = DIM, prefix: str = "") -> DataFrame:
+    """``key, embedding``: counts of words by ``md5(word) mod dim``, at unit length; zeros for texts without words.
+
+    ``prefix`` stands before each text, as an instruction before questions does."""
+    word = F.explode(F.regexp_extract_all(F.lower(F.concat(F.lit(prefix), F.coalesce(text, F.lit("")))), F.lit("[a-z0-9_]+"), F.lit(0)))
     slot = F.conv(F.right(F.md5("w"), F.lit(2)), 16, 10).cast("int") % dim
     n = df.select(key, word.alias("w")).select(key, slot.alias("slot")).groupBy(key, "slot").agg(F.count("*").cast("double").alias("n"))
     vec = n.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("slot", "n"))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
@@ -60,12 +62,19 @@ def near_pairs(items: DataFrame, threshold: float, item_id: str = "item_id", buc
     return j.select(F.col(f"datasetA.{item_id}").alias("a"), F.col(f"datasetB.{item_id}").alias("b"), (F.col("d") * F.col("d")).alias("distance"))
 
 
-def clusters(items: DataFrame, k: int, item_id: str = "item_id", seed: int = 42) -> DataFrame:
-    """``item_id, cluster``: k-means labels; with one item or none, cluster 0."""
+def clusters(items: DataFrame, k: int = 8, item_id: str = "item_id", seed: int = 42) -> DataFrame:
+    """``item_id, cluster``: k-means labels with at most as many clusters as items; with one item or none, cluster 0."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    v = items.select(item_id, array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    k = min(k, items.limit(k).count())
     if k <= 1:
         return items.select(item_id, F.lit(0).alias("cluster"))
+    v = items.select(item_id, array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
     return KMeans(k=k, seed=seed).fit(v).transform(v).select(item_id, F.col("prediction").alias("cluster"))
+
+
+def note_clusters(chunks: DataFrame, k: int = 8, seed: int = 42) -> DataFrame:
+    """``source, cluster``: each note's label is that of its last chunk; ``chunks`` has chunk_id, source, chunk_ix, embedding."""
+    label = clusters(chunks, min(k, chunks.select("source").distinct().limit(k).count()), "chunk_id", seed)
+    return chunks.select("chunk_id", "source", "chunk_ix").join(label, "chunk_id").groupBy("source").agg(F.max_by("cluster", "chunk_ix").alias("cluster"))

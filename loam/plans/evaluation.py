@@ -7,43 +7,47 @@ from pyspark.sql import functions as F
 from loam.operators import evals as ev
 from loam.operators import lexical, rank
 from loam.plans.registry import query
-from loam.plans.retrieval import BM25, RERANKED, SEARCH, chunks, questions
+from loam.plans.retrieval import BM25, RERANKED, SEARCH, chunks, questions, stored
 from loam.plans.retrieval import N as NC
-from loam.session import table
+from loam.session import materialise, table
 from loam.sources import corpus
 
 EXP = "ex AS (SELECT query_id, path AS source FROM q JOIN notes ON doc_id % 40 = query_id % 40 AND query_id % 3 <> 2 UNION ALL SELECT query_id, 'gone.md' FROM q WHERE query_id % 3 = 2)"
-POOL = "pool AS (SELECT query_id, pos, chunk_id, score AS rrf_score, regexp_extract(source, '^(.*)/', 1) AS folder, source, title, chunk, category, mtime, scope, question FROM hits JOIN (SELECT query_id, question FROM q) USING (query_id) WHERE pos <= 30)"
+POOL = "pool AS (SELECT query_id, pos, chunk_id, score AS rrf_score, source, title, chunk, category, mtime, scope, question FROM hits JOIN (SELECT query_id, question FROM q) USING (query_id) WHERE pos <= 30)"
 BASE = f"{NC}, {BM25}, {SEARCH}, {POOL}, {RERANKED}, {EXP}"
 
 
 def cases(spark, sf_dir):
-    """A question's expected notes: those whose document number agrees with it modulo 40; every third has none."""
-    n = corpus.notes(spark, sf_dir).select((F.col("doc_id") % 40).alias("m"), "path")
+    """A question's expected notes, one a row: those whose document number agrees with it modulo 40; every third has none."""
+    n = corpus.notes(spark, sf_dir).select((F.col("doc_id") % 40).alias("m"), F.col("path").alias("source"))
     q = questions(spark, sf_dir).select("query_id", (F.col("query_id") % 40).alias("m"))
-    e = q.filter("query_id % 3 <> 2").join(n, "m").groupBy("query_id").agg(F.collect_list("path").alias("expected_sources"))
-    gone = q.filter("query_id % 3 = 2").select("query_id", F.array(F.lit("gone.md")).alias("expected_sources"))
-    return e.unionByName(gone)
+    e = q.filter("query_id % 3 <> 2").join(n, "m").select("query_id", "source")
+    return e.unionByName(q.filter("query_id % 3 = 2").select("query_id", F.lit("gone.md").alias("source")))
 
 
 def pool(spark, sf_dir):
-    return lexical.search(questions(spark, sf_dir), chunks(spark, sf_dir), 30)
+    """Keyword candidates, written once: a few dozen rows a question."""
+    return materialise(lexical.search(questions(spark, sf_dir), stored(spark, sf_dir), 30), "pool")
 
 
-def ranked(spark, sf_dir):
-    return rank.rerank(pool(spark, sf_dir), questions(spark, sf_dir))
+def reranked(spark, sf_dir, p):
+    return materialise(rank.rerank(p, questions(spark, sf_dir)), "reranked")
 
 
-@query("e01_unique_sources", f"{BASE} SELECT query_id, folder AS source, row_number() OVER (PARTITION BY query_id ORDER BY min(pos)) AS pos FROM pool GROUP BY query_id, folder")
+@query("e01_unique_sources", f"{BASE} SELECT query_id, source, row_number() OVER (PARTITION BY query_id ORDER BY min(pos)) AS pos FROM pool GROUP BY query_id, source")
 def e01(spark, sf_dir):
-    return ev.unique_sources(pool(spark, sf_dir).withColumn("source", F.regexp_extract("source", "^(.*)/", 1)))
+    return ev.unique_sources(pool(spark, sf_dir))
 
 
-def scored(k: int, src: str = "pool") -> str:
-    return f"SELECT query_id, rank, rank IS NOT NULL AS hit, coalesce(1.0e0 / rank, 0.0e0) AS rr FROM (SELECT DISTINCT query_id FROM ex) LEFT JOIN (SELECT query_id, min(pos) AS rank FROM {src} JOIN ex USING (query_id, source) WHERE pos <= {k} GROUP BY query_id) USING (query_id)"
+def scored(k: int, src: str = "pool", early: bool = True) -> str:
+    """Case scores at ``k``: cut on chunks before notes are taken once, or after."""
+    cut = f"WHERE pos <= {k}" if early else ""
+    once = f"SELECT query_id, source, row_number() OVER (PARTITION BY query_id ORDER BY min(pos)) AS pos FROM {src} {cut} GROUP BY query_id, source"
+    return f"""SELECT query_id, rank, rank IS NOT NULL AS hit, coalesce(1.0e0 / rank, 0.0e0) AS rr FROM (SELECT DISTINCT query_id FROM ex)
+  LEFT JOIN (SELECT query_id, min(pos) AS rank FROM ({once}) u JOIN ex USING (query_id, source) WHERE pos <= {k} GROUP BY query_id) USING (query_id)"""
 
 
-@query("e02_case_scores", f"{BASE}, sc AS ({scored(8)}) SELECT query_id, hit, rank, round(rr, 6) AS reciprocal_rank FROM sc")
+@query("e02_case_scores", f"{BASE}, sc AS ({scored(8, early=False)}) SELECT query_id, hit, rank, round(rr, 6) AS reciprocal_rank FROM sc")
 def e02(spark, sf_dir):
     return ev.score_cases(ev.unique_sources(pool(spark, sf_dir)), cases(spark, sf_dir), 8).withColumn("reciprocal_rank", F.round("reciprocal_rank", 6))
 
@@ -53,7 +57,7 @@ def e03(spark, sf_dir):
     return ev.score_at(pool(spark, sf_dir), cases(spark, sf_dir), [1, 4, 8, 30]).select("query_id", "k", "hit", "rank")
 
 
-@query("e04_aggregate", f"{BASE}, sc AS ({scored(8)}) SELECT round(avg(CASE WHEN hit THEN 1.0e0 ELSE 0.0e0 END), 6) AS hit_rate, round(avg(rr), 6) AS mrr, count(*) AS cases FROM sc")
+@query("e04_aggregate", f"{BASE}, sc AS ({scored(8, early=False)}) SELECT round(avg(CASE WHEN hit THEN 1.0e0 ELSE 0.0e0 END), 6) AS hit_rate, round(avg(rr), 6) AS mrr, count(*) AS cases FROM sc")
 def e04(spark, sf_dir):
     return ev.aggregate(ev.score_cases(ev.unique_sources(pool(spark, sf_dir)), cases(spark, sf_dir), 8))
 
@@ -64,7 +68,8 @@ RUN = f"""{BASE}, gr AS (SELECT DISTINCT query_id FROM ex WHERE source IN (SELEC
 
 @query("e05_run", RUN)
 def e05(spark, sf_dir):
-    return ev.run(ranked(spark, sf_dir), pool(spark, sf_dir), cases(spark, sf_dir), chunks(spark, sf_dir), 8, [6])[0]
+    p = pool(spark, sf_dir)
+    return ev.run(reranked(spark, sf_dir, p), p, materialise(cases(spark, sf_dir), "cases"), corpus.notes(spark, sf_dir).select(F.col("path").alias("source")), 8, [6])[0]
 
 
 @query("e06_served_scores", f"{BASE}, t AS (SELECT *, row_number() OVER (PARTITION BY query_id, title ORDER BY pos) AS n FROM pool), v AS (SELECT query_id, source, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS pos FROM t WHERE n = 1), sc AS ({scored(8, 'v')}) SELECT query_id, hit, rank FROM sc")
@@ -75,13 +80,27 @@ def e06(spark, sf_dir):
     return ev.score_cases(served, cases(spark, sf_dir), 8).select("query_id", "hit", "rank")
 
 
-def view(name: str, src: str) -> str:
-    return " UNION ALL ".join(f"SELECT '{name}' AS view, {k} AS k, round(avg(CASE WHEN hit THEN 1.0e0 ELSE 0.0e0 END), 6) AS hit_rate, round(avg(rr), 6) AS mrr, count(*) AS cases FROM ({scored(k, src)}) v{k}" for k in (4, 8))
+def view(name: str, src: str, early: bool = True) -> str:
+    of = lambda k: f"SELECT '{name}' AS view, {k} AS k, round(avg(CASE WHEN hit THEN 1.0e0 ELSE 0.0e0 END), 6) AS hit_rate, round(avg(rr), 6) AS mrr, count(*) AS cases FROM ({scored(k, src, early)}) v{k}"
+    return " UNION ALL ".join(map(of, (4, 8)))
 
 
-@query("e07_sweep_views", f"{BASE} " + " UNION ALL ".join([view(v, "ranked") for v in ("reranked_served", "reranked_notes", "reranked_cap1", "reranked_cap2")] + [view(v, "pool") for v in ("fused_served", "fused_notes")]))
+def capped(n: int) -> str:
+    """The reranked list with ``n`` chunks a note at most."""
+    return f"""cap{n} AS (SELECT query_id, source, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS pos
+  FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY pos) AS m FROM ranked) WHERE m <= {n})"""
+
+
+VIEWS = [
+    view("reranked_served", "ranked"), view("reranked_notes", "ranked", False), view("reranked_cap1", "cap1"), view("reranked_cap2", "cap2"),
+    view("fused_served", "pool"), view("fused_notes", "pool", False),
+]
+
+
+@query("e07_sweep_views", f"{BASE}, {capped(1)}, {capped(2)} " + " UNION ALL ".join(VIEWS))
 def e07(spark, sf_dir):
-    return ev.sweep_views(pool(spark, sf_dir), ranked(spark, sf_dir), cases(spark, sf_dir), [4, 8])
+    p = pool(spark, sf_dir)
+    return ev.sweep_views(p, reranked(spark, sf_dir, p), materialise(cases(spark, sf_dir), "cases"), [4, 8])
 
 
 LAT = "lt AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events)"
@@ -110,7 +129,7 @@ def case_rows(spark, sf_dir):
     return questions(spark, sf_dir).select(F.col("query_id").alias("case_id"), "question", F.array(F.lit("x.md")).alias("expected_sources"), "scope")
 
 
-FP = "fp AS (SELECT count(*) AS cases, sha256(string_agg(sha256(concat_ws(chr(1), CAST(item_id AS VARCHAR), coalesce(text, ''), 'x.md', CASE item_id % 3 WHEN 0 THEN 'notes' WHEN 1 THEN 'chats' ELSE 'all' END)), '' ORDER BY item_id)) AS sha256 FROM benchmark)"
+FP = "fp AS (SELECT CAST(sum(n) AS BIGINT) AS cases, sha256(string_agg(h, '' ORDER BY b)) AS sha256 FROM (SELECT b, count(*) AS n, sha256(string_agg(h, '' ORDER BY item_id)) AS h FROM (SELECT item_id, (row_number() OVER (ORDER BY item_id) - 1) // 1024 AS b, sha256(concat_ws(chr(1), CAST(item_id AS VARCHAR), coalesce(text, ''), 'x.md', CASE item_id % 3 WHEN 0 THEN 'notes' WHEN 1 THEN 'chats' ELSE 'all' END)) AS h FROM benchmark) GROUP BY b))"
 
 
 @query("e11_baseline", f"WITH {FP} SELECT cases, sha256, 0.8e0 AS hit_rate FROM fp")
@@ -120,18 +139,28 @@ def e11(spark, sf_dir):
     return ev.baseline(cards, fp)
 
 
-@query("e13_drift", f"{BASE}, sc AS ({scored(8)}), a AS (SELECT avg(CASE WHEN hit THEN 1.0e0 ELSE 0.0e0 END) AS h FROM sc) SELECT round(h, 6) AS hit_rate, CASE WHEN round((h + 0.05e0 - h) * 100, 1) >= 5.0 THEN 'warn' ELSE 'ok' END AS verdict FROM a")
+@query("e13_drift", f"""{BASE}, a AS (SELECT avg(CASE WHEN hit THEN 1.0e0 ELSE 0.0e0 END) AS h FROM ({scored(1)})), b AS (SELECT avg(CASE WHEN hit THEN 1.0e0 ELSE 0.0e0 END) AS h FROM ({scored(30)}))
+  SELECT round(a.h, 6) AS hit_rate, round(b.h, 6) AS before, CASE WHEN round((round(b.h, 6) - round(a.h, 6)) * 100, 1) >= 5.0 THEN 'warn' ELSE 'ok' END AS verdict FROM a, b""")
 def e13(spark, sf_dir):
-    a = ev.aggregate(ev.score_cases(ev.unique_sources(pool(spark, sf_dir)), cases(spark, sf_dir), 8))
-    return a.select("hit_rate", ev.drift(F.col("hit_rate"), F.col("hit_rate") + 0.05).alias("verdict"))
+    """The first candidate alone against the whole pool."""
+    a = ev.aggregate(ev.score_at(pool(spark, sf_dir), materialise(cases(spark, sf_dir), "cases"), [1, 30]), "k")
+    a = a.agg(F.max(F.when(F.col("k") == 1, F.col("hit_rate"))).alias("hit_rate"), F.max(F.when(F.col("k") == 30, F.col("hit_rate"))).alias("before"))
+    return a.withColumn("verdict", ev.drift(F.col("hit_rate"), F.col("before")))
+
+
+CARD = " UNION ALL ".join(f"SELECT {k} AS k, round(avg(CASE WHEN hit THEN 1.0e0 ELSE 0.0e0 END), 6) AS hit_rate, round(avg(rr), 6) AS mrr FROM ({scored(k)}) c{k}" for k in (4, 8))
 
 
-@query("e13_scorecard")
+@query("e13_scorecard", f"""{BASE}, {FP}, m AS ({CARD}), ch AS (SELECT count(*) AS chunks, count(DISTINCT source) AS files FROM chunks)
+  SELECT 8 AS config_k, chunks, files, cases, sha256, k, hit_rate, mrr FROM m, ch, fp""")
 def e13_card(spark, sf_dir):
+    """The scorecard's nested row, laid out as one row for each k."""
     from loam.operators.maintenance import census
 
-    s = ev.aggregate(ev.score_at(pool(spark, sf_dir), cases(spark, sf_dir), [4, 8]), "k")
-    return ev.scorecard(spark.range(1).select(F.lit(8).alias("k")), census(chunks(spark, sf_dir)), ev.fingerprint(case_rows(spark, sf_dir)), s).select(F.to_json("config").alias("config"), F.to_json("index").alias("index"), F.to_json("dataset").alias("dataset"), F.to_json("metrics").alias("metrics"))
+    s = ev.aggregate(ev.score_at(pool(spark, sf_dir), materialise(cases(spark, sf_dir), "cases"), [4, 8]), "k")
+    card = ev.scorecard(spark.range(1).select(F.lit(8).alias("k")), census(chunks(spark, sf_dir)), ev.fingerprint(case_rows(spark, sf_dir)), s)
+    flat = card.select(F.col("config.k").alias("config_k"), "index.chunks", "index.files", "dataset.cases", "dataset.sha256", F.explode("metrics").alias("k", "m"))
+    return flat.select("config_k", "chunks", "files", "cases", "sha256", "k", "m.hit_rate", "m.mrr")
 
 
 @query("e15_check_summary", "SELECT count(*) AS checks, count(*) FILTER (event_type <> 'error') AS passed, count(*) FILTER (event_type = 'error') AS failed, max(value) AS ms_max FROM events")

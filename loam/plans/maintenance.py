@@ -6,11 +6,15 @@ from pyspark.sql import functions as F
 
 from loam.functions import markdown as md
 from loam.operators import maintenance as m
+from loam.plans.notes import NWORDS
 from loam.plans.registry import query
-from loam.session import table
+from loam.plans.retrieval import N as CHUNKS
+from loam.plans.retrieval import chunks
+from loam.session import shared_dir, table
 from loam.sources import corpus
 
-N = f"WITH notes AS ({corpus.NOTES_SQL}), later AS ({corpus.LATER_SQL})"
+#: Notes and their chunks, and a later scan.
+N = f"{CHUNKS}, later AS ({corpus.LATER_SQL})"
 STATUS = """st AS (SELECT coalesce(l.path, n.path) AS source, CASE WHEN n.path IS NULL THEN 'new' WHEN l.path IS NULL THEN 'gone' WHEN abs(l.mtime - n.mtime) <= 1e-6 THEN 'unchanged' ELSE 'changed' END AS status
   FROM (SELECT * FROM later) l FULL JOIN (SELECT * FROM notes WHERE doc_id % 23 <> 0) n ON l.path = n.path)"""
 
@@ -21,6 +25,10 @@ def pair(spark, sf_dir):
     return n.filter("doc_id % 23 <> 0"), corpus.later_notes(n)
 
 
+def chunked(notes):
+    return md.chunk_notes(notes).drop("tags")
+
+
 def states(spark, sf_dir):
     old, new = pair(spark, sf_dir)
     return m.status(new, old.select(F.col("path").alias("source"), "mtime"))
@@ -36,27 +44,27 @@ def i02(spark, sf_dir):
     return states(spark, sf_dir).filter("status = 'gone'").select("source")
 
 
-@query("i03_apply", f"{N}, {STATUS} SELECT concat(path, '_chunk_0') AS chunk_id, mtime FROM later WHERE path IN (SELECT source FROM st WHERE status <> 'gone')")
+@query("i03_apply", f"{N}, {STATUS} SELECT chunk_id, later.mtime FROM later JOIN chunks ON source = path WHERE path IN (SELECT source FROM st WHERE status <> 'gone')")
 def i03(spark, sf_dir):
     old, new = pair(spark, sf_dir)
-    return m.apply(corpus.as_chunks(old), states(spark, sf_dir), corpus.as_chunks(new)).select("chunk_id", "mtime")
+    return m.apply(chunked(old), states(spark, sf_dir), chunked(new)).select("chunk_id", "mtime")
 
 
-@query("i04_rebuild", f"{N} SELECT source, count(*) AS n_chunks FROM (SELECT path AS source FROM notes) GROUP BY source")
+@query("i04_rebuild", f"{N} SELECT source, count(*) AS n_chunks FROM chunks GROUP BY source")
 def i04(spark, sf_dir):
-    return m.rebuild(corpus.notes(spark, sf_dir), corpus.as_chunks).groupBy("source").agg(F.count("*").alias("n_chunks"))
+    return m.rebuild(corpus.notes(spark, sf_dir), chunked).groupBy("source").agg(F.count("*").alias("n_chunks"))
 
 
 @query("i05_summary", f"""{N}, {STATUS} SELECT count(*) FILTER (status <> 'gone') AS scanned, count(*) FILTER (status = 'unchanged') AS skipped, count(*) FILTER (status IN ('new', 'changed')) AS reindexed,
-  count(*) FILTER (status = 'gone') AS pruned, count(*) FILTER (status IN ('new', 'changed')) AS chunks_written, 0 AS batches_failed, CAST(NULL AS VARCHAR) AS failure FROM st""")
+  count(*) FILTER (status = 'gone') AS pruned, (SELECT count(*) FROM chunks WHERE source IN (SELECT source FROM st WHERE status IN ('new', 'changed'))) AS chunks_written, 0 AS batches_failed, CAST(NULL AS VARCHAR) AS failure FROM st""")
 def i05(spark, sf_dir):
     old, new = pair(spark, sf_dir)
-    return m.verdict(m.summary(states(spark, sf_dir), corpus.as_chunks(new)))
+    return m.verdict(m.summary(states(spark, sf_dir), chunked(new)))
 
 
-@query("i07_census", f"{N} SELECT count(*) AS chunks, count(*) AS files, count(*) FILTER (category <> 'chat') AS notes, count(*) FILTER (category = 'chat') AS chats FROM notes")
+@query("i07_census", f"{N} SELECT (SELECT count(*) FROM chunks) AS chunks, count(*) AS files, count(*) FILTER (category <> 'chat') AS notes, count(*) FILTER (category = 'chat') AS chats FROM notes WHERE path IN (SELECT source FROM chunks)")
 def i07(spark, sf_dir):
-    return m.census(corpus.as_chunks(corpus.notes(spark, sf_dir)))
+    return m.census(chunks(spark, sf_dir))
 
 
 @query("i09_mirror", f"{N} SELECT coalesce(l.path, n.path) AS path, CASE WHEN l.path IS NULL THEN 'remove' WHEN n.path IS NOT NULL AND length(l.content) = length(n.content) AND abs(l.mtime - n.mtime) < 1 THEN 'skip' ELSE 'copy' END AS action FROM later l FULL JOIN (SELECT * FROM notes WHERE doc_id % 23 <> 0) n ON l.path = n.path")
@@ -66,11 +74,27 @@ def i09(spark, sf_dir):
     return m.mirror(new.select("path", size, "mtime"), old.select("path", size, "mtime"))
 
 
-@query("s09_upsert", f"{N}, {STATUS} SELECT status, count(*) AS n FROM st WHERE status <> 'gone' GROUP BY status")
+@query("s09_upsert", f"{N}, {STATUS} SELECT status, count(DISTINCT source) AS n_notes, count(*) AS n_chunks FROM st JOIN chunks USING (source) WHERE status <> 'gone' GROUP BY status")
 def s09(spark, sf_dir):
+    """Two written versions of the chunk table: what is indexed, and after a later scan; the newest is read back."""
+    import uuid
+
+    root = f"{shared_dir(spark)}/table-{uuid.uuid4().hex[:12]}"
     old, new = pair(spark, sf_dir)
-    out = m.apply(corpus.as_chunks(old), states(spark, sf_dir), corpus.as_chunks(new))
-    return out.select("source").distinct().join(states(spark, sf_dir), "source").groupBy("status").agg(F.count("*").alias("n"))
+    m.write_version(chunked(old), root, 0)
+    m.write_version(m.apply(m.read_version(spark, root), states(spark, sf_dir), chunked(new)), root, 1)
+    out = m.read_version(spark, root).join(states(spark, sf_dir), "source")
+    return out.groupBy("status").agg(F.countDistinct("source").alias("n_notes"), F.count("*").alias("n_chunks"))
+
+
+@query("i06_provenance", """WITH s AS (SELECT source, min(lang) AS stamp FROM documents WHERE doc_id % 3 = 0 GROUP BY source),
+  r AS (SELECT doc_id, lang, doc_id % 10 = 0 AS f, stamp FROM documents LEFT JOIN s USING (source))
+  SELECT doc_id, CASE WHEN f THEN 'rebuild' WHEN stamp IS NOT NULL AND lang IS DISTINCT FROM stamp THEN 'refused' WHEN stamp IS NULL THEN 'new' ELSE 'incremental' END AS verdict FROM r""")
+def i06(spark, sf_dir):
+    """Sources stand for indexes, languages for models."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("index"), F.col("lang").alias("model"), (F.col("doc_id") % 10 == 0).alias("full"))
+    stamps = d.filter("doc_id % 3 = 0").groupBy("index").agg(F.min("model").alias("model"))
+    return m.provenance(stamps, d).select("doc_id", "verdict")
 
 
 @query("s12_retention", f"{N}, s AS (SELECT CAST(mtime / 86400 AS BIGINT) AS name, max(mtime) AS mtime FROM notes GROUP BY 1) SELECT name FROM (SELECT *, row_number() OVER (ORDER BY mtime DESC, name DESC) AS n FROM s) WHERE n > 7")
@@ -81,16 +105,16 @@ def s12(spark, sf_dir):
 
 @query("a09_freshness", f"{N} SELECT count(*) AS indexed_notes, max(mtime) AS newest FROM notes")
 def a09(spark, sf_dir):
-    return m.freshness(corpus.as_chunks(corpus.notes(spark, sf_dir)))
+    return m.freshness(chunks(spark, sf_dir))
 
 
 @query("a10_stale", f"{N} SELECT (SELECT count(*) FROM later) AS indexed_notes, (SELECT max(mtime) FROM later) AS newest, (SELECT count(*) FROM notes) AS health_notes, (SELECT count(*) FROM later) > 0 AND ((SELECT count(*) FROM later) <> (SELECT count(*) FROM notes) OR (SELECT max(mtime) FROM later) > 1706054400.0e0) AS stale")
 def a10(spark, sf_dir):
     n = corpus.notes(spark, sf_dir)
-    return m.snapshot_stale(m.freshness(corpus.as_chunks(corpus.later_notes(n))), n, F.lit(1706054400.0))
+    return m.snapshot_stale(m.freshness(chunked(corpus.later_notes(n))), n, F.lit(1706054400.0))
 
 
-@query("m02_chunk_sizes")
+@query("m02_chunk_sizes", f"{N} SELECT n_words, count(*) AS n_chunks FROM (SELECT CAST({NWORDS.format('chunk')} AS INT) AS n_words FROM chunks) GROUP BY n_words")
 def chunk_sizes(spark, sf_dir):
     c = md.chunk_notes(corpus.notes(spark, sf_dir))
     return c.groupBy(F.size(md.words(F.col("chunk"))).alias("n_words")).agg(F.count("*").alias("n_chunks"))
@@ -100,8 +124,6 @@ def chunk_sizes(spark, sf_dir):
 def s11(spark, sf_dir):
     import uuid
 
-    from loam.session import shared_dir
-
     path = f"{shared_dir(spark)}/history-{uuid.uuid4().hex[:12]}"
     e = table(spark, sf_dir, "events").filter("event_type = 'error'").select("event_id", "ts", "value")
     for half in (0, 1):  # two runs append

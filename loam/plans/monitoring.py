@@ -5,8 +5,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loam.functions import markdown as md
 from loam.operators import monitor as mo
 from loam.plans.registry import query
+from loam.plans.retrieval import N as CHUNKS
 from loam.session import table
 from loam.sources import corpus
 from loam.streaming import monitor as st
@@ -110,40 +112,57 @@ def w02_stream(spark, sf_dir):
     return _streamed(spark, sf_dir, lambda s: st.windowed_counts(s, "event_type"), "complete").select("event_type", F.round(F.unix_seconds("end") / 60).cast("long").alias("minute"), "n")
 
 
-@query("w07_stream_hold")
-def w07_stream(spark, sf_dir):
-    def plan(s):
-        x = s.select((F.col("user_id") % 4).cast("int").alias("ns"), F.date_trunc("hour", "ts").alias("end"), (F.col("value") > 60).alias("breach"))
-        return st.hold_states(x.withWatermark("end", "1 hour"), "ns", 120)
+@query("w02_stream_ratios", "WITH x AS (SELECT event_type = 'error' AS bad, user_id % 4 AS ns, CAST(floor(epoch(ts) / 60) AS BIGINT) AS m FROM events), w AS (SELECT ns, m + k AS minute, count(*) AS n, count(*) FILTER (bad) AS errors FROM x, range(1, 11) r(k) GROUP BY ALL) SELECT CAST(ns AS INT) AS ns, minute, n, errors, errors * 1.0e0 / n > 0.02e0 AND n >= 20 AS breach FROM w")
+def w02_stream_ratios(spark, sf_dir):
+    """The error ratio over sliding windows as a stream."""
+    plan = lambda s: st.error_ratios(s.withColumn("ns", (F.col("user_id") % 4).cast("int")), "ns")
+    return _streamed(spark, sf_dir, plan, "complete").select("ns", F.round(F.unix_seconds("end") / 60).cast("long").alias("minute"), "n", "errors", "breach")
+
 
-    return _streamed(spark, sf_dir, plan, "append")
+@query("w07_stream_hold", """WITH h AS (SELECT CAST(user_id % 4 AS INT) AS ns, CAST(floor(epoch(ts) / 3600) AS BIGINT) * 60 + 60 AS minute, avg(value) > 50.0e0 AS breach FROM events GROUP BY ALL),
+  er AS (SELECT * FROM h WHERE minute * 60 <= (SELECT max(epoch(ts)) FROM events) - 3600),
+  g AS (SELECT *, sum(CASE WHEN breach THEN 0 ELSE 1 END) OVER (PARTITION BY ns ORDER BY minute) AS g FROM er), si AS (SELECT *, min(CASE WHEN breach THEN minute END) OVER (PARTITION BY ns, g) AS since FROM g),
+  fi AS (SELECT *, breach AND minute - since >= 120 AS f FROM si)
+  SELECT ns, minute, CASE WHEN f THEN 'firing' WHEN breach THEN 'pending' WHEN coalesce(lag(f) OVER (PARTITION BY ns ORDER BY minute), false) THEN 'resolved' ELSE 'inactive' END AS state FROM fi""")
+def w07_stream(spark, sf_dir):
+    """Two streams: hourly means, one row a key once the watermark has passed the hour, and the states over what the first
+    one wrote."""
+    hours = _streamed(spark, sf_dir, lambda s: st.hourly(s.withColumn("ns", (F.col("user_id") % 4).cast("int")), "ns", "value", 50.0), "append")
+    again = spark.readStream.schema(hours.schema).option("recursiveFileLookup", "true").parquet(hours.inputFiles()[0].rsplit("/", 2)[0]) if hours.inputFiles() else None
+    if again is None:
+        return hours.select("ns", F.lit(0).cast("long").alias("minute"), F.lit("").alias("state"))
+    states = _run(spark, st.hold_states(again.withWatermark("end", "1 hour"), "ns", 120), "append")
+    return states.select("ns", F.round((F.unix_micros("end") + 1) / 6e7).cast("long").alias("minute"), "state")
 
 
 def _streamed(spark, sf_dir, plan, mode):
-    """Results go to a Parquet folder batch by batch; in complete mode the last batch has them all."""
+    """What a plan over the events as a stream writes."""
+    name = f"{sf_dir}/events.parquet"
+    # a stream reads a folder; the glob finds a single file as well as a folder of files
+    return _run(spark, plan(st.event_stream(spark, name + "*", spark.read.parquet(name).schema)), mode)
+
+
+def _run(spark, stream, mode):
+    """A stream run to its end. Results go to a Parquet folder batch by batch; in complete mode the last batch has them all."""
     import uuid
 
     from loam.session import shared_dir
 
     root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex[:12]}"
-    name = f"{sf_dir}/events.parquet"
-    # a stream reads a folder; the glob finds a single file as well as a folder of files
-    src = st.event_stream(spark, name + "*" if not name.endswith("*") else name, spark.read.parquet(name).schema)
-    schema = plan(src).schema
 
     def put(df, epoch):
         df.write.parquet(f"{root}/out/{epoch}")
 
-    plan(src).writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
-    done = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{root}/out")
+    stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    done = spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{root}/out")
     if mode == "complete":
         batch = F.regexp_extract(F.col("_metadata.file_path"), r"/out/(\d+)/", 1).cast("long")
         last = done.agg(F.max(batch)).first()[0]
-        done = spark.read.schema(schema).parquet(f"{root}/out/{last or 0}")
+        done = spark.read.schema(stream.schema).parquet(f"{root}/out/{last or 0}")
     return done
 
 
-@query("w12_stream_index", f"WITH notes AS ({corpus.NOTES_SQL}), later AS ({corpus.LATER_SQL}) SELECT path AS source, greatest(n.mtime, coalesce(l.mtime, 0)) AS mtime FROM notes n LEFT JOIN (SELECT path, mtime FROM later) l USING (path)")
+@query("w12_stream_index", f"{CHUNKS}, later AS ({corpus.LATER_SQL}) SELECT chunk_id, source, greatest(c.mtime, coalesce(l.mtime, 0)) AS mtime FROM chunks c LEFT JOIN (SELECT path, mtime FROM later) l ON l.path = c.source")
 def w12(spark, sf_dir):
     """Two scans arrive as files of changes; the chunk table after both."""
     import uuid
@@ -156,7 +175,7 @@ def w12(spark, sf_dir):
     seen = lambda d, s: d.withColumn("seen", F.timestamp_seconds(F.lit(1704067200 + s)))
     seen(n, 0).write.parquet(f"{root}/in/scan=1")
     seen(late, 60).write.parquet(f"{root}/in/scan=2")
-    corpus.as_chunks(n.limit(0)).write.parquet(f"{root}/v/-1")
+    md.chunk_notes(n.limit(0)).write.parquet(f"{root}/v/-1")
     version = [-1]
 
     def write(df, epoch):
@@ -165,5 +184,5 @@ def w12(spark, sf_dir):
 
     schema = seen(n, 0).schema
     stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{root}/in")
-    st.incremental_index(stream, lambda: spark.read.parquet(f"{root}/v/{version[0]}"), write, corpus.as_chunks, f"{root}/state").awaitTermination()
-    return spark.read.parquet(f"{root}/v/{version[0]}").select("source", "mtime")
+    st.incremental_index(stream, lambda: spark.read.parquet(f"{root}/v/{version[0]}"), write, md.chunk_notes, f"{root}/state").awaitTermination()
+    return spark.read.parquet(f"{root}/v/{version[0]}").select("chunk_id", "source", "mtime")

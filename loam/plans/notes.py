@@ -118,7 +118,15 @@ def m10(spark, sf_dir):
     return x.select("path", F.md5("s").alias("snippet_md5"), F.left("s", F.lit(150)).alias("head"))
 
 
-@query("m11_blocks")
+#: Blocks of notes without fences: a heading is one, and so is a run of lines between headings and blank lines.
+BLOCKS = f"""bl AS (SELECT path, title, i, line, {STRIP.format('line')} AS x FROM (SELECT path, title, generate_subscripts(l, 1) AS i, unnest(l) AS line FROM (SELECT path, title, string_split(replace(content, chr(13) || chr(10), chr(10)), chr(10)) AS l FROM notes))),
+bk AS (SELECT *, CASE WHEN NOT regexp_matches(line, '\\S') THEN 'blank' WHEN regexp_matches(x, '^(#{{1,6}})\\s+(.*)$') THEN 'heading' ELSE 'paragraph' END AS kind FROM bl),
+bg AS (SELECT *, sum(CASE WHEN kind = 'paragraph' THEN 0 ELSE 1 END) OVER (PARTITION BY path ORDER BY i) AS g FROM bk),
+bb AS (SELECT path, any_value(title) AS title, kind, min(i) AS i, CASE WHEN kind = 'heading' THEN {STRIP.format("regexp_extract(any_value(x), '^(#{1,6})" + chr(92) + "s+(.*)$', 2)")} ELSE string_agg(line, chr(10) ORDER BY i) END AS text FROM bg WHERE kind <> 'blank' GROUP BY path, kind, g),
+bn AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY i) AS n FROM bb), bf AS (SELECT * FROM bn WHERE NOT (n = 1 AND kind = 'heading' AND text = trim(title)))"""
+
+
+@query("m11_blocks", f"{N}, {BLOCKS} SELECT path, CAST(row_number() OVER (PARTITION BY path ORDER BY i) - 1 AS INT) AS pos, kind, md5(text) AS text_md5 FROM bf")
 def m11(spark, sf_dir):
     x = corpus.notes(spark, sf_dir).select("path", F.posexplode(md.note_blocks(F.col("content"), F.col("title"))).alias("pos", "b"))
     return x.select("path", "pos", "b.kind", F.md5("b.text").alias("text_md5"))

@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loam.functions import markdown as md
 from loam.operators import lexical, rank, vectors
+from loam.plans.notes import CHUNKED
 from loam.plans.registry import query
-from loam.session import table
+from loam.session import materialise, table
 from loam.sources import corpus
 
-N = f"WITH notes AS ({corpus.NOTES_SQL}), chunks AS ({corpus.CHUNKS_SQL})"
+#: Notes, and their chunks by the same fold as the chunk queries.
+N = f"""{CHUNKED}, chunks AS MATERIALIZED (SELECT concat(path, '_chunk_', CAST(chunk_ix AS VARCHAR)) AS chunk_id, path AS source, CAST(chunk_ix AS INT) AS chunk_ix, text AS chunk,
+  heading, title, category, mtime FROM chunked JOIN notes USING (path))"""
 #: Benchmark texts as questions; scopes in turn.
 QUESTIONS_SQL = "SELECT item_id AS query_id, coalesce(text, '') AS question, CASE item_id % 3 WHEN 0 THEN 'notes' WHEN 1 THEN 'chats' ELSE 'all' END AS scope FROM benchmark"
 TOKENS = "regexp_extract_all(lower({}), '[a-z0-9_]+')"
@@ -38,12 +42,17 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.as_chunks(corpus.notes(spark, sf_dir))
+    return md.chunk_notes(corpus.notes(spark, sf_dir)).drop("tags")
+
+
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunk table, written once for the steps that read it."""
+    return materialise(chunks(spark, sf_dir), "chunks")
 
 
 def candidates(spark: SparkSession, sf_dir: str, k: int = 30) -> DataFrame:
     q = questions(spark, sf_dir)
-    return lexical.search(q, chunks(spark, sf_dir), k).join(q.select("query_id", "scope"), "query_id")
+    return lexical.search(q, stored(spark, sf_dir), k).join(q.select("query_id", "scope"), "query_id")
 
 
 @query("f01_scope", f"{N}, q AS ({QUESTIONS_SQL}) SELECT query_id, count(*) AS n_chunks FROM q, chunks WHERE {SCOPED} GROUP BY query_id")
@@ -61,18 +70,18 @@ def f02(spark, sf_dir):
     return chunks(spark, sf_dir).select("chunk_id", rank.chat_like(F.col("source"), F.col("title"), F.col("category")).alias("chat_like"))
 
 
-GUARDED = f"""k AS (SELECT *, scope <> 'notes' OR NOT {LIKE} AS keep FROM hits WHERE pos <= 30),
-g AS (SELECT * EXCLUDE (pos), row_number() OVER (PARTITION BY query_id ORDER BY pos) AS pos FROM (SELECT *, max(keep) OVER (PARTITION BY query_id) AS any_keep FROM k) WHERE keep OR NOT any_keep)"""
+GUARDED = f"""kept AS (SELECT *, scope <> 'notes' OR NOT {LIKE} AS keep FROM hits WHERE pos <= 30),
+guarded AS (SELECT * EXCLUDE (pos), row_number() OVER (PARTITION BY query_id ORDER BY pos) AS pos FROM (SELECT *, max(keep) OVER (PARTITION BY query_id) AS any_keep FROM kept) WHERE keep OR NOT any_keep)"""
 
 
-@query("f03_guard", f"{N}, {BM25}, {SEARCH}, {GUARDED} SELECT query_id, pos, chunk_id FROM g")
+@query("f03_guard", f"{N}, {BM25}, {SEARCH}, {GUARDED} SELECT query_id, pos, chunk_id FROM guarded")
 def f03(spark, sf_dir):
     return rank.guard(candidates(spark, sf_dir)).select("query_id", "pos", "chunk_id")
 
 
 @query("f04_context_nodes", f"{N} SELECT chunk_id, source, 0.0e0 AS distance FROM chunks WHERE source IN (SELECT source FROM chunks WHERE title LIKE 'Home%')")
 def f04(spark, sf_dir):
-    c = chunks(spark, sf_dir)
+    c = stored(spark, sf_dir)
     nodes = c.filter(F.col("title").startswith("Home")).select("source").distinct()
     return c.join(nodes, "source", "left_semi").select("chunk_id", "source", F.lit(0.0).alias("distance"))
 
@@ -85,12 +94,12 @@ def b01(spark, sf_dir):
 
 @query("b02_terms", f"{N}, {BM25} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def b02(spark, sf_dir):
-    return lexical.index(chunks(spark, sf_dir))["terms"].select("term", "df", F.round("idf", 6).alias("idf"))
+    return lexical.index(stored(spark, sf_dir))["terms"].select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("b02_postings", f"{N}, {BM25} SELECT term, count(*) AS n_chunks, sum(tf) AS total FROM tf GROUP BY term")
 def b02_postings(spark, sf_dir):
-    return lexical.index(chunks(spark, sf_dir))["postings"].groupBy("term").agg(F.count("*").alias("n_chunks"), F.sum("tf").alias("total"))
+    return lexical.index(stored(spark, sf_dir))["postings"].groupBy("term").agg(F.count("*").alias("n_chunks"), F.sum("tf").alias("total"))
 
 
 @query("b02_stored_index", f"{N}, {BM25}, {SEARCH} SELECT query_id, pos, chunk_id, score FROM hits WHERE pos <= 10")
@@ -101,22 +110,39 @@ def b02_stored(spark, sf_dir):
     from loam.session import shared_dir
 
     path = f"{shared_dir(spark)}/lexical-{uuid.uuid4().hex[:12]}"
-    lexical.write_index(chunks(spark, sf_dir), path)
-    return lexical.search(questions(spark, sf_dir), chunks(spark, sf_dir), 10, lexical.read_index(spark, path)).select("query_id", "pos", "chunk_id", "score")
+    c = stored(spark, sf_dir)
+    lexical.write_index(c, path)
+    return lexical.search(questions(spark, sf_dir), c, 10, lexical.read_index(spark, path)).select("query_id", "pos", "chunk_id", "score")
 
 
 @query("b03_bm25", f"{N}, {BM25}, {SEARCH} SELECT query_id, pos, chunk_id, score FROM hits WHERE pos <= 10")
 def b03(spark, sf_dir):
-    return lexical.search(questions(spark, sf_dir), chunks(spark, sf_dir), 10).select("query_id", "pos", "chunk_id", "score")
+    return lexical.search(questions(spark, sf_dir), stored(spark, sf_dir), 10).select("query_id", "pos", "chunk_id", "score")
+
+
+#: Every second question is blank, and so is every third chunk by length.
+BLANK_Q = QUESTIONS_SQL.replace("coalesce(text, '')", "CASE WHEN item_id % 2 = 0 THEN ' ?! ' ELSE coalesce(text, '') END")
+
+BLANK_N = N.replace("text AS chunk", "CASE WHEN length(text) % 3 = 0 THEN '- é !' ELSE text END AS chunk")
+
+
+@query("b04_degenerate", f"{BLANK_N}, {BM25.replace(QUESTIONS_SQL, BLANK_Q)}, {SEARCH} SELECT query_id, pos, chunk_id, score FROM hits WHERE pos <= 10")
+def b04(spark, sf_dir):
+    """Blank questions find nothing, blank chunks are never found; they count with length 0. Without chunks nothing is found."""
+    c = chunks(spark, sf_dir).withColumn("chunk", F.when(F.char_length("chunk") % 3 == 0, "- é !").otherwise(F.col("chunk")))
+    q = questions(spark, sf_dir).withColumn("question", F.when(F.col("query_id") % 2 == 0, " ?! ").otherwise(F.col("question")))
+    c = materialise(c, "chunks")
+    some = lexical.search(q, c, 10)
+    return some.unionByName(lexical.search(q, c.limit(0), 10)).select("query_id", "pos", "chunk_id", "score")
 
 
 TIME = "CASE WHEN regexp_matches(regexp_extract(source, '([^/]*)$', 1), '^[0-9]{4}-[0-9]{2}-[0-9]{2}($|[^0-9])') THEN epoch(CAST(left(regexp_extract(source, '([^/]*)$', 1), 10) AS DATE)) + 43200.0e0 ELSE mtime END"
 
 
 @query("b05_recent", f"""{N}, q AS ({QUESTIONS_SQL}), r AS (SELECT scope, chunk_id, {TIME} AS t, row_number() OVER (PARTITION BY scope ORDER BY {TIME} DESC, source) AS pos
-  FROM (SELECT DISTINCT scope FROM q), chunks WHERE {SCOPED}) SELECT query_id, pos, chunk_id FROM q JOIN r USING (scope) WHERE pos <= 12""")
+  FROM (SELECT DISTINCT scope FROM q), chunks WHERE chunk_ix = 0 AND {SCOPED}) SELECT query_id, pos, chunk_id FROM q JOIN r USING (scope) WHERE pos <= 12""")
 def b05(spark, sf_dir):
-    return lexical.recent(chunks(spark, sf_dir), questions(spark, sf_dir), 12).select("query_id", "pos", "chunk_id")
+    return lexical.recent(stored(spark, sf_dir), questions(spark, sf_dir), 12).select("query_id", "pos", "chunk_id")
 
 
 @query("r13_note_time", f"{N} SELECT source, CAST({TIME} AS DOUBLE) AS note_time FROM chunks")
@@ -162,27 +188,24 @@ def v05(spark, sf_dir):
 
 @query("v06_clusters")
 def v06(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
-    return vectors.clusters(e, 8)
+    c = stored(spark, sf_dir)
+    v = materialise(vectors.embed(c, "chunk_id", "chunk").join(c.select("chunk_id", "source", "chunk_ix"), "chunk_id"), "vectors")
+    return vectors.note_clusters(v, 8)
 
 
-@query("v04_near_pairs")
+@query("v04_near_pairs", f"""SELECT query_id, pos, item_id, distance FROM (SELECT a.vec_id AS query_id, b.vec_id AS item_id, {L2} AS distance, row_number() OVER (PARTITION BY a.vec_id ORDER BY {L2}, b.vec_id) AS pos
+  FROM embeddings a, embeddings b) WHERE pos <= 4""")
 def v04(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
-    return vectors.knn(e.withColumnRenamed("item_id", "query_id"), e, 4)
-
-
-#: The embedding leg over distinct sparse slots: dot products of unit vectors, so squared distance is 2 - 2 * dot.
-def vector_leg(spark: SparkSession, sf_dir: str, k: int = 60) -> DataFrame:
-    return scoped_neighbours(questions(spark, sf_dir), chunks(spark, sf_dir), k)
+    return vectors.knn(e.withColumnRenamed("item_id", "query_id"), e, 4).select("query_id", "pos", "item_id", "distance")
 
 
 def scoped_neighbours(q: DataFrame, c: DataFrame, k: int) -> DataFrame:
     """The ``k`` nearest chunks in the scope of each question (query_id, question, scope): a search for each scope, over
     its own chunks alone."""
     scope = F.coalesce(F.when(F.col("scope").isin("chats", "notes"), F.col("scope")), F.lit("all"))
-    asked = vectors.embed(q, "query_id", "question").join(q.select("query_id", "scope"), "query_id")
-    held = vectors.embed(c, "chunk_id", "chunk").join(c.select("chunk_id", "category"), "chunk_id")
+    asked = materialise(vectors.embed(q, "query_id", "question").join(q.select("query_id", "scope"), "query_id"), "asked")
+    held = materialise(vectors.embed(c, "chunk_id", "chunk").join(c.select("chunk_id", "category"), "chunk_id"), "vectors")
     out = None
     for s in ("chats", "notes", "all"):
         part = vectors.knn(asked.filter(scope == s), held.filter(lexical.scope_matches(F.lit(s), F.col("category"))), k, "query_id", "chunk_id")
@@ -191,7 +214,7 @@ def scoped_neighbours(q: DataFrame, c: DataFrame, k: int) -> DataFrame:
 
 
 #: Two lists to fuse: keyword hits, and the newest notes of the scope.
-FUSED = f"""rec AS (SELECT scope, chunk_id, row_number() OVER (PARTITION BY scope ORDER BY {TIME} DESC, source) AS pos FROM (SELECT DISTINCT scope FROM q), chunks WHERE {SCOPED}),
+FUSED = f"""rec AS (SELECT scope, chunk_id, row_number() OVER (PARTITION BY scope ORDER BY {TIME} DESC, source) AS pos FROM (SELECT DISTINCT scope FROM q), chunks WHERE chunk_ix = 0 AND {SCOPED}),
 legs AS (SELECT query_id, chunk_id, pos, 0 AS leg FROM hits WHERE pos <= 30 UNION ALL SELECT query_id, chunk_id, pos, 1 FROM q JOIN rec USING (scope) WHERE pos <= 30),
 f AS (SELECT query_id, chunk_id, round(sum(1.0e0 / (60 + pos)), 9) AS rrf_score, min(leg * 1000 + pos) AS o FROM legs GROUP BY ALL),
 fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, o) AS pos FROM f),
@@ -199,7 +222,7 @@ pool AS (SELECT query_id, pos, chunk_id, rrf_score, source, title, chunk, catego
 
 
 def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, c = questions(spark, sf_dir), chunks(spark, sf_dir)
+    q, c = questions(spark, sf_dir), stored(spark, sf_dir)
     return rank.rrf([lexical.search(q, c, 30), lexical.recent(c, q, 30)], 30)
 
 
@@ -230,24 +253,49 @@ def cue_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 CUES = f"cue AS ({CUES_SQL.format(QUESTIONS_SQL)})"
 
 
-@query("r04_anchors", f"""WITH {CUES}, a AS (SELECT query_id, lower(question) AS x FROM cue), r AS (
-  SELECT query_id, unnest(['course home', 'container', 'docker', 'data structure']) AS t FROM a WHERE contains(x, 'course home') OR (contains(x, 'container') AND regexp_matches(x, 'wrong|job|reach'))
-  UNION SELECT query_id, unnest(['slides', 'exam', 'slide', 'school notes']) FROM a WHERE contains(x, 'slide') AND regexp_matches(x, 'test|exam|before')
-  UNION SELECT query_id, unnest(['resume', 'rebuild', 'job hunt']) FROM a WHERE contains(x, 'resume') AND regexp_matches(x, 'redo|redid|rebuild|session')
-  UNION SELECT query_id, unnest(['cleanup', 'hand-written', 'handwritten', 'pipeline', 'chat memory', 'clean_empty_chats', 'recovered']) FROM a WHERE contains(x, 'cleanup') AND regexp_matches(x, 'script|handwritten|deleted|hand-written')
-  UNION SELECT query_id, 'architecture' FROM a WHERE contains(x, 'architecture') OR (contains(x, 'portal') AND contains(x, 'city')))
-  SELECT query_id, coalesce(string_agg(t, ',' ORDER BY t), '') AS anchors FROM a LEFT JOIN r USING (query_id) GROUP BY query_id""")
+def hints_sql(question: str) -> str:
+    """Terms that the cue rules append to a question."""
+    of = lambda alts: " OR ".join("(" + " AND ".join("(" + " OR ".join(f"contains(lower({question}), '{w}')" for w in g) + ")" for g in a) + ")" for a in alts)
+    return "concat_ws(' ', " + ", ".join(f"CASE WHEN {of(alts)} THEN '{t}' END" for alts, t in rank.EXPANSIONS) + ")"
+
+
+def siblings_sql(src: str, out: str, base: str, up: float) -> str:
+    """The sibling order of list ``src`` as list ``out``."""
+    return f"""
+{out}a AS (SELECT x.*, coalesce(an.a, []) AS an, lower(title) AS lt, lower(source) AS ls, regexp_extract(lower(source), '^(.*)/[^/]*$', 1) AS fo FROM {src} x LEFT JOIN (SELECT query_id, list(t) AS a FROM anchor GROUP BY query_id) an USING (query_id)),
+{out}b AS (SELECT *, len(list_filter(an, lambda w: contains(lt, w))) > 0 AS th, len(list_filter(an, lambda w: contains(ls, w))) > 0 AS ph FROM {out}a),
+{out}c AS (SELECT *, count(*) OVER w AS fn, sum(CASE WHEN th OR ph THEN 1 ELSE 0 END) OVER w AS fh FROM {out}b WINDOW w AS (PARTITION BY query_id, fo)),
+{out}d AS (SELECT *, CASE WHEN len(an) = 0 THEN -CAST(pos AS DOUBLE) ELSE round({base} + CASE WHEN th THEN {rank.ALPHA * up}e0 ELSE 0.0e0 END + CASE WHEN ph THEN {rank.BETA * up}e0 ELSE 0.0e0 END
+  - CASE WHEN fo <> '' AND fn >= 2 AND fh = 1 AND NOT (th OR ph) THEN {rank.GAMMA * up}e0 ELSE 0.0e0 END, 9) END AS ss FROM {out}c),
+{out} AS (SELECT * EXCLUDE (pos, an, lt, ls, fo, th, ph, fn, fh, ss), row_number() OVER (PARTITION BY query_id ORDER BY ss DESC, pos) AS pos FROM {out}d)"""
+
+
+def guard_sql(src: str, out: str) -> str:
+    return f"""
+{out}k AS (SELECT *, scope <> 'notes' OR NOT {LIKE} AS keep FROM {src}), {out} AS (SELECT * EXCLUDE (pos, keep, any_keep), row_number() OVER (PARTITION BY query_id ORDER BY pos) AS pos
+  FROM (SELECT *, max(keep) OVER (PARTITION BY query_id) AS any_keep FROM {out}k) WHERE keep OR NOT any_keep)"""
+
+
+ANCHOR = """anchor AS (SELECT query_id, unnest(['course home', 'container', 'docker', 'data structure']) AS t FROM aq WHERE contains(x, 'course home') OR (contains(x, 'container') AND regexp_matches(x, 'wrong|job|reach'))
+  UNION SELECT query_id, unnest(['slides', 'exam', 'slide', 'school notes']) FROM aq WHERE contains(x, 'slide') AND regexp_matches(x, 'test|exam|before')
+  UNION SELECT query_id, unnest(['resume', 'rebuild', 'job hunt']) FROM aq WHERE contains(x, 'resume') AND regexp_matches(x, 'redo|redid|rebuild|session')
+  UNION SELECT query_id, unnest(['cleanup', 'hand-written', 'handwritten', 'pipeline', 'chat memory', 'clean_empty_chats', 'recovered']) FROM aq WHERE contains(x, 'cleanup') AND regexp_matches(x, 'script|handwritten|deleted|hand-written')
+  UNION SELECT query_id, 'architecture' FROM aq WHERE contains(x, 'architecture') OR (contains(x, 'portal') AND contains(x, 'city')))"""
+
+@query("r04_anchors", f"WITH {CUES}, aq AS (SELECT query_id, lower(question) AS x FROM cue), {ANCHOR} SELECT query_id, coalesce(string_agg(t, ',' ORDER BY t), '') AS anchors FROM aq LEFT JOIN anchor USING (query_id) GROUP BY query_id")
 def r04(spark, sf_dir):
     return cue_questions(spark, sf_dir).select("query_id", F.array_join(F.array_sort(rank.anchors(F.col("question"))), ",").alias("anchors"))
 
 
-@query("r03_siblings")
+@query("r03_siblings", f"{N}, {BM25}, {SEARCH}, {FUSED}, {CUES}, aq AS (SELECT query_id, lower(question) AS x FROM cue), {ANCHOR}, s0 AS (SELECT * EXCLUDE (title), CASE WHEN pos % 4 = 0 THEN concat(title, ' architecture') ELSE title END AS title FROM pool), {siblings_sql('s0', 's1', 'rrf_score', 1.0)} SELECT query_id, pos, chunk_id, rrf_score FROM s1")
 def r03(spark, sf_dir):
     c = fused(spark, sf_dir).withColumn("title", F.when(F.col("pos") % 4 == 0, F.concat("title", F.lit(" architecture"))).otherwise(F.col("title")))
     return rank.siblings(c, cue_questions(spark, sf_dir)).select("query_id", "pos", "chunk_id", "rrf_score")
 
 
-@query("r05_expansion")
+@query("r05_expansion", f"""WITH {CUES}, h AS (SELECT query_id, regexp_replace(question, '^\\s+|\\s+$', '', 'g') AS q, {hints_sql('question')} AS h FROM cue),
+  n AS (SELECT query_id, q, concat('synonyms of the words second clause', CASE WHEN t = '' THEN '' ELSE concat(' ', t) END) AS c FROM (SELECT query_id, q, array_to_string(list_filter(string_split(h, ' '), lambda w: w <> '' AND NOT contains('synonyms of the words; second clause', lower(w))), ' ') AS t FROM h) z)
+  SELECT query_id, concat(q, ' ', array_to_string(list_filter(regexp_split_to_array(c, '\\s+'), lambda w: w <> '')[1:20], ' ')) AS expanded FROM n""")
 def r05(spark, sf_dir):
     return cue_questions(spark, sf_dir).select("query_id", rank.expand(F.col("question"), F.lit("Query: synonyms of the words; second clause")).alias("expanded"))
 
@@ -280,24 +328,54 @@ def r09(spark, sf_dir):
     return rank.recency(x, rank.Config()).select("query_id", "chunk_id", "pos")
 
 
-INJECT = f"""rec AS (SELECT scope, chunk_id, source, title, category, row_number() OVER (PARTITION BY scope ORDER BY {TIME} DESC, source) AS pos FROM (SELECT DISTINCT scope FROM q), chunks WHERE {SCOPED}),
+INJECT = f"""rec AS (SELECT scope, chunk_id, source, title, category, row_number() OVER (PARTITION BY scope ORDER BY {TIME} DESC, source) AS pos FROM (SELECT DISTINCT scope FROM q), chunks WHERE chunk_ix = 0 AND {SCOPED}),
 kp AS (SELECT *, scope <> 'notes' OR NOT {LIKE} AS keep FROM rec WHERE pos <= 48), gd AS (SELECT scope, chunk_id, row_number() OVER (PARTITION BY scope ORDER BY pos) AS pos FROM (SELECT *, max(keep) OVER (PARTITION BY scope) AS any_keep FROM kp) WHERE keep OR NOT any_keep),
 pl AS (SELECT query_id, chunk_id, pos FROM hits WHERE pos <= 10 UNION ALL SELECT query_id, chunk_id, gd.pos + 1000000 FROM q JOIN gd USING (scope) WHERE gd.pos <= 12 AND regexp_matches(question, '{INTENT}', 'i') AND (query_id, chunk_id) NOT IN (SELECT (query_id, chunk_id) FROM hits WHERE pos <= 10))"""
 
 
 @query("r10_inject_recent", f"{N}, {BM25.replace(QUESTIONS_SQL, CUES_SQL.format(QUESTIONS_SQL))}, {SEARCH}, {INJECT} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS pos, chunk_id FROM pl")
 def r10(spark, sf_dir):
-    q = cue_questions(spark, sf_dir)
-    pool = lexical.search(q, chunks(spark, sf_dir), 10).join(q.select("query_id", "scope"), "query_id")
-    return rank.inject_recent(pool, q, chunks(spark, sf_dir), 12).select("query_id", "pos", "chunk_id")
+    q, c = cue_questions(spark, sf_dir), stored(spark, sf_dir)
+    pool = lexical.search(q, c, 10).join(q.select("query_id", "scope"), "query_id")
+    return rank.inject_recent(pool, q, c, 12).select("query_id", "pos", "chunk_id")
 
 
-@query("r11_cap", f"{N}, {BM25}, {SEARCH}, c AS (SELECT *, regexp_extract(source, '^(.*)/', 1) AS folder FROM hits WHERE pos <= 30), d AS (SELECT *, row_number() OVER (PARTITION BY query_id, folder ORDER BY pos) AS n FROM c) SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS pos FROM d WHERE n <= 2")
+@query("r11_cap", f"{N}, {BM25}, {SEARCH}, d AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY pos) AS n FROM hits WHERE pos <= 30) SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS pos FROM d WHERE n <= 2")
 def r11(spark, sf_dir):
-    c = candidates(spark, sf_dir).withColumn("source", F.regexp_extract("source", "^(.*)/", 1))  # folders stand for notes of several chunks
-    return rank.cap_per_source(c, 2).select("query_id", "chunk_id", "pos")
-
-
-@query("r12_retrieve")
+    return rank.cap_per_source(candidates(spark, sf_dir), 2).select("query_id", "chunk_id", "pos")
+
+
+#: The pipeline of ``retrieve`` step by step over the questions with cues: ``wide`` are the expanded questions of both
+#: legs; x1 to x9 are the lists after guard, fusion, injection, sibling order, rerank and recency.
+WIDE_SQL = f"SELECT query_id, CASE WHEN h = '' THEN regexp_replace(question, '^\\s+|\\s+$', '', 'g') ELSE concat(regexp_replace(question, '^\\s+|\\s+$', '', 'g'), ' ', h) END AS question, scope FROM (SELECT *, {hints_sql('question')} AS h FROM cue) z"
+PAYLOAD = "query_id, chunk_id, source, title, chunk, category, mtime, scope"
+RETRIEVE = f"""{N}, {CUES}, aq AS (SELECT query_id, lower(question) AS x FROM cue), {ANCHOR},
+{BM25.replace(QUESTIONS_SQL, WIDE_SQL)}, {SEARCH},
+{EMBED.format(key='chunk_id', text='chunk', src='chunks').replace('sl AS', 'csl AS').replace('nm AS', 'cnm AS').replace('FROM sl', 'FROM csl').strip()},
+{EMBED.format(key='query_id', text='question', src='q').replace('sl AS', 'qsl AS').replace('nm AS', 'qnm AS').replace('FROM sl', 'FROM qsl').strip()},
+dots AS (SELECT a.k AS query_id, b.k AS chunk_id, sum((a.n / an.norm) * (b.n / bn.norm)) AS dot FROM qsl a JOIN qnm an USING (k) JOIN csl b ON a.slot = b.slot JOIN cnm bn ON b.k = bn.k GROUP BY ALL),
+near AS (SELECT {PAYLOAD}, row_number() OVER (PARTITION BY query_id ORDER BY round(CASE WHEN qn.norm IS NULL THEN 0.0e0 ELSE 1.0e0 END + CASE WHEN cn.norm IS NULL THEN 0.0e0 ELSE 1.0e0 END - 2 * coalesce(dot, 0.0e0), 6), chunk_id) AS pos
+  FROM q JOIN chunks ON {SCOPED} LEFT JOIN dots USING (query_id, chunk_id) LEFT JOIN qnm qn ON qn.k = query_id LEFT JOIN cnm cn ON cn.k = chunk_id),
+v0 AS (SELECT * FROM near WHERE pos <= 60), w0 AS (SELECT {PAYLOAD}, pos FROM hits WHERE pos <= 60), {guard_sql('v0', 'v1')}, {guard_sql('w0', 'w1')},
+legs AS (SELECT *, 0 AS leg FROM v1 WHERE pos <= 30 UNION ALL BY NAME SELECT *, 1 AS leg FROM w1 WHERE pos <= 30),
+x0 AS (SELECT query_id, chunk_id, any_value(source) AS source, any_value(title) AS title, any_value(chunk) AS chunk, any_value(category) AS category, any_value(mtime) AS mtime, any_value(scope) AS scope,
+  round(sum(1.0e0 / (60 + pos)), 9) AS rrf_score, min(leg * 1000 + pos) AS o FROM legs GROUP BY query_id, chunk_id),
+x1 AS (SELECT * EXCLUDE (o) FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, o) AS pos FROM x0) WHERE pos <= 30),
+asks AS (SELECT query_id, scope, regexp_matches(question, '{INTENT}', 'i') AS intent, question FROM cue),
+r0 AS (SELECT query_id, chunk_id, source, title, chunk, category, mtime, scope, row_number() OVER (PARTITION BY query_id ORDER BY {TIME} DESC, source) AS pos FROM asks, chunks WHERE intent AND chunk_ix = 0 AND {SCOPED}),
+r1 AS (SELECT * FROM r0 WHERE pos <= 48), {guard_sql('r1', 'r2')},
+x2 AS (SELECT * EXCLUDE (pos), row_number() OVER (PARTITION BY query_id ORDER BY pos) AS pos FROM (SELECT * FROM x1 UNION ALL BY NAME SELECT * EXCLUDE (pos), pos + 1000000 AS pos FROM r2 WHERE pos <= 12 AND (query_id, chunk_id) NOT IN (SELECT (query_id, chunk_id) FROM x1))),
+{guard_sql('x2', 'x3')}, {siblings_sql('x3', 'x4', 'coalesce(rrf_score, 1.0e0 / (60 + pos))', 1.0)},
+x5 AS (SELECT * EXCLUDE (pos), row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, pos) AS pos FROM (SELECT x4.*, CAST(len(list_intersect({WORDSET.format('question')}, {WORDSET.format('chunk')})) AS DOUBLE) AS rerank_score FROM x4 JOIN asks USING (query_id))),
+{siblings_sql('x5', 'x6', 'rerank_score', rank.RERANK_SCALE)},
+x7 AS (SELECT x6.*, intent, {TIME} AS t, count(*) OVER p AS n, min(rerank_score) OVER p AS lo, max(rerank_score) OVER p AS hi FROM x6 JOIN asks USING (query_id) WINDOW p AS (PARTITION BY query_id)),
+x8 AS (SELECT *, min(CASE WHEN hi > lo THEN (rerank_score - lo) / (hi - lo) ELSE 1.0e0 END) OVER (PARTITION BY query_id ORDER BY pos) AS r FROM x7),
+x9 AS (SELECT *, CASE WHEN n < 2 THEN -CAST(pos AS DOUBLE) ELSE round(r + CASE WHEN intent THEN 1.0e0 ELSE 0.1e0 END * pow(0.5e0, greatest(0.0e0, (1706745600.0e0 - t) / 86400.0e0) / CASE WHEN intent THEN 14.0e0 ELSE 90.0e0 END), 9) END AS s FROM x8)"""
+
+
+@query("r12_retrieve", f"{RETRIEVE} SELECT query_id, pos, chunk_id, rrf_score, rerank_score FROM (SELECT query_id, chunk_id, rrf_score, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, pos) AS pos FROM x9) WHERE pos <= 8")
 def r12(spark, sf_dir):
-    return rank.retrieve(cue_questions(spark, sf_dir), chunks(spark, sf_dir), vector_leg(spark, sf_dir), rank.Config()).select("query_id", "pos", "chunk_id", "rrf_score", "rerank_score")
+    """One chunk table, one index and one expanded question for both legs."""
+    q, c = cue_questions(spark, sf_dir), stored(spark, sf_dir)
+    leg = scoped_neighbours(rank.widened(q), c, 2 * rank.Config.pool)
+    return rank.retrieve(q, c, leg, rank.Config(), lexical.index(c)).select("query_id", "pos", "chunk_id", "rrf_score", "rerank_score")

@@ -6,28 +6,31 @@ from pyspark.sql import functions as F
 
 from loam.operators import maintenance, screen
 from loam.plans.registry import query
-from loam.session import table
+from loam.session import table, texts
 from loam.sources import corpus
 
 N = f"WITH notes AS ({corpus.NOTES_SQL})"
-SQL_PATTERNS = [(k, n, r) for k, n, r in screen.SECRETS if "(?!" not in r]
+#: A pattern's look-ahead, which DuckDB's expressions don't have: of its alternatives only the first can begin a value.
+AHEAD = r"(?!your|os\.|process\.|settings\.)"
 
 
-def sql_regex(r: str) -> str:
-    return r.replace("'", "''")
+def matches_sql(r: str, s: str) -> str:
+    quoted = r.replace("'", "''")
+    if AHEAD not in r:
+        return f"regexp_matches({s}, '{quoted}')"
+    head, tail = quoted.split(AHEAD)
+    return f"len(list_filter(regexp_extract_all({s}, '{head}({tail})', 1), lambda v: NOT starts_with(lower(v), 'your'))) > 0"
 
 
-SCAN = "sc AS (SELECT doc_id AS path, unnest(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(s, '{sql_regex(r)}') THEN '{n}' END" for k, n, r in SQL_PATTERNS if k == "content") + "], lambda x: x IS NOT NULL)) AS name, line FROM (SELECT doc_id, generate_subscripts(l, 1) AS line, unnest(l) AS s FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))"
+def scan_sql(rows: str) -> str:
+    """``path, name, line`` of the secrets in ``rows`` (path, l: list of lines)."""
+    hits = ", ".join(f"CASE WHEN {matches_sql(r, 's')} THEN '{n}' END" for k, n, r in screen.SECRETS if k == "content")
+    return f"SELECT path, unnest(list_filter([{hits}], lambda x: x IS NOT NULL)) AS name, line FROM (SELECT path, generate_subscripts(l, 1) AS line, unnest(l) AS s FROM ({rows}))"
 
 
-@query("f09_secrets", f"WITH {SCAN} SELECT * FROM sc")
+@query("f09_secrets", scan_sql("SELECT doc_id AS path, string_split(text, chr(10)) AS l FROM documents"))
 def f09(spark, sf_dir):
-    return screen.scan(table(spark, sf_dir, "documents"), SQL_PATTERNS, "doc_id", "text").withColumnRenamed("doc_id", "path")
-
-
-@query("f09_all_secrets")
-def f09_all(spark, sf_dir):
-    return screen.scan(table(spark, sf_dir, "documents"), screen.SECRETS, "doc_id", "text")
+    return screen.scan(texts(spark, sf_dir), screen.SECRETS, "doc_id", "text").withColumnRenamed("doc_id", "path")
 
 
 RULES = ["# kept at home", "01 Journal/", "*7.md", "02 Projects/Beta/note 1*", "\\03 School\\CS\\"]
@@ -45,7 +48,11 @@ def f08(spark, sf_dir):
     return screen.ignored(corpus.notes(spark, sf_dir).select("path"), rules(spark))
 
 
-@query("i10_sync_report")
+FOUND = f"fd AS ({scan_sql(f'SELECT path, string_split(content, chr(10)) AS l FROM notes WHERE NOT ({IGN})')})"
+
+
+@query("i10_sync_report", f"""{N}, {FOUND}, tl AS (SELECT path, least(count(*), 5) AS told FROM fd GROUP BY path), p AS (SELECT path, CASE WHEN {IGN} THEN 'ignored' WHEN path IN (SELECT path FROM fd) THEN 'refused' ELSE 'upload' END AS verdict FROM notes)
+  SELECT verdict, count(*) AS n, CAST(coalesce(sum(told), 0) AS BIGINT) AS reasons FROM p LEFT JOIN tl USING (path) GROUP BY verdict""")
 def i10(spark, sf_dir):
     plan, found = screen.mirror_plan(corpus.notes(spark, sf_dir).select("path", "content"), rules(spark))
     return maintenance.sync_report(plan, found)

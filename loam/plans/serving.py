@@ -58,7 +58,7 @@ def a06(spark, sf_dir):
     return serve.delete_asks(log, log.filter("id % 5 = 0")).select("id", "snippet")
 
 
-@query("a07_recent_notes", f"{N} SELECT path AS source, mtime, left(content, 200) AS preview FROM notes ORDER BY mtime DESC, path LIMIT 6")
+@query("a07_recent_notes", f"{NC} SELECT source, max(mtime) AS mtime, left(string_agg(chunk, concat(chr(10), chr(10)) ORDER BY chunk_ix), 200) AS preview FROM chunks GROUP BY source ORDER BY 2 DESC, 1 LIMIT 6")
 def a07(spark, sf_dir):
     return serve.recent_notes(chunks(spark, sf_dir))
 
@@ -74,7 +74,7 @@ def a11(spark, sf_dir):
     return p.select("page_id", serve.redacted(F.col("url")).alias("url"))
 
 
-@query("a13_unique_sources", f"{HITS} SELECT query_id, pos, title, source FROM top WHERE pos <= 6")
+@query("a13_unique_sources", f"{HITS}, o AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY pos) AS n FROM top), u AS (SELECT query_id, title, source, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS pos FROM o WHERE n = 1) SELECT query_id, pos, title, source FROM u WHERE pos <= 6")
 def a13(spark, sf_dir):
     return serve.unique_sources(candidates(spark, sf_dir)).select("query_id", "pos", "title", "source")
 

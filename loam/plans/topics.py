@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loam.operators import topics as t
 from loam.plans.registry import query
-from loam.session import table
+from loam.session import texts
 
 #: A rule table in the shape of the reference's: id, title, folder, description, keywords.
 ROUTES = [
@@ -25,7 +25,7 @@ def routes(spark):
 
 
 def docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return texts(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def hit(kw: str) -> str:
@@ -105,14 +105,21 @@ def t06(spark, sf_dir):
     return t.stubs(chats, t.match_routes(d, routes(spark)), routes(spark))
 
 
-@query("t07_candidates")
+NOISY = f"""(tok IN ({', '.join(f"'{x}'" for x in t.STOP + t.WEAK)}) OR regexp_matches(tok, 'users|download|onedrive') OR (length(tok) >= 14 AND NOT contains(tok, '-')) OR length(tok) >= 24
+  OR (NOT contains(tok, '-') AND length(tok) >= 8 AND (len(regexp_extract_all(tok, '{t.EXTENSION}')) >= 2 OR regexp_matches(tok, '.{t.EXTENSION}$') OR regexp_matches(tok, '.{t.EXTENSION}.')))
+  OR (length(tok) >= 6 AND NOT contains(tok, '-') AND NOT regexp_matches(tok, '[aeiou]')))"""
+PHRASES = f"""tk AS (SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS tok FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z][a-z0-9\\-]{{3,}}') AS l FROM documents)),
+kp AS (SELECT doc_id, i, tok, lead(tok) OVER (PARTITION BY doc_id ORDER BY i) AS nx FROM tk WHERE NOT {NOISY}),
+ph AS (SELECT doc_id, concat(tok, ' ', nx) AS phrase, min(i) AS i FROM kp WHERE nx IS NOT NULL AND tok <> nx GROUP BY 1, 2),
+cd AS (SELECT doc_id, phrase, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos FROM ph WHERE phrase NOT IN ({', '.join(f"'{x}'" for x in t.BLOCKED)}) AND length(phrase) BETWEEN 7 AND 40)"""
+
+
+@query("t07_candidates", f"WITH {PHRASES} SELECT doc_id, CAST(pos AS INT) AS pos, phrase FROM cd WHERE pos < {t.CANDIDATES}")
 def t07(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.posexplode(t.candidate_phrases(F.col("text"))).alias("pos", "phrase"))
 
 
-@query("t08_noise", """WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9\\-]{3,}')) AS tok FROM documents) SELECT tok FROM w WHERE tok IN (%s) OR regexp_matches(tok, 'users|download|onedrive') OR (length(tok) >= 14 AND NOT contains(tok, '-')) OR length(tok) >= 24
-  OR (NOT contains(tok, '-') AND length(tok) >= 8 AND (len(regexp_extract_all(tok, '%s')) >= 2 OR regexp_matches(tok, '.%s$') OR regexp_matches(tok, '.%s.'))) OR (length(tok) >= 6 AND NOT contains(tok, '-') AND NOT regexp_matches(tok, '[aeiou]'))"""
-  % (", ".join(f"'{x}'" for x in t.STOP + t.WEAK), t.EXTENSION, t.EXTENSION, t.EXTENSION))
+@query("t08_noise", f"WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9\\-]{{3,}}')) AS tok FROM documents) SELECT tok FROM w WHERE {NOISY}")
 def t08(spark, sf_dir):
     w = docs(spark, sf_dir).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z][a-z0-9\-]{3,}"), F.lit(0))).alias("tok")).distinct()
     return w.filter(t.noisy(F.col("tok")))
@@ -123,7 +130,19 @@ def t09(spark, sf_dir):
     return t.near_duplicate_counts(docs(spark, sf_dir).select(F.explode(t.candidate_phrases(F.col("text"))).alias("phrase")))
 
 
-@query("t10_learned")
+#: Whether phrase and keyword are near duplicates.
+ALIKE = """(phrase = kw OR list_sort(list_distinct(string_split(phrase, ' '))) = list_sort(list_distinct(string_split(kw, ' '))) OR (abs(length(phrase) - length(kw)) <= 2 AND levenshtein(phrase, kw) <= 2)
+  OR (len(string_split(phrase, ' ')) = 2 AND len(string_split(kw, ' ')) = 2 AND ((split_part(phrase, ' ', 1) = split_part(kw, ' ', 1) AND levenshtein(split_part(phrase, ' ', 2), split_part(kw, ' ', 2)) <= 2)
+  OR (split_part(phrase, ' ', 2) = split_part(kw, ' ', 2) AND levenshtein(split_part(phrase, ' ', 1), split_part(kw, ' ', 1)) <= 2))))"""
+KEYWORDS = ", ".join(f"('{kw}')" for r in ROUTES for kw in r[4])
+
+
+@query("t10_learned", f"""WITH {MATCH}, {DECIDE}, {PHRASES}, cs AS (SELECT doc_id, coalesce(kw.topic, CASE WHEN reason = 'assigned' THEN dec.id END, 'chat-inbox') AS topic, CASE WHEN kw.topic IS NOT NULL THEN 1.0e0 WHEN reason = 'assigned' THEN best ELSE 0.0e0 END AS score
+  FROM documents LEFT JOIN kw USING (doc_id) JOIN dec USING (doc_id)), sure AS (SELECT * FROM cs WHERE score >= {t.LEARN}e0 AND topic <> 'chat-inbox'), tokens AS (SELECT id AS topic, regexp_extract_all(lower(profile), '[a-z][a-z0-9\\-]{{3,}}') AS tk FROM pr),
+  own AS (SELECT doc_id, topic, phrase, pos FROM cd JOIN sure USING (doc_id) JOIN tokens USING (topic) WHERE pos < {t.CANDIDATES} AND list_has_any(string_split(phrase, ' '), tk)), known AS (SELECT * FROM (VALUES {KEYWORDS}) v(kw)),
+  fresh AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM own WHERE NOT EXISTS (SELECT 1 FROM known WHERE {ALIKE})),
+  first AS (SELECT topic, phrase, min((doc_id, pos)) AS f FROM fresh WHERE n <= {t.PER_CHAT} GROUP BY ALL), rk AS (SELECT topic, phrase, row_number() OVER (PARTITION BY topic ORDER BY f DESC) AS rank FROM first)
+  SELECT topic, phrase, rank FROM rk WHERE rank <= {t.PER_TOPIC}""")
 def t10(spark, sf_dir):
     d = docs(spark, sf_dir)
     return t.learn(d, t.cascade(d, routes(spark)), routes(spark))

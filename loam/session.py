@@ -54,5 +54,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def env_path(name: str, default: str) -> str:
-    return os.environ.get(name, default)
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores where its scan has few partitions, such as one small file; large tables stay as they are."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if 2 * df.rdd.getNumPartitions() <= n else df
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table of texts, on which every core should work."""
+    return spread(table(spark, sf_dir, name))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.functions.ranking import global_rank
-from loam.session import table
+from loam.session import texts
 
 #: Path components that scans leave out; a component that starts with a full stop is left out always.
 EXCLUDED = ("Templates", "Attachments", "node_modules", "dist", "build", "venv")
@@ -44,7 +44,7 @@ FROM (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coa
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, path, title, category, mtime, content``: one note or chat for each document."""
-    return spark.sql(NOTES_SQL.replace("FROM documents)", "FROM {documents})"), documents=table(spark, sf_dir, "documents"))
+    return spark.sql(NOTES_SQL.replace("FROM documents)", "FROM {documents})"), documents=texts(spark, sf_dir))
 
 
 def later_notes(df: DataFrame) -> DataFrame:
@@ -55,17 +55,6 @@ def later_notes(df: DataFrame) -> DataFrame:
 LATER_SQL = "SELECT doc_id, path, title, category, CASE WHEN doc_id % 10 = 3 THEN mtime + 60.0e0 ELSE mtime END AS mtime, content FROM notes WHERE doc_id % 17 <> 0"
 
 
-def as_chunks(df: DataFrame) -> DataFrame:
-    """Notes as chunks of one piece each, in the columns of the chunk table."""
-    return df.select(
-        F.concat("path", F.lit("_chunk_0")).alias("chunk_id"), F.col("path").alias("source"), F.lit(0).alias("chunk_ix"),
-        F.col("content").alias("chunk"), F.lit("").alias("heading"), "title", "category", "mtime",
-    )
-
-
-CHUNKS_SQL = "SELECT concat(path, '_chunk_0') AS chunk_id, path AS source, 0 AS chunk_ix, content AS chunk, '' AS heading, title, category, mtime FROM notes"
-
-
 def basename(path: Column | str) -> Column:
     return F.regexp_extract(path, r"([^/]*)$", 1)
 

@@ -28,6 +28,12 @@ def error_ratios(stream: DataFrame, key: str, late: str = "30 minutes", limit: f
     return x.withColumn("breach", (F.col("errors") / F.col("n") > limit) & (F.col("n") >= least))
 
 
+def hourly(stream: DataFrame, key: str, value: str, limit: float, late: str = "1 hour") -> DataFrame:
+    """``key, end, breach``: whether the mean of an hour exceeds a limit, once the watermark has passed the hour."""
+    x = stream.withWatermark("ts", late).groupBy(F.window("ts", "1 hour").alias("w"), key).agg(F.avg(value).alias("mean"))
+    return x.select(key, F.window_time("w").alias("end"), (F.col("mean") > limit).alias("breach"))
+
+
 def hold_states(evaluations: DataFrame, key: str, hold_minutes: int) -> DataFrame:
     """``key, end, state`` of a stream of evaluations (key, end, breach): inactive, pending, firing, resolved.
 
@@ -39,7 +45,7 @@ def hold_states(evaluations: DataFrame, key: str, hold_minutes: int) -> DataFram
             state.remove()
             return
         since, firing = state.get if state.exists else (None, False)
-        rows = pd.concat(list(frames)).sort_values("end")
+        rows = pd.concat(list(frames)).sort_values("end", kind="stable")  # one row a key and window
         out = []
         for end, breach in zip(rows["end"], rows["breach"]):
             micros = int(end.value // 1000)
