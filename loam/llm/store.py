@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from loam.llm.components import join_groups
 from loam.llm.tokens import default_vocabulary, encoder
-from loam.session import materialise, shared_dir, table
+from loam.session import materialise, shared_dir, texts
 
 #: Ids that the rolling hash covers (a power of two), and the least and greatest ids of a chunk.
 WINDOW, LEAST, MOST = 16, 64, 4096
@@ -184,10 +184,15 @@ def _tops(nodes: DataFrame) -> DataFrame:
 
 
 def _meet(steps: DataFrame, chunks: DataFrame) -> DataFrame:
-    """``steps`` (with hash) left-joined to ``chunks``; hashes of many steps don't meet in one task."""
-    uses = materialise(steps.groupBy("hash").agg(F.count("*").alias("_uses")), "uses")
-    n = uses.agg(F.sum("_uses")).first()[0] or 0
-    return join_groups(steps, chunks.join(uses, "hash"), "hash", "_uses", n, "left").drop("_uses")
+    """``steps`` (with hash) left-joined to ``chunks``. Hashes of over a thousandth of the steps, 1000 at most, get their
+    chunks by broadcast, so that a chunk of very many documents is no single task."""
+    least = max(1000, steps.count() // 1000)
+    hot = materialise(steps.groupBy("hash").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("hash", F.lit(True).alias("_hot")), "hot")
+    if not hot.limit(1).count():
+        return steps.join(chunks, "hash", "left")
+    marked = steps.join(F.broadcast(hot), "hash", "left")
+    many = marked.filter("_hot").drop("_hot").join(F.broadcast(chunks.join(F.broadcast(hot.select("hash")), "hash", "left_semi")), "hash", "left")
+    return many.unionByName(marked.filter("_hot is null").drop("_hot").join(chunks, "hash", "left"))
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
@@ -246,7 +251,7 @@ def digests(spark: SparkSession, path: str, width: int) -> DataFrame:
     are shuffled. A missing or changed chunk, or a recipe that doesn't fit its root, makes ``intact`` false."""
     recipes = spark.read.parquet(f"{path}/recipes")
     steps = recipes.select("row_id", F.posexplode("chunks").alias("seq", "hash"))
-    found = _meet(steps, chunk_digests(spark.read.parquet(f"{path}/chunks"), width))
+    found = _meet(steps, materialise(chunk_digests(spark.read.parquet(f"{path}/chunks"), width), "digests"))
     lists = found.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("seq", "n", "crc", "good", "hash"))).alias("x"))
     rows = recipes.select("doc_id", "row_id", "start", "root").join(lists, "row_id")
     names = ["doc_id", "start", "n_tokens", "ids_crc32", "intact", "row_id"]
@@ -294,6 +299,6 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree, recipe and chunks fit their hashes, and the number of the row. Null texts have the end id alone."""
     path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex[:12]}"
     vocabulary = default_vocabulary()
-    write_store(table(spark, sf_dir, "documents"), path, vocabulary)
+    write_store(texts(spark, sf_dir), path, vocabulary)
     holds = tree_holds(spark, path)
     return digests(spark, path, encoder(vocabulary).width).withColumn("intact", F.col("intact") & F.lit(holds))
