@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.llm.components import free_name
-from loam.session import materialise, table
+from loam.session import materialise, table, texts
 
 #: Maps every byte that is in no word to a space and A-Z to a-z; bytes from 0x80 on are word bytes.
 _WORD = set(range(0x30, 0x3A)) | set(range(0x61, 0x7B)) | set(range(0x80, 0x100))
@@ -298,6 +298,6 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words, hit words and hit items of every document, and whether it is contaminated (a twentieth of its words or more).
 
     One row for each row of ``documents``, null texts with 0 words; ``longest`` is the longest match."""
-    x = judged(scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    x = judged(scan(texts(spark, sf_dir), table(spark, sf_dir, "benchmark")))
     names = F.array_join(F.array_sort("items"), ",")
     return x.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), "contaminated", "longest")

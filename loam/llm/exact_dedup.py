@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.llm.components import join_groups
-from loam.session import materialise, table
+from loam.session import materialise, texts
 
 #: Bits of one block of the filter, as in the bitmap functions, and bits of the filter for each row.
 BLOCK, BITS_PER_ROW = 32768, 16
@@ -96,7 +96,7 @@ def exact_dedup(docs: DataFrame, broadcast_bytes: int = 64 << 20) -> DataFrame:
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group, size and survivor of every row of ``documents``; edge cases as in exact_groups."""
-    return exact_groups(table(spark, sf_dir, "documents"))
+    return exact_groups(texts(spark, sf_dir))
 
 
 OP7_SQL = r"""

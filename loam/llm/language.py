@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loam.llm.quality import remainder
-from loam.session import table
+from loam.session import texts
 
 #: Lengths of the n-grams, hash functions, and slots of the filter, each with one bit a language.
 LENGTHS, HASHES, SLOTS = (1, 2, 3, 4), 3, 1 << 17
@@ -126,5 +126,5 @@ def identify(docs: DataFrame, filters: Filters) -> DataFrame:
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     return identify(docs, learn(docs)).select("doc_id", (remainder() == 2).alias("held_out"), "lang_pred", "score")

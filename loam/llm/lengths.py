@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loam.llm.tokens import default_vocabulary, encoder
-from loam.session import materialise, table
+from loam.session import materialise, texts
 
 #: Lengths that share one window partition of the suffix sums.
 BAND = 1024
@@ -89,4 +89,4 @@ def length_quantile(histogram: DataFrame, q: float) -> DataFrame:
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The exact length histogram of ``documents`` with its sums, one row for each length; null texts have length 0."""
-    return length_histogram(encoded_lengths(table(spark, sf_dir, "documents"), default_vocabulary()))
+    return length_histogram(encoded_lengths(texts(spark, sf_dir), default_vocabulary()))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.llm.tokens import default_vocabulary, encoder
-from loam.session import table
+from loam.session import texts
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
 
@@ -167,4 +167,4 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 1
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), default_vocabulary())
+    return pack(texts(spark, sf_dir), default_vocabulary())

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.session import materialise, table
+from loam.session import materialise, texts
 
 #: Kinds in the order of the results. The patterns are those of the contract with a start condition, which saves
 #: attempts inside a run but loses no match, and possessive repeats, which never need to give back.
@@ -273,7 +273,7 @@ def op5_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     One row for each row of ``documents``; null texts are empty and have no span, repeated rows have theirs each, an empty
     table gives no row. ``n_values`` are the values of all kinds, ``n_terms`` the spans of terms."""
-    x = private_spans(table(spark, sf_dir, "documents"), every_row=True)
+    x = private_spans(texts(spark, sf_dir), every_row=True)
     n = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     terms = lambda k: F.filter("terms", lambda s: s["kind"] == k)
     return x.select(

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.llm.components import free_name
-from loam.session import table
+from loam.session import table, texts
 
 #: Character classes of the shape n-grams; characters of no class here are letters of lower case (2), of upper case
 #: (3), digits (4), white space (0) or others (15).
@@ -189,6 +189,6 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
 
 
 def op9_quality(spark: SparkSession, sf_dir: str, threshold: float = 0.7) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     s = scored(docs.select("doc_id", "text"), train(docs, table(spark, sf_dir, "labels")))
     return s.select("doc_id", (remainder() == 2).alias("held_out"), "score").withColumn("predicted", (F.col("score") >= threshold).cast("int"))

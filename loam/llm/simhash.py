@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loam.llm.components import components, free_name, join_groups
 from loam.llm.decontaminate import drop_ids, numbered
-from loam.session import materialise, table
+from loam.session import materialise, texts
 
 #: Fingerprints that one task's trie holds at a time, and node pairs that are split at a time in a task.
 HELD, FRONT = 1 << 18, 1 << 16
@@ -316,4 +316,4 @@ def near_dedup(docs: DataFrame, size: int = 4, distance: int = 4) -> DataFrame:
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every row of ``documents``; edge cases as in near_groups."""
-    return near_groups(table(spark, sf_dir, "documents"))
+    return near_groups(texts(spark, sf_dir))
