@@ -59,6 +59,7 @@ def _fences(ls: Column) -> Column:
     return F.when(F.size(marks) == 0, start["out"]).otherwise(F.aggregate(marks, start, step, end))
 
 
+#: Fixed value: an ATX heading.
 HEADING = r"^ {0,3}#{1,6}\s+(.*)$"
 
 
@@ -150,6 +151,7 @@ def path_tags(path: Column) -> Column:
     return F.when(F.size(tags) == 0, F.array(F.lit("second-brain"))).otherwise(tags)
 
 
+#: Fixed value: a heading mark in snippets and blocks.
 MARK = r"^(#{1,6})\s+(.*)$"
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Kinds of secrets and what they look like, as published by those who issue them.
@@ -19,8 +19,9 @@ SECRETS = [
 ]
 
 
-def read_patterns(spark: SparkSession, lines: list[str]) -> DataFrame:
-    """``kind, name, regex`` of lines; comments and blank lines are skipped, a malformed line is an error."""
+def read_patterns(lines: list[str]) -> list[tuple[str, str, str]]:
+    """``kind, name, regex`` of the lines of a pattern file, as ``scan`` takes them; comments and blank lines are skipped, a
+    malformed line is an error."""
     out = []
     for n, raw in enumerate(lines, 1):
         parts = raw.strip().split(None, 2)
@@ -29,8 +30,8 @@ def read_patterns(spark: SparkSession, lines: list[str]) -> DataFrame:
         if len(parts) != 3 or parts[0] not in ("content", "path"):
             raise ValueError(f"line {n}: expected 'content|path name regex'")
         re.compile(parts[2])
-        out.append(tuple(parts))
-    return spark.createDataFrame(out, "kind string, name string, regex string")
+        out.append((parts[0], parts[1], parts[2]))
+    return out
 
 
 def scan(files: DataFrame, patterns: list[tuple[str, str, str]] = SECRETS, path: str = "path", text: str = "content") -> DataFrame:

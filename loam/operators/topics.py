@@ -14,18 +14,29 @@ VOTE_FLOOR, VOTE_CONFIDENCE = 0.35, 0.75
 PER_CHAT, PER_TOPIC, CANDIDATES = 3, 40, 25
 INBOX = "chat-inbox"
 #: Words that no phrase may hold.
-STOP = """the a an and or to for of in on my i you we is are was were be with how what can could would should this that it me im so uh um do does did
-from as at about into over under your any all not just like want need make use using file files user mentioned please thanks hello hey untitled session chat
-transcript effort following codex agent claude gemini gpt assistant true false null""".split()
-WEAK = """recently basically alright okay please thanks something anything everything notes project projects setup today tomorrow yesterday still maybe probably
-actually really because then these those them this that before after when where which than also into from with about year years ideas helps help steps step
-folder folders interrupted source here there very just such same each every main personal find open mode status scan browser automation cities designs usage
-token one two three four five six seven eight nine ten besides real read-only error issue work""".split()
+STOP = [
+    "the", "a", "an", "and", "or", "to", "for", "of", "in", "on", "my", "i", "you", "we", "is", "are", "was", "were", "be", "with", "how", "what",
+    "can", "could", "would", "should", "this", "that", "it", "me", "im", "so", "uh", "um", "do", "does", "did", "from", "as", "at", "about", "into",
+    "over", "under", "your", "any", "all", "not", "just", "like", "want", "need", "make", "use", "using", "file", "files", "user", "mentioned",
+    "please", "thanks", "hello", "hey", "untitled", "session", "chat", "transcript", "effort", "following", "codex", "agent", "claude", "gemini",
+    "gpt", "assistant", "true", "false", "null",
+]
+#: Words that say too little for a phrase.
+WEAK = [
+    "recently", "basically", "alright", "okay", "please", "thanks", "something", "anything", "everything", "notes", "project", "projects", "setup",
+    "today", "tomorrow", "yesterday", "still", "maybe", "probably", "actually", "really", "because", "then", "these", "those", "them", "this", "that",
+    "before", "after", "when", "where", "which", "than", "also", "into", "from", "with", "about", "year", "years", "ideas", "helps", "help", "steps",
+    "step", "folder", "folders", "interrupted", "source", "here", "there", "very", "just", "such", "same", "each", "every", "main", "personal",
+    "find", "open", "mode", "status", "scan", "browser", "automation", "cities", "designs", "usage", "token", "one", "two", "three", "four", "five",
+    "six", "seven", "eight", "nine", "ten", "besides", "real", "read-only", "error", "issue", "work",
+]
+#: Phrases that are never taken up.
 BLOCKED = [
     "review status", "student transtioning", "security scan", "semgrep scan", "semgrep security", "impeccable designs", "impeccable skill", "chrome browser",
     "browser automation", "in-app browser", "auto mode", "default mode", "voice mode", "these cities", "open data", "source audited", "into obsidian",
     "commit callender", "analyze this video", "five routes", "besides second", "work read-only", "error code", "code enoent", "real link", "github issue", "real vault",
 ]
+#: Fixed value: file extensions that mark mashed words.
 EXTENSION = "(pdf|docx?|xlsx?|pptx?|png|jpe?g|gif|zip|json|xml|html|csv|txt)"
 
 

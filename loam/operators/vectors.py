@@ -51,17 +51,6 @@ def knn(queries: DataFrame, items: DataFrame, k: int, query_id: str = "query_id"
     return out
 
 
-def near_pairs(items: DataFrame, threshold: float, item_id: str = "item_id", bucket: float = 1.0, tables: int = 8, seed: int = 42) -> DataFrame:
-    """Pairs within squared distance ``threshold`` by random projections, checked exactly; may miss some pairs."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    v = items.select(item_id, array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=seed).fit(v)
-    j = model.approxSimilarityJoin(v, v, threshold**0.5, "d").filter(F.col(f"datasetA.{item_id}") < F.col(f"datasetB.{item_id}"))
-    return j.select(F.col(f"datasetA.{item_id}").alias("a"), F.col(f"datasetB.{item_id}").alias("b"), (F.col("d") * F.col("d")).alias("distance"))
-
-
 def clusters(items: DataFrame, k: int = 8, item_id: str = "item_id", seed: int = 42) -> DataFrame:
     """``item_id, cluster``: k-means labels with at most as many clusters as items; with one item or none, cluster 0."""
     from pyspark.ml.clustering import KMeans

@@ -349,13 +349,22 @@ def r11(spark, sf_dir):
 #: legs; x1 to x9 are the lists after guard, fusion, injection, sibling order, rerank and recency.
 WIDE_SQL = f"SELECT query_id, CASE WHEN h = '' THEN regexp_replace(question, '^\\s+|\\s+$', '', 'g') ELSE concat(regexp_replace(question, '^\\s+|\\s+$', '', 'g'), ' ', h) END AS question, scope FROM (SELECT *, {hints_sql('question')} AS h FROM cue) z"
 PAYLOAD = "query_id, chunk_id, source, title, chunk, category, mtime, scope"
-RETRIEVE = f"""{N}, {CUES}, aq AS (SELECT query_id, lower(question) AS x FROM cue), {ANCHOR},
-{BM25.replace(QUESTIONS_SQL, WIDE_SQL)}, {SEARCH},
-{EMBED.format(key='chunk_id', text='chunk', src='chunks').replace('sl AS', 'csl AS').replace('nm AS', 'cnm AS').replace('FROM sl', 'FROM csl').strip()},
+#: Chunks of each question's scope by the distance of their vectors.
+NEAR = f"""{EMBED.format(key='chunk_id', text='chunk', src='chunks').replace('sl AS', 'csl AS').replace('nm AS', 'cnm AS').replace('FROM sl', 'FROM csl').strip()},
 {EMBED.format(key='query_id', text='question', src='q').replace('sl AS', 'qsl AS').replace('nm AS', 'qnm AS').replace('FROM sl', 'FROM qsl').strip()},
 dots AS (SELECT a.k AS query_id, b.k AS chunk_id, sum((a.n / an.norm) * (b.n / bn.norm)) AS dot FROM qsl a JOIN qnm an USING (k) JOIN csl b ON a.slot = b.slot JOIN cnm bn ON b.k = bn.k GROUP BY ALL),
 near AS (SELECT {PAYLOAD}, row_number() OVER (PARTITION BY query_id ORDER BY round(CASE WHEN qn.norm IS NULL THEN 0.0e0 ELSE 1.0e0 END + CASE WHEN cn.norm IS NULL THEN 0.0e0 ELSE 1.0e0 END - 2 * coalesce(dot, 0.0e0), 6), chunk_id) AS pos
-  FROM q JOIN chunks ON {SCOPED} LEFT JOIN dots USING (query_id, chunk_id) LEFT JOIN qnm qn ON qn.k = query_id LEFT JOIN cnm cn ON cn.k = chunk_id),
+  FROM q JOIN chunks ON {SCOPED} LEFT JOIN dots USING (query_id, chunk_id) LEFT JOIN qnm qn ON qn.k = query_id LEFT JOIN cnm cn ON cn.k = chunk_id)"""
+
+
+@query("v03_scoped_knn", f"{N}, q AS ({QUESTIONS_SQL}), {NEAR} SELECT query_id, pos, chunk_id FROM near WHERE pos <= 8")
+def v03(spark, sf_dir):
+    return scoped_neighbours(questions(spark, sf_dir), stored(spark, sf_dir), 8).select("query_id", "pos", "chunk_id")
+
+
+RETRIEVE = f"""{N}, {CUES}, aq AS (SELECT query_id, lower(question) AS x FROM cue), {ANCHOR},
+{BM25.replace(QUESTIONS_SQL, WIDE_SQL)}, {SEARCH},
+{NEAR},
 v0 AS (SELECT * FROM near WHERE pos <= 60), w0 AS (SELECT {PAYLOAD}, pos FROM hits WHERE pos <= 60), {guard_sql('v0', 'v1')}, {guard_sql('w0', 'w1')},
 legs AS (SELECT *, 0 AS leg FROM v1 WHERE pos <= 30 UNION ALL BY NAME SELECT *, 1 AS leg FROM w1 WHERE pos <= 30),
 x0 AS (SELECT query_id, chunk_id, any_value(source) AS source, any_value(title) AS title, any_value(chunk) AS chunk, any_value(category) AS category, any_value(mtime) AS mtime, any_value(scope) AS scope,

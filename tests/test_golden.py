@@ -1,5 +1,7 @@
 """Small cases with known results."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -284,3 +286,50 @@ def test_near_pairs_are_exact(spark, sf):
     for a in list(e)[:20]:
         want = sorted((round(sum((float(x) - float(y)) ** 2 for x, y in zip(e[a], e[b])), 6), b) for b in e)[:4]
         assert [i for _, i in sorted(got[a])] == [b for _, b in want]
+
+
+def test_pattern_files(spark):
+    got = screen.read_patterns(["# ours", "", "content key  \\bK[0-9]{4}\\b", "path env (?:^|/)\\.env$"])
+    assert got == [("content", "key", r"\bK[0-9]{4}\b"), ("path", "env", r"(?:^|/)\.env$")]
+    files = spark.createDataFrame([("a/.env", "x\nK1234 y"), ("b", "K12345"), ("c", None)], "path string, content string")
+    assert sorted(tuple(r) for r in screen.scan(files, got).collect()) == [("a/.env", "env", 0), ("a/.env", "key", 2), ("c", "unreadable", 0)]
+    for bad in (["content key"], ["other key x"], ["content key ("]):
+        with pytest.raises((ValueError, re.error)):
+            screen.read_patterns(bad)
+
+
+def test_note_clusters(spark):
+    rows = [(f"{s}{i}", s, i, [float(x == (ord(s) - 97) // 2) + 0.01 * i for x in range(4)]) for s in "abcdef" for i in range(2)]
+    c = spark.createDataFrame(rows, "chunk_id string, source string, chunk_ix int, embedding array<double>")
+    got = {r["source"]: r["cluster"] for r in vectors.note_clusters(c, 3).collect()}
+    assert len(got) == 6 and len(set(got.values())) == 3 and all(got[a] == got[b] for a, b in ("ab", "cd", "ef"))
+    last = {r["chunk_id"]: r["cluster"] for r in vectors.clusters(c, 3, "chunk_id").collect()}
+    assert got == {s: last[f"{s}1"] for s in "abcdef"}
+    assert vectors.note_clusters(c.limit(0)).count() == 0
+    assert [r["cluster"] for r in vectors.note_clusters(c.filter("source = 'a'")).collect()] == [0]
+
+
+def test_ranks_within_groups(spark):
+    from loam.functions.ranking import grouped_rank
+
+    rows = [(k, v) for k in ("a", None, "b") for v in (3, 1, 2)]
+    got = grouped_rank(spark.createDataFrame(rows, "k string, v int"), "n", ["k"], F.desc("v")).collect()
+    assert sorted((str(r["k"]), r["v"], r["n"]) for r in got) == sorted((str(k), v, 4 - v) for k, v in rows)
+
+
+def test_provenance_and_versions(spark, tmp_path):
+    stamps = spark.createDataFrame([("x", "m1")], "index string, model string")
+    runs = spark.createDataFrame([("x", "m1", False), ("x", "m2", False), ("x", "m2", True), ("y", "m2", False)], "index string, model string, full boolean")
+    assert sorted(tuple(r) for r in maintenance.provenance(stamps, runs).collect()) == [("x", "m1", False, "incremental"), ("x", "m2", False, "refused"), ("x", "m2", True, "rebuild"), ("y", "m2", False, "new")]
+    root = f"file://{tmp_path}/t"
+    for v in (0, 1):
+        maintenance.write_version(spark.range(5 + v).select(F.col("id").cast("string").alias("source")), root, v)
+    assert maintenance.read_version(spark, root).count() == 6 and maintenance.read_version(spark, root, 0).columns == ["source"]
+
+
+def test_case_rows_and_arrays_score_alike(spark):
+    ranked = spark.createDataFrame([(1, 1, "x"), (1, 2, "a"), (2, 1, "y")], "query_id int, pos int, source string")
+    arrays = spark.createDataFrame([(1, ["a", "b"]), (2, ["c"])], "query_id int, expected_sources array<string>")
+    one = arrays.select("query_id", F.explode("expected_sources").alias("source"))
+    score = lambda c: sorted(tuple(r) for r in evals.score_cases(ranked, c, 4).collect())
+    assert score(arrays) == score(one) == [(1, True, 2, 0.5), (2, False, None, 0.0)]
