@@ -33,6 +33,8 @@ WINDOW, LEAST, MOST = 16, 64, 4096
 BITS = 9
 #: Children of one node of the Merkle tree, and bytes of a broadcast row of a chunk's hash with its first place.
 FAN, HASH_ROW = 1024, 200
+#: Chunks are written in row groups of so many bytes, which a task holds in memory.
+WRITE = {"compression": "zstd", "parquet.block.size": str(16 << 20)}
 
 
 def cuts(ids: np.ndarray, bits: int = BITS, least: int = LEAST, most: int = MOST) -> list[int]:
@@ -112,7 +114,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, pa
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     scratch = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex[:12]}"
-    chunked(docs, vocabulary, end_id).write.option("compression", "zstd").parquet(f"{scratch}/cut")
+    chunked(docs, vocabulary, end_id).write.options(**WRITE).parquet(f"{scratch}/cut")
     cut = spark.read.schema("doc_id long, row_id long, seq long, hash binary, ids binary").parquet(f"{scratch}/cut")
     width = encoder(vocabulary).width
     twice = cut.groupBy("hash").agg(F.count("*").alias("c"), F.min(F.struct("row_id", "seq")).alias("kept")).filter("c > 1")
@@ -122,7 +124,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, pa
     else:
         marked = join_groups(cut, twice, "hash", "c", cut.count(), "left")
     first = F.col("kept").isNull() | ((F.col("kept.row_id") == F.col("row_id")) & (F.col("kept.seq") == F.col("seq")))
-    marked.filter(first).select("hash", "ids", F.lit(width).alias("width")).write.option("compression", "zstd").parquet(f"{path}/chunks")
+    marked.filter(first).select("hash", "ids", F.lit(width).alias("width")).write.options(**WRITE).parquet(f"{path}/chunks")
 
     n: Column = F.expr(f"octet_length(ids) div {width}")
     docs_ = cut.select("doc_id", "row_id", "seq", "hash", n.alias("n")).groupBy("doc_id", "row_id").agg(

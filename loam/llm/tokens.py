@@ -10,7 +10,7 @@ from itertools import chain
 import numpy as np
 
 #: Entries of a worker's caches of words and of their pieces, about 200 bytes each. Full caches take no more.
-CACHE_WORDS, CACHE_PIECES = 900_000, 100_000
+CACHE_WORDS, CACHE_PIECES = 500_000, 50_000
 #: Words that are cut into pieces here: printable ASCII without the apostrophe, and letters of Latin-1.
 PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]+")
 PIECE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
