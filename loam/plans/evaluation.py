@@ -13,7 +13,8 @@ from loam.session import materialise, table
 from loam.sources import corpus
 
 EXP = "ex AS (SELECT query_id, path AS source FROM q JOIN notes ON doc_id % 40 = query_id % 40 AND query_id % 3 <> 2 UNION ALL SELECT query_id, 'gone.md' FROM q WHERE query_id % 3 = 2)"
-POOL = "pool AS (SELECT query_id, pos, chunk_id, score AS rrf_score, source, title, chunk, category, mtime, scope, question FROM hits JOIN (SELECT query_id, question FROM q) USING (query_id) WHERE pos <= 30)"
+POOL = """pool AS (SELECT query_id, pos, chunk_id, score AS rrf_score, source, title, chunk, category, mtime, scope, question FROM hits
+  JOIN (SELECT query_id, question FROM q) USING (query_id) WHERE pos <= 30)"""
 BASE = f"{NC}, {BM25}, {SEARCH}, {POOL}, {RERANKED}, {EXP}"
 
 
@@ -62,8 +63,11 @@ def e04(spark, sf_dir):
     return ev.aggregate(ev.score_cases(ev.unique_sources(pool(spark, sf_dir)), cases(spark, sf_dir), 8))
 
 
-RUN = f"""{BASE}, gr AS (SELECT DISTINCT query_id FROM ex WHERE source IN (SELECT path FROM notes)), sc AS ({scored(8, 'ranked')}), ip AS (SELECT DISTINCT query_id FROM pool JOIN ex USING (query_id, source))
-  SELECT sc.query_id, CASE WHEN gr.query_id IS NULL THEN 'ungradable' WHEN hit THEN 'hit' ELSE 'miss' END AS status, CASE WHEN gr.query_id IS NOT NULL THEN rank END AS rank, CASE WHEN gr.query_id IS NOT NULL THEN ip.query_id IS NOT NULL END AS in_pool FROM sc LEFT JOIN gr USING (query_id) LEFT JOIN ip USING (query_id)"""
+RUN = f"""{BASE}, gr AS (SELECT DISTINCT query_id FROM ex WHERE source IN (SELECT path FROM notes)), sc AS ({scored(8, 'ranked')}),
+  ip AS (SELECT DISTINCT query_id FROM pool JOIN ex USING (query_id, source))
+  SELECT sc.query_id, CASE WHEN gr.query_id IS NULL THEN 'ungradable' WHEN hit THEN 'hit' ELSE 'miss' END AS status, CASE
+  WHEN gr.query_id IS NOT NULL THEN rank END AS rank, CASE WHEN gr.query_id IS NOT NULL THEN ip.query_id IS NOT NULL END AS in_pool FROM sc LEFT
+  JOIN gr USING (query_id) LEFT JOIN ip USING (query_id)"""
 
 
 @query("e05_run", RUN)
@@ -72,7 +76,9 @@ def e05(spark, sf_dir):
     return ev.run(reranked(spark, sf_dir, p), p, materialise(cases(spark, sf_dir), "cases"), corpus.notes(spark, sf_dir).select(F.col("path").alias("source")), 8, [6])[0]
 
 
-@query("e06_served_scores", f"{BASE}, t AS (SELECT *, row_number() OVER (PARTITION BY query_id, title ORDER BY pos) AS n FROM pool), v AS (SELECT query_id, source, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS pos FROM t WHERE n = 1), sc AS ({scored(8, 'v')}) SELECT query_id, hit, rank FROM sc")
+@query("e06_served_scores", f"""{BASE}, t AS (SELECT *, row_number() OVER (PARTITION BY query_id, title ORDER BY pos) AS n FROM pool),
+  v AS (SELECT query_id, source, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS pos FROM t WHERE n = 1), sc AS ({scored(8, 'v')})
+  SELECT query_id, hit, rank FROM sc""")
 def e06(spark, sf_dir):
     from loam.operators.serve import search_results
 
@@ -81,7 +87,8 @@ def e06(spark, sf_dir):
 
 
 def view(name: str, src: str, early: bool = True) -> str:
-    of = lambda k: f"SELECT '{name}' AS view, {k} AS k, round(avg(CASE WHEN hit THEN 1.0e0 ELSE 0.0e0 END), 6) AS hit_rate, round(avg(rr), 6) AS mrr, count(*) AS cases FROM ({scored(k, src, early)}) v{k}"
+    of = lambda k: f"""SELECT '{name}' AS view, {k} AS k, round(avg(CASE WHEN hit THEN 1.0e0 ELSE 0.0e0 END), 6) AS hit_rate, round(avg(rr), 6) AS mrr,
+  count(*) AS cases FROM ({scored(k, src, early)}) v{k}"""
     return " UNION ALL ".join(map(of, (4, 8)))
 
 
@@ -106,13 +113,16 @@ def e07(spark, sf_dir):
 LAT = "lt AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events)"
 
 
-@query("e08_latency", f"WITH {LAT} SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS median, max(value) FILTER (i = round_even(0.95e0 * (n - 1), 0)) AS p95, round(avg(value), 6) AS mean, min(value) AS min, max(value) AS max FROM lt GROUP BY event_type")
+@query("e08_latency", f"""WITH {LAT} SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS median,
+  max(value) FILTER (i = round_even(0.95e0 * (n - 1), 0)) AS p95, round(avg(value), 6) AS mean, min(value) AS min, max(value) AS max FROM lt
+  GROUP BY event_type""")
 def e08(spark, sf_dir):
     x = ev.latency(table(spark, sf_dir, "events"), "value", "event_type")
     return x.withColumns({"median": F.round("median", 6), "mean": F.round("mean", 6)})
 
 
-@query("e09_sweep_report", """WITH s AS (SELECT event_type AS model, user_id % 2 AS max_len, 1 AS batch, value FROM events), m AS (SELECT model, max_len, batch, count(*) AS n_timed, quantile_cont(value, 0.5) AS median, length(model) % 3 AS hit4 FROM s GROUP BY ALL)
+@query("e09_sweep_report", """WITH s AS (SELECT event_type AS model, user_id % 2 AS max_len, 1 AS batch, value FROM events), m AS (SELECT model, max_len, batch,
+  count(*) AS n_timed, quantile_cont(value, 0.5) AS median, length(model) % 3 AS hit4 FROM s GROUP BY ALL)
   SELECT model, max_len, hit4, n_timed, round(median, 6) AS median, row_number() OVER (ORDER BY hit4 DESC, median, model, max_len) AS pos FROM m""")
 def e09(spark, sf_dir):
     s = table(spark, sf_dir, "events").select(F.col("event_type").alias("model"), (F.col("user_id") % 2).alias("max_len"), F.lit(1).alias("batch"), F.col("value").alias("sample_ms"), "event_id")
@@ -120,7 +130,8 @@ def e09(spark, sf_dir):
     return ev.sweep_report(files, s).select("model", "max_len", "hit4", "n_timed", F.round("median", 6).alias("median"), "pos")
 
 
-@query("e10_spread_sample", "WITH c AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS r, count(*) OVER () AS n FROM benchmark) SELECT item_id AS case_id FROM c WHERE r IN (SELECT CAST(floor(i * (SELECT max(n) FROM c) / 10.0e0) AS BIGINT) FROM range(0, 10) t(i))")
+@query("e10_spread_sample", """WITH c AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS r, count(*) OVER () AS n FROM benchmark)
+  SELECT item_id AS case_id FROM c WHERE r IN (SELECT CAST(floor(i * (SELECT max(n) FROM c) / 10.0e0) AS BIGINT) FROM range(0, 10) t(i))""")
 def e10(spark, sf_dir):
     return ev.spread_sample(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("case_id")), 10)
 
@@ -129,7 +140,10 @@ def case_rows(spark, sf_dir):
     return questions(spark, sf_dir).select(F.col("query_id").alias("case_id"), "question", F.array(F.lit("x.md")).alias("expected_sources"), "scope")
 
 
-FP = "fp AS (SELECT CAST(sum(n) AS BIGINT) AS cases, sha256(string_agg(h, '' ORDER BY b)) AS sha256 FROM (SELECT b, count(*) AS n, sha256(string_agg(h, '' ORDER BY item_id)) AS h FROM (SELECT item_id, (row_number() OVER (ORDER BY item_id) - 1) // 1024 AS b, sha256(concat_ws(chr(1), CAST(item_id AS VARCHAR), coalesce(text, ''), 'x.md', CASE item_id % 3 WHEN 0 THEN 'notes' WHEN 1 THEN 'chats' ELSE 'all' END)) AS h FROM benchmark) GROUP BY b))"
+FP = """fp AS (SELECT CAST(sum(n) AS BIGINT) AS cases, sha256(string_agg(h, '' ORDER BY b)) AS sha256 FROM (SELECT b, count(*) AS n, sha256(string_agg(h, ''
+  ORDER BY item_id)) AS h FROM (SELECT item_id, (row_number()
+  OVER (ORDER BY item_id) - 1) // 1024 AS b, sha256(concat_ws(chr(1), CAST(item_id AS VARCHAR), coalesce(text, ''), 'x.md', CASE item_id % 3 WHEN 0 THEN 'notes'
+  WHEN 1 THEN 'chats' ELSE 'all' END)) AS h FROM benchmark) GROUP BY b))"""
 
 
 @query("e11_baseline", f"WITH {FP} SELECT cases, sha256, 0.8e0 AS hit_rate FROM fp")
@@ -168,14 +182,16 @@ def e15(spark, sf_dir):
     return ev.check_summary(table(spark, sf_dir, "events").select((F.col("event_type") != "error").alias("ok"), F.col("value").alias("ms")))
 
 
-@query("e16_newest_rows", "SELECT CAST(event_id AS VARCHAR) AS event_id, coalesce(CAST(CASE WHEN user_id % 2 = 0 THEN user_id END AS VARCHAR), '-') AS user_id, concat(strftime(ts, '%Y-%m-%d %H:%M:%S'), '/', lpad(CAST(event_id AS VARCHAR), 9, '0')) AS stamp FROM events ORDER BY stamp DESC LIMIT 20")
+@query("e16_newest_rows", """SELECT CAST(event_id AS VARCHAR) AS event_id, coalesce(CAST(CASE WHEN user_id % 2 = 0 THEN user_id END AS VARCHAR), '-') AS user_id,
+  concat(strftime(ts, '%Y-%m-%d %H:%M:%S'), '/', lpad(CAST(event_id AS VARCHAR), 9, '0')) AS stamp FROM events ORDER BY stamp DESC LIMIT 20""")
 def e16(spark, sf_dir):
     stamp = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("/"), F.lpad(F.col("event_id").cast("string"), 9, "0"))
     e = table(spark, sf_dir, "events").select("event_id", F.when(F.col("user_id") % 2 == 0, F.col("user_id")).alias("user_id"), stamp.alias("stamp"))
     return ev.newest(e, 20, "stamp")
 
 
-@query("s05_cases", "SELECT item_id AS case_id, CASE item_id % 5 WHEN 1 THEN 'question is missing or blank' WHEN 2 THEN 'expected_sources is missing or empty' WHEN 3 THEN 'unknown scope' ELSE 'valid' END AS outcome FROM benchmark WHERE item_id % 5 <> 4")
+@query("s05_cases", """SELECT item_id AS case_id, CASE item_id % 5 WHEN 1 THEN 'question is missing or blank' WHEN 2 THEN 'expected_sources is missing or empty'
+  WHEN 3 THEN 'unknown scope' ELSE 'valid' END AS outcome FROM benchmark WHERE item_id % 5 <> 4""")
 def s05(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark")
     m = F.col("item_id") % 5

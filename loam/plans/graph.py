@@ -12,11 +12,14 @@ from loam.session import table
 from loam.sources import corpus
 
 N = f"WITH notes AS ({corpus.NOTES_SQL})"
-ALIAS = """al AS (SELECT alias, max(path) AS p FROM (SELECT lower(title) AS alias, path FROM notes UNION ALL SELECT lower(replace(path, '.md', '')), path FROM notes UNION ALL SELECT lower(path), path FROM notes) GROUP BY alias),
-wide AS (SELECT alias, max(path) AS p FROM (SELECT lower(title) AS alias, path FROM notes UNION ALL SELECT lower(replace(path, '.md', '')), path FROM notes UNION ALL SELECT lower(path), path FROM notes
+ALIAS = """al AS (SELECT alias, max(path) AS p FROM (SELECT lower(title) AS alias, path FROM notes UNION ALL SELECT lower(replace(path, '.md', '')), path
+  FROM notes UNION ALL SELECT lower(path), path FROM notes) GROUP BY alias),
+wide AS (SELECT alias, max(path) AS p FROM (SELECT lower(title) AS alias, path FROM notes UNION ALL SELECT lower(replace(path, '.md', '')), path FROM notes
+  UNION ALL SELECT lower(path), path FROM notes
   UNION ALL SELECT lower(regexp_extract(replace(path, '.md', ''), '([^/]*)$', 1)), path FROM notes) GROUP BY alias)"""
 RES = f"""{LINKS}, {GLINKS}, {ALIAS},
-res AS (SELECT path AS source, title AS source_title, trim(target) AS target, p FROM lk LEFT JOIN al ON alias = regexp_extract(lower(trim(target)), '^([^#]*)', 1) WHERE NOT starts_with(trim(target), 'http')),
+res AS (SELECT path AS source, title AS source_title, trim(target) AS target, p FROM lk LEFT
+  JOIN al ON alias = regexp_extract(lower(trim(target)), '^([^#]*)', 1) WHERE NOT starts_with(trim(target), 'http')),
 hres AS (SELECT gl.path AS source, n.title AS source_title, trim(target) AS target, p FROM gl JOIN notes n USING (path) LEFT JOIN wide ON alias = lower(trim(target)))"""
 
 
@@ -34,7 +37,8 @@ def g02(spark, sf_dir):
     return graph.aliases(notes(spark, sf_dir))
 
 
-EXPLICIT = f"{GLINKS}, ti AS (SELECT lower(title) AS k, max(path) AS p FROM notes GROUP BY 1), ex AS (SELECT DISTINCT least(path, p) AS source, greatest(path, p) AS target FROM gl JOIN ti ON k = lower(trim(target)) WHERE p <> path)"
+EXPLICIT = f"""{GLINKS}, ti AS (SELECT lower(title) AS k, max(path) AS p FROM notes GROUP BY 1),
+  ex AS (SELECT DISTINCT least(path, p) AS source, greatest(path, p) AS target FROM gl JOIN ti ON k = lower(trim(target)) WHERE p <> path)"""
 
 
 @query("g03_edges", f"{N}, {EXPLICIT} SELECT * FROM ex")
@@ -47,7 +51,8 @@ def g03b(spark, sf_dir):
     return graph.directed_edges(notes(spark, sf_dir)).groupBy("source", "target").agg(F.count("*").alias("n"))
 
 
-@query("g04_ghost_edges", """WITH nn AS (SELECT * FROM (SELECT a.vec_id AS x, b.vec_id AS y, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) * (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)))) AS d,
+@query("g04_ghost_edges", """WITH nn AS (SELECT *
+  FROM (SELECT a.vec_id AS x, b.vec_id AS y, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) * (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)))) AS d,
   row_number() OVER (PARTITION BY a.vec_id ORDER BY round(d, 6), b.vec_id) AS pos FROM embeddings a, embeddings b) WHERE pos <= 4 AND round(d, 6) <= 1.2)
   SELECT DISTINCT least(x % 100, y % 100) AS source, greatest(x % 100, y % 100) AS target FROM nn WHERE x % 100 <> y % 100 AND (least(x % 100, y % 100) + greatest(x % 100, y % 100)) % 7 <> 0""")
 def g04(spark, sf_dir):
@@ -77,7 +82,9 @@ def g06(spark, sf_dir):
     return graph.orphans(n, graph.directed_edges(n))
 
 
-@query("g06_hygiene_orphans", f"{N}, {RES} SELECT path, title FROM notes WHERE NOT starts_with(path, '05 AI Chats/') AND NOT contains(path, 'Home') AND NOT contains(path, 'Index.md') AND path NOT IN (SELECT p FROM hres WHERE p IS NOT NULL AND p <> source)")
+@query("g06_hygiene_orphans", f"""{N}, {RES} SELECT path, title FROM notes
+  WHERE NOT starts_with(path, '05 AI Chats/') AND NOT contains(path, 'Home') AND NOT contains(path, 'Index.md') AND path NOT IN (SELECT p FROM hres
+  WHERE p IS NOT NULL AND p <> source)""")
 def g06h(spark, sf_dir):
     n = notes(spark, sf_dir)
     return graph.orphans(n.filter(~F.col("path").startswith("05 AI Chats/")), graph.hygiene_edges(n))
@@ -91,7 +98,8 @@ def g07(spark, sf_dir):
     return graph.tagless(notes(spark, sf_dir)).withColumn("suggestions", F.array_join("suggestions", ","))
 
 
-@query("g08_statistics", f"{N}, {LINKS} SELECT (SELECT count(*) FROM notes) AS total_notes, (SELECT count(*) FROM lk) AS total_links, round((SELECT count(*) FROM lk) / (SELECT CAST(count(*) AS DOUBLE) FROM notes), 6) AS avg_links")
+@query("g08_statistics", f"""{N}, {LINKS} SELECT (SELECT count(*) FROM notes) AS total_notes, (SELECT count(*) FROM lk) AS total_links, round((SELECT count(*)
+  FROM lk) / (SELECT CAST(count(*) AS DOUBLE) FROM notes), 6) AS avg_links""")
 def g08(spark, sf_dir):
     return graph.statistics(notes(spark, sf_dir)).withColumn("avg_links", F.round("avg_links", 6))
 
@@ -116,14 +124,16 @@ def g10(spark, sf_dir):
     return graph.digest(keys(notes(spark, sf_dir)), F.lit(1706054400.0), 1706745600.0)
 
 
-@query("g11_changes", f"""{N}, {KEYS.replace('ks AS', 'ks AS')}, notes2 AS ({corpus.LATER_SQL}), {KEYS.replace('notes', 'notes2').replace('orphaned_notes2', 'orphaned_notes').replace('tagless_notes2', 'tagless_notes').replace('lk AS', 'lk2 AS').replace('FROM lk ', 'FROM lk2 ').replace('gl AS', 'gl2 AS').replace('FROM gl ', 'FROM gl2 ').replace('gl.path', 'gl2.path').replace('al AS', 'al2 AS').replace('JOIN al ', 'JOIN al2 ').replace('wide AS', 'wide2 AS').replace('JOIN wide ', 'JOIN wide2 ').replace('hres AS', 'hres2 AS').replace(', res AS', ', res2 AS').replace(chr(10) + 'res AS', chr(10) + 'res2 AS').replace('FROM res ', 'FROM res2 ').replace('tg AS', 'tg2 AS').replace('FROM tg)', 'FROM tg2)').replace('orp AS', 'orp2 AS').replace('FROM orp ', 'FROM orp2 ').replace('tl AS', 'tl2 AS').replace('FROM tl)', 'FROM tl2)').replace('ks AS', 'ks2 AS')}
+@query("g11_changes", f"""{N}, {KEYS.replace('ks AS', 'ks AS')},
+  notes2 AS ({corpus.LATER_SQL}), {KEYS.replace('notes', 'notes2').replace('orphaned_notes2', 'orphaned_notes').replace('tagless_notes2', 'tagless_notes').replace('lk AS', 'lk2 AS').replace('FROM lk ', 'FROM lk2 ').replace('gl AS', 'gl2 AS').replace('FROM gl ', 'FROM gl2 ').replace('gl.path', 'gl2.path').replace('al AS', 'al2 AS').replace('JOIN al ', 'JOIN al2 ').replace('wide AS', 'wide2 AS').replace('JOIN wide ', 'JOIN wide2 ').replace('hres AS', 'hres2 AS').replace(', res AS', ', res2 AS').replace(chr(10) + 'res AS', chr(10) + 'res2 AS').replace('FROM res ', 'FROM res2 ').replace('tg AS', 'tg2 AS').replace('FROM tg)', 'FROM tg2)').replace('orp AS', 'orp2 AS').replace('FROM orp ', 'FROM orp2 ').replace('tl AS', 'tl2 AS').replace('FROM tl)', 'FROM tl2)').replace('ks AS', 'ks2 AS')}
   SELECT category, key, 'new' AS change FROM (SELECT * FROM ks2 EXCEPT SELECT * FROM ks) UNION ALL SELECT category, key, 'resolved' FROM (SELECT * FROM ks EXCEPT SELECT * FROM ks2)""")
 def g11(spark, sf_dir):
     n = notes(spark, sf_dir)
     return graph.changes(keys(corpus.later_notes(n)), keys(n))
 
 
-@query("g22_issues", f"""{N}, {RES}, {TAGS}, {ORPHAN}, {TAGLESS}, i AS (SELECT 0 AS o, 'broken-link' AS kind, source AS note_id, concat('Points at missing “', target, '”.') AS detail FROM res WHERE p IS NULL AND NOT starts_with(target, '#')
+@query("g22_issues", f"""{N}, {RES}, {TAGS}, {ORPHAN}, {TAGLESS}, i AS (SELECT 0 AS o, 'broken-link' AS kind, source AS note_id,
+  concat('Points at missing “', target, '”.') AS detail FROM res WHERE p IS NULL AND NOT starts_with(target, '#')
   UNION ALL SELECT 1, 'orphan', path, 'Zero backlinks · not cited by any hub.' FROM orp
   UNION ALL SELECT 2, 'tagless', path, CASE WHEN suggestions = '' THEN 'No tags.' ELSE concat('No tags. Suggested: ', array_to_string(string_split(suggestions, ',')[1:3], ' · '), '.') END FROM tl)
   SELECT kind, note_id, detail, row_number() OVER (ORDER BY o, note_id, detail) AS n FROM i""")
@@ -150,7 +160,8 @@ def g13(spark, sf_dir):
     return graph.folded(ids(spark, sf_dir).select("id"))
 
 
-FOLDERS = """fo AS (SELECT DISTINCT array_to_string(p[1:k], '/') AS folder FROM (SELECT p, unnest(range(1, len(p))) AS k FROM (SELECT string_split(id, '/') AS p FROM sh UNION ALL SELECT string_split(concat(topic, '/x'), '/') FROM cp WHERE topic <> '') y) z)"""
+FOLDERS = """fo AS (SELECT DISTINCT array_to_string(p[1:k], '/') AS folder FROM (SELECT p, unnest(range(1, len(p))) AS k FROM (SELECT string_split(id, '/') AS p
+  FROM sh UNION ALL SELECT string_split(concat(topic, '/x'), '/') FROM cp WHERE topic <> '') y) z)"""
 
 
 @query("g14_folders", f"{N}, {IDS}, {FOLD}, {FOLDERS} SELECT folder FROM fo")
@@ -171,8 +182,10 @@ def g15(spark, sf_dir):
 
 
 MNODES = f"""{MAP}, dg AS (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM ml WHERE kind = 'link' UNION ALL SELECT target FROM ml WHERE kind = 'link') GROUP BY id),
-mn AS (SELECT id, CASE WHEN starts_with(id, '05 AI Chats/') THEN 'chat' ELSE 'note' END AS kind, regexp_replace(regexp_replace(label, '^\\d{{4}}-\\d{{2}}-\\d{{2}}\\s*-\\s*', ''), '\\s+-\\s+[0-9a-fA-F]{{4,64}}$', '') AS title, len(string_split(id, '/')) AS depth,
-  CASE WHEN starts_with(id, '05 AI Chats/') THEN string_split(id, '/')[2] END AS ai, CASE WHEN starts_with(id, '05 AI Chats/') THEN 'Chats' ELSE regexp_replace(string_split(id, '/')[1], '^\\d+\\s+', '') END AS cluster,
+mn AS (SELECT id, CASE
+  WHEN starts_with(id, '05 AI Chats/') THEN 'chat' ELSE 'note' END AS kind, regexp_replace(regexp_replace(label, '^\\d{{4}}-\\d{{2}}-\\d{{2}}\\s*-\\s*', ''), '\\s+-\\s+[0-9a-fA-F]{{4,64}}$', '') AS title, len(string_split(id, '/')) AS depth,
+  CASE WHEN starts_with(id, '05 AI Chats/') THEN string_split(id, '/')[2] END AS ai, CASE
+  WHEN starts_with(id, '05 AI Chats/') THEN 'Chats' ELSE regexp_replace(string_split(id, '/')[1], '^\\d+\\s+', '') END AS cluster,
   nullif(regexp_extract(regexp_extract(id, '([^/]*)$', 1), '^(\\d{{4}}-\\d{{2}}-\\d{{2}})', 1), '') AS date, coalesce(degree, 0) AS degree FROM sh LEFT JOIN dg USING (id))"""
 
 
@@ -186,13 +199,15 @@ def g16(spark, sf_dir):
     return map_nodes(spark, sf_dir)
 
 
-@query("g17_age_rings", f"{N}, {MNODES} SELECT id, greatest(0, datediff('day', CAST(date AS DATE), DATE '2024-02-01')) AS age_days, round(CASE WHEN date IS NULL THEN 840.0e0 ELSE 90 + 610 * sqrt(least(datediff('day', CAST(date AS DATE), DATE '2024-02-01'), 91) / 91.0e0) END, 6) AS radius FROM mn")
+@query("g17_age_rings", f"""{N}, {MNODES} SELECT id, greatest(0, datediff('day', CAST(date AS DATE), DATE '2024-02-01')) AS age_days, round(CASE
+  WHEN date IS NULL THEN 840.0e0 ELSE 90 + 610 * sqrt(least(datediff('day', CAST(date AS DATE), DATE '2024-02-01'), 91) / 91.0e0) END, 6) AS radius FROM mn""")
 def g17(spark, sf_dir):
     x = graph.age_rings(map_nodes(spark, sf_dir), F.lit("2024-02-01").cast("date"))
     return x.withColumn("age_days", F.coalesce("age_days", F.lit(0)))
 
 
-@query("g18_subtrees", f"{N}, {IDS}, {FOLD} SELECT folder, count(*) AS n FROM (SELECT '' AS folder FROM sh UNION ALL SELECT array_to_string(p[1:k], '/') FROM (SELECT p, unnest(range(1, len(p))) AS k FROM (SELECT string_split(id, '/') AS p FROM sh) y) z) GROUP BY folder")
+@query("g18_subtrees", f"""{N}, {IDS}, {FOLD} SELECT folder, count(*) AS n FROM (SELECT '' AS folder FROM sh UNION ALL SELECT array_to_string(p[1:k], '/')
+  FROM (SELECT p, unnest(range(1, len(p))) AS k FROM (SELECT string_split(id, '/') AS p FROM sh) y) z) GROUP BY folder""")
 def g18(spark, sf_dir):
     i = ids(spark, sf_dir).select("id")
     return graph.subtree_counts(i.join(graph.folded(i).select("id"), "id", "left_anti"))
@@ -208,6 +223,8 @@ def f06(spark, sf_dir):
     return graph.shown(map_nodes(spark, sf_dir), "Projects", False, " Note 1").select("id")
 
 
-@query("g21_structural", f"{N} SELECT DISTINCT least(path, hub) AS source, greatest(path, hub) AS target FROM (SELECT path, CASE WHEN contains(path, '05 AI Chats/Claude') THEN '05 AI Chats/Claude/Claude Chat Index.md' WHEN contains(path, '03 School') THEN '03 School/School Notes Index.md' END AS hub FROM notes) WHERE hub IS NOT NULL")
+@query("g21_structural", f"""{N} SELECT DISTINCT least(path, hub) AS source, greatest(path, hub) AS target FROM (SELECT path, CASE
+  WHEN contains(path, '05 AI Chats/Claude') THEN '05 AI Chats/Claude/Claude Chat Index.md'
+  WHEN contains(path, '03 School') THEN '03 School/School Notes Index.md' END AS hub FROM notes) WHERE hub IS NOT NULL""")
 def g21(spark, sf_dir):
     return graph.structural_edges(notes(spark, sf_dir), [("05 AI Chats/Claude", "05 AI Chats/Claude/Claude Chat Index.md"), ("03 School", "03 School/School Notes Index.md")])

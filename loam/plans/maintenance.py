@@ -15,7 +15,8 @@ from loam.sources import corpus
 
 #: Notes and their chunks, and a later scan.
 N = f"{CHUNKS}, later AS ({corpus.LATER_SQL})"
-STATUS = """st AS (SELECT coalesce(l.path, n.path) AS source, CASE WHEN n.path IS NULL THEN 'new' WHEN l.path IS NULL THEN 'gone' WHEN abs(l.mtime - n.mtime) <= 1e-6 THEN 'unchanged' ELSE 'changed' END AS status
+STATUS = """st AS (SELECT coalesce(l.path, n.path) AS source, CASE WHEN n.path IS NULL THEN 'new' WHEN l.path IS NULL THEN 'gone'
+  WHEN abs(l.mtime - n.mtime) <= 1e-6 THEN 'unchanged' ELSE 'changed' END AS status
   FROM (SELECT * FROM later) l FULL JOIN (SELECT * FROM notes WHERE doc_id % 23 <> 0) n ON l.path = n.path)"""
 
 
@@ -55,19 +56,24 @@ def i04(spark, sf_dir):
     return m.rebuild(corpus.notes(spark, sf_dir), chunked).groupBy("source").agg(F.count("*").alias("n_chunks"))
 
 
-@query("i05_summary", f"""{N}, {STATUS} SELECT count(*) FILTER (status <> 'gone') AS scanned, count(*) FILTER (status = 'unchanged') AS skipped, count(*) FILTER (status IN ('new', 'changed')) AS reindexed,
-  count(*) FILTER (status = 'gone') AS pruned, (SELECT count(*) FROM chunks WHERE source IN (SELECT source FROM st WHERE status IN ('new', 'changed'))) AS chunks_written, 0 AS batches_failed, CAST(NULL AS VARCHAR) AS failure FROM st""")
+@query("i05_summary", f"""{N}, {STATUS} SELECT count(*) FILTER (status <> 'gone') AS scanned, count(*) FILTER (status = 'unchanged') AS skipped,
+  count(*) FILTER (status IN ('new', 'changed')) AS reindexed,
+  count(*) FILTER (status = 'gone') AS pruned, (SELECT count(*) FROM chunks WHERE source IN (SELECT source FROM st
+  WHERE status IN ('new', 'changed'))) AS chunks_written, 0 AS batches_failed, CAST(NULL AS VARCHAR) AS failure FROM st""")
 def i05(spark, sf_dir):
     old, new = pair(spark, sf_dir)
     return m.verdict(m.summary(states(spark, sf_dir), chunked(new)))
 
 
-@query("i07_census", f"{N} SELECT (SELECT count(*) FROM chunks) AS chunks, count(*) AS files, count(*) FILTER (category <> 'chat') AS notes, count(*) FILTER (category = 'chat') AS chats FROM notes WHERE path IN (SELECT source FROM chunks)")
+@query("i07_census", f"""{N} SELECT (SELECT count(*) FROM chunks) AS chunks, count(*) AS files, count(*) FILTER (category <> 'chat') AS notes,
+  count(*) FILTER (category = 'chat') AS chats FROM notes WHERE path IN (SELECT source FROM chunks)""")
 def i07(spark, sf_dir):
     return m.census(chunks(spark, sf_dir))
 
 
-@query("i09_mirror", f"{N} SELECT coalesce(l.path, n.path) AS path, CASE WHEN l.path IS NULL THEN 'remove' WHEN n.path IS NOT NULL AND length(l.content) = length(n.content) AND abs(l.mtime - n.mtime) < 1 THEN 'skip' ELSE 'copy' END AS action FROM later l FULL JOIN (SELECT * FROM notes WHERE doc_id % 23 <> 0) n ON l.path = n.path")
+@query("i09_mirror", f"""{N} SELECT coalesce(l.path, n.path) AS path, CASE WHEN l.path IS NULL THEN 'remove'
+  WHEN n.path IS NOT NULL AND length(l.content) = length(n.content) AND abs(l.mtime - n.mtime) < 1 THEN 'skip' ELSE 'copy' END AS action FROM later l FULL
+  JOIN (SELECT * FROM notes WHERE doc_id % 23 <> 0) n ON l.path = n.path""")
 def i09(spark, sf_dir):
     old, new = pair(spark, sf_dir)
     size = F.char_length("content").alias("size")
@@ -97,7 +103,8 @@ def i06(spark, sf_dir):
     return m.provenance(stamps, d).select("doc_id", "verdict")
 
 
-@query("s12_retention", f"{N}, s AS (SELECT CAST(mtime / 86400 AS BIGINT) AS name, max(mtime) AS mtime FROM notes GROUP BY 1) SELECT name FROM (SELECT *, row_number() OVER (ORDER BY mtime DESC, name DESC) AS n FROM s) WHERE n > 7")
+@query("s12_retention", f"""{N}, s AS (SELECT CAST(mtime / 86400 AS BIGINT) AS name, max(mtime) AS mtime FROM notes GROUP BY 1) SELECT name FROM (SELECT *,
+  row_number() OVER (ORDER BY mtime DESC, name DESC) AS n FROM s) WHERE n > 7""")
 def s12(spark, sf_dir):
     s = corpus.notes(spark, sf_dir).groupBy(F.round(F.col("mtime") / 86400).cast("long").alias("name")).agg(F.max("mtime").alias("mtime"))
     return m.expired(s).select("name")
@@ -108,7 +115,9 @@ def a09(spark, sf_dir):
     return m.freshness(chunks(spark, sf_dir))
 
 
-@query("a10_stale", f"{N} SELECT (SELECT count(*) FROM later) AS indexed_notes, (SELECT max(mtime) FROM later) AS newest, (SELECT count(*) FROM notes) AS health_notes, (SELECT count(*) FROM later) > 0 AND ((SELECT count(*) FROM later) <> (SELECT count(*) FROM notes) OR (SELECT max(mtime) FROM later) > 1706054400.0e0) AS stale")
+@query("a10_stale", f"""{N} SELECT (SELECT count(*) FROM later) AS indexed_notes, (SELECT max(mtime) FROM later) AS newest, (SELECT count(*)
+  FROM notes) AS health_notes, (SELECT count(*) FROM later) > 0 AND ((SELECT count(*) FROM later) <> (SELECT count(*) FROM notes) OR (SELECT max(mtime)
+  FROM later) > 1706054400.0e0) AS stale""")
 def a10(spark, sf_dir):
     n = corpus.notes(spark, sf_dir)
     return m.snapshot_stale(m.freshness(chunked(corpus.later_notes(n))), n, F.lit(1706054400.0))

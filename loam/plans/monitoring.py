@@ -34,7 +34,9 @@ HIST = f"""st AS (SELECT ns, s // 60 AS m, {BUCKET} AS b, count(*) AS n FROM e G
 LO = "list_extract([0.0e0, " + ", ".join(f"{e}e0" for e in mo.BUCKETS) + "], b + 1)"
 HI = "list_extract([" + ", ".join(f"{e}e0" for e in mo.BUCKETS) + "], b + 1)"
 QUANT = f"""cu AS (SELECT *, sum(n) OVER (PARTITION BY ns, minute ORDER BY b) AS cum, sum(n) OVER (PARTITION BY ns, minute) AS total FROM h),
-qu AS (SELECT ns, minute, total AS n, CASE WHEN b = {len(mo.BUCKETS)} THEN {mo.BUCKETS[-1]}e0 ELSE {LO} + ({HI} - {LO}) * (total * 0.95e0 - (cum - n)) / n END AS q FROM cu WHERE cum >= total * 0.95e0 AND cum - n < total * 0.95e0)"""
+qu AS (SELECT ns, minute, total AS n, CASE
+  WHEN b = {len(mo.BUCKETS)} THEN {mo.BUCKETS[-1]}e0 ELSE {LO} + ({HI} - {LO}) * (total * 0.95e0 - (cum - n)) / n END AS q FROM cu
+  WHERE cum >= total * 0.95e0 AND cum - n < total * 0.95e0)"""
 
 
 @query("w01_latency_p95", f"{E}, {HIST}, {QUANT} SELECT ns, minute, n, round(q, 6) AS q, q > 3.0e0 AS breach FROM qu")
@@ -42,7 +44,9 @@ def w01(spark, sf_dir):
     return mo.latency_high(events(spark, sf_dir), "ns", "sec").select("ns", minute().alias("minute"), "n", F.round("q", 6).alias("q"), "breach")
 
 
-RATIO = "em AS (SELECT ns, s // 60 AS m, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors FROM e GROUP BY ALL), er AS (SELECT ns, m + k AS minute, sum(n) AS n, sum(errors) AS errors, sum(errors) / CAST(sum(n) AS DOUBLE) > 0.02e0 AND sum(n) >= 20 AS breach FROM em, range(1, 11) r(k) GROUP BY ALL)"
+RATIO = """em AS (SELECT ns, s // 60 AS m, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors FROM e GROUP BY ALL),
+  er AS (SELECT ns, m + k AS minute, sum(n) AS n, sum(errors) AS errors, sum(errors) / CAST(sum(n) AS DOUBLE) > 0.02e0 AND sum(n) >= 20 AS breach
+  FROM em, range(1, 11) r(k) GROUP BY ALL)"""
 
 
 def ratio(spark, sf_dir):
@@ -54,7 +58,8 @@ def w02(spark, sf_dir):
     return ratio(spark, sf_dir).select("ns", minute().alias("minute"), "n", "errors", "breach")
 
 
-@query("w03_stale_jobs", f"{E} SELECT user_id, round((43200 - coalesce(max(s) FILTER (event_type = 'purchase'), max(s))) / 3600.0e0, 6) AS age_hours, (43200 - coalesce(max(s) FILTER (event_type = 'purchase'), max(s))) / 3600.0e0 > 5.0 AS stale FROM e GROUP BY user_id")
+@query("w03_stale_jobs", f"""{E} SELECT user_id, round((43200 - coalesce(max(s) FILTER (event_type = 'purchase'),
+  max(s))) / 3600.0e0, 6) AS age_hours, (43200 - coalesce(max(s) FILTER (event_type = 'purchase'), max(s))) / 3600.0e0 > 5.0 AS stale FROM e GROUP BY user_id""")
 def w03(spark, sf_dir):
     e = events(spark, sf_dir)
     return mo.stale_jobs(e, e.filter("event_type = 'purchase'"), "user_id", F.timestamp_seconds(F.lit(1704067200 + 43200)), 5.0)
@@ -65,20 +70,25 @@ def w04(spark, sf_dir):
     return mo.gauge(events(spark, sf_dir), "ns", "value", 80.0).select("ns", minute().alias("minute"), "most", "breach")
 
 
-@query("w05_below_baseline", f"{E}, b AS (SELECT ns, avg(value) AS baseline FROM e GROUP BY ns) SELECT ns, (s // 1200 + 1) * 20 AS minute, max(value) AS rate, max(value) < any_value(baseline) AS breach FROM e JOIN b USING (ns) GROUP BY ALL")
+@query("w05_below_baseline", f"""{E}, b AS (SELECT ns, avg(value) AS baseline FROM e GROUP BY ns) SELECT ns, (s // 1200 + 1) * 20 AS minute, max(value) AS rate,
+  max(value) < any_value(baseline) AS breach FROM e JOIN b USING (ns) GROUP BY ALL""")
 def w05(spark, sf_dir):
     e = events(spark, sf_dir)
     return mo.below_baseline(e, e.groupBy("ns").agg(F.avg("value").alias("baseline")), "ns", "value").select("ns", minute().alias("minute"), "rate", "breach")
 
 
-@query("w06_silence", f"{E} SELECT user_id, round((43200 - max(s) FILTER (event_type = 'error')) / 60.0e0, 6) AS silence_minutes, CASE WHEN max(s) FILTER (event_type = 'error') IS NULL THEN 'never' WHEN (43200 - max(s) FILTER (event_type = 'error')) / 60.0e0 > 45 THEN 'silent' ELSE 'reporting' END AS state FROM e GROUP BY user_id")
+@query("w06_silence", f"""{E} SELECT user_id, round((43200 - max(s) FILTER (event_type = 'error')) / 60.0e0, 6) AS silence_minutes, CASE
+  WHEN max(s) FILTER (event_type = 'error') IS NULL THEN 'never'
+  WHEN (43200 - max(s) FILTER (event_type = 'error')) / 60.0e0 > 45 THEN 'silent' ELSE 'reporting' END AS state FROM e GROUP BY user_id""")
 def w06(spark, sf_dir):
     e = events(spark, sf_dir)
     return mo.silent(e.filter("event_type = 'error'"), e, "user_id", F.timestamp_seconds(F.lit(1704067200 + 43200)))
 
 
-HELD = """g AS (SELECT *, sum(CASE WHEN breach THEN 0 ELSE 1 END) OVER (PARTITION BY ns ORDER BY minute) AS g FROM er), si AS (SELECT *, min(CASE WHEN breach THEN minute END) OVER (PARTITION BY ns, g) AS since FROM g),
-fi AS (SELECT *, breach AND minute - since >= 10 AS f FROM si), hs AS (SELECT ns, minute, CASE WHEN f THEN 'firing' WHEN breach THEN 'pending' WHEN coalesce(lag(f) OVER (PARTITION BY ns ORDER BY minute), false) THEN 'resolved' ELSE 'inactive' END AS state FROM fi)"""
+HELD = """g AS (SELECT *, sum(CASE WHEN breach THEN 0 ELSE 1 END) OVER (PARTITION BY ns ORDER BY minute) AS g FROM er), si AS (SELECT *, min(CASE
+  WHEN breach THEN minute END) OVER (PARTITION BY ns, g) AS since FROM g),
+fi AS (SELECT *, breach AND minute - since >= 10 AS f FROM si), hs AS (SELECT ns, minute, CASE WHEN f THEN 'firing' WHEN breach THEN 'pending'
+  WHEN coalesce(lag(f) OVER (PARTITION BY ns ORDER BY minute), false) THEN 'resolved' ELSE 'inactive' END AS state FROM fi)"""
 
 
 @query("w07_hold", f"{E}, {RATIO}, {HELD} SELECT ns, minute, state FROM hs")
@@ -86,21 +96,25 @@ def w07(spark, sf_dir):
     return mo.held(ratio(spark, sf_dir), "ns", 10).select("ns", minute().alias("minute"), "state")
 
 
-@query("w08_alert_actions", f"""{E}, {RATIO}, {HELD}, nt AS (SELECT ns, minute, state AS status FROM hs WHERE state IN ('firing', 'resolved')), p AS (SELECT *, coalesce(lag(status) OVER (PARTITION BY ns ORDER BY minute), 'resolved') = 'firing' AS o FROM nt)
+@query("w08_alert_actions", f"""{E}, {RATIO}, {HELD}, nt AS (SELECT ns, minute, state AS status FROM hs WHERE state IN ('firing', 'resolved')),
+  p AS (SELECT *, coalesce(lag(status) OVER (PARTITION BY ns ORDER BY minute), 'resolved') = 'firing' AS o FROM nt)
   SELECT ns, minute, CASE WHEN status = 'firing' AND NOT o THEN 'create' WHEN status = 'firing' THEN 'comment' WHEN o THEN 'comment+close' ELSE 'none' END AS action FROM p""")
 def w08(spark, sf_dir):
     n = mo.held(ratio(spark, sf_dir), "ns", 10).filter("state in ('firing', 'resolved')").select("ns", F.col("end").alias("ts"), F.col("state").alias("status"))
     return mo.alert_actions(n, "ns").select("ns", minute("ts").alias("minute"), "action")
 
 
-@query("w10_shortfall", f"{E}, w AS (SELECT ns, s // 300 AS w, max(value) FILTER (event_type = 'click') AS wanted, max(value) FILTER (event_type = 'view') AS available FROM e GROUP BY ALL) SELECT ns, (w + 1) * 5 AS minute, wanted, available FROM w WHERE wanted > available")
+@query("w10_shortfall", f"""{E}, w AS (SELECT ns, s // 300 AS w, max(value) FILTER (event_type = 'click') AS wanted,
+  max(value) FILTER (event_type = 'view') AS available FROM e GROUP BY ALL) SELECT ns, (w + 1) * 5 AS minute, wanted, available FROM w WHERE wanted > available""")
 def w10(spark, sf_dir):
     e = events(spark, sf_dir)
     of = lambda t: e.filter(F.col("event_type") == t).select("ns", "ts", F.col("value").alias("n"))
     return mo.shortfall(of("click"), of("view"), "ns").select("ns", minute().alias("minute"), "wanted", "available")
 
 
-@query("w11_latency_buckets", f"{E}, c AS (SELECT ns, {BUCKET} AS b, count(*) AS n FROM e GROUP BY ALL), g AS (SELECT DISTINCT ns, r.k AS b FROM e, range(0, {len(mo.BUCKETS) + 1}) r(k)) SELECT g.ns, g.b, sum(coalesce(n, 0)) OVER (PARTITION BY g.ns ORDER BY g.b) AS n FROM g LEFT JOIN c ON c.ns = g.ns AND c.b = g.b")
+@query("w11_latency_buckets", f"""{E}, c AS (SELECT ns, {BUCKET} AS b, count(*) AS n FROM e GROUP BY ALL), g AS (SELECT DISTINCT ns, r.k AS b
+  FROM e, range(0, {len(mo.BUCKETS) + 1}) r(k)) SELECT g.ns, g.b, sum(coalesce(n, 0)) OVER (PARTITION BY g.ns ORDER BY g.b) AS n FROM g LEFT
+  JOIN c ON c.ns = g.ns AND c.b = g.b""")
 def w11(spark, sf_dir):
     le = mo.latency_buckets(events(spark, sf_dir), "ns", "sec")
     return le.select("ns", mo.bucket(F.col("le")).alias("b"), "n")
@@ -112,7 +126,9 @@ def w02_stream(spark, sf_dir):
     return _streamed(spark, sf_dir, lambda s: st.windowed_counts(s, "event_type"), "complete").select("event_type", F.round(F.unix_seconds("end") / 60).cast("long").alias("minute"), "n")
 
 
-@query("w02_stream_ratios", "WITH x AS (SELECT event_type = 'error' AS bad, user_id % 4 AS ns, CAST(floor(epoch(ts) / 60) AS BIGINT) AS m FROM events), w AS (SELECT ns, m + k AS minute, count(*) AS n, count(*) FILTER (bad) AS errors FROM x, range(1, 11) r(k) GROUP BY ALL) SELECT CAST(ns AS INT) AS ns, minute, n, errors, errors * 1.0e0 / n > 0.02e0 AND n >= 20 AS breach FROM w")
+@query("w02_stream_ratios", """WITH x AS (SELECT event_type = 'error' AS bad, user_id % 4 AS ns, CAST(floor(epoch(ts) / 60) AS BIGINT) AS m FROM events),
+  w AS (SELECT ns, m + k AS minute, count(*) AS n, count(*) FILTER (bad) AS errors FROM x, range(1, 11) r(k) GROUP BY ALL)
+  SELECT CAST(ns AS INT) AS ns, minute, n, errors, errors * 1.0e0 / n > 0.02e0 AND n >= 20 AS breach FROM w""")
 def w02_stream_ratios(spark, sf_dir):
     """The error ratio over sliding windows as a stream."""
     plan = lambda s: st.error_ratios(s.withColumn("ns", (F.col("user_id") % 4).cast("int")), "ns")
@@ -121,7 +137,8 @@ def w02_stream_ratios(spark, sf_dir):
 
 @query("w07_stream_hold", """WITH h AS (SELECT CAST(user_id % 4 AS INT) AS ns, CAST(floor(epoch(ts) / 3600) AS BIGINT) * 60 + 60 AS minute, avg(value) > 50.0e0 AS breach FROM events GROUP BY ALL),
   er AS (SELECT * FROM h WHERE minute * 60 <= (SELECT max(epoch(ts)) FROM events) - 3600),
-  g AS (SELECT *, sum(CASE WHEN breach THEN 0 ELSE 1 END) OVER (PARTITION BY ns ORDER BY minute) AS g FROM er), si AS (SELECT *, min(CASE WHEN breach THEN minute END) OVER (PARTITION BY ns, g) AS since FROM g),
+  g AS (SELECT *, sum(CASE WHEN breach THEN 0 ELSE 1 END) OVER (PARTITION BY ns ORDER BY minute) AS g FROM er), si AS (SELECT *, min(CASE
+  WHEN breach THEN minute END) OVER (PARTITION BY ns, g) AS since FROM g),
   fi AS (SELECT *, breach AND minute - since >= 120 AS f FROM si)
   SELECT ns, minute, CASE WHEN f THEN 'firing' WHEN breach THEN 'pending' WHEN coalesce(lag(f) OVER (PARTITION BY ns ORDER BY minute), false) THEN 'resolved' ELSE 'inactive' END AS state FROM fi""")
 def w07_stream(spark, sf_dir):
@@ -162,7 +179,8 @@ def _run(spark, stream, mode):
     return done
 
 
-@query("w12_stream_index", f"{CHUNKS}, later AS ({corpus.LATER_SQL}) SELECT chunk_id, source, greatest(c.mtime, coalesce(l.mtime, 0)) AS mtime FROM chunks c LEFT JOIN (SELECT path, mtime FROM later) l ON l.path = c.source")
+@query("w12_stream_index", f"""{CHUNKS}, later AS ({corpus.LATER_SQL}) SELECT chunk_id, source, greatest(c.mtime, coalesce(l.mtime, 0)) AS mtime FROM chunks c
+  LEFT JOIN (SELECT path, mtime FROM later) l ON l.path = c.source""")
 def w12(spark, sf_dir):
     """Two scans arrive as files of changes; the chunk table after both."""
     import uuid

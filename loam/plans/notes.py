@@ -27,7 +27,9 @@ def s02(spark, sf_dir):
 SECTIONS = f"""
 ln AS (SELECT path, generate_subscripts(l, 1) AS i, unnest(l) AS line FROM (SELECT path, string_split(regexp_replace(content, '\\n$', ''), chr(10)) AS l FROM notes)),
 nb AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^ {{0,3}}#{{1,6}}\\s+.*$') THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY i) AS s FROM ln),
-sec AS (SELECT path, s, string_agg(line, chr(10) ORDER BY i) AS text, {STRIP.format("max(CASE WHEN regexp_matches(line, '^ {0,3}#{1,6}\\s+.*$') THEN regexp_extract(line, '^ {0,3}#{1,6}\\s+(.*)$', 1) ELSE '' END)")} AS heading FROM nb GROUP BY path, s),
+sec AS (SELECT path, s, string_agg(line, chr(10)
+  ORDER BY i) AS text, {STRIP.format("max(CASE WHEN regexp_matches(line, '^ {0,3}#{1,6}\\s+.*$') THEN regexp_extract(line, '^ {0,3}#{1,6}\\s+(.*)$', 1) ELSE '' END)")} AS heading
+  FROM nb GROUP BY path, s),
 sections AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY s) - 1 AS ix, {NWORDS.format('text')} AS n FROM sec WHERE regexp_matches(text, '\\S'))"""
 
 
@@ -47,7 +49,8 @@ fold AS (WITH RECURSIVE r AS (
 g AS (SELECT path, grp, any_value(big) AS big, string_agg(text, chr(10) ORDER BY f.ix) AS text, min_by(heading, f.ix) AS heading FROM fold f JOIN sections s USING (path, ix) GROUP BY path, grp),
 p AS (SELECT path, grp, 0 AS k, text, heading FROM g WHERE NOT big
   UNION ALL SELECT path, grp, k, array_to_string(w[k * 450 + 1 : k * 450 + 500], ' '), heading
-  FROM (SELECT path, grp, heading, w, unnest(range(0, CAST(ceil(len(w) / 450.0e0) AS BIGINT))) AS k FROM (SELECT path, grp, heading, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM g WHERE big) z) y),
+  FROM (SELECT path, grp, heading, w, unnest(range(0, CAST(ceil(len(w) / 450.0e0) AS BIGINT))) AS k
+  FROM (SELECT path, grp, heading, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM g WHERE big) z) y),
 chunked AS (SELECT path, row_number() OVER (PARTITION BY path ORDER BY grp, k) - 1 AS chunk_ix, heading, text FROM p)"""
 
 
@@ -57,13 +60,15 @@ def m02(spark, sf_dir):
 
 
 @query("m03_windows", f"""{N}, w AS (SELECT path, list_filter(regexp_split_to_array(content, '\\s+'), lambda x: x <> '') AS w FROM notes),
-  k AS (SELECT path, w, unnest(range(0, CAST(ceil(len(w) / 80.0e0) AS BIGINT))) AS k FROM w) SELECT path, CAST(k AS INT) AS k, md5(array_to_string(w[k * 80 + 1 : k * 80 + 100], ' ')) AS text_md5 FROM k""")
+  k AS (SELECT path, w, unnest(range(0, CAST(ceil(len(w) / 80.0e0) AS BIGINT))) AS k FROM w)
+  SELECT path, CAST(k AS INT) AS k, md5(array_to_string(w[k * 80 + 1 : k * 80 + 100], ' ')) AS text_md5 FROM k""")
 def m03(spark, sf_dir):
     n = corpus.notes(spark, sf_dir)
     return n.select("path", F.posexplode(md.windows(md.words(F.col("content")), 100, 20)).alias("k", "t")).select("path", "k", F.md5("t").alias("text_md5"))
 
 
-@query("m04_indexer_tags", f"""{N} SELECT path, CASE WHEN starts_with(content, '---') THEN regexp_replace(regexp_extract(content, 'tags: \\[([^\\]]+)\\]', 1), ',\\s*', ',') ELSE '' END AS tags FROM notes""")
+@query("m04_indexer_tags", f"""{N} SELECT path, CASE
+  WHEN starts_with(content, '---') THEN regexp_replace(regexp_extract(content, 'tags: \\[([^\\]]+)\\]', 1), ',\\s*', ',') ELSE '' END AS tags FROM notes""")
 def m04(spark, sf_dir):
     return corpus.notes(spark, sf_dir).select("path", F.array_join(md.indexer_tags(F.col("content")), ",").alias("tags"))
 
@@ -80,7 +85,8 @@ def m05(spark, sf_dir):
 LINKS = "lk AS (SELECT path, title, unnest(regexp_extract_all(content, '\\[\\[([^\\]\\|]+)(?:\\|[^\\]]+)?\\]\\]', 1)) AS target FROM notes)"
 
 
-@query("m06_report_links", f"{N}, {LINKS} SELECT path, trim(target) AS target, count(*) AS n FROM lk WHERE NOT starts_with(trim(target), 'http') AND NOT starts_with(trim(target), 'file:') GROUP BY ALL")
+@query("m06_report_links", f"""{N}, {LINKS} SELECT path, trim(target) AS target, count(*) AS n FROM lk
+  WHERE NOT starts_with(trim(target), 'http') AND NOT starts_with(trim(target), 'file:') GROUP BY ALL""")
 def m06(spark, sf_dir):
     return corpus.notes(spark, sf_dir).select("path", F.explode(md.report_links(F.col("content"))).alias("target")).groupBy("path", "target").agg(F.count("*").alias("n"))
 
@@ -108,7 +114,8 @@ def m09(spark, sf_dir):
 
 
 SNIP = f"""sn AS (SELECT path, {STRIP.format("regexp_replace(coalesce(string_agg(regexp_replace(x, '^#{1,6}\\s+', ''), ' ' ORDER BY i), ''), '\\s+', ' ', 'g')")} AS snippet
-  FROM (SELECT path, title, i, {STRIP.format('line')} AS x FROM (SELECT path, title, generate_subscripts(l, 1) AS i, unnest(l) AS line FROM (SELECT path, title, string_split(content, chr(10)) AS l FROM notes)))
+  FROM (SELECT path, title, i, {STRIP.format('line')} AS x FROM (SELECT path, title, generate_subscripts(l, 1) AS i, unnest(l) AS line
+  FROM (SELECT path, title, string_split(content, chr(10)) AS l FROM notes)))
   WHERE x <> '' AND x <> concat('# ', title) GROUP BY path)"""
 
 
@@ -119,10 +126,13 @@ def m10(spark, sf_dir):
 
 
 #: Blocks of notes without fences: a heading is one, and so is a run of lines between headings and blank lines.
-BLOCKS = f"""bl AS (SELECT path, title, i, line, {STRIP.format('line')} AS x FROM (SELECT path, title, generate_subscripts(l, 1) AS i, unnest(l) AS line FROM (SELECT path, title, string_split(replace(content, chr(13) || chr(10), chr(10)), chr(10)) AS l FROM notes))),
+BLOCKS = f"""bl AS (SELECT path, title, i, line, {STRIP.format('line')} AS x FROM (SELECT path, title, generate_subscripts(l, 1) AS i, unnest(l) AS line
+  FROM (SELECT path, title, string_split(replace(content, chr(13) || chr(10), chr(10)), chr(10)) AS l FROM notes))),
 bk AS (SELECT *, CASE WHEN NOT regexp_matches(line, '\\S') THEN 'blank' WHEN regexp_matches(x, '^(#{{1,6}})\\s+(.*)$') THEN 'heading' ELSE 'paragraph' END AS kind FROM bl),
 bg AS (SELECT *, sum(CASE WHEN kind = 'paragraph' THEN 0 ELSE 1 END) OVER (PARTITION BY path ORDER BY i) AS g FROM bk),
-bb AS (SELECT path, any_value(title) AS title, kind, min(i) AS i, CASE WHEN kind = 'heading' THEN {STRIP.format("regexp_extract(any_value(x), '^(#{1,6})" + chr(92) + "s+(.*)$', 2)")} ELSE string_agg(line, chr(10) ORDER BY i) END AS text FROM bg WHERE kind <> 'blank' GROUP BY path, kind, g),
+bb AS (SELECT path, any_value(title) AS title, kind, min(i) AS i, CASE
+  WHEN kind = 'heading' THEN {STRIP.format("regexp_extract(any_value(x), '^(#{1,6})" + chr(92) + "s+(.*)$', 2)")} ELSE string_agg(line, chr(10)
+  ORDER BY i) END AS text FROM bg WHERE kind <> 'blank' GROUP BY path, kind, g),
 bn AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY i) AS n FROM bb), bf AS (SELECT * FROM bn WHERE NOT (n = 1 AND kind = 'heading' AND text = trim(title)))"""
 
 
@@ -132,12 +142,15 @@ def m11(spark, sf_dir):
     return x.select("path", "pos", "b.kind", F.md5("b.text").alias("text_md5"))
 
 
-@query("m12_excerpt", f"""{N} SELECT path, CASE WHEN contains(content, '## 👤 User') THEN left(regexp_replace({STRIP.format("string_split(left(content, 8000), '## 👤 User')[2]")}, '\\s+', ' ', 'g'), 500) ELSE '' END AS excerpt FROM notes WHERE category = 'chat'""")
+@query("m12_excerpt", f"""{N} SELECT path, CASE
+  WHEN contains(content, '## 👤 User') THEN left(regexp_replace({STRIP.format("string_split(left(content, 8000), '## 👤 User')[2]")}, '\\s+', ' ', 'g'), 500) ELSE '' END AS excerpt
+  FROM notes WHERE category = 'chat'""")
 def m12(spark, sf_dir):
     return corpus.notes(spark, sf_dir).filter("category = 'chat'").select("path", md.transcript_excerpt(F.col("content")).alias("excerpt"))
 
 
-@query("m13_indexed_text", f"{CHUNKED} SELECT path AS source, md5(string_agg(text, concat(chr(10), chr(10)) ORDER BY chunk_ix)) AS text_md5 FROM (SELECT path, text, min(chunk_ix) AS chunk_ix FROM chunked GROUP BY path, text) GROUP BY path")
+@query("m13_indexed_text", f"""{CHUNKED} SELECT path AS source, md5(string_agg(text, concat(chr(10), chr(10)) ORDER BY chunk_ix)) AS text_md5
+  FROM (SELECT path, text, min(chunk_ix) AS chunk_ix FROM chunked GROUP BY path, text) GROUP BY path""")
 def m13(spark, sf_dir):
     x = md.indexed_text(md.chunk_notes(corpus.notes(spark, sf_dir)))
     return x.select("source", F.md5("text").alias("text_md5"))

@@ -71,7 +71,8 @@ def f02(spark, sf_dir):
 
 
 GUARDED = f"""kept AS (SELECT *, scope <> 'notes' OR NOT {LIKE} AS keep FROM hits WHERE pos <= 30),
-guarded AS (SELECT * EXCLUDE (pos), row_number() OVER (PARTITION BY query_id ORDER BY pos) AS pos FROM (SELECT *, max(keep) OVER (PARTITION BY query_id) AS any_keep FROM kept) WHERE keep OR NOT any_keep)"""
+guarded AS (SELECT * EXCLUDE (pos), row_number() OVER (PARTITION BY query_id ORDER BY pos) AS pos FROM (SELECT *, max(keep)
+  OVER (PARTITION BY query_id) AS any_keep FROM kept) WHERE keep OR NOT any_keep)"""
 
 
 @query("f03_guard", f"{N}, {BM25}, {SEARCH}, {GUARDED} SELECT query_id, pos, chunk_id FROM guarded")
@@ -151,7 +152,8 @@ def r13(spark, sf_dir):
 
 
 EMBED = """
-sl AS (SELECT {key} AS k, CAST(concat('0x', right(md5(w), 2)) AS INT) % 64 AS slot, count(*) AS n FROM (SELECT {key}, unnest(regexp_extract_all(lower({text}), '[a-z0-9_]+')) AS w FROM {src}) GROUP BY ALL),
+sl AS (SELECT {key} AS k, CAST(concat('0x', right(md5(w), 2)) AS INT) % 64 AS slot, count(*) AS n
+  FROM (SELECT {key}, unnest(regexp_extract_all(lower({text}), '[a-z0-9_]+')) AS w FROM {src}) GROUP BY ALL),
 nm AS (SELECT k, sqrt(sum(n * n)) AS norm FROM sl GROUP BY k)"""
 
 
@@ -164,7 +166,8 @@ def v01(spark, sf_dir):
 L2 = "round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) * (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)))), 6)"
 
 
-@query("v02_knn", f"""SELECT query_id, pos, item_id, distance FROM (SELECT a.vec_id AS query_id, b.vec_id AS item_id, {L2} AS distance, row_number() OVER (PARTITION BY a.vec_id ORDER BY {L2}, b.vec_id) AS pos
+@query("v02_knn", f"""SELECT query_id, pos, item_id, distance FROM (SELECT a.vec_id AS query_id, b.vec_id AS item_id, {L2} AS distance, row_number()
+  OVER (PARTITION BY a.vec_id ORDER BY {L2}, b.vec_id) AS pos
   FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0) WHERE pos <= 8""")
 def v02(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
@@ -172,7 +175,8 @@ def v02(spark, sf_dir):
     return vectors.knn(q, e, 8).select("query_id", "pos", "item_id", "distance")
 
 
-@query("v05_cosine_top2", """WITH t AS (SELECT label, i, avg(v) AS v FROM (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE vec_id % 20 = 0) GROUP BY label, i),
+@query("v05_cosine_top2", """WITH t AS (SELECT label, i, avg(v) AS v FROM (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i
+  FROM embeddings WHERE vec_id % 20 = 0) GROUP BY label, i),
 x AS (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings),
 c AS (SELECT vec_id, label, round(sum(x.v * t.v) / sqrt(sum(CAST(x.v AS DOUBLE) * x.v) * sum(t.v * t.v)), 6) AS cosine FROM x JOIN t USING (i) GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY cosine DESC, label) AS n, lead(cosine) OVER (PARTITION BY vec_id ORDER BY cosine DESC, label) AS second FROM c)
@@ -193,7 +197,8 @@ def v06(spark, sf_dir):
     return vectors.note_clusters(v, 8)
 
 
-@query("v04_near_pairs", f"""SELECT query_id, pos, item_id, distance FROM (SELECT a.vec_id AS query_id, b.vec_id AS item_id, {L2} AS distance, row_number() OVER (PARTITION BY a.vec_id ORDER BY {L2}, b.vec_id) AS pos
+@query("v04_near_pairs", f"""SELECT query_id, pos, item_id, distance FROM (SELECT a.vec_id AS query_id, b.vec_id AS item_id, {L2} AS distance, row_number()
+  OVER (PARTITION BY a.vec_id ORDER BY {L2}, b.vec_id) AS pos
   FROM embeddings a, embeddings b) WHERE pos <= 4""")
 def v04(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
@@ -262,7 +267,8 @@ def hints_sql(question: str) -> str:
 def siblings_sql(src: str, out: str, base: str, up: float) -> str:
     """The sibling order of list ``src`` as list ``out``."""
     return f"""
-{out}a AS (SELECT x.*, coalesce(an.a, []) AS an, lower(title) AS lt, lower(source) AS ls, regexp_extract(lower(source), '^(.*)/[^/]*$', 1) AS fo FROM {src} x LEFT JOIN (SELECT query_id, list(t) AS a FROM anchor GROUP BY query_id) an USING (query_id)),
+{out}a AS (SELECT x.*, coalesce(an.a, []) AS an, lower(title) AS lt, lower(source) AS ls, regexp_extract(lower(source), '^(.*)/[^/]*$', 1) AS fo FROM {src} x
+  LEFT JOIN (SELECT query_id, list(t) AS a FROM anchor GROUP BY query_id) an USING (query_id)),
 {out}b AS (SELECT *, len(list_filter(an, lambda w: contains(lt, w))) > 0 AS th, len(list_filter(an, lambda w: contains(ls, w))) > 0 AS ph FROM {out}a),
 {out}c AS (SELECT *, count(*) OVER w AS fn, sum(CASE WHEN th OR ph THEN 1 ELSE 0 END) OVER w AS fh FROM {out}b WINDOW w AS (PARTITION BY query_id, fo)),
 {out}d AS (SELECT *, CASE WHEN len(an) = 0 THEN -CAST(pos AS DOUBLE) ELSE round({base} + CASE WHEN th THEN {rank.ALPHA * up}e0 ELSE 0.0e0 END + CASE WHEN ph THEN {rank.BETA * up}e0 ELSE 0.0e0 END
@@ -276,25 +282,32 @@ def guard_sql(src: str, out: str) -> str:
   FROM (SELECT *, max(keep) OVER (PARTITION BY query_id) AS any_keep FROM {out}k) WHERE keep OR NOT any_keep)"""
 
 
-ANCHOR = """anchor AS (SELECT query_id, unnest(['course home', 'container', 'docker', 'data structure']) AS t FROM aq WHERE contains(x, 'course home') OR (contains(x, 'container') AND regexp_matches(x, 'wrong|job|reach'))
+ANCHOR = """anchor AS (SELECT query_id, unnest(['course home', 'container', 'docker', 'data structure']) AS t FROM aq
+  WHERE contains(x, 'course home') OR (contains(x, 'container') AND regexp_matches(x, 'wrong|job|reach'))
   UNION SELECT query_id, unnest(['slides', 'exam', 'slide', 'school notes']) FROM aq WHERE contains(x, 'slide') AND regexp_matches(x, 'test|exam|before')
   UNION SELECT query_id, unnest(['resume', 'rebuild', 'job hunt']) FROM aq WHERE contains(x, 'resume') AND regexp_matches(x, 'redo|redid|rebuild|session')
-  UNION SELECT query_id, unnest(['cleanup', 'hand-written', 'handwritten', 'pipeline', 'chat memory', 'clean_empty_chats', 'recovered']) FROM aq WHERE contains(x, 'cleanup') AND regexp_matches(x, 'script|handwritten|deleted|hand-written')
+  UNION SELECT query_id, unnest(['cleanup', 'hand-written', 'handwritten', 'pipeline', 'chat memory', 'clean_empty_chats', 'recovered']) FROM aq
+  WHERE contains(x, 'cleanup') AND regexp_matches(x, 'script|handwritten|deleted|hand-written')
   UNION SELECT query_id, 'architecture' FROM aq WHERE contains(x, 'architecture') OR (contains(x, 'portal') AND contains(x, 'city')))"""
 
-@query("r04_anchors", f"WITH {CUES}, aq AS (SELECT query_id, lower(question) AS x FROM cue), {ANCHOR} SELECT query_id, coalesce(string_agg(t, ',' ORDER BY t), '') AS anchors FROM aq LEFT JOIN anchor USING (query_id) GROUP BY query_id")
+@query("r04_anchors", f"""WITH {CUES}, aq AS (SELECT query_id, lower(question) AS x FROM cue), {ANCHOR} SELECT query_id, coalesce(string_agg(t, ','
+  ORDER BY t), '') AS anchors FROM aq LEFT JOIN anchor USING (query_id) GROUP BY query_id""")
 def r04(spark, sf_dir):
     return cue_questions(spark, sf_dir).select("query_id", F.array_join(F.array_sort(rank.anchors(F.col("question"))), ",").alias("anchors"))
 
 
-@query("r03_siblings", f"{N}, {BM25}, {SEARCH}, {FUSED}, {CUES}, aq AS (SELECT query_id, lower(question) AS x FROM cue), {ANCHOR}, s0 AS (SELECT * EXCLUDE (title), CASE WHEN pos % 4 = 0 THEN concat(title, ' architecture') ELSE title END AS title FROM pool), {siblings_sql('s0', 's1', 'rrf_score', 1.0)} SELECT query_id, pos, chunk_id, rrf_score FROM s1")
+@query("r03_siblings", f"""{N}, {BM25}, {SEARCH}, {FUSED}, {CUES}, aq AS (SELECT query_id, lower(question) AS x FROM cue), {ANCHOR},
+  s0 AS (SELECT * EXCLUDE (title), CASE WHEN pos % 4 = 0 THEN concat(title, ' architecture') ELSE title END AS title
+  FROM pool), {siblings_sql('s0', 's1', 'rrf_score', 1.0)} SELECT query_id, pos, chunk_id, rrf_score FROM s1""")
 def r03(spark, sf_dir):
     c = fused(spark, sf_dir).withColumn("title", F.when(F.col("pos") % 4 == 0, F.concat("title", F.lit(" architecture"))).otherwise(F.col("title")))
     return rank.siblings(c, cue_questions(spark, sf_dir)).select("query_id", "pos", "chunk_id", "rrf_score")
 
 
 @query("r05_expansion", f"""WITH {CUES}, h AS (SELECT query_id, regexp_replace(question, '^\\s+|\\s+$', '', 'g') AS q, {hints_sql('question')} AS h FROM cue),
-  n AS (SELECT query_id, q, concat('synonyms of the words second clause', CASE WHEN t = '' THEN '' ELSE concat(' ', t) END) AS c FROM (SELECT query_id, q, array_to_string(list_filter(string_split(h, ' '), lambda w: w <> '' AND NOT contains('synonyms of the words; second clause', lower(w))), ' ') AS t FROM h) z)
+  n AS (SELECT query_id, q, concat('synonyms of the words second clause', CASE WHEN t = '' THEN '' ELSE concat(' ', t) END) AS c
+  FROM (SELECT query_id, q, array_to_string(list_filter(string_split(h, ' '), lambda w: w <> '' AND NOT contains('synonyms of the words; second clause', lower(w))), ' ') AS t
+  FROM h) z)
   SELECT query_id, concat(q, ' ', array_to_string(list_filter(regexp_split_to_array(c, '\\s+'), lambda w: w <> '')[1:20], ' ')) AS expanded FROM n""")
 def r05(spark, sf_dir):
     return cue_questions(spark, sf_dir).select("query_id", rank.expand(F.col("question"), F.lit("Query: synonyms of the words; second clause")).alias("expanded"))
@@ -319,41 +332,52 @@ def r08(spark, sf_dir):
     return chunks(spark, sf_dir).select("source", F.round(rank.decay(lexical.note_time(F.col("source"), F.col("mtime")), 1706745600.0, F.lit(14.0)), 6).alias("decay"))
 
 
-@query("r09_recency", f"""{N}, {BM25}, {SEARCH}, {FUSED}, {RERANKED}, w AS (SELECT *, query_id % 2 = 0 AS intent, {TIME} AS t, count(*) OVER p AS n, min(rerank_score) OVER p AS lo, max(rerank_score) OVER p AS hi FROM ranked WINDOW p AS (PARTITION BY query_id)),
+@query("r09_recency", f"""{N}, {BM25}, {SEARCH}, {FUSED}, {RERANKED}, w AS (SELECT *, query_id % 2 = 0 AS intent, {TIME} AS t, count(*) OVER p AS n,
+  min(rerank_score) OVER p AS lo, max(rerank_score) OVER p AS hi FROM ranked WINDOW p AS (PARTITION BY query_id)),
   v AS (SELECT *, min(CASE WHEN hi > lo THEN (rerank_score - lo) / (hi - lo) ELSE 1.0e0 END) OVER (PARTITION BY query_id ORDER BY pos) AS r FROM w),
-  u AS (SELECT *, CASE WHEN n < 2 THEN -pos ELSE round(r + CASE WHEN intent THEN 1.0e0 ELSE 0.1e0 END * pow(0.5e0, greatest(0.0e0, (1706745600.0e0 - t) / 86400.0e0) / CASE WHEN intent THEN 14.0e0 ELSE 90.0e0 END), 9) END AS s FROM v)
+  u AS (SELECT *, CASE WHEN n < 2 THEN -pos ELSE round(r + CASE
+  WHEN intent THEN 1.0e0 ELSE 0.1e0 END * pow(0.5e0, greatest(0.0e0, (1706745600.0e0 - t) / 86400.0e0) / CASE
+  WHEN intent THEN 14.0e0 ELSE 90.0e0 END), 9) END AS s FROM v)
   SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, pos) AS pos FROM u""")
 def r09(spark, sf_dir):
     x = rank.rerank(fused(spark, sf_dir), questions(spark, sf_dir)).withColumn("intent", F.col("query_id") % 2 == 0)
     return rank.recency(x, rank.Config()).select("query_id", "chunk_id", "pos")
 
 
-INJECT = f"""rec AS (SELECT scope, chunk_id, source, title, category, row_number() OVER (PARTITION BY scope ORDER BY {TIME} DESC, source) AS pos FROM (SELECT DISTINCT scope FROM q), chunks WHERE chunk_ix = 0 AND {SCOPED}),
-kp AS (SELECT *, scope <> 'notes' OR NOT {LIKE} AS keep FROM rec WHERE pos <= 48), gd AS (SELECT scope, chunk_id, row_number() OVER (PARTITION BY scope ORDER BY pos) AS pos FROM (SELECT *, max(keep) OVER (PARTITION BY scope) AS any_keep FROM kp) WHERE keep OR NOT any_keep),
-pl AS (SELECT query_id, chunk_id, pos FROM hits WHERE pos <= 10 UNION ALL SELECT query_id, chunk_id, gd.pos + 1000000 FROM q JOIN gd USING (scope) WHERE gd.pos <= 12 AND regexp_matches(question, '{INTENT}', 'i') AND (query_id, chunk_id) NOT IN (SELECT (query_id, chunk_id) FROM hits WHERE pos <= 10))"""
+INJECT = f"""rec AS (SELECT scope, chunk_id, source, title, category, row_number() OVER (PARTITION BY scope ORDER BY {TIME} DESC, source) AS pos
+  FROM (SELECT DISTINCT scope FROM q), chunks WHERE chunk_ix = 0 AND {SCOPED}),
+kp AS (SELECT *, scope <> 'notes' OR NOT {LIKE} AS keep FROM rec WHERE pos <= 48), gd AS (SELECT scope, chunk_id, row_number() OVER (PARTITION BY scope
+  ORDER BY pos) AS pos FROM (SELECT *, max(keep) OVER (PARTITION BY scope) AS any_keep FROM kp) WHERE keep OR NOT any_keep),
+pl AS (SELECT query_id, chunk_id, pos FROM hits WHERE pos <= 10 UNION ALL SELECT query_id, chunk_id, gd.pos + 1000000 FROM q JOIN gd USING (scope)
+  WHERE gd.pos <= 12 AND regexp_matches(question, '{INTENT}', 'i') AND (query_id, chunk_id) NOT IN (SELECT (query_id, chunk_id) FROM hits WHERE pos <= 10))"""
 
 
-@query("r10_inject_recent", f"{N}, {BM25.replace(QUESTIONS_SQL, CUES_SQL.format(QUESTIONS_SQL))}, {SEARCH}, {INJECT} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS pos, chunk_id FROM pl")
+@query("r10_inject_recent", f"""{N}, {BM25.replace(QUESTIONS_SQL, CUES_SQL.format(QUESTIONS_SQL))}, {SEARCH}, {INJECT} SELECT query_id, row_number()
+  OVER (PARTITION BY query_id ORDER BY pos) AS pos, chunk_id FROM pl""")
 def r10(spark, sf_dir):
     q, c = cue_questions(spark, sf_dir), stored(spark, sf_dir)
     pool = lexical.search(q, c, 10).join(q.select("query_id", "scope"), "query_id")
     return rank.inject_recent(pool, q, c, 12).select("query_id", "pos", "chunk_id")
 
 
-@query("r11_cap", f"{N}, {BM25}, {SEARCH}, d AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY pos) AS n FROM hits WHERE pos <= 30) SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS pos FROM d WHERE n <= 2")
+@query("r11_cap", f"""{N}, {BM25}, {SEARCH}, d AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY pos) AS n FROM hits WHERE pos <= 30)
+  SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS pos FROM d WHERE n <= 2""")
 def r11(spark, sf_dir):
     return rank.cap_per_source(candidates(spark, sf_dir), 2).select("query_id", "chunk_id", "pos")
 
 
 #: The pipeline of ``retrieve`` step by step over the questions with cues: ``wide`` are the expanded questions of both
 #: legs; x1 to x9 are the lists after guard, fusion, injection, sibling order, rerank and recency.
-WIDE_SQL = f"SELECT query_id, CASE WHEN h = '' THEN regexp_replace(question, '^\\s+|\\s+$', '', 'g') ELSE concat(regexp_replace(question, '^\\s+|\\s+$', '', 'g'), ' ', h) END AS question, scope FROM (SELECT *, {hints_sql('question')} AS h FROM cue) z"
+WIDE_SQL = f"""SELECT query_id, CASE
+  WHEN h = '' THEN regexp_replace(question, '^\\s+|\\s+$', '', 'g') ELSE concat(regexp_replace(question, '^\\s+|\\s+$', '', 'g'), ' ', h) END AS question, scope
+  FROM (SELECT *, {hints_sql('question')} AS h FROM cue) z"""
 PAYLOAD = "query_id, chunk_id, source, title, chunk, category, mtime, scope"
 #: Chunks of each question's scope by the distance of their vectors.
 NEAR = f"""{EMBED.format(key='chunk_id', text='chunk', src='chunks').replace('sl AS', 'csl AS').replace('nm AS', 'cnm AS').replace('FROM sl', 'FROM csl').strip()},
 {EMBED.format(key='query_id', text='question', src='q').replace('sl AS', 'qsl AS').replace('nm AS', 'qnm AS').replace('FROM sl', 'FROM qsl').strip()},
 dots AS (SELECT a.k AS query_id, b.k AS chunk_id, sum((a.n / an.norm) * (b.n / bn.norm)) AS dot FROM qsl a JOIN qnm an USING (k) JOIN csl b ON a.slot = b.slot JOIN cnm bn ON b.k = bn.k GROUP BY ALL),
-near AS (SELECT {PAYLOAD}, row_number() OVER (PARTITION BY query_id ORDER BY round(CASE WHEN qn.norm IS NULL THEN 0.0e0 ELSE 1.0e0 END + CASE WHEN cn.norm IS NULL THEN 0.0e0 ELSE 1.0e0 END - 2 * coalesce(dot, 0.0e0), 6), chunk_id) AS pos
+near AS (SELECT {PAYLOAD}, row_number() OVER (PARTITION BY query_id ORDER BY round(CASE WHEN qn.norm IS NULL THEN 0.0e0 ELSE 1.0e0 END + CASE
+  WHEN cn.norm IS NULL THEN 0.0e0 ELSE 1.0e0 END - 2 * coalesce(dot, 0.0e0), 6), chunk_id) AS pos
   FROM q JOIN chunks ON {SCOPED} LEFT JOIN dots USING (query_id, chunk_id) LEFT JOIN qnm qn ON qn.k = query_id LEFT JOIN cnm cn ON cn.k = chunk_id)"""
 
 
@@ -371,18 +395,25 @@ x0 AS (SELECT query_id, chunk_id, any_value(source) AS source, any_value(title)
   round(sum(1.0e0 / (60 + pos)), 9) AS rrf_score, min(leg * 1000 + pos) AS o FROM legs GROUP BY query_id, chunk_id),
 x1 AS (SELECT * EXCLUDE (o) FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, o) AS pos FROM x0) WHERE pos <= 30),
 asks AS (SELECT query_id, scope, regexp_matches(question, '{INTENT}', 'i') AS intent, question FROM cue),
-r0 AS (SELECT query_id, chunk_id, source, title, chunk, category, mtime, scope, row_number() OVER (PARTITION BY query_id ORDER BY {TIME} DESC, source) AS pos FROM asks, chunks WHERE intent AND chunk_ix = 0 AND {SCOPED}),
+r0 AS (SELECT query_id, chunk_id, source, title, chunk, category, mtime, scope, row_number() OVER (PARTITION BY query_id ORDER BY {TIME} DESC, source) AS pos
+  FROM asks, chunks WHERE intent AND chunk_ix = 0 AND {SCOPED}),
 r1 AS (SELECT * FROM r0 WHERE pos <= 48), {guard_sql('r1', 'r2')},
-x2 AS (SELECT * EXCLUDE (pos), row_number() OVER (PARTITION BY query_id ORDER BY pos) AS pos FROM (SELECT * FROM x1 UNION ALL BY NAME SELECT * EXCLUDE (pos), pos + 1000000 AS pos FROM r2 WHERE pos <= 12 AND (query_id, chunk_id) NOT IN (SELECT (query_id, chunk_id) FROM x1))),
+x2 AS (SELECT * EXCLUDE (pos), row_number() OVER (PARTITION BY query_id ORDER BY pos) AS pos FROM (SELECT * FROM x1 UNION ALL BY NAME
+  SELECT * EXCLUDE (pos), pos + 1000000 AS pos FROM r2 WHERE pos <= 12 AND (query_id, chunk_id) NOT IN (SELECT (query_id, chunk_id) FROM x1))),
 {guard_sql('x2', 'x3')}, {siblings_sql('x3', 'x4', 'coalesce(rrf_score, 1.0e0 / (60 + pos))', 1.0)},
-x5 AS (SELECT * EXCLUDE (pos), row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, pos) AS pos FROM (SELECT x4.*, CAST(len(list_intersect({WORDSET.format('question')}, {WORDSET.format('chunk')})) AS DOUBLE) AS rerank_score FROM x4 JOIN asks USING (query_id))),
+x5 AS (SELECT * EXCLUDE (pos), row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, pos) AS pos
+  FROM (SELECT x4.*, CAST(len(list_intersect({WORDSET.format('question')}, {WORDSET.format('chunk')})) AS DOUBLE) AS rerank_score FROM x4
+  JOIN asks USING (query_id))),
 {siblings_sql('x5', 'x6', 'rerank_score', rank.RERANK_SCALE)},
 x7 AS (SELECT x6.*, intent, {TIME} AS t, count(*) OVER p AS n, min(rerank_score) OVER p AS lo, max(rerank_score) OVER p AS hi FROM x6 JOIN asks USING (query_id) WINDOW p AS (PARTITION BY query_id)),
 x8 AS (SELECT *, min(CASE WHEN hi > lo THEN (rerank_score - lo) / (hi - lo) ELSE 1.0e0 END) OVER (PARTITION BY query_id ORDER BY pos) AS r FROM x7),
-x9 AS (SELECT *, CASE WHEN n < 2 THEN -CAST(pos AS DOUBLE) ELSE round(r + CASE WHEN intent THEN 1.0e0 ELSE 0.1e0 END * pow(0.5e0, greatest(0.0e0, (1706745600.0e0 - t) / 86400.0e0) / CASE WHEN intent THEN 14.0e0 ELSE 90.0e0 END), 9) END AS s FROM x8)"""
+x9 AS (SELECT *, CASE WHEN n < 2 THEN -CAST(pos AS DOUBLE) ELSE round(r + CASE
+  WHEN intent THEN 1.0e0 ELSE 0.1e0 END * pow(0.5e0, greatest(0.0e0, (1706745600.0e0 - t) / 86400.0e0) / CASE
+  WHEN intent THEN 14.0e0 ELSE 90.0e0 END), 9) END AS s FROM x8)"""
 
 
-@query("r12_retrieve", f"{RETRIEVE} SELECT query_id, pos, chunk_id, rrf_score, rerank_score FROM (SELECT query_id, chunk_id, rrf_score, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, pos) AS pos FROM x9) WHERE pos <= 8")
+@query("r12_retrieve", f"""{RETRIEVE} SELECT query_id, pos, chunk_id, rrf_score, rerank_score FROM (SELECT query_id, chunk_id, rrf_score, rerank_score,
+  row_number() OVER (PARTITION BY query_id ORDER BY s DESC, pos) AS pos FROM x9) WHERE pos <= 8""")
 def r12(spark, sf_dir):
     """One chunk table, one index and one expanded question for both legs."""
     q, c = cue_questions(spark, sf_dir), stored(spark, sf_dir)

@@ -51,7 +51,8 @@ def f08(spark, sf_dir):
 FOUND = f"fd AS ({scan_sql(f'SELECT path, string_split(content, chr(10)) AS l FROM notes WHERE NOT ({IGN})')})"
 
 
-@query("i10_sync_report", f"""{N}, {FOUND}, tl AS (SELECT path, least(count(*), 5) AS told FROM fd GROUP BY path), p AS (SELECT path, CASE WHEN {IGN} THEN 'ignored' WHEN path IN (SELECT path FROM fd) THEN 'refused' ELSE 'upload' END AS verdict FROM notes)
+@query("i10_sync_report", f"""{N}, {FOUND}, tl AS (SELECT path, least(count(*), 5) AS told FROM fd GROUP BY path), p AS (SELECT path, CASE
+  WHEN {IGN} THEN 'ignored' WHEN path IN (SELECT path FROM fd) THEN 'refused' ELSE 'upload' END AS verdict FROM notes)
   SELECT verdict, count(*) AS n, CAST(coalesce(sum(told), 0) AS BIGINT) AS reasons FROM p LEFT JOIN tl USING (path) GROUP BY verdict""")
 def i10(spark, sf_dir):
     plan, found = screen.mirror_plan(corpus.notes(spark, sf_dir).select("path", "content"), rules(spark))
@@ -59,7 +60,8 @@ def i10(spark, sf_dir):
 
 
 @query("f10_output_guard", """WITH l AS (SELECT page_id, generate_subscripts(l, 1) AS line, unnest(l) AS s FROM (SELECT page_id, string_split(coalesce(html, ''), chr(10)) AS l FROM pages)),
-  r AS (SELECT page_id, line, CASE WHEN NOT regexp_matches(s, '^[\\x20-\\x7e\\t\\r]*$') THEN 'not plain ASCII' WHEN contains(lower(s), '.md') THEN 'names a .md file' WHEN length(s) > 300 THEN 'longer than 300 characters'
+  r AS (SELECT page_id, line, CASE WHEN NOT regexp_matches(s, '^[\\x20-\\x7e\\t\\r]*$') THEN 'not plain ASCII'
+  WHEN contains(lower(s), '.md') THEN 'names a .md file' WHEN length(s) > 300 THEN 'longer than 300 characters'
   WHEN starts_with(trim(s, ' '), '{') THEN 'an unparseable JSON line' END AS reason FROM l) SELECT page_id, line, reason FROM r WHERE reason IS NOT NULL""")
 def f10(spark, sf_dir):
     return screen.output_lines(table(spark, sf_dir, "pages"), "page_id", "html")

@@ -34,7 +34,9 @@ def hit(kw: str) -> str:
     return f"regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}_]){kw}($|[^\\p{{L}}\\p{{N}}_])')"
 
 
-MATCH = "k AS (" + " UNION ALL ".join(f"SELECT doc_id, '{r[0]}' AS topic, '{kw}' AS kw, {ix} AS ix, {j} AS j FROM documents WHERE {hit(kw)}" for ix, r in enumerate(ROUTES) for j, kw in enumerate(r[4])) + "), kw AS (SELECT doc_id, arg_min(topic, (-length(kw), ix, j)) AS topic, arg_min(kw, (-length(kw), ix, j)) AS kw FROM k GROUP BY doc_id)"
+MATCH = "k AS (" + " UNION ALL ".join(f"""SELECT doc_id, '{r[0]}' AS topic, '{kw}' AS kw, {ix} AS ix, {j} AS j FROM documents
+  WHERE {hit(kw)}""" for ix, r in enumerate(ROUTES) for j, kw in enumerate(r[4])) + """),
+  kw AS (SELECT doc_id, arg_min(topic, (-length(kw), ix, j)) AS topic, arg_min(kw, (-length(kw), ix, j)) AS kw FROM k GROUP BY doc_id)"""
 
 
 @query("t01_keyword_route", f"WITH {MATCH} SELECT * FROM kw")
@@ -42,18 +44,23 @@ def t01(spark, sf_dir):
     return t.match_routes(docs(spark, sf_dir), routes(spark))
 
 
-@query("c14_project_link", f"WITH {MATCH} SELECT doc_id, concat('[[', CASE topic WHEN 'licensing' THEN 'Licensing' WHEN 'manners' THEN 'Manners' WHEN 'german' THEN 'German' WHEN 'french' THEN 'French' ELSE 'Secrets' END, ']]') AS project FROM kw")
+@query("c14_project_link", f"""WITH {MATCH} SELECT doc_id, concat('[[', CASE topic WHEN 'licensing' THEN 'Licensing' WHEN 'manners' THEN 'Manners'
+  WHEN 'german' THEN 'German' WHEN 'french' THEN 'French' ELSE 'Secrets' END, ']]') AS project FROM kw""")
 def c14(spark, sf_dir):
     return t.project_link(t.match_routes(docs(spark, sf_dir), routes(spark)), routes(spark))
 
 
 PROFILE = "pr AS (" + " UNION ALL ".join(f"SELECT '{r[0]}' AS id, {ix} AS ix, '{' | '.join(x for x in (r[1], r[0], r[2], r[3], ' '.join(r[4])) if x)}' AS profile" for ix, r in enumerate(ROUTES)) + ")"
 DECIDE = f"""{PROFILE}, src AS (SELECT CAST(doc_id AS VARCHAR) AS k, left(coalesce(text, ''), 2000) AS t FROM documents UNION ALL SELECT concat('p:', id), profile FROM pr),
-sl AS (SELECT k, CAST(concat('0x', right(md5(w), 2)) AS INT) % 64 AS slot, CAST(count(*) AS DOUBLE) AS n FROM (SELECT k, unnest(regexp_extract_all(lower(t), '[a-z0-9_]+')) AS w FROM src) GROUP BY ALL),
+sl AS (SELECT k, CAST(concat('0x', right(md5(w), 2)) AS INT) % 64 AS slot, CAST(count(*) AS DOUBLE) AS n
+  FROM (SELECT k, unnest(regexp_extract_all(lower(t), '[a-z0-9_]+')) AS w FROM src) GROUP BY ALL),
 nm AS (SELECT k, sqrt(sum(n * n)) AS norm FROM sl GROUP BY k), v AS (SELECT k, slot, n / norm AS n FROM sl JOIN nm USING (k)),
-c AS (SELECT d.doc_id, p.id, p.ix, round(coalesce(s.c, 0), 6) AS cosine FROM documents d CROSS JOIN pr p LEFT JOIN (SELECT a.k, substr(b.k, 3) AS id, sum(a.n * b.n) AS c FROM v a JOIN v b USING (slot) WHERE NOT starts_with(a.k, 'p:') AND starts_with(b.k, 'p:') GROUP BY ALL) s ON s.k = CAST(d.doc_id AS VARCHAR) AND s.id = p.id),
+c AS (SELECT d.doc_id, p.id, p.ix, round(coalesce(s.c, 0), 6) AS cosine FROM documents d CROSS JOIN pr p LEFT JOIN (SELECT a.k, substr(b.k, 3) AS id,
+  sum(a.n * b.n) AS c FROM v a JOIN v b USING (slot) WHERE NOT starts_with(a.k, 'p:') AND starts_with(b.k, 'p:')
+  GROUP BY ALL) s ON s.k = CAST(d.doc_id AS VARCHAR) AND s.id = p.id),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, ix) AS n, lead(cosine) OVER (PARTITION BY doc_id ORDER BY cosine DESC, ix) AS second FROM c),
-dec AS (SELECT doc_id, id, cosine AS best, second, CASE WHEN cosine < 0.5e0 THEN 'below_threshold' WHEN round(cosine - second, 6) < 0.04e0 THEN 'weak_margin' ELSE 'assigned' END AS reason FROM r WHERE n = 1)"""
+dec AS (SELECT doc_id, id, cosine AS best, second, CASE WHEN cosine < 0.5e0 THEN 'below_threshold'
+  WHEN round(cosine - second, 6) < 0.04e0 THEN 'weak_margin' ELSE 'assigned' END AS reason FROM r WHERE n = 1)"""
 
 
 @query("t02_profiles", f"WITH {PROFILE} SELECT id, ix AS route_ix, profile, (SELECT count(*) FROM documents WHERE contains(text, id)) AS n_docs FROM pr")
@@ -74,7 +81,8 @@ def votes(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", raw.alias("raw"))
 
 
-VOTED = "vt AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'manners' WHEN 1 THEN 'secrets' ELSE 'german' END AS topic, CASE doc_id % 3 WHEN 0 THEN 0.9e0 ELSE 0.8e0 END AS confidence FROM dec WHERE reason <> 'assigned' AND best >= 0.35e0 AND doc_id % 4 <> 2 AND doc_id % 3 <> 2)"
+VOTED = """vt AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'manners' WHEN 1 THEN 'secrets' ELSE 'german' END AS topic, CASE doc_id % 3
+  WHEN 0 THEN 0.9e0 ELSE 0.8e0 END AS confidence FROM dec WHERE reason <> 'assigned' AND best >= 0.35e0 AND doc_id % 4 <> 2 AND doc_id % 3 <> 2)"""
 
 
 @query("t04_votes", f"WITH {DECIDE}, {VOTED} SELECT * FROM vt")
@@ -85,7 +93,8 @@ def t04(spark, sf_dir):
 
 CASCADE = f"""{MATCH}, {DECIDE}, {VOTED}, cs AS (SELECT doc_id, coalesce(kw.topic, CASE WHEN reason = 'assigned' THEN dec.id END, vt.topic, 'chat-inbox') AS topic,
   CASE WHEN kw.topic IS NOT NULL THEN 'keyword' WHEN reason = 'assigned' THEN 'embed' WHEN vt.topic IS NOT NULL THEN 'llm' ELSE 'inbox' END AS how,
-  CASE WHEN kw.topic IS NOT NULL THEN 1.0e0 WHEN reason = 'assigned' THEN best WHEN vt.topic IS NOT NULL THEN confidence ELSE 0.0e0 END AS score FROM documents LEFT JOIN kw USING (doc_id) JOIN dec USING (doc_id) LEFT JOIN vt USING (doc_id))"""
+  CASE WHEN kw.topic IS NOT NULL THEN 1.0e0 WHEN reason = 'assigned' THEN best WHEN vt.topic IS NOT NULL THEN confidence ELSE 0.0e0 END AS score FROM documents
+  LEFT JOIN kw USING (doc_id) JOIN dec USING (doc_id) LEFT JOIN vt USING (doc_id))"""
 
 
 @query("t05_cascade", f"WITH {CASCADE} SELECT * FROM cs")
@@ -94,8 +103,10 @@ def t05(spark, sf_dir):
 
 
 NAMES = " ".join(f"WHEN '{r[0]}' THEN '{r[1]}'" for r in ROUTES)
-STUBS = f"""SELECT doc_id, concat(CASE topic {' '.join(f"WHEN '{r[0]}' THEN '{r[2]}'" for r in ROUTES)} END, '/AI Chat Links/2024-01-01 - Chat ', CAST(doc_id AS VARCHAR), ' - ', left(md5(CAST(doc_id AS VARCHAR)), 12), '.md') AS path,
-  concat('# Chat ', CAST(doc_id AS VARCHAR), chr(10), chr(10), 'Topic: [[', CASE topic {NAMES} END, ']]', chr(10), 'Transcript: [[05 AI Chats/x]]', chr(10), chr(10), '> ', left(regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g'), 280), chr(10)) AS body FROM kw JOIN documents USING (doc_id)"""
+STUBS = f"""SELECT doc_id,
+  concat(CASE topic {' '.join(f"WHEN '{r[0]}' THEN '{r[2]}'" for r in ROUTES)} END, '/AI Chat Links/2024-01-01 - Chat ', CAST(doc_id AS VARCHAR), ' - ', left(md5(CAST(doc_id AS VARCHAR)), 12), '.md') AS path,
+  concat('# Chat ', CAST(doc_id AS VARCHAR), chr(10), chr(10), 'Topic: [[', CASE topic {NAMES} END, ']]', chr(10), 'Transcript: [[05 AI Chats/x]]', chr(10), chr(10), '> ', left(regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g'), 280), chr(10)) AS body
+  FROM kw JOIN documents USING (doc_id)"""
 
 
 @query("t06_stubs", f"WITH {MATCH} {STUBS}")
@@ -111,7 +122,8 @@ NOISY = f"""(tok IN ({', '.join(f"'{x}'" for x in t.STOP + t.WEAK)}) OR regexp_m
 PHRASES = f"""tk AS (SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS tok FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z][a-z0-9\\-]{{3,}}') AS l FROM documents)),
 kp AS (SELECT doc_id, i, tok, lead(tok) OVER (PARTITION BY doc_id ORDER BY i) AS nx FROM tk WHERE NOT {NOISY}),
 ph AS (SELECT doc_id, concat(tok, ' ', nx) AS phrase, min(i) AS i FROM kp WHERE nx IS NOT NULL AND tok <> nx GROUP BY 1, 2),
-cd AS (SELECT doc_id, phrase, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos FROM ph WHERE phrase NOT IN ({', '.join(f"'{x}'" for x in t.BLOCKED)}) AND length(phrase) BETWEEN 7 AND 40)"""
+cd AS (SELECT doc_id, phrase, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos FROM ph
+  WHERE phrase NOT IN ({', '.join(f"'{x}'" for x in t.BLOCKED)}) AND length(phrase) BETWEEN 7 AND 40)"""
 
 
 @query("t07_candidates", f"WITH {PHRASES} SELECT doc_id, CAST(pos AS INT) AS pos, phrase FROM cd WHERE pos < {t.CANDIDATES}")
@@ -137,11 +149,16 @@ ALIKE = """(phrase = kw OR list_sort(list_distinct(string_split(phrase, ' '))) =
 KEYWORDS = ", ".join(f"('{kw}')" for r in ROUTES for kw in r[4])
 
 
-@query("t10_learned", f"""WITH {MATCH}, {DECIDE}, {PHRASES}, cs AS (SELECT doc_id, coalesce(kw.topic, CASE WHEN reason = 'assigned' THEN dec.id END, 'chat-inbox') AS topic, CASE WHEN kw.topic IS NOT NULL THEN 1.0e0 WHEN reason = 'assigned' THEN best ELSE 0.0e0 END AS score
-  FROM documents LEFT JOIN kw USING (doc_id) JOIN dec USING (doc_id)), sure AS (SELECT * FROM cs WHERE score >= {t.LEARN}e0 AND topic <> 'chat-inbox'), tokens AS (SELECT id AS topic, regexp_extract_all(lower(profile), '[a-z][a-z0-9\\-]{{3,}}') AS tk FROM pr),
-  own AS (SELECT doc_id, topic, phrase, pos FROM cd JOIN sure USING (doc_id) JOIN tokens USING (topic) WHERE pos < {t.CANDIDATES} AND list_has_any(string_split(phrase, ' '), tk)), known AS (SELECT * FROM (VALUES {KEYWORDS}) v(kw)),
+@query("t10_learned", f"""WITH {MATCH}, {DECIDE}, {PHRASES}, cs AS (SELECT doc_id, coalesce(kw.topic, CASE
+  WHEN reason = 'assigned' THEN dec.id END, 'chat-inbox') AS topic, CASE WHEN kw.topic IS NOT NULL THEN 1.0e0
+  WHEN reason = 'assigned' THEN best ELSE 0.0e0 END AS score
+  FROM documents LEFT JOIN kw USING (doc_id) JOIN dec USING (doc_id)), sure AS (SELECT * FROM cs WHERE score >= {t.LEARN}e0 AND topic <> 'chat-inbox'),
+  tokens AS (SELECT id AS topic, regexp_extract_all(lower(profile), '[a-z][a-z0-9\\-]{{3,}}') AS tk FROM pr),
+  own AS (SELECT doc_id, topic, phrase, pos FROM cd JOIN sure USING (doc_id) JOIN tokens USING (topic)
+  WHERE pos < {t.CANDIDATES} AND list_has_any(string_split(phrase, ' '), tk)), known AS (SELECT * FROM (VALUES {KEYWORDS}) v(kw)),
   fresh AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM own WHERE NOT EXISTS (SELECT 1 FROM known WHERE {ALIKE})),
-  first AS (SELECT topic, phrase, min((doc_id, pos)) AS f FROM fresh WHERE n <= {t.PER_CHAT} GROUP BY ALL), rk AS (SELECT topic, phrase, row_number() OVER (PARTITION BY topic ORDER BY f DESC) AS rank FROM first)
+  first AS (SELECT topic, phrase, min((doc_id, pos)) AS f FROM fresh WHERE n <= {t.PER_CHAT} GROUP BY ALL), rk AS (SELECT topic, phrase, row_number()
+  OVER (PARTITION BY topic ORDER BY f DESC) AS rank FROM first)
   SELECT topic, phrase, rank FROM rk WHERE rank <= {t.PER_TOPIC}""")
 def t10(spark, sf_dir):
     d = docs(spark, sf_dir)
