@@ -57,8 +57,8 @@ def _slots(h: np.ndarray) -> list[np.ndarray]:
 
 
 class Filters:
-    """Slot s holds a mask of the languages that set bit s, in words of 64 languages; the masks of an n-gram's slots, ANDed, are the languages
-    that contain it."""
+    """Slot s holds a mask of the languages that set bit s, in words of 64 languages; the masks of an n-gram's slots, ANDed,
+    are the languages that contain it."""
 
     def __init__(self, grams_of: dict[str, np.ndarray]):
         self.languages = sorted(grams_of)
@@ -126,5 +126,6 @@ def identify(docs: DataFrame, filters: Filters) -> DataFrame:
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text of ``documents``, one row for each; edge cases as in identify."""
     docs = texts(spark, sf_dir)
     return identify(docs, learn(docs)).select("doc_id", (remainder() == 2).alias("held_out"), "lang_pred", "score")

@@ -167,4 +167,5 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 1
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all ``documents`` in sequences of 2048 ids; edge cases as in pack."""
     return pack(texts(spark, sf_dir), default_vocabulary())

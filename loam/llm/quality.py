@@ -143,8 +143,9 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 8000, cost: float
     """Fit on at most ``most_rows`` labelled rows that aren't held out, chosen by a hash of doc_id.
 
     The bound keeps what reaches the driver small whatever the corpus: the chosen ids are broadcast, their texts become
-    n-gram indices on the executors. The sigmoid is fitted to margins of rows left out in turn. Rows with a null id,
-    text or label teach nothing; with one class or none, scores are 1, 0 or 0.5 everywhere."""
+    n-gram indices on the executors. Of rows that share an id the least text teaches, and the greater label. The sigmoid is
+    fitted to margins of rows left out in turn. Rows with a null id, text or label teach nothing; with one class or none,
+    scores are 1, 0 or 0.5 everywhere."""
     ids = labels.filter("doc_id is not null and quality in (0, 1)").filter(remainder() != 2).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     ids = ids.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most_rows)
     some = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("text is not null").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "quality")
@@ -154,7 +155,8 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 8000, cost: float
             x = [features(t).astype("<i4").tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array(x, pa.binary())], ["doc_id", "quality", "x"])
 
-    rows = {r["doc_id"]: r for r in some.mapInArrow(run, "doc_id long, quality int, x binary").toLocalIterator()}
+    once = some.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    rows = {r["doc_id"]: r for r in once.mapInArrow(run, "doc_id long, quality int, x binary").toLocalIterator()}
     rows = [rows[k] for k in sorted(rows)]
     x = [np.frombuffer(r["x"], "<i4") for r in rows]
     y = np.array([1 if r["quality"] else -1 for r in rows])
@@ -189,6 +191,7 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
 
 
 def op9_quality(spark: SparkSession, sf_dir: str, threshold: float = 0.7) -> DataFrame:
+    """Score of every whole text of ``documents``, one row for each; null texts score as texts without n-grams."""
     docs = texts(spark, sf_dir)
     s = scored(docs.select("doc_id", "text"), train(docs, table(spark, sf_dir, "labels")))
     return s.select("doc_id", (remainder() == 2).alias("held_out"), "score").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
