@@ -103,7 +103,10 @@ def chunk_notes(notes: DataFrame, size: int = CHUNK_WORDS, overlap: int = OVERLA
     """The chunk table of ``notes`` (path, title, category, mtime, content)."""
     x = with_sections(notes, "content").withColumn("tags", indexer_tags(F.col("content")))
     x = x.select("path", "title", "category", "mtime", "tags", F.posexplode(chunked(F.col("sections"), size, overlap)).alias("chunk_ix", "c"))
-    return x.select(F.concat("path", F.lit("_chunk_"), F.col("chunk_ix").cast("string")).alias("chunk_id"), F.col("path").alias("source"), "chunk_ix", F.col("c.text").alias("chunk"), F.col("c.heading").alias("heading"), "title", "tags", "category", "mtime")
+    return x.select(
+        F.concat("path", F.lit("_chunk_"), F.col("chunk_ix").cast("string")).alias("chunk_id"), F.col("path").alias("source"), "chunk_ix",
+        F.col("c.text").alias("chunk"), F.col("c.heading").alias("heading"), "title", "tags", "category", "mtime",
+    )
 
 
 def indexer_tags(content: Column) -> Column:

@@ -117,9 +117,18 @@ def changes(now: DataFrame, before: DataFrame) -> DataFrame:
 def issue_list(broken: DataFrame, orphaned: DataFrame, untagged: DataFrame) -> DataFrame:
     """``kind, note_id, title, detail, action, n``: one typed list, numbered by kind, note and detail."""
     s = F.array_join(F.slice("suggestions", 1, 3), " · ")
-    b = broken.select(F.lit(0).alias("o"), F.lit("broken-link").alias("kind"), F.col("source").alias("note_id"), F.col("source_title").alias("title"), F.concat(F.lit("Points at missing “"), "target", F.lit("”.")).alias("detail"), F.lit("Retarget or create the target note").alias("action"))
-    o = orphaned.select(F.lit(1).alias("o"), F.lit("orphan").alias("kind"), F.col("path").alias("note_id"), "title", F.lit("Zero backlinks · not cited by any hub.").alias("detail"), F.lit("Link from a hub or MOC").alias("action"))
-    t = untagged.select(F.lit(2).alias("o"), F.lit("tagless").alias("kind"), F.col("path").alias("note_id"), "title", F.when(s != "", F.concat(F.lit("No tags. Suggested: "), s, F.lit("."))).otherwise("No tags.").alias("detail"), F.when(s != "", "Apply suggested tags").otherwise("Add tags").alias("action"))
+
+    def rows(df: DataFrame, order: int, kind: str, note_id: str, title: str, detail: Column, action: Column) -> DataFrame:
+        return df.select(
+            F.lit(order).alias("o"), F.lit(kind).alias("kind"), F.col(note_id).alias("note_id"), F.col(title).alias("title"),
+            detail.alias("detail"), action.alias("action"),
+        )
+
+    points = F.concat(F.lit("Points at missing “"), "target", F.lit("”."))
+    b = rows(broken, 0, "broken-link", "source", "source_title", points, F.lit("Retarget or create the target note"))
+    o = rows(orphaned, 1, "orphan", "path", "title", F.lit("Zero backlinks · not cited by any hub."), F.lit("Link from a hub or MOC"))
+    none = F.when(s != "", F.concat(F.lit("No tags. Suggested: "), s, F.lit("."))).otherwise("No tags.")
+    t = rows(untagged, 2, "tagless", "path", "title", none, F.when(s != "", "Apply suggested tags").otherwise("Add tags"))
     return global_rank(b.unionByName(o).unionByName(t), "n", F.col("o"), F.col("note_id"), F.col("detail")).drop("o")
 
 

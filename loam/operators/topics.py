@@ -163,9 +163,12 @@ def near_duplicate_pairs(phrases: DataFrame) -> DataFrame:
     part = lambda i: F.substr("phrase", third * i + 1, F.when(F.lit(i) == 2, n - 2 * third).otherwise(third))
     pieces = p.select(F.col("phrase").alias("a"), n.alias("n"), F.posexplode(F.array(*(part(i) for i in range(3)))).alias("i", "piece"), third.alias("t"))
     # any phrase within two edits holds one of the three pieces whole, moved by two at most
-    grams = p.select(F.col("phrase").alias("b"), n.alias("m"), F.explode(F.sequence(F.lit(0), n - 1)).alias("at")).withColumn("len", F.explode(F.sequence(F.greatest(F.lit(1), F.floor((F.col("m") - 2) / 3).cast("int")), F.floor((F.col("m") + 2) / 3).cast("int") + 2)))
+    grams = p.select(F.col("phrase").alias("b"), n.alias("m"), F.explode(F.sequence(F.lit(0), n - 1)).alias("at"))
+    least, most = F.floor((F.col("m") - 2) / 3).cast("int"), F.floor((F.col("m") + 2) / 3).cast("int") + 2
+    grams = grams.withColumn("len", F.explode(F.sequence(F.greatest(F.lit(1), least), most)))
     grams = grams.filter(F.col("at") + F.col("len") <= F.col("m")).withColumn("piece", F.expr("substr(b, at + 1, len)"))
-    close = pieces.join(grams, "piece").filter((F.abs(F.col("n") - F.col("m")) <= 2) & (F.abs(F.col("at") - F.col("t") * F.col("i")) <= 2) & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    beside = (F.abs(F.col("n") - F.col("m")) <= 2) & (F.abs(F.col("at") - F.col("t") * F.col("i")) <= 2) & (F.col("a") != F.col("b"))
+    close = pieces.join(grams, "piece").filter(beside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return exact.unionByName(close).distinct().filter(near_duplicate(F.col("a"), F.col("b")))
 
 
