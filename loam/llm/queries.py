@@ -11,7 +11,9 @@ from loam.llm.exact_dedup import OP7_SQL, op7_exact_dedup
 from loam.llm.language import op4_language
 from loam.llm.lengths import op6_token_counts
 from loam.llm.licenses import op3_licenses
+from loam.llm.merkle import OP12_SQL, op12_merkle_manifest
 from loam.llm.packing import op10_packing
+from loam.llm.prefix_trie import OP11_SQL, op11_prefix_trie
 from loam.llm.privacy import op5_private_data
 from loam.llm.quality import op9_quality
 from loam.llm.simhash import op8_simhash
@@ -28,6 +30,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_exact_dedup": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_exact_dedup": OP7_SQL, "op11_prefix_trie": OP11_SQL, "op12_merkle_manifest": OP12_SQL}
