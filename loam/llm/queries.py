@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loam.llm.decontaminate import op2_decontamination
 from loam.llm.exact_dedup import OP7_SQL, op7_exact_dedup
+from loam.llm.hyperminhash import OP13_SQL, op13_hyperminhash
 from loam.llm.language import op4_language
 from loam.llm.lengths import op6_token_counts
 from loam.llm.licenses import op3_licenses
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_hyperminhash": op13_hyperminhash,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_exact_dedup": OP7_SQL, "op11_prefix_trie": OP11_SQL, "op12_merkle_manifest": OP12_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_exact_dedup": OP7_SQL, "op11_prefix_trie": OP11_SQL, "op12_merkle_manifest": OP12_SQL, "op13_hyperminhash": OP13_SQL}
