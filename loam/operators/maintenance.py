@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,24 +20,15 @@ def status(scan: DataFrame, indexed: DataFrame) -> DataFrame:
     return x.select("source", F.when(F.col("_there").isNull(), "new").when(F.col("_here").isNull(), "gone").when(same, "unchanged").otherwise("changed").alias("status"))
 
 
-def apply(old: DataFrame, states: DataFrame, fresh: DataFrame) -> DataFrame:
-    """The next chunk table: what was unchanged, and the ``fresh`` chunks of new and changed notes."""
+def apply(old: DataFrame, states: DataFrame, notes: DataFrame, chunker: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The next chunk table: what was unchanged, and chunks of the new and changed ``notes``, which alone are chunked."""
     keep = old.join(states.filter("status = 'unchanged'").select("source"), "source", "left_semi").select(old.columns)
-    new = fresh.join(states.filter("status in ('new', 'changed')").select("source"), "source", "left_semi").select(old.columns)
-    return keep.unionByName(new)
-
-
-def write_version(chunks: DataFrame, root: str, version: int, buckets: int = 64) -> None:
-    """One version of the chunk table, clustered by a hash of the source so that a note's chunks lie together."""
-    chunks.withColumn("bucket", F.pmod(F.xxhash64("source"), F.lit(buckets)).cast("int")).repartition("bucket").write.partitionBy("bucket").parquet(f"{root}/v={version}")
+    return keep.unionByName(chunker(changed_notes(notes, states)).select(old.columns))
 
 
-def read_version(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
-    """A written version of the chunk table, the newest if none is named."""
-    every = spark.read.parquet(root)
-    if version is None:
-        version = every.agg(F.max("v")).first()[0]
-    return every.filter(F.col("v") == version).drop("v", "bucket")
+def changed_notes(notes: DataFrame, states: DataFrame) -> DataFrame:
+    """``notes`` (path, ...) that are new or changed."""
+    return notes.join(states.filter("status in ('new', 'changed')").select(F.col("source").alias("path")), "path", "left_semi")
 
 
 def rebuild(notes: DataFrame, chunker) -> DataFrame:
@@ -44,10 +37,10 @@ def rebuild(notes: DataFrame, chunker) -> DataFrame:
 
 
 def summary(states: DataFrame, fresh: DataFrame, failed_batches: Column | None = None) -> DataFrame:
-    """One row: files scanned, skipped, reindexed, pruned, chunks written, batches failed."""
+    """One row: files scanned, skipped, reindexed, pruned, chunks written (those of ``fresh``), batches failed."""
     n = lambda *s: F.count_if(F.col("status").isin(*s))
     s = states.agg(n("new", "changed", "unchanged").alias("scanned"), n("unchanged").alias("skipped"), n("new", "changed").alias("reindexed"), n("gone").alias("pruned"))
-    w = fresh.join(states.filter("status in ('new', 'changed')").select("source"), "source", "left_semi").agg(F.count("*").alias("chunks_written"))
+    w = fresh.agg(F.count("*").alias("chunks_written"))
     return s.crossJoin(w).withColumn("batches_failed", failed_batches if failed_batches is not None else F.lit(0))
 
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loam.functions import markdown as md
+from loam.operators import chunk_table
 from loam.operators import maintenance as m
 from loam.plans.notes import NWORDS
 from loam.plans.registry import query
 from loam.plans.retrieval import N as CHUNKS
 from loam.plans.retrieval import chunks
-from loam.session import shared_dir, table
+from loam.session import materialise, shared_dir, table
 from loam.sources import corpus
 
 #: Notes and their chunks, and a later scan.
@@ -48,7 +49,7 @@ def i02(spark, sf_dir):
 @query("i03_apply", f"{N}, {STATUS} SELECT chunk_id, later.mtime FROM later JOIN chunks ON source = path WHERE path IN (SELECT source FROM st WHERE status <> 'gone')")
 def i03(spark, sf_dir):
     old, new = pair(spark, sf_dir)
-    return m.apply(chunked(old), states(spark, sf_dir), chunked(new)).select("chunk_id", "mtime")
+    return m.apply(chunked(old), states(spark, sf_dir), new, chunked).select("chunk_id", "mtime")
 
 
 @query("i04_rebuild", f"{N} SELECT source, count(*) AS n_chunks FROM chunks GROUP BY source")
@@ -62,7 +63,8 @@ def i04(spark, sf_dir):
   WHERE status IN ('new', 'changed'))) AS chunks_written, 0 AS batches_failed, CAST(NULL AS VARCHAR) AS failure FROM st""")
 def i05(spark, sf_dir):
     old, new = pair(spark, sf_dir)
-    return m.verdict(m.summary(states(spark, sf_dir), chunked(new)))
+    st = states(spark, sf_dir)
+    return m.verdict(m.summary(st, chunked(m.changed_notes(new, st))))
 
 
 @query("i07_census", f"""{N} SELECT (SELECT count(*) FROM chunks) AS chunks, count(*) AS files, count(*) FILTER (category <> 'chat') AS notes,
@@ -82,14 +84,15 @@ def i09(spark, sf_dir):
 
 @query("s09_upsert", f"{N}, {STATUS} SELECT status, count(DISTINCT source) AS n_notes, count(*) AS n_chunks FROM st JOIN chunks USING (source) WHERE status <> 'gone' GROUP BY status")
 def s09(spark, sf_dir):
-    """Two written versions of the chunk table: what is indexed, and after a later scan; the newest is read back."""
+    """The chunk table of what is indexed, and the same table after a later scan, of which only changed buckets were rewritten."""
     import uuid
 
     root = f"{shared_dir(spark)}/table-{uuid.uuid4().hex[:12]}"
     old, new = pair(spark, sf_dir)
-    m.write_version(chunked(old), root, 0)
-    m.write_version(m.apply(m.read_version(spark, root), states(spark, sf_dir), chunked(new)), root, 1)
-    out = m.read_version(spark, root).join(states(spark, sf_dir), "source")
+    before = materialise(states(spark, sf_dir), "states")
+    chunk_table.create(chunked(old), root)
+    chunk_table.upsert(spark, root, new, chunked)
+    out = chunk_table.read(spark, root).join(before, "source")
     return out.groupBy("status").agg(F.countDistinct("source").alias("n_notes"), F.count("*").alias("n_chunks"))
 
 

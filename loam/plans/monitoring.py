@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loam.functions import markdown as md
+from loam.operators import chunk_table
 from loam.operators import monitor as mo
 from loam.plans.registry import query
 from loam.plans.retrieval import N as CHUNKS
@@ -193,14 +194,8 @@ def w12(spark, sf_dir):
     seen = lambda d, s: d.withColumn("seen", F.timestamp_seconds(F.lit(1704067200 + s)))
     seen(n, 0).write.parquet(f"{root}/in/scan=1")
     seen(late, 60).write.parquet(f"{root}/in/scan=2")
-    md.chunk_notes(n.limit(0)).write.parquet(f"{root}/v/-1")
-    version = [-1]
-
-    def write(df, epoch):
-        df.write.mode("overwrite").parquet(f"{root}/v/{epoch}")
-        version[0] = epoch
-
+    chunk_table.create(md.chunk_notes(n.limit(0)), f"{root}/table")
     schema = seen(n, 0).schema
-    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{root}/in")
-    st.incremental_index(stream, lambda: spark.read.parquet(f"{root}/v/{version[0]}"), write, md.chunk_notes, f"{root}/state").awaitTermination()
-    return spark.read.parquet(f"{root}/v/{version[0]}").select("chunk_id", "source", "mtime")
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 64).parquet(f"{root}/in")
+    st.incremental_index(stream, f"{root}/table", md.chunk_notes, f"{root}/state").awaitTermination()
+    return chunk_table.read(spark, f"{root}/table").select("chunk_id", "source", "mtime")

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from loam.operators import maintenance
+from loam.operators import chunk_table
+from loam.session import materialise
 
 
 def event_stream(spark, path: str, schema, files_a_trigger: int = 64) -> DataFrame:
@@ -65,19 +66,16 @@ def hold_states(evaluations: DataFrame, key: str, hold_minutes: int) -> DataFram
     return evaluations.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, end timestamp, state string", "since long, firing boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def incremental_index(stream: DataFrame, read_index: Callable[[], DataFrame], write_index: Callable[[DataFrame, int], None], chunker: Callable[[DataFrame], DataFrame], checkpoint: str, late: str = "1 day"):
-    """A query that brings changed notes (path, title, category, mtime, content, seen) into the chunk table.
+def incremental_index(stream: DataFrame, root: str, chunker: Callable[[DataFrame], DataFrame], checkpoint: str, late: str = "1 day"):
+    """A query that brings changed notes (path, title, category, mtime, content, seen) into the chunk table at ``root``.
 
-    Each trigger takes what is there, drops rows seen twice within the watermark, and writes the next version of the table:
-    only changed notes are chunked anew. Nothing is pruned, as a stream of changes doesn't say what is gone."""
+    Rows seen twice within the watermark are dropped. Each trigger chunks its changed notes alone and rewrites the buckets
+    they lie in; a trigger that is repeated finds them unchanged. Nothing is pruned, as a stream of changes doesn't say what
+    is gone."""
     once = stream.withWatermark("seen", late).dropDuplicatesWithinWatermark(["path", "mtime"])
 
     def batch(df: DataFrame, epoch: int) -> None:
-        df = df.persist()
-        old = read_index()
         latest = df.groupBy("path").agg(F.max_by(F.struct("title", "category", "mtime", "content"), "mtime").alias("n")).select("path", "n.*")
-        states = maintenance.status(latest, old).withColumn("status", F.when(F.col("status") == "gone", "unchanged").otherwise(F.col("status")))
-        write_index(maintenance.apply(old, states, chunker(latest)), epoch)
-        df.unpersist()
+        chunk_table.upsert(df.sparkSession, root, materialise(latest, "latest"), chunker, prune=False)
 
     return once.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
