@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.operators.maintenance import status
-from loam.session import materialise
+from loam.session import files, materialise
 
 #: Buckets of a new table, and bytes of a bucket on disk beyond which the table is dealt into more.
 BUCKETS, BUCKET_BYTES = 16, 256 << 20
@@ -18,16 +18,11 @@ def bucket_of(source: Column | str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(source), F.lit(buckets)).cast("int")
 
 
-def _files(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
 def current(spark: SparkSession, root: str) -> int:
     """Number of buckets of the table at ``root``: the folder of most buckets whose write was completed."""
-    fs, p = _files(spark, root)
+    fs, p = files(spark, root)
     made = [int(s.getPath().getName()[2:]) for s in fs.listStatus(p) if s.getPath().getName().startswith("b=")]
-    done = [n for n in made if fs.exists(_files(spark, f"{root}/b={n}/_SUCCESS")[1])]
+    done = [n for n in made if fs.exists(files(spark, f"{root}/b={n}/_SUCCESS")[1])]
     if not done:
         raise FileNotFoundError(f"no chunk table at {root}")
     return max(done)
@@ -56,7 +51,7 @@ def settle(spark: SparkSession, root: str, bucket_bytes: int = BUCKET_BYTES) ->
     """Deals a table whose buckets have grown beyond ``bucket_bytes`` on average into twice as many as it needs, so that a
     table which grows is dealt anew each time it has doubled."""
     n = current(spark, root)
-    fs, p = _files(spark, f"{root}/b={n}")
+    fs, p = files(spark, f"{root}/b={n}")
     size = fs.getContentSummary(p).getLength()
     if size <= n * bucket_bytes:
         return
@@ -88,11 +83,11 @@ def upsert(spark: SparkSession, root: str, notes: DataFrame, chunker: Callable[[
     kept = old.join(states.select("source"), "source", "left_anti")
     _write(kept.unionByName(new.select(kept.columns)), f"{root}/b={n}", len(touched), "dynamic")
     # a bucket without any row left has not been overwritten: it still holds what went
-    fs, _ = _files(spark, root)
+    fs, _ = files(spark, root)
     times = states.join(notes.select(F.col("path").alias("source"), F.col("mtime").alias("now")), "source", "left").select("source", "now")
     after = read(spark, root, True).filter(F.col("bucket").isin(touched)).select("bucket", "source", "mtime")
     stale = after.join(times, "source").filter("now is null or abs(mtime - now) > 1e-6").select("bucket").distinct()
     for r in stale.collect():
-        fs.delete(_files(spark, f"{root}/b={n}/bucket={r['bucket']}")[1], True)
+        fs.delete(files(spark, f"{root}/b={n}/bucket={r['bucket']}")[1], True)
     settle(spark, root, bucket_bytes)
     return states

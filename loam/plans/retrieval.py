@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.functions import markdown as md
-from loam.operators import lexical, rank, vectors
+from loam.operators import chunk_table, lexical, rank, vectors
 from loam.plans.notes import CHUNKED
 from loam.plans.registry import query
-from loam.session import materialise, table
+from loam.session import materialise, shared_dir, table
 from loam.sources import corpus
 
 #: Notes, and their chunks by the same fold as the chunk queries.
@@ -108,14 +108,33 @@ def b02_stored(spark, sf_dir):
     """The search over an index that was written and read back."""
     import uuid
 
-    from loam.session import shared_dir
-
     path = f"{shared_dir(spark)}/lexical-{uuid.uuid4().hex[:12]}"
     c = stored(spark, sf_dir)
     lexical.write_index(c, path)
     return lexical.search(questions(spark, sf_dir), c, 10, lexical.read_index(spark, path)).select("query_id", "pos", "chunk_id", "score")
 
 
+#: The chunks of a later scan.
+LATER_N = N.replace("JOIN notes USING (path))", "JOIN notes USING (path) WHERE doc_id % 17 <> 0)")
+
+
+@query("b02_segments", f"{LATER_N}, {BM25} SELECT term, any_value(df) AS df, round(any_value(idf), 6) AS idf, count(*) AS n_chunks, sum(tf) AS total FROM tf JOIN idf USING (term) GROUP BY term")
+def b02_segments(spark, sf_dir):
+    """An index of what was there first, brought up to a later scan by one more segment; its statistics and live postings."""
+    import uuid
+
+    root = f"{shared_dir(spark)}/follow-{uuid.uuid4().hex[:12]}"
+    n = corpus.notes(spark, sf_dir)
+    chunker = lambda x: md.chunk_notes(x).drop("tags")
+    chunk_table.create(chunker(n.filter("doc_id % 23 <> 0")), f"{root}/chunks")
+    lexical.write_index(chunk_table.read(spark, f"{root}/chunks"), f"{root}/index")
+    chunk_table.upsert(spark, f"{root}/chunks", corpus.later_notes(n), chunker)
+    lexical.follow(spark, f"{root}/index", chunk_table.read(spark, f"{root}/chunks"))
+    idx = lexical.read_index(spark, f"{root}/index")
+    live = idx["postings"].groupBy("term").agg(F.count("*").alias("n_chunks"), F.sum("tf").alias("total"))
+    return idx["terms"].select("term", "df", F.round("idf", 6).alias("idf")).join(live, "term")
+
+
 @query("b03_bm25", f"{N}, {BM25}, {SEARCH} SELECT query_id, pos, chunk_id, score FROM hits WHERE pos <= 10")
 def b03(spark, sf_dir):
     return lexical.search(questions(spark, sf_dir), stored(spark, sf_dir), 10).select("query_id", "pos", "chunk_id", "score")

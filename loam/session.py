@@ -50,6 +50,25 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def files(spark: SparkSession, path: str):
+    """Hadoop's file system of ``path``, and the path as it takes it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def bucketed(df: DataFrame, label: str, key: str, buckets: int | None = None) -> DataFrame:
+    """``df`` written as Parquet below the shared folder in hash buckets of ``key`` and read back with them, so that joins and
+    groups by ``key`` need no further shuffle. The catalog's entry goes once the table is resolved; the files stay."""
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"loam_{label}_{uuid.uuid4().hex[:12]}"
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    out = spark.table(name)
+    out.schema  # resolved now
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
