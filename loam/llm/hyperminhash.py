@@ -30,7 +30,7 @@ SIGMAS = 6
 MOST_IN_BUCKET = 20_000
 #: Members and shingles (8 bytes each) of a cluster that one task searches.
 MOST_SETS, MOST_SHINGLES = 10_000, 4_000_000
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 EMPTY = np.uint16(0xFFFF)
 _GOLD, _M1, _M2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))  # splitmix64
 _words: dict[bytes, int] = {}
