@@ -140,6 +140,12 @@ def b03(spark, sf_dir):
     return lexical.search(questions(spark, sf_dir), stored(spark, sf_dir), 10).select("query_id", "pos", "chunk_id", "score")
 
 
+@query("b03_early_stop", f"{N}, {BM25}, {SEARCH} SELECT query_id, pos, chunk_id, score FROM hits WHERE pos <= 3")
+def b03_early(spark, sf_dir):
+    """The same with a threshold that leaves out what can't be among the best."""
+    return lexical.search(questions(spark, sf_dir), stored(spark, sf_dir), 3, early=True).select("query_id", "pos", "chunk_id", "score")
+
+
 #: Every second question is blank, and so is every third chunk by length.
 BLANK_Q = QUESTIONS_SQL.replace("coalesce(text, '')", "CASE WHEN item_id % 2 = 0 THEN ' ?! ' ELSE coalesce(text, '') END")
 

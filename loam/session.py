@@ -62,7 +62,7 @@ def bucketed(df: DataFrame, label: str, key: str, buckets: int | None = None) ->
     spark = df.sparkSession
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"loam_{label}_{uuid.uuid4().hex[:12]}"
-    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    df.repartition(n, key).write.bucketBy(n, key).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     out = spark.table(name)
     out.schema  # resolved now
     spark.sql(f"DROP TABLE {name}")

@@ -44,8 +44,9 @@ def test_early_stop_gives_what_all_scores_give(spark, k):
     every = lexical.scores(q, idx).withColumn("score", F.round("score", 6)).filter("score > 0")
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     want = every.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= k)
-    got = lexical.search(q, c, k, idx)
-    assert plain(got.select("query_id", "chunk_id", "score", "pos")) == plain(want.select("query_id", "chunk_id", "score", "pos"))
+    for early in (False, True):
+        got = lexical.search(q, c, k, idx, early)
+        assert plain(got.select("query_id", "chunk_id", "score", "pos")) == plain(want.select("query_id", "chunk_id", "score", "pos"))
     # some terms need not be looked up for candidates
     t = lexical.thresholds(lexical._asked(q.drop("scope"), idx), idx["postings"], 1).groupBy("needed").agg(F.sum("df").alias("n"))
     n = {r["needed"]: r["n"] for r in t.collect()}
@@ -55,8 +56,8 @@ def test_early_stop_gives_what_all_scores_give(spark, k):
 def test_counting_and_scoring_share_one_shuffle(spark):
     """Postings are grouped and weighed by chunk where they lie: no exchange by chunk over the written index."""
     idx = lexical.index(chunks_of(spark))
-    plan = idx["postings"].groupBy("chunk_id").count()._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan
+    plan = lexical.best(questions(spark), idx, 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("- Exchange ") == plan.count("hashpartitioning(query_id") == 1
 
 
 def same_index(spark, path, chunks):
