@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm.components import free_name
+from loam.llm.components import drop_rows, free_name, numbered
 from loam.session import materialise, table, texts
 
 #: Maps every byte that is in no word to a space and A-Z to a-z; bytes from 0x80 on are word bytes.
@@ -43,6 +43,7 @@ class Automaton:
             last = 0
             for c in seq:
                 last = self._extend(last, c)
+        self.at = self._window_states()
         held: dict[int, set[str]] = {}
         short: dict[int, set[tuple[int, str]]] = {}
         for k, seq in seqs:
@@ -50,7 +51,7 @@ class Automaton:
             for i, c in enumerate(seq):
                 s = self.next[s][c]
                 if i + 1 >= window:
-                    held.setdefault(self._at(s, window), set()).add(k)
+                    held.setdefault(self.at[s], set()).add(k)
             if 0 < len(seq) < window:
                 short.setdefault(s, set()).add((len(seq), k))
         self.held = {s: tuple(v) for s, v in held.items()}
@@ -59,11 +60,14 @@ class Automaton:
             self.whole[s] = tuple(sorted(short.get(s, ()), reverse=True)) + self.whole[self.link[s]]
         self.least = min((min(len(seq), window) for _, seq in seqs if seq), default=0)
 
-    def _at(self, s: int, n: int) -> int:
-        """The state of the suffix of length n."""
-        while self.len[self.link[s]] >= n:
-            s = self.link[s]
-        return s
+    def _window_states(self) -> list[int]:
+        """For each state the one of its suffix of the window's length, taken from its link in order of length; itself where it
+        has no longer link."""
+        out = list(range(len(self.len)))
+        for s in sorted(range(1, len(self.len)), key=self.len.__getitem__):
+            if self.len[self.link[s]] >= self.window:
+                out[s] = out[self.link[s]]
+        return out
 
     def _clone(self, p: int, c: int, q: int) -> int:
         r = len(self.len)
@@ -107,7 +111,7 @@ class Automaton:
             size = 0
             if n >= self.window:
                 size = self.window
-                items.update(self.held.get(self._at(s, size), ()))
+                items.update(self.held.get(self.at[s], ()))
             for length, k in self.whole[s]:
                 if length <= n:
                     size = max(size, length)
@@ -231,7 +235,7 @@ def clean(docs: DataFrame, items: DataFrame, window: int = 13, share: float = 0.
         name = free_name(docs.columns, "_row_id")
         rows = numbered(docs, name)
         bad = judged(_scanned(rows, blocks, window, name), share).filter("contaminated").select(F.col("row_id").alias(name))
-        return drop_ids(rows, bad, key=name).select(docs.columns)
+        return drop_rows(rows, bad, name).select(docs.columns)
     shared = docs.sparkSession.sparkContext.broadcast(Automaton(blocks.read(0), window))
     at = docs.columns.index("text")
     part = round(1 / share)
@@ -248,19 +252,6 @@ def clean(docs: DataFrame, items: DataFrame, window: int = 13, share: float = 0.
     return docs.mapInArrow(run, docs.schema)
 
 
-def numbered(docs: DataFrame, name: str) -> DataFrame:
-    """``docs`` written with a number for each row in column ``name``, so that every pass reads the same numbers."""
-    return materialise(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
-
-
-def drop_ids(docs: DataFrame, ids: DataFrame, broadcast_bytes: int = 64 << 20, key: str = "doc_id") -> DataFrame:
-    """``docs`` without the ids of ``ids`` in column ``key``; these are broadcast up to a checked size, else both sides are shuffled."""
-    ids = materialise(ids.filter(F.col(key).isNotNull()).distinct(), "dropped")
-    if ids.count() * 16 <= broadcast_bytes:
-        ids = F.broadcast(ids)
-    return docs.join(ids, key, "left_anti").select(docs.columns)
-
-
 def remove_spans(docs: DataFrame, items: DataFrame, window: int = 13, most_words: int = 200, share: float = 0.05) -> DataFrame:
     """``docs`` with ``text`` freed of hit spans. A document goes wholly if a span has over ``most_words`` words or hit
     words are at least ``share`` of all; from the others each span is cut out, from its first word to its last."""
@@ -269,7 +260,7 @@ def remove_spans(docs: DataFrame, items: DataFrame, window: int = 13, most_words
     judged_ = judged(scan(rows, items, window, row_id=number), share)
     longest = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: F.greatest(a, s[1] - s[0]))
     hit = judged_.filter("n_hit > 0").select(F.col("row_id").alias(number), "spans", (F.col("contaminated") | (longest > most_words)).alias("_go"))
-    kept = drop_ids(rows, hit.filter("_go").select(number), key=number)
+    kept = drop_rows(rows, hit.filter("_go").select(number), number)
 
     @F.pandas_udf("string")
     def cut(text, spans):

@@ -16,8 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from loam.llm.components import components, free_name, join_groups
-from loam.llm.decontaminate import drop_ids, numbered
+from loam.llm.components import components, drop_rows, free_name, join_groups, numbered
 from loam.session import materialise, table
 
 #: Buckets are the first seven bits of a hash; mantissa bits kept after the leading one.
@@ -368,7 +367,7 @@ def near_dedup(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFrame:
     name = free_name(docs.columns, "_row_id")
     rows = numbered(docs, name)
     gone = _labelled(rows, size, percent, name).filter(F.col("row_id") != F.col("best.r")).select(F.col("row_id").alias(name))
-    return drop_ids(rows, gone, key=name).select(docs.columns)
+    return drop_rows(rows, gone, name).select(docs.columns)
 
 
 def op13_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

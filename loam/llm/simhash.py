@@ -11,8 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm.components import components, free_name, join_groups
-from loam.llm.decontaminate import drop_ids, numbered
+from loam.llm.components import components, drop_rows, free_name, join_groups, numbered
 from loam.session import materialise, texts
 
 #: Fingerprints that one task's trie holds at a time, and node pairs that are split at a time in a task.
@@ -311,7 +310,7 @@ def near_dedup(docs: DataFrame, size: int = 4, distance: int = 4) -> DataFrame:
     name = free_name(docs.columns, "_row_id")
     rows = numbered(docs, name)
     gone = _grouped(rows, size, distance, name).filter(F.col("row_id") != F.col("best.r")).select(F.col("row_id").alias(name))
-    return drop_ids(rows, gone, key=name).select(docs.columns)
+    return drop_rows(rows, gone, name).select(docs.columns)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

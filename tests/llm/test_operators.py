@@ -271,11 +271,47 @@ def test_exact_groups(spark, docs, rows):
             best = min(g)
             assert len(own) == len(g) and all(r["group_size"] == len(g) for r in own)
             assert {r["keep_id"] for r in own} == {None if best[1] else best[2]} and sum(r["kept"] for r in own) == 1
-    out = exact_dedup.exact_dedup(docs)
-    assert out.columns == docs.columns and out.count() == len(want)
+    for limit in (64 << 20, 0):
+        out = exact_dedup.exact_dedup(docs, limit)
+        assert out.columns == docs.columns and out.count() == len(want)
     assert exact_dedup.exact_groups(docs.limit(0)).count() == 0
 
 
+def test_texts_are_never_shuffled(spark, tmp_path):
+    """Beyond the broadcast bounds too, and with Spark's own broadcasts off, no exchange carries a text."""
+    path = f"file://{tmp_path}/d"
+    spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), (F.col("id") % 3000).cast("string")).alias("text"), F.lit("x").alias("lang")).repartition(3).write.parquet(path)
+    d = spark.read.parquet(path)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for limit in (64 << 20, 0):
+            out = exact_dedup.exact_dedup(d, limit)
+            assert out.count() == 3000
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert not [x for x in plan.split("\n") if "Exchange hashpartitioning" in x], plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_rows_are_dropped_in_ranges(spark):
+    from loam.llm.components import drop_rows, numbered
+
+    rows = numbered(spark.range(200_000, numPartitions=5).withColumn("_block", F.lit("own")), "n")
+    gone = rows.filter("id % 3 = 0").select("n")
+    for limit in (1 << 20, 8192, 0):
+        got = drop_rows(rows, gone, "n", limit)
+        assert got.columns == rows.columns and got.count() == 133_333 and got.filter("id % 3 = 0").count() == 0
+
+
+def test_repetitive_items_take_linear_time():
+    import time
+
+    t = time.time()
+    auto = decontaminate.Automaton([("a", [b"w"] * 300_000)], 13)
+    n, spans, items, best = decontaminate.matches(auto, "w " * 300_000)
+    assert (n, spans, items, best) == (300_000, [[0, 300_000]], {"a"}, 300_000) and time.time() - t < 30
+
+
 def test_filter_never_misses(spark):
     d = spark.range(3000).select(F.col("id").alias("doc_id"), (F.col("id") % 2500).cast("string").alias("key"))
     f = exact_dedup.flagged(d, "key", 1 << 20).collect()
