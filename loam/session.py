@@ -73,12 +73,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` dealt over all cores where its scan has few partitions, such as one small file; large tables stay as they are."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if 2 * df.rdd.getNumPartitions() <= n else df
-
-
 def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    """A table of texts, on which every core should work."""
-    return spread(table(spark, sf_dir, name))
+    """A table of texts as its files are split. A caller whose table is one small file, which no scan can split, may ask for
+    ``spark.loam.textPartitions``: rows are then dealt over that many tasks, whatever the size; without it nothing is shuffled."""
+    df = table(spark, sf_dir, name)
+    n = spark.conf.get("spark.loam.textPartitions", None)
+    return df.repartition(int(n)) if n else df
