@@ -1,14 +1,16 @@
 """Personal data and the terms that give it away; DataFrame operations only.
 
 Patterns find personal values. Corpus statistics then say how much a term that stands near a value tells about the entity
-that the value names: the pointwise mutual information of term and entity, as a share of the entity's own information.
-Terms above a threshold are spans too, to be generalised or removed with the values."""
+that the value names: the pointwise mutual information of term and entity, as a share of the entity's own information. Both are
+counted over different texts, and a lower confidence bound stands for the conditional probability, so that what occurs
+together once or twice tells nothing. Terms above a threshold are spans too, to be generalised or removed with the values."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loam.llm.components import drop_rows, join_groups
 from loam.session import materialise, texts
 
 #: Kinds in the order of the results. The patterns are those of the contract with a start condition, which saves
@@ -149,13 +151,13 @@ def _near(kind: str) -> Column:
 
 
 def contexts(some: DataFrame) -> DataFrame:
-    """``row_id, entity, wide, terms``: for each occurrence of a value and each entity of it the different words near it.
+    """``row_id, kind, entity, wide, terms``: for each occurrence of a value and each entity of it the different words near it.
 
     Near are ``NEAR`` words on each side, on the value's line, up to the next match of the same kind. They come from the
     pieces between matches, so each piece of a text is read twice at most, however many values a line holds."""
     each = some.select("row_id", F.explode(F.concat(*(_near(kind) for kind in PATTERNS))).alias("x"))
-    each = each.select("row_id", F.explode(entities(F.col("x.kind"), F.col("x.value"))).alias("y"), F.col("x.terms").alias("terms"))
-    return each.select("row_id", "y.entity", "y.wide", "terms")
+    each = each.select("row_id", "x.kind", F.explode(entities(F.col("x.kind"), F.col("x.value"))).alias("y"), F.col("x.terms").alias("terms"))
+    return each.select("row_id", "kind", "y.entity", "y.wide", "terms")
 
 
 def found(docs: DataFrame) -> DataFrame:
@@ -170,40 +172,52 @@ def _bounded(df: DataFrame, broadcast_bytes: int, row_bytes: int = 64) -> DataFr
     return F.broadcast(df) if df.count() * row_bytes <= broadcast_bytes else df
 
 
-def revealing_terms(docs: DataFrame, some: DataFrame, threshold: float = 0.5, least_contexts: int = 3, broadcast_bytes: int = 64 << 20) -> DataFrame:
-    """``term, value, share``: terms that reveal a protected entity (``value``: see entities).
+def different(every: DataFrame, broadcast_bytes: int = 64 << 20) -> DataFrame:
+    """Rows of ``found`` (a written table) with the first of equal texts alone: copies are no evidence. Only hashes are shuffled."""
+    narrow = materialise(every.select("row_id", F.xxhash64("text", F.char_length("text")).alias("h")), "hashes")
+    more = materialise(narrow.groupBy("h").agg(F.count("*").alias("n"), F.min("row_id").alias("first")).filter("n > 1"), "copies")
+    gone = join_groups(narrow, more, "h", "n", narrow.count()).filter("row_id <> first").select("row_id")
+    return drop_rows(every, gone, "row_id", broadcast_bytes)
 
-    ``some`` has the rows of ``found`` with base spans. With document frequencies over the whole corpus, share =
-    PMI(term; entity) / -log p(entity), the part of the entity's information that the term gives. A term reveals an
-    entity if the share reaches ``threshold``, p(entity | term) reaches it too, and the term stands near the entity in
-    ``least_contexts`` different contexts; of an entity that has fewer contexts, in all of them (a single value only,
-    not a wider entity).
+
+def lower_bound(k: Column, n: Column, z: float) -> Column:
+    """Wilson's lower bound of a proportion: ``k`` of ``n``, ``z`` standard deviations."""
+    p = k / n
+    return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def revealing_terms(texts_: DataFrame, some: DataFrame, threshold: float = 0.5, least_contexts: int = 3, z: float = 1.645, broadcast_bytes: int = 64 << 20) -> DataFrame:
+    """``term, value, kind, share``: terms that reveal a protected entity (``value``: see entities) of a kind.
+
+    ``texts_`` are different texts and ``some`` those rows of ``found`` among them that have base spans. p(entity | term) is the
+    lower bound, at ``z`` standard deviations, of the share of the texts with the term in which it stands near the entity; share =
+    log(p(entity | term) / p(entity)) / -log p(entity) is the part of the entity's information that the term gives at least. A
+    term reveals an entity if share and p(entity | term) reach ``threshold`` and it stands near the entity in ``least_contexts``
+    different contexts. An entity of fewer contexts is revealed by nothing: one context is no estimate.
 
     As p(entity | term) has a lower bound, revealing terms occur at most 1 / threshold times as often as they stand near
     values, whatever the size of the corpus. The words of the corpus are summed in tasks; those that stand near values
     are broadcast up to ``broadcast_bytes``, else joined to the sums."""
     near = materialise(contexts(some).withColumn("context", F.xxhash64("terms")), "contexts")
-    values = near.groupBy(F.col("entity").alias("value"), "wide").agg(F.countDistinct("row_id").alias("n_value"), F.countDistinct("context").alias("n_contexts"))
-    values = _bounded(materialise(values, "values"), broadcast_bytes)
+    values = near.groupBy(F.col("entity").alias("value")).agg(F.min("kind").alias("kind"), F.countDistinct("row_id").alias("n_value"))
     pairs = near.select("row_id", F.col("entity").alias("value"), "context", F.explode("terms").alias("term"))
-    both = pairs.groupBy("value", "term").agg(F.countDistinct("row_id").alias("n_both"), F.countDistinct("context").alias("contexts"))
-    least = F.when(F.col("wide"), F.lit(least_contexts)).otherwise(F.least(F.lit(least_contexts), "n_contexts"))
-    both = materialise(both.join(values, "value").filter(F.col("contexts") >= least).drop("n_contexts", "wide"), "pairs")
+    both = pairs.groupBy("value", "term").agg(F.countDistinct("row_id").alias("n_both"), F.countDistinct("context").alias("contexts")).filter(F.col("contexts") >= least_contexts)
+    values = materialise(values, "values")
+    size = values.agg(F.sum(F.octet_length("value") + 64)).first()[0] or 0
+    both = materialise(both.join(F.broadcast(values) if size <= broadcast_bytes else values, "value").drop("contexts"), "pairs")
     terms = materialise(both.select("term").distinct(), "terms")
-    n_terms = terms.count()
-    if not n_terms:
-        return both.select("term", "value", F.lit(0.0).alias("share")).limit(0)
-    text = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    words = text.select(F.explode(_distinct_words("text")).alias("term"))
-    if n_terms * 64 <= broadcast_bytes:
+    size = terms.agg(F.sum(F.octet_length("term") + 48)).first()[0]
+    if size is None:
+        return both.select("term", "value", "kind", F.lit(0.0).alias("share")).limit(0)
+    words = texts_.select(F.explode(_distinct_words("text")).alias("term"))
+    if size <= broadcast_bytes:
         n_term = words.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
     else:
         n_term = words.groupBy("term").agg(F.count("*").alias("n_term")).join(terms, "term", "left_semi")
-    n = float(docs.count())
-    pmi = F.log(F.col("n_both") * n / (F.col("n_term") * F.col("n_value")))
-    share = F.when(F.col("n_value") < n, pmi / F.log(n / F.col("n_value"))).otherwise(0.0)
-    sure = F.col("n_both") >= threshold * F.col("n_term")
-    return both.join(n_term, "term").filter(sure).select("term", "value", share.alias("share")).filter(F.col("share") >= threshold)
+    n = float(texts_.count())
+    x = both.join(n_term, "term").withColumn("_p", lower_bound(F.col("n_both"), F.col("n_term"), z))
+    share = F.when(F.col("n_value") < n, F.log(F.col("_p") * n / F.col("n_value")) / F.log(n / F.col("n_value"))).otherwise(0.0)
+    return x.filter(F.col("_p") >= threshold).select("term", "value", "kind", share.alias("share")).filter(F.col("share") >= threshold)
 
 
 def private_spans(
@@ -211,8 +225,8 @@ def private_spans(
 ) -> DataFrame:
     """``row_id, doc_id, text, base, terms`` for each row of ``docs`` (doc_id, text).
 
-    ``base`` are the personal values. ``terms`` are words that reveal an entity, of kind ``term`` (to be generalised) or
-    ``term_removed`` (share of ``remove_from`` or more): with ``every_row`` in all rows, as they disclose the person where
+    ``base`` are the personal values. ``terms`` are words that reveal an entity, of kind ``term_email``, ``term_ip``, ... (to be
+    generalised to that kind of entity) or ``term_removed`` (share of ``remove_from`` or more): with ``every_row`` in all rows, as they disclose the person where
     the value is absent too; else only in rows that hold the value. Words that overlap a value are part of it.
     Null texts are empty texts; repeated rows get the same spans each; an empty table gives no row.
 
@@ -221,7 +235,9 @@ def private_spans(
     many for a broadcast of that size."""
     every = materialise(found(docs), "found")
     some = materialise(every.filter(F.size("base") > 0), "private")
-    reveal = materialise(revealing_terms(every, some, threshold, least_contexts, broadcast_bytes), "reveal")
+    once = different(every, broadcast_bytes)
+    reveal = revealing_terms(once, once.filter(F.size("base") > 0), threshold, least_contexts, broadcast_bytes=broadcast_bytes)
+    reveal = materialise(reveal, "reveal")
     none = F.from_json(F.lit("[]"), f"array<{SPAN}>")
     if not reveal.limit(1).count():
         return every.withColumn("terms", none)
@@ -237,46 +253,55 @@ def term_spans(every: DataFrame, some: DataFrame, reveal: DataFrame, remove_from
     First the different words of each row meet the terms, then only rows with such a word are cut into positions. Spans
     meet values by row and place, so a text of many values costs no more than their number."""
     if every_row:
-        terms = materialise(reveal.groupBy("term").agg(F.max("share").alias("share")), "revealing")
+        terms = materialise(reveal.groupBy("term").agg(F.max("share").alias("share"), F.max_by("kind", F.struct("share", "kind")).alias("of")), "revealing")
         words = every.select("row_id", F.explode(_distinct_words("text")).alias("term"))
         told = words.join(_bounded(terms, broadcast_bytes), "term")
     else:
         named = some.select("row_id", F.explode("base").alias("x")).select("row_id", F.explode(entities(F.col("x.kind"), F.col("x.value"))).alias("y"))
-        told = named.select("row_id", F.col("y.entity").alias("value")).distinct().join(reveal, "value").groupBy("row_id", "term").agg(F.max("share").alias("share"))
+        told = named.select("row_id", F.col("y.entity").alias("value")).distinct().join(reveal, "value").groupBy("row_id", "term").agg(F.max("share").alias("share"), F.max_by("kind", F.struct("share", "kind")).alias("of"))
     told = materialise(told, "told")
     of = every.join(_bounded(told.select("row_id").distinct(), broadcast_bytes), "row_id")
     places = materialise(of.select("row_id", F.explode(located(F.col("text"), WORD)).alias("x")).select("row_id", "x.s", "x.e", F.lower("x.value").alias("term")).join(told, ["row_id", "term"]), "places")
     cell = lambda s, e: F.explode(F.sequence(F.floor(s / CELL), F.floor((e - 1) / CELL))).alias("cell")
     values = some.select("row_id", F.explode("base").alias("b")).select("row_id", F.col("b.s").alias("bs"), F.col("b.e").alias("be"), cell(F.col("b.s"), F.col("b.e")))
     own = places.select("row_id", "s", "e", cell(F.col("s"), F.col("e"))).join(values, ["row_id", "cell"]).filter("bs < e and s < be")
-    kind = F.when(F.col("share") >= remove_from, F.lit("term_removed")).otherwise(F.lit("term"))
+    kind = F.when(F.col("share") >= remove_from, F.lit("term_removed")).otherwise(F.concat(F.lit("term_"), F.col("of")))
     span = F.struct("s", F.lit(len(PATTERNS)).alias("o"), kind.alias("kind"), "e", F.col("term").alias("value"))
     rows = places.join(own.select("row_id", "s").distinct(), ["row_id", "s"], "left_anti").groupBy("row_id").agg(F.sort_array(F.collect_list(span)).alias("x"))
     again = F.transform("x", lambda x: F.struct(x["o"].alias("o"), x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["value"].alias("value")))
     return materialise(rows.select("row_id", again.alias("terms")), "hits")
 
 
-def sanitised(spans: DataFrame) -> DataFrame:
-    """``doc_id, text`` with every span of private_spans replaced: values by their kind in brackets, terms by ``[term]``,
-    and revealing terms of the higher threshold by nothing. Where spans overlap the first one counts."""
+def cleaned_text() -> Column:
+    """The text of a row of private_spans with every span replaced; where spans overlap the first one counts."""
     ordered = F.array_sort(F.transform(F.concat("base", "terms"), lambda x: F.struct(x["s"].alias("s"), x["o"].alias("o"), x["e"].alias("e"), x["kind"].alias("kind"))))
     put = lambda x: F.when(x["kind"] == "term_removed", F.lit("")).otherwise(F.concat(F.lit("["), x["kind"], F.lit("]")))
+    none = F.from_json(F.lit("[]"), "array<string>")
+    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
     step = lambda a, x: F.when(x["s"] < a["at"], a).otherwise(
-        F.struct(x["e"].alias("at"), F.concat(a["out"], F.substr(F.col("text"), a["at"] + 1, x["s"] - a["at"]), put(x)).alias("out"))
+        F.struct(x["e"].alias("at"), F.concat(a["out"], F.array(F.substr(F.col("text"), a["at"] + 1, x["s"] - a["at"]), put(x))).alias("out"))
     )
-    done = lambda a: F.concat(a["out"], F.substr(F.col("text"), a["at"] + 1, F.char_length("text")))
-    return spans.select("doc_id", F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, done).alias("text"))
+    done = lambda a: F.concat(F.array_join(a["out"], ""), F.substr(F.col("text"), a["at"] + 1, F.char_length("text")))
+    return F.when(F.size(ordered) == 0, F.col("text")).otherwise(F.aggregate(ordered, start, step, done))
+
+
+def sanitised(spans: DataFrame) -> DataFrame:
+    """``doc_id, text`` with every span of private_spans replaced: values by their kind in brackets, terms by that of what they
+    reveal (``[term_email]``), and revealing terms of the higher threshold by nothing."""
+    return spans.select("doc_id", cleaned_text().alias("text"))
 
 
 def op5_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal values of every document as the contract counts and hashes them, and all spans with revealing terms.
 
     One row for each row of ``documents``; null texts are empty and have no span, repeated rows have theirs each, an empty
-    table gives no row. ``n_values`` are the values of all kinds, ``n_terms`` the spans of terms."""
+    table gives no row. ``n_values`` are the values of all kinds, ``n_terms`` the spans of terms,
+    and ``sanitised_sha256`` hashes the text with all of them replaced."""
     x = private_spans(texts(spark, sf_dir), every_row=True)
     n = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    terms = lambda k: F.filter("terms", lambda s: s["kind"] == k)
+    gone = lambda s: s["kind"] == "term_removed"
     return x.select(
         "doc_id", *(n(k) for k in PATTERNS), F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"),
-        spans_text(F.concat("base", terms("term"), terms("term_removed"))).alias("spans"), F.size("base").cast("long").alias("n_values"), F.size("terms").cast("long").alias("n_terms"),
+        spans_text(F.concat("base", F.filter("terms", lambda s: ~gone(s)), F.filter("terms", gone))).alias("spans"),
+        F.size("base").cast("long").alias("n_values"), F.size("terms").cast("long").alias("n_terms"), F.sha2(cleaned_text(), 256).alias("sanitised_sha256"),
     )

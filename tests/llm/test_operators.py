@@ -433,27 +433,65 @@ def test_private_values(spark, docs, rows):
         assert [(s["kind"], s["s"], s["e"]) for s in r["base"]] == plain_spans(r["text"]), r["text"][:200]
 
 
+def wilson(k, n, z=1.645):
+    p = k / n
+    return (p + z * z / 2 / n - z * (p * (1 - p) / n + z * z / 4 / n / n) ** 0.5) / (1 + z * z / n)
+
+
 def test_revealing_terms(spark):
-    rows = [(i, f"{'Zorblax ' if i < 4 else ''}w{i} a@b.com is here\nplain line {i}") for i in range(6)] + [(i, f"filler text {i} is here") for i in range(6, 60)] + [(60, "zorblax without value"), (61, None)]
+    rows = [(i, f"{'Zorblax ' if i < 12 else ''}w{i} a@b.com is here\nplain line {i}") for i in range(16)] + [(i, f"filler text {i} is here") for i in range(16, 90)] + [(90, "zorblax without value"), (91, None), (92, rows0(0)), (93, rows0(0))]
     d = spark.createDataFrame(rows, "doc_id long, text string")
     x = privacy.private_spans(d)
     got = {r["doc_id"]: [(t["kind"], t["s"], t["e"]) for t in r["terms"]] for r in x.collect()}
-    assert got[0] == [("term_removed", 0, 7)] and got[5] == [] and got[60] == [] and got[61] == [] and len(got) == 62
-    assert {r["doc_id"]: r["text"] for r in privacy.sanitised(x).collect()}[0] == " w0 [email] is here\nplain line 0"
-    share = {(r["term"], r["value"]): r["share"] for r in privacy.revealing_terms(d, privacy.found(d).filter(F.size("base") > 0), threshold=-9).collect()}
-    assert share["zorblax", "a@b.com"] == pytest.approx(np.log(4 * 62 / (5 * 6)) / np.log(62 / 6))
-    assert privacy.private_spans(d, broadcast_bytes=0).filter("size(terms) > 0").count() == 4
+    share = np.log(wilson(12, 13) / (16 / 92)) / -np.log(16 / 92)  # the copies are no further texts
+    assert share >= 0.5 and got[0] == got[92] == [("term_removed" if share >= 0.8 else "term_email", 0, 7)] and got[13] == [] and got[90] == [] and got[91] == [] and len(got) == 94
+    clean = {r["doc_id"]: r["text"] for r in privacy.sanitised(x).collect()}
+    assert clean[0] == ("" if share >= 0.8 else "[term_email]") + " w0 [email] is here\nplain line 0" and clean[91] == "" and clean[20] == "filler text 20 is here"
+    every = privacy.materialise(privacy.found(d), "found")
+    once = privacy.different(every)
+    assert once.count() == 92 and sorted(r["doc_id"] for r in every.select("doc_id").subtract(once.select("doc_id")).collect()) == [92, 93]
+    got = {(r["term"], r["value"]): r["share"] for r in privacy.revealing_terms(once, once.filter(F.size("base") > 0), threshold=-9).collect()}
+    assert got["zorblax", "a@b.com"] == pytest.approx(share)
+    assert privacy.private_spans(d, broadcast_bytes=0).filter("size(terms) > 0").count() == 14
     assert privacy.private_spans(d.limit(0)).count() == 0
 
 
-def test_terms_of_rare_values_in_every_row(spark):
-    rows = [(i, f"{'Zorblax ' if i < 4 else ''}w{i} a@b.com is here") for i in range(6)] + [(i, f"filler text {i} is here") for i in range(6, 60)]
-    rows += [(60, "zorblax without value"), (61, "Quux is at c@d.org here"), (62, "quux once more"), (63, "+1 202 555 0133 is text")]
+def rows0(i):
+    return f"Zorblax w{i} a@b.com is here\nplain line {i}"
+
+
+def test_planted_associations_are_found_and_chance_is_not(spark):
+    """A word that stands near one address in 20 texts is found whole; words of one or two contexts are not, nor is anything once
+    the values are dealt over the rows that hold some."""
+    import random
+
+    rng = random.Random(4)
+    voc = [f"v{i}" for i in range(3000)]
+    line = lambda k=12: " ".join(rng.choices(voc, k=k))
+    values = [f"u{i % 25}@dom{i % 5}.org" for i in range(150)]
+    rows = [f"{line()} {'Planted' if i < 20 else ''} {{}} {line()}\n{line(60)}" for i in range(150)]
+    own = ["boss@corp.net" if i < 20 else values[i] for i in range(150)]
+    rest = [line(80) for _ in range(300)] + ["once near quux@lone.com here", "quux again"]
+
+    def terms(vs):
+        texts = [r.format(v) for r, v in zip(rows, vs)] + rest
+        x = privacy.private_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), every_row=True)
+        return Counter(t["value"] for r in x.collect() for t in r["terms"])
+
+    got = terms(own)
+    assert got["planted"] == 20 and sum(got.values()) <= 21
+    rng.shuffle(own)
+    assert sum(terms(own).values()) <= 1
+
+
+def test_terms_in_every_row(spark):
+    rows = [(i, f"{'Zorblax ' if i < 12 else ''}w{i} a@b.com is here") for i in range(14)] + [(i, f"filler text {i} is here") for i in range(14, 90)]
+    rows += [(90, "zorblax without value"), (91, "Quux is at c@d.org here"), (92, "quux once more"), (93, "+1 202 555 0133 is text")]
     d = spark.createDataFrame(rows, "doc_id long, text string")
     for limit in (64 << 20, 0):
         got = {r["doc_id"]: [r["text"][t["s"] : t["e"]] for t in r["terms"]] for r in privacy.private_spans(d, broadcast_bytes=limit, every_row=True).collect()}
-        assert got[0] == ["Zorblax"] and got[60] == ["zorblax"] and got[61] == ["Quux", "at"] and got[62] == ["quux"]
-        assert got[5] == got[6] == got[63] == [] and len(got) == 64
+        assert got[0] == ["Zorblax"] and got[90] == ["zorblax"]
+        assert got[91] == got[92] == got[13] == got[20] == got[93] == [] and len(got) == 94  # one context is no estimate
 
 
 def test_language_held_out(spark, sf):
@@ -718,16 +756,16 @@ def test_private_spans_against_plain_counting(spark):
 
     rng = random.Random(9)
     voc = [f"w{c}" for c in "abcdefghijklmnopqrstuvwxyz"] + ["Ünï", "İz", "x1", "77"]
-    names = ["zora", "Quill", "blem"]
+    names = ["zora", "Quill", "blem", "Tarn", "Üve", "okto", "plim", "sarn"]
     values = ["z@acme.org", "q@acme.org", "b@home.net", "10.1.2.3", "10.1.9.9", "+1 202 555 0133", "4111 1111 1111 1111", "4111-1111-1111-1112"]
     texts = []
-    for _ in range(120):
+    for _ in range(200):
         line = lambda: " ".join(rng.choices(voc, k=rng.randint(3, 12)))
         t = [line() for _ in range(rng.randint(1, 3))]
         if rng.random() < 0.5:
             v = rng.randrange(len(values))
-            t[0] = f"{line()} {names[v % 3] if rng.random() < 0.8 else ''} {values[v]} {line()} {rng.choice(values) if rng.random() < 0.2 else ''}"
-        if rng.random() < 0.1:
+            t[0] = f"{line()} {names[v] if rng.random() < 0.8 else ''} {values[v]} {line()} {rng.choice(values) if rng.random() < 0.2 else ''}"
+        if rng.random() < 0.05:
             t.append(rng.choice(names) + " alone")
         texts.append("\n".join(t))
     texts += [None, "", texts[0], texts[0]]
@@ -740,8 +778,8 @@ def test_private_spans_against_plain_counting(spark):
         wide = {"email": "@" + v.lower().split("@")[-1], "ip": ".".join(v.split(".")[:2]) + ".*", "card": "issuer:" + d[:6], "phone": "exchange:" + d[:-4]}[k]
         return [(own, False), (wide, True)]
 
-    both, ctx, rows_of, n_ctx, df, wide_of = {}, {}, {}, {}, Counter(), {}
-    for i, t in enumerate(texts):
+    both, ctx, rows_of, df, kind_of = {}, {}, {}, Counter(), {}
+    for i, t in enumerate(dict.fromkeys(t or "" for t in texts)):
         df.update({w for _, _, w in words(t)})
         for k, p in BASE.items():
             every = [(m.start(), m.end()) for m in re.finditer(p, t or "")]
@@ -753,23 +791,22 @@ def test_private_spans_against_plain_counting(spark):
                     near = [w for _, _, w in words(t[lo:s])][-8:] + [w for _, _, w in words(t[e:hi])][:8]
                     near = tuple(dict.fromkeys(near))
                     for ent, wide in ents(k, t[s:e]):
-                        wide_of[ent] = wide
+                        kind_of[ent] = k
                         rows_of.setdefault(ent, set()).add(i)
-                        n_ctx.setdefault(ent, set()).add(near)
                         for w in near:
                             both.setdefault((ent, w), set()).add(i)
                             ctx.setdefault((ent, w), set()).add(near)
-    n, best = len(texts), {}
+    n, best = len(set(t or "" for t in texts)), {}
     for (ent, w), r in both.items():
-        least = 3 if wide_of[ent] else min(3, len(n_ctx[ent]))
         p = len(rows_of[ent]) / n
-        share = math.log(len(r) * n / (df[w] * len(rows_of[ent]))) / math.log(1 / p)
-        if len(ctx[ent, w]) >= least and len(r) >= 0.5 * df[w] and share >= 0.5:
-            best[w] = max(best.get(w, 0), share)
+        sure = wilson(len(r), df[w])
+        share = math.log(sure / p) / math.log(1 / p)
+        if len(ctx[ent, w]) >= 3 and sure >= 0.5 and share >= 0.5:
+            best[w] = max(best.get(w, (0, "")), (share, kind_of[ent]))
     assert {"zora", "quill"} & set(best) and len(best) < 40
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for limit in (64 << 20, 0):
         for r in privacy.private_spans(d, broadcast_bytes=limit, every_row=True).collect():
             base = plain_spans(texts[r["doc_id"]])
-            want = [(s, e, w, "term_removed" if best[w] >= 0.8 else "term") for s, e, w in words(texts[r["doc_id"]]) if w in best and not any(a < e and s < b for _, a, b in base)]
+            want = [(s, e, w, "term_removed" if best[w][0] >= 0.8 else "term_" + best[w][1]) for s, e, w in words(texts[r["doc_id"]]) if w in best and not any(a < e and s < b for _, a, b in base)]
             assert [(t["s"], t["e"], t["value"], t["kind"]) for t in r["terms"]] == want
