@@ -810,3 +810,10 @@ def test_private_spans_against_plain_counting(spark):
             base = plain_spans(texts[r["doc_id"]])
             want = [(s, e, w, "term_removed" if best[w][0] >= 0.8 else "term_" + best[w][1]) for s, e, w in words(texts[r["doc_id"]]) if w in best and not any(a < e and s < b for _, a, b in base)]
             assert [(t["s"], t["e"], t["value"], t["kind"]) for t in r["terms"]] == want
+
+
+def test_many_notices_take_linear_time():
+    import time
+
+    t = time.time()
+    assert len(licenses.notices("All rights reserved.\n" * 100_000)) == 100_000 and time.time() - t < 30
