@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loam.functions import markdown as md
 from loam.functions.ranking import global_rank
-from loam.operators import vectors
+from loam.operators import neighbours as near
 
 CHAT_ROOT, COPY_DIR = "05 AI Chats", "AI Chat Links"
 #: Age rings in days, and radii of the map.
@@ -142,8 +142,8 @@ def ghost_edges(chunks: DataFrame, near: DataFrame, explicit: DataFrame, thresho
 
 
 def neighbours(items: DataFrame, k: int = 4) -> DataFrame:
-    """The ``k`` nearest items of every item, itself included, in blocks of queries."""
-    return vectors.knn(items.withColumnRenamed("item_id", "query_id"), items, k)
+    """The ``k`` nearest items of every item, itself included, by pivots and triangle bounds."""
+    return near.knn(items.withColumnRenamed("item_id", "query_id"), items, k)
 
 
 # --- the map ---

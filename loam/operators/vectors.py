@@ -36,10 +36,9 @@ def knn(queries: DataFrame, items: DataFrame, k: int, query_id: str = "query_id"
 
     Queries are a stated set read against all items in blocks: each item partition ranks its own items for the queries,
     keeps k for each, and only these are shuffled. The queries are broadcast while they stay below ``most_bytes``; more
-    go in blocks of that size."""
-    n = queries.count()
-    dim = DIM * 8 + 64
-    blocks = max(1, -(-n * dim // most_bytes))
+    go in blocks of that size, each of which reads all items again; for as many queries as items see ``neighbours.knn``."""
+    size = queries.agg(F.sum(F.size("embedding") * 8 + 64)).first()[0] or 0
+    blocks = max(1, -(-size // most_bytes))
     out = None
     for i in range(blocks):
         q = queries.filter(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == i) if blocks > 1 else queries

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.functions import markdown as md
-from loam.operators import chunk_table, lexical, rank, vectors
+from loam.operators import chunk_table, lexical, neighbours, rank, vectors
 from loam.plans.notes import CHUNKED
 from loam.plans.registry import query
 from loam.session import materialise, shared_dir, table
@@ -227,7 +227,7 @@ def v06(spark, sf_dir):
   FROM embeddings a, embeddings b) WHERE pos <= 4""")
 def v04(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
-    return vectors.knn(e.withColumnRenamed("item_id", "query_id"), e, 4).select("query_id", "pos", "item_id", "distance")
+    return neighbours.knn(e.withColumnRenamed("item_id", "query_id"), e, 4).select("query_id", "pos", "item_id", "distance")
 
 
 def scoped_neighbours(q: DataFrame, c: DataFrame, k: int) -> DataFrame:
