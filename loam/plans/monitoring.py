@@ -10,7 +10,7 @@ from loam.operators import chunk_table
 from loam.operators import monitor as mo
 from loam.plans.registry import query
 from loam.plans.retrieval import N as CHUNKS
-from loam.session import table
+from loam.session import shared_dir, table
 from loam.sources import corpus
 from loam.streaming import monitor as st
 
@@ -121,19 +121,41 @@ def w11(spark, sf_dir):
     return le.select("ns", mo.bucket(F.col("le")).alias("b"), "n")
 
 
-@query("w02_stream_counts", "SELECT event_type, CAST(epoch(time_bucket(INTERVAL '10 minutes', ts)) / 60 AS BIGINT) + 10 AS minute, count(*) AS n FROM events GROUP BY ALL")
+@query("w02_stream_counts", """SELECT * FROM (SELECT event_type, CAST(epoch(time_bucket(INTERVAL '10 minutes', ts)) / 60 AS BIGINT) + 10 AS minute, count(*) AS n FROM events GROUP BY ALL)
+  WHERE minute * 60 <= (SELECT max(epoch(ts)) FROM events) - 1800""")
 def w02_stream(spark, sf_dir):
-    """The windowed count as a stream over the table's files, run to its end; what it wrote, by window."""
-    return _streamed(spark, sf_dir, lambda s: st.windowed_counts(s, "event_type"), "complete").select("event_type", F.round(F.unix_seconds("end") / 60).cast("long").alias("minute"), "n")
+    """The windowed count as a stream over the table's files, run to its end: windows that the watermark has passed, each
+    written once, so that neither state nor output grows with what is over."""
+    return _streamed(spark, sf_dir, lambda s: st.windowed_counts(s, "event_type"), "append").select("event_type", F.round(F.unix_seconds("end") / 60).cast("long").alias("minute"), "n")
 
 
 @query("w02_stream_ratios", """WITH x AS (SELECT event_type = 'error' AS bad, user_id % 4 AS ns, CAST(floor(epoch(ts) / 60) AS BIGINT) AS m FROM events),
   w AS (SELECT ns, m + k AS minute, count(*) AS n, count(*) FILTER (bad) AS errors FROM x, range(1, 11) r(k) GROUP BY ALL)
-  SELECT CAST(ns AS INT) AS ns, minute, n, errors, errors * 1.0e0 / n > 0.02e0 AND n >= 20 AS breach FROM w""")
+  SELECT CAST(ns AS INT) AS ns, minute, n, errors, errors * 1.0e0 / n > 0.02e0 AND n >= 20 AS breach FROM w
+  WHERE minute * 60 <= (SELECT max(epoch(ts)) FROM events) - 1800""")
 def w02_stream_ratios(spark, sf_dir):
-    """The error ratio over sliding windows as a stream."""
+    """The error ratio over sliding windows as a stream, up to the watermark."""
     plan = lambda s: st.error_ratios(s.withColumn("ns", (F.col("user_id") % 4).cast("int")), "ns")
-    return _streamed(spark, sf_dir, plan, "complete").select("ns", F.round(F.unix_seconds("end") / 60).cast("long").alias("minute"), "n", "errors", "breach")
+    return _streamed(spark, sf_dir, plan, "append").select("ns", F.round(F.unix_seconds("end") / 60).cast("long").alias("minute"), "n", "errors", "breach")
+
+
+@query("w06_stream_silence", """WITH r AS (SELECT user_id, epoch_us(ts) AS t, 1 AS report FROM events WHERE event_type = 'error'
+  UNION ALL SELECT DISTINCT user_id, 1704067200000000, 0 FROM events),
+  x AS (SELECT user_id, t, report, lead(t) OVER (PARTITION BY user_id ORDER BY t, report) AS n FROM r)
+  SELECT user_id, CASE WHEN report = 1 THEN t END AS last, t + 86400000000 AS at FROM x WHERE coalesce(n - t > 86400000000, true)
+  AND t + 86400000000 < (SELECT max(t) // 1000 * 1000 FROM r) - 1800000000""")
+def w06_stream(spark, sf_dir):
+    """A day without an error event, told by a timer; users that never had one are silent since they were registered."""
+    import uuid
+
+    root = f"{shared_dir(spark)}/reports-{uuid.uuid4().hex[:12]}"
+    e = table(spark, sf_dir, "events")
+    users = e.select("user_id").distinct().select("user_id", F.timestamp_seconds(F.lit(1704067200)).alias("ts"), F.lit(True).alias("born"))
+    errors = e.filter("event_type = 'error'").select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.lit(False).alias("born"))
+    users.unionByName(errors).write.parquet(root)
+    stream = spark.readStream.schema(spark.read.parquet(root).schema).parquet(root)
+    out = _run(spark, st.silences(stream, "user_id", 1440), "append")
+    return out.select("user_id", F.unix_micros("last").alias("last"), F.unix_micros("at").alias("at"))
 
 
 @query("w07_stream_hold", """WITH h AS (SELECT CAST(user_id % 4 AS INT) AS ns, CAST(floor(epoch(ts) / 3600) AS BIGINT) * 60 + 60 AS minute, avg(value) > 50.0e0 AS breach FROM events GROUP BY ALL),
@@ -161,7 +183,7 @@ def _streamed(spark, sf_dir, plan, mode):
 
 
 def _run(spark, stream, mode):
-    """A stream run to its end. Results go to a Parquet folder batch by batch; in complete mode the last batch has them all."""
+    """A stream run to its end. Results go to a Parquet folder batch by batch."""
     import uuid
 
     from loam.session import shared_dir
@@ -173,10 +195,6 @@ def _run(spark, stream, mode):
 
     stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
     done = spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{root}/out")
-    if mode == "complete":
-        batch = F.regexp_extract(F.col("_metadata.file_path"), r"/out/(\d+)/", 1).cast("long")
-        last = done.agg(F.max(batch)).first()[0]
-        done = spark.read.schema(stream.schema).parquet(f"{root}/out/{last or 0}")
     return done
 
 

@@ -20,12 +20,15 @@ def event_stream(spark, path: str, schema, files_a_trigger: int = 64) -> DataFra
 
 
 def windowed_counts(stream: DataFrame, key: str, width: str = "10 minutes", late: str = "30 minutes") -> DataFrame:
-    """Events by tumbling window and key; late ones are counted until the watermark passes."""
-    return stream.withWatermark("ts", late).groupBy(F.window("ts", width)["end"].alias("end"), key).agg(F.count("*").alias("n"))
+    """Events by tumbling window and key, ``end, key, n``; late ones are counted until the watermark passes, when the state of a
+    window ends."""
+    x = stream.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), key).agg(F.count("*").alias("n"))
+    return x.select(F.col("w.end").alias("end"), key, "n")
 
 
 def error_ratios(stream: DataFrame, key: str, late: str = "30 minutes", limit: float = 0.02, least: int = 20) -> DataFrame:
-    x = stream.withWatermark("ts", late).groupBy(F.window("ts", "10 minutes", "1 minute")["end"].alias("end"), key).agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"))
+    x = stream.withWatermark("ts", late).groupBy(F.window("ts", "10 minutes", "1 minute").alias("w"), key).agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"))
+    x = x.select(F.col("w.end").alias("end"), key, "n", "errors")
     return x.withColumn("breach", (F.col("errors") / F.col("n") > limit) & (F.col("n") >= least))
 
 
@@ -66,6 +69,47 @@ def hold_states(evaluations: DataFrame, key: str, hold_minutes: int) -> DataFram
     return evaluations.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, end timestamp, state string", "since long, firing boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def silences(reports: DataFrame, key: str, minutes: int, late: str = "30 minutes") -> DataFrame:
+    """``key, last, at`` of each silence in a stream of reports (key, ts, born): no report for ``minutes`` after ``last``, told at ``at``.
+
+    A ``born`` row registers a key; a key that has not reported since then is silent with a null ``last``. Reports wait in the state
+    until the watermark has passed them, so that late ones still fill a gap, and a timer tells a silence that no event ends.
+    Each silence is told once. The state of a key is its last report, whether its silence is told, and what still waits."""
+    span = minutes * 60_000_000
+
+    def step(k, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, first, told, wait = state.get if state.exists else (None, True, False, [])
+        wait = list(wait)
+        for f in frames:
+            if not state.hasTimedOut:
+                wait += [int(t.value // 1000) * 2 + int(not b) for t, b in zip(f["ts"], f["born"])]  # the lowest bit: a report
+        now, out = state.getCurrentWatermarkMs() * 1000, []
+        wait.sort()
+        while wait and (wait[0] >> 1) <= now:
+            t, report = wait[0] >> 1, wait.pop(0) & 1
+            if last is None or t > last:
+                if last is not None and t - last > span and not told:
+                    out.append((None if first else last, last + span))
+                if last is None or report:
+                    last, first, told = t, not report, False
+            elif report and first and t == last:
+                first = False
+        if last is not None and not told and last + span <= now:
+            out.append((None if first else last, last + span))
+            told = True
+        state.update((last, first, told, wait))
+        due = [wait[0] >> 1] if wait else []
+        due += [last + span] if last is not None and not told else []
+        if due:
+            state.setTimeoutTimestamp(max(min(due) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        if out:
+            yield pd.DataFrame({key: [k[0]] * len(out), "last": pd.to_datetime(pd.Series([x[0] for x in out], dtype="Int64"), unit="us"), "at": pd.to_datetime(pd.Series([x[1] for x in out], dtype="int64"), unit="us")})
+
+    kind = dict(reports.dtypes)[key]
+    return reports.withWatermark("ts", late).groupBy(key).applyInPandasWithState(
+        step, f"{key} {kind}, last timestamp, at timestamp", "last long, first boolean, told boolean, wait array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def incremental_index(stream: DataFrame, root: str, chunker: Callable[[DataFrame], DataFrame], checkpoint: str, late: str = "1 day"):
     """A query that brings changed notes (path, title, category, mtime, content, seen) into the chunk table at ``root``.
 
