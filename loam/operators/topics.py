@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loam.functions.markdown import strip
 from loam.operators import vectors
+from loam.session import materialise
 
 ASSIGN, MARGIN, LEARN = 0.50, 0.04, 0.58
 VOTE_FLOOR, VOTE_CONFIDENCE = 0.35, 0.75
@@ -167,8 +170,11 @@ def near_duplicate_pairs(phrases: DataFrame) -> DataFrame:
     least, most = F.floor((F.col("m") - 2) / 3).cast("int"), F.floor((F.col("m") + 2) / 3).cast("int") + 2
     grams = grams.withColumn("len", F.explode(F.sequence(F.greatest(F.lit(1), least), most)))
     grams = grams.filter(F.col("at") + F.col("len") <= F.col("m")).withColumn("piece", F.expr("substr(b, at + 1, len)"))
-    beside = (F.abs(F.col("n") - F.col("m")) <= 2) & (F.abs(F.col("at") - F.col("t") * F.col("i")) <= 2) & (F.col("a") != F.col("b"))
-    close = pieces.join(grams, "piece").filter(beside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    # they meet by piece and place, so that a short piece which very many phrases hold is no single key
+    start = F.col("t") * F.col("i")
+    pieces = pieces.withColumn("at", F.explode(F.sequence(start - 2, start + 2))).filter("at >= 0")
+    beside = (F.abs(F.col("n") - F.col("m")) <= 2) & (F.col("a") != F.col("b"))
+    close = pieces.join(grams, ["piece", "at"]).filter(beside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return exact.unionByName(close).distinct().filter(near_duplicate(F.col("a"), F.col("b")))
 
 
@@ -181,17 +187,47 @@ def near_duplicate_counts(phrases: DataFrame) -> DataFrame:
     return p.join(n, "phrase", "left").select("phrase", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
 
 
-def learn(texts: DataFrame, routed: DataFrame, routes: DataFrame, key: str = "doc_id") -> DataFrame:
+def learn(texts: DataFrame, routed: DataFrame, routes: DataFrame, key: str = "doc_id", most_rounds: int = 500) -> DataFrame:
     """``topic, phrase, rank``: phrases that chats, in order of ``key``, add to their topics: three a chat, each with a word
-    of the topic's profile, no near duplicate of a keyword of any topic, the latest 40 a topic.
+    of the topic's profile, no near duplicate of a keyword of any topic or of a phrase taken up before, the latest 40 a topic.
 
-    One pass over a batch: chats don't see what others of the batch add, so equal phrases count where they come first."""
+    Routes and profiles are those the batch began with."""
     sure = routed.filter((F.col("score") >= LEARN) & (F.col("topic") != INBOX)).select(key, "topic")
-    c = texts.select(key, F.posexplode(candidate_phrases(F.col("text"))).alias("pos", "phrase")).join(sure, key)
+    c = texts.select(F.col(key).alias("k"), F.posexplode(candidate_phrases(F.col("text"))).alias("pos", "phrase")).join(sure.withColumnRenamed(key, "k"), "k")
     prof = profiles(routes).select(F.col("id").alias("topic"), F.regexp_extract_all(F.lower("profile"), F.lit(r"[a-z][a-z0-9\-]{3,}"), F.lit(0)).alias("tokens"))
     c = c.join(F.broadcast(prof), "topic").filter(F.arrays_overlap(F.split("phrase", " "), "tokens")).drop("tokens")
     known = route_keywords(routes).unionByName(route_keywords(routes, "learned_keywords")).select("kw").distinct()
     c = c.join(F.broadcast(known), near_duplicate(F.col("phrase"), F.col("kw")), "left_anti")
-    c = c.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy("pos"))).filter(F.col("_n") <= PER_CHAT)
-    c = c.groupBy("topic", "phrase").agg(F.min(F.struct(F.col(key).alias("k"), "pos")).alias("first"))
-    return c.withColumn("rank", F.row_number().over(W.partitionBy("topic").orderBy(F.desc("first")))).filter(F.col("rank") <= PER_TOPIC).select("topic", "phrase", "rank")
+    taken = in_order(c.select("k", "pos", "topic", "phrase"), most_rounds)
+    return taken.withColumn("rank", F.row_number().over(W.partitionBy("topic").orderBy(F.desc("k"), F.desc("pos")))).filter(F.col("rank") <= PER_TOPIC).select("topic", "phrase", "rank")
+
+
+def in_order(cands: DataFrame, most_rounds: int = 500) -> DataFrame:
+    """The rows of ``cands`` (k, pos, topic, phrase) that are taken up when they are gone through by ``k`` and ``pos``: three a ``k``, and none
+    that is a near duplicate of one taken before it.
+
+    Rounds give what one row after the other would: a row goes once an alike one before it is taken or its ``k`` has its
+    three; it is taken once no alike row before it is open and those open before it in its ``k`` can't use up the three. Each
+    round decides the first open row at least, mostly nearly all; only open rows are read again."""
+    c = materialise(cands, "candidates")
+    pairs = near_duplicate_pairs(c)
+    same = c.select(F.col("phrase").alias("a"), F.col("phrase").alias("b")).distinct()
+    alike = materialise(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(same), "alike")
+    at = F.struct("k", "pos")
+    done, left = [], c.withColumn("had", F.lit(0))
+    for _ in range(most_rounds):
+        first = left.groupBy("phrase").agg(F.min(at).alias("first"))
+        before = alike.join(first.withColumnRenamed("phrase", "b"), "b").groupBy("a").agg(F.min("first").alias("first")).withColumnRenamed("a", "phrase")
+        w = W.partitionBy("k").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+        x = left.join(before, "phrase").withColumn("open", F.count("*").over(w))
+        x = materialise(x.withColumn("take", (F.col("first") == at) & (F.col("had") + F.col("open") < PER_CHAT)).drop("open", "first"), "round")
+        new = x.filter("take")
+        done.append(new.select("k", "pos", "topic", "phrase"))
+        # what the new ones close: alike rows after them, and the rest of a k that has its three before
+        hit = alike.join(new.select(F.col("phrase").alias("a"), at.alias("taken")), "a").groupBy("b").agg(F.min("taken").alias("taken")).withColumnRenamed("b", "phrase")
+        x = x.join(hit, "phrase", "left").withColumn("now", F.coalesce(F.sum(F.col("take").cast("int")).over(W.partitionBy("k").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+        x = x.withColumn("had", (F.col("had") + F.col("now")).cast("int")).filter(~F.col("take") & (F.col("taken").isNull() | (at < F.col("taken"))) & (F.col("had") < PER_CHAT))
+        left = materialise(x.select("k", "pos", "topic", "phrase", "had"), "open")
+        if not left.limit(1).count():
+            return reduce(DataFrame.unionByName, done)
+    raise RuntimeError(f"phrases are still open after {most_rounds} rounds")

@@ -149,16 +149,22 @@ ALIKE = """(phrase = kw OR list_sort(list_distinct(string_split(phrase, ' '))) =
 KEYWORDS = ", ".join(f"('{kw}')" for r in ROUTES for kw in r[4])
 
 
-@query("t10_learned", f"""WITH {MATCH}, {DECIDE}, {PHRASES}, cs AS (SELECT doc_id, coalesce(kw.topic, CASE
+@query("t10_learned", f"""WITH RECURSIVE {MATCH}, {DECIDE}, {PHRASES}, cs AS (SELECT doc_id, coalesce(kw.topic, CASE
   WHEN reason = 'assigned' THEN dec.id END, 'chat-inbox') AS topic, CASE WHEN kw.topic IS NOT NULL THEN 1.0e0
   WHEN reason = 'assigned' THEN best ELSE 0.0e0 END AS score
   FROM documents LEFT JOIN kw USING (doc_id) JOIN dec USING (doc_id)), sure AS (SELECT * FROM cs WHERE score >= {t.LEARN}e0 AND topic <> 'chat-inbox'),
   tokens AS (SELECT id AS topic, regexp_extract_all(lower(profile), '[a-z][a-z0-9\\-]{{3,}}') AS tk FROM pr),
   own AS (SELECT doc_id, topic, phrase, pos FROM cd JOIN sure USING (doc_id) JOIN tokens USING (topic)
   WHERE pos < {t.CANDIDATES} AND list_has_any(string_split(phrase, ' '), tk)), known AS (SELECT * FROM (VALUES {KEYWORDS}) v(kw)),
-  fresh AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM own WHERE NOT EXISTS (SELECT 1 FROM known WHERE {ALIKE})),
-  first AS (SELECT topic, phrase, min((doc_id, pos)) AS f FROM fresh WHERE n <= {t.PER_CHAT} GROUP BY ALL), rk AS (SELECT topic, phrase, row_number()
-  OVER (PARTITION BY topic ORDER BY f DESC) AS rank FROM first)
+  fresh AS (SELECT *, row_number() OVER (ORDER BY doc_id, pos) AS i FROM own WHERE NOT EXISTS (SELECT 1 FROM known WHERE {ALIKE})),
+  go AS (
+    SELECT 0::BIGINT AS i, -1::BIGINT AS k, 0 AS n, []::VARCHAR[] AS kept, NULL::VARCHAR AS topic, NULL::VARCHAR AS phrase, false AS take
+    UNION ALL
+    SELECT i, k, CASE WHEN take THEN n + 1 ELSE n END, CASE WHEN take THEN list_append(kept, phrase) ELSE kept END, topic, phrase, take FROM (
+      SELECT f.i, f.doc_id AS k, CASE WHEN f.doc_id = g.k THEN g.n ELSE 0 END AS n, g.kept, f.topic, f.phrase,
+        CASE WHEN f.doc_id = g.k THEN g.n ELSE 0 END < {t.PER_CHAT} AND len(list_filter(g.kept, lambda kw: {ALIKE.replace("phrase", "f.phrase")})) = 0 AS take
+      FROM go g JOIN fresh f ON f.i = g.i + 1) z),
+  rk AS (SELECT topic, phrase, row_number() OVER (PARTITION BY topic ORDER BY i DESC) AS rank FROM go WHERE take)
   SELECT topic, phrase, rank FROM rk WHERE rank <= {t.PER_TOPIC}""")
 def t10(spark, sf_dir):
     d = docs(spark, sf_dir)
