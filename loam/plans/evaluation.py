@@ -1,4 +1,4 @@
-"""Queries of retrieval evaluation. Cases ask benchmark texts; expected are the notes that hold their first words."""
+"""Queries of retrieval evaluation. Cases ask benchmark texts; expected are the notes that hold their first six words."""
 
 from __future__ import annotations
 
@@ -12,20 +12,36 @@ from loam.plans.retrieval import N as NC
 from loam.session import materialise, table
 from loam.sources import corpus
 
-EXP = "ex AS (SELECT query_id, path AS source FROM q JOIN notes ON doc_id % 40 = query_id % 40 AND query_id % 3 <> 2 UNION ALL SELECT query_id, 'gone.md' FROM q WHERE query_id % 3 = 2)"
+#: Expected notes hold the first six words of a question in a row; every third question expects a note that isn't there.
+EXP = """ex AS (SELECT query_id, path AS source FROM (SELECT query_id, array_to_string(list_slice(w, 1, 6), ' ') AS key FROM (SELECT query_id, regexp_extract_all(lower(question), '[a-z0-9_]+') AS w FROM q) WHERE len(w) >= 6)
+  JOIN (SELECT path, ' ' || array_to_string(regexp_extract_all(lower(content), '[a-z0-9_]+'), ' ') || ' ' AS t FROM notes) ON contains(t, ' ' || key || ' ') AND query_id % 3 <> 2
+  UNION ALL SELECT query_id, 'gone.md' FROM q WHERE query_id % 3 = 2)"""
 POOL = """pool AS (SELECT query_id, pos, chunk_id, score AS rrf_score, source, title, chunk, category, mtime, scope, question FROM hits
   JOIN (SELECT query_id, question FROM q) USING (query_id) WHERE pos <= 30)"""
 BASE = f"{NC}, {BM25}, {SEARCH}, {POOL}, {RERANKED}, {EXP}"
 
 
 def cases(spark, sf_dir):
-    """A question's expected notes, one a row: those whose document number agrees with it modulo 40; every third has none."""
-    n = corpus.notes(spark, sf_dir).select((F.col("doc_id") % 40).alias("m"), F.col("path").alias("source"))
-    q = questions(spark, sf_dir).select("query_id", (F.col("query_id") % 40).alias("m"))
-    e = q.filter("query_id % 3 <> 2").join(n, "m").select("query_id", "source")
+    """A question's expected notes, one a row: those that hold its first six words in a row; every third question expects a note
+    that isn't there.
+
+    Notes meet questions by the longest of the six words; only those that hold it are searched for all six."""
+    n = corpus.notes(spark, sf_dir).select(F.col("path").alias("source"), lexical.tokenise("content").alias("w"))
+    q = questions(spark, sf_dir).withColumn("w", F.slice(lexical.tokenise("question"), 1, 6))
+    some = q.filter((F.size("w") == 6) & (F.col("query_id") % 3 != 2)).select("query_id", F.array_join("w", " ").alias("key"), F.array_sort(F.transform("w", lambda x: F.struct((-F.char_length(x)).alias("n"), x.alias("x"))))[0]["x"].alias("word"))
+    some = materialise(some, "asked")
+    near = n.select("source", F.explode(F.array_distinct("w")).alias("word")).join(few(some), "word").select("source", "query_id", "key")
+    near = materialise(near, "near")
+    held = n.select("source", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("t")).join(few(near), "source")
+    e = held.filter(F.contains("t", F.concat(F.lit(" "), F.col("key"), F.lit(" ")))).select("query_id", "source")
     return e.unionByName(q.filter("query_id % 3 = 2").select("query_id", F.lit("gone.md").alias("source")))
 
 
+def few(df):
+    """A written table, to be broadcast where its size allows."""
+    return F.broadcast(df) if df.count() * 200 <= 64 << 20 else df
+
+
 def pool(spark, sf_dir):
     """Keyword candidates, written once: a few dozen rows a question."""
     return materialise(lexical.search(questions(spark, sf_dir), stored(spark, sf_dir), 30), "pool")
