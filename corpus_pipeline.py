@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from loam.llm.packing import pack
 from loam.llm.quality import accepted
 from loam.llm.simhash import near_dedup
 from loam.llm.tokens import default_vocabulary
-from loam.session import materialise, table, texts
+from loam.session import files, shared_dir, table, texts
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +54,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what each one returns is written to the shared folder and read by the next."""
-    docs = texts(spark, sf_dir)
+    """All stages over ``documents``; what each one returns is written to the shared folder and read by the next, and goes once
+    that one is written."""
+    docs, before = texts(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        out = stage(spark, docs, sf_dir)
+        out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        if before:
+            fs, p = files(spark, before)
+            fs.delete(p, True)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
