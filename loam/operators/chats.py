@@ -34,6 +34,7 @@ def turns_a(lines: DataFrame) -> DataFrame:
     user, c = F.col("d.type") == "user", F.col("d.message.content")
     text = F.when(user, _parts(c, ["text", "input_text"], image="*[Embedded Image]*")).otherwise(_parts(c, ["text"]))
     x = x.filter(F.col("d.type").isin("user", "assistant")).select("file", "line_no", F.col("d.type").alias("role"), text.alias("text"), F.when(user, "").otherwise(_parts(c, ["thinking"], "thinking")).alias("thinking"))
+    # fixed values: marks of what a tool wrote
     tool = (F.col("role") == "user") & F.col("text").rlike("local-command-caveat|<command-name>|<task-notification>")
     return x.filter(~tool & ((F.col("text") != "") | (F.col("thinking") != "")))
 
@@ -43,6 +44,7 @@ def turns_b(lines: DataFrame) -> DataFrame:
     x = lines.withColumn("p", F.from_json("line", "payload struct<type:string,role:string,content:string>")["payload"]).filter("p.type = 'message' and p.role in ('user', 'assistant') and p.content <> ''")
     c = F.col("p.content")
     x = x.select("file", "line_no", F.col("p.role").alias("role"), _parts(c, ["text", "input_text"]).alias("text"), F.when(F.col("p.role") == "user", "").otherwise(_parts(c, ["thinking"], "thinking")).alias("thinking"))
+    # fixed values: marks of environment blocks
     return x.filter(~F.col("text").rlike("environment_context|local-command-caveat") & ((F.col("text") != "") | (F.col("thinking") != "")))
 
 
@@ -61,6 +63,7 @@ def turns_c(lines: DataFrame) -> DataFrame:
 def transcripts(turns: DataFrame, vendor: str, key: str = "file", order: str = "line_no") -> DataFrame:
     """``key, body``: consecutive assistant turns share a heading; user turns and thinking always print one."""
     before = F.lag("role").over(W.partitionBy(key).orderBy(order))
+    # fixed values: headings of a transcript
     head = f"## 🤖 {vendor}\n\n"
     think = F.concat(F.lit(head + "<details>\n<summary>💭 View Thinking Process</summary>\n\n"), "thinking", F.lit("\n\n</details>\n\n"), F.when(F.col("text") != "", F.concat("text", F.lit("\n\n"))).otherwise(""))
     said = F.concat(F.when(before == "assistant", "").otherwise(head), "text", F.lit("\n\n"))
