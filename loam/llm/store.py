@@ -37,18 +37,22 @@ FAN, HASH_ROW = 1024, 200
 WRITE = {"compression": "zstd", "parquet.block.size": str(16 << 20)}
 
 
-def cuts(ids: np.ndarray, bits: int = BITS, least: int = LEAST, most: int = MOST) -> list[int]:
-    """Ends of the chunks of one id stream. They depend on the last ``WINDOW`` ids alone, apart from the least and
-    greatest lengths, so equal passages fall into equal chunks wherever they stand."""
-    h = ids.astype(np.uint64) + np.uint64(1)
+def marks(ids: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Places behind which a boundary may fall: where the rolling hash of the last ``WINDOW`` values has ``bits`` zero bits. A
+    value is an id plus one; zeros stand between the documents of a batch and count for nothing."""
+    h = ids.astype(np.uint64)
     h = (h ^ (h << np.uint64(21))) * np.uint64(0x9E3779B97F4A7C15)
     span = 1
     while span < WINDOW:  # h[i] becomes the sum of the last 2 * span values, each shifted by its distance
         h[span:] = h[span:] + (h[:-span] << np.uint64(span))
         span *= 2
-    marks = np.flatnonzero((h >> np.uint64(40)) & np.uint64((1 << bits) - 1) == 0) + 1
-    out, at, n = [], 0, len(ids)
-    for m in [*marks.tolist(), n]:
+    return np.flatnonzero((h >> np.uint64(40)) & np.uint64((1 << bits) - 1) == 0) + 1
+
+
+def ends(places: list[int], n: int, least: int = LEAST, most: int = MOST) -> list[int]:
+    """Ends of the chunks of ``n`` ids with boundaries at ``places`` where the least and greatest lengths allow it."""
+    out, at = [], 0
+    for m in [*places, n]:
         while m - at > most:
             at += most
             out.append(at)
@@ -58,6 +62,34 @@ def cuts(ids: np.ndarray, bits: int = BITS, least: int = LEAST, most: int = MOST
     return out
 
 
+def cuts(ids: np.ndarray, bits: int = BITS, least: int = LEAST, most: int = MOST) -> list[int]:
+    """Ends of the chunks of one id stream. They depend on the last ``WINDOW`` ids alone, apart from the least and
+    greatest lengths, so equal passages fall into equal chunks wherever they stand."""
+    return ends(marks(ids.astype(np.uint64) + np.uint64(1), bits).tolist(), len(ids), least, most)
+
+
+def cuts_of(streams: list[np.ndarray], batch: int = 1 << 18) -> Iterator[list[int]]:
+    """``cuts`` of each stream; short ones are hashed together, with zeros between them that no window reaches across."""
+    i = 0
+    while i < len(streams):
+        k, size = i, 0
+        while k < len(streams) and (k == i or size + len(streams[k]) <= batch):
+            size += len(streams[k]) + WINDOW
+            k += 1
+        flat, at, starts = np.zeros(size, np.uint64), 0, []
+        for s in streams[i:k]:
+            starts.append(at)
+            flat[at : at + len(s)] = s
+            flat[at : at + len(s)] += np.uint64(1)
+            at += len(s) + WINDOW
+        found = marks(flat)
+        lo = np.searchsorted(found, starts, side="right")  # a boundary lies behind an id: from start + 1 to start + n
+        hi = np.searchsorted(found, np.array(starts) + [len(s) for s in streams[i:k]], side="right")
+        for s, start, a, b in zip(streams[i:k], starts, lo, hi):
+            yield ends((found[a:b] - start).tolist(), len(s))
+        i = k
+
+
 def _digest(*parts: bytes) -> bytes:
     h = hashlib.blake2b(digest_size=16)
     for p in parts:
@@ -76,10 +108,11 @@ def chunked(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
             for i in range(0, batch.num_rows, 256):
                 p = batch.slice(i, 256)
                 rows = []
-                for d, r, raw in zip(p.column("doc_id").to_pylist(), p.column("row_id").to_pylist(), enc.encode(p.column("text").to_pylist())):
-                    raw += end
+                raws = [raw + end for raw in enc.encode(p.column("text").to_pylist())]
+                cut = cuts_of([np.frombuffer(raw, enc.type) for raw in raws])
+                for d, r, raw, found in zip(p.column("doc_id").to_pylist(), p.column("row_id").to_pylist(), raws, cut):
                     at = 0
-                    for k, c in enumerate(cuts(np.frombuffer(raw, enc.type))):
+                    for k, c in enumerate(found):
                         part = raw[at * enc.width : c * enc.width]
                         rows.append((d, r, k, _digest(part), part))
                         at = c

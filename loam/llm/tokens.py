@@ -5,15 +5,18 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Entries of a worker's caches of words and of their pieces, about 200 bytes each. Full caches take no more.
 CACHE_WORDS, CACHE_PIECES = 500_000, 50_000
 #: Words that are cut into pieces here: printable ASCII without the apostrophe, and letters of Latin-1.
 PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]+")
 PIECE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+#: Code points of texts that are cut into words together.
+TOGETHER = 1 << 20
 #: Words that both ways must encode alike before the short one is used.
 TRIAL = ["Ab,", "naïve", "ÉÀ!!", "x###", "|", "a1b22", "+1", "(555)", "end.", "straße", "a@b.de", "a_b", "<a>"]
 
@@ -76,29 +79,37 @@ class Encoder:
         if not self.by_words:
             return [self._whole(t or "") for t in texts]
         out: list[bytes] = []
-        for i in range(0, len(texts), 64):
-            split = [(t or "").replace("\n", " ").split(" ") for t in texts[i : i + 64]]
-            words = list(chain.from_iterable(split))
-            got = list(map(self.words.get, words))
-            new: dict[str, bytes] = {}
-            at = -1
-            try:
-                while True:  # the places of words that aren't in the cache
-                    at = got.index(None, at + 1)
-                    w = words[at]
-                    if w not in new:
-                        new[w] = self._word(w)
-                    got[at] = new[w]
-            except ValueError:
-                pass
-            if len(self.words) < CACHE_WORDS:
-                self.words.update(new)
-            at = 0
-            for ws in split:
-                out.append(b"".join(got[at : at + len(ws)]))
-                at += len(ws)
+        i = 0
+        while i < len(texts):
+            k, size = i, 0
+            while k < len(texts) and (k == i or size + len(texts[k] or "") <= TOGETHER):
+                size += len(texts[k] or "")
+                k += 1
+            split = pc.split_pattern(pc.replace_substring(pa.array([t or "" for t in texts[i:k]], pa.large_string()), "\n", " "), " ")
+            words = split.flatten().dictionary_encode()  # each word of the texts is looked up once
+            ids = pa.array(self._words(words.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(words.indices)
+            if isinstance(ids, pa.ChunkedArray):
+                ids = ids.combine_chunks()
+            data, at = memoryview(ids.buffers()[2] or b""), np.frombuffer(ids.buffers()[1], "<i8")[ids.offset : ids.offset + len(ids) + 1]
+            border = at[split.offsets.to_numpy()].tolist()
+            out += [bytes(data[x:y]) for x, y in zip(border, border[1:])]
+            i = k
         return out
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        got = list(map(self.words.get, words))
+        new: dict[str, bytes] = {}
+        at = -1
+        try:
+            while True:  # the places of words that aren't in the cache
+                at = got.index(None, at + 1)
+                new[words[at]] = got[at] = self._word(words[at])
+        except ValueError:
+            pass
+        if len(self.words) < CACHE_WORDS:
+            self.words.update(new)
+        return got
+
 
 def encoder(path: str) -> Encoder:
     """One encoder for each worker process and vocabulary."""

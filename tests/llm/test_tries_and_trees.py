@@ -303,3 +303,27 @@ def test_bands_meet_for_linked_sets_of_all_sizes():
             x, y = (hyperminhash.dense(hyperminhash.registers(s)).view(np.uint64) for s in (a, b))
             missed += not (x == y).any()
     assert missed == 0
+
+
+# ---- token store: chunk borders of a batch
+
+
+def test_chunk_borders_of_a_batch_are_those_of_each_document():
+    import numpy as np
+
+    from loam.llm import store
+
+    r = np.random.default_rng(7)
+    streams = [r.integers(0, 50_000, n).astype("<u2") for n in (0, 1, 15, 63, 64, 65, 700, 9000, 0, 40_000, 300)] + [np.full(9000, 7, "<u2")]
+    for batch in (1, 500, 10_000, 1 << 18):
+        assert list(store.cuts_of(streams, batch)) == [store.cuts(s) for s in streams]
+    assert list(store.cuts_of([])) == []
+
+
+def test_words_of_a_batch_are_encoded_as_whole_texts():
+    from loam.llm.tokens import Encoder, default_vocabulary
+
+    enc = Encoder(default_vocabulary())
+    odd = [None, "", "\n", " ", "a\n\n b", " x ", "é z\tq\r\n w", "Ab, it's <|x|> 12,5.", "漢字 x", "\x00 a b", "one " * 3000, "w" * 5000]
+    assert enc.encode(odd) == [enc._whole(t or "") for t in odd]
+    assert enc.encode([]) == [] and enc.encode([None, None]) == [b"", b""]
