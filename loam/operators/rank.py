@@ -45,8 +45,10 @@ RECENCY = (
 
 @dataclass
 class Config:
-    """Depths and weights of ``retrieve``; days are half-lives."""
+    """Depths and weights of ``retrieve``; days are half-lives, ``prefix`` stands before questions when they are embedded."""
 
+    #: Fixed value: the instruction that the default model was trained with.
+    prefix: str = "Represent this sentence for searching relevant passages: "
     k: int = 8
     pool: int = 30
     per_source: int = 0

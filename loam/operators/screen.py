@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from re import _parser as parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,14 +49,49 @@ def read_patterns(lines: list[str]) -> list[tuple[str, str, str]]:
     return out
 
 
+def factors(regex: str) -> list[str]:
+    """Literals in lower case of which every match of a pattern holds one (in some case): of those that its syntax shows the
+    longest; none where it shows none, or where Python doesn't read the pattern."""
+    try:
+        tree = parser.parse(regex)
+    except (re.error, OverflowError):
+        return []
+
+    def best(nodes) -> list[str]:
+        sets, run = [], ""
+        for op, arg in [*nodes, (None, None)]:
+            if op == parser.LITERAL and arg < 128:
+                run += chr(arg).lower()
+                continue
+            sets.append([run] if run else [])
+            run = ""
+            if op == parser.SUBPATTERN:
+                sets.append(best(arg[3]))
+            elif op == parser.BRANCH:
+                parts = [best(b) for b in arg[1]]
+                sets.append(sum(parts, []) if all(parts) else [])
+            elif op in (parser.MAX_REPEAT, parser.MIN_REPEAT) and arg[0] >= 1:
+                sets.append(best(arg[2]))
+        return max(sets, key=lambda x: min(map(len, x), default=0))
+
+    return best(tree)
+
+
+def matches(s: Column, low: Column, regex: str) -> Column:
+    """Whether ``s`` matches; the pattern is only asked where ``low``, ``s`` in lower case, holds one of its literals."""
+    f = factors(regex)
+    return reduce(Column.__or__, (F.contains(low, F.lit(x)) for x in f)) & s.rlike(regex) if f else s.rlike(regex)
+
+
 def scan(files: DataFrame, patterns: list[tuple[str, str, str]] = SECRETS, path: str = "path", text: str = "content") -> DataFrame:
     """``path, name, line`` of every pattern that a path (line 0) or a line of a text matches, never the text matched; a
-    text with NUL bytes or none is ``unreadable``. Each text is split into lines once and read in one expression."""
+    text with NUL bytes or none is ``unreadable``. Lines are cut only of texts that hold a literal of some pattern."""
     content = [(n, r) for k, n, r in patterns if k == "content"]
-    any_ = F.col(text).rlike("|".join(f"(?:{r})" for _, r in content)) if content else F.lit(False)
-    hit = lambda s: F.array_compact(F.array(*(F.when(s.rlike(r), F.lit(n)) for n, r in content)))
     bad = F.col(text).isNull() | F.contains(text, F.lit("\x00"))
-    lines = files.filter(~bad & any_).select(F.col(path), F.posexplode(F.split(text, "\n")).alias("line", "s")).select(F.col(path), F.explode(hit(F.col("s"))).alias("name"), (F.col("line") + 1).alias("line"))
+    low = F.lower(F.col(text))
+    any_ = reduce(Column.__or__, (matches(F.col(text), low, r) for _, r in content)) if content else F.lit(False)
+    hit = F.array_compact(F.array(*(F.when(matches(F.col("s"), F.lower("s"), r), F.lit(n)) for n, r in content)))
+    lines = files.filter(~bad & any_).select(F.col(path), F.posexplode(F.split(text, "\n")).alias("line", "s")).select(F.col(path), F.explode(hit).alias("name"), (F.col("line") + 1).alias("line"))
     names = files.select(F.col(path), F.explode(F.array_compact(F.array(*(F.when(F.col(path).cast("string").rlike(r), F.lit(n)) for k, n, r in patterns if k == "path"), F.when(bad, "unreadable")))).alias("name"), F.lit(0).alias("line"))
     return lines.unionByName(names)
 

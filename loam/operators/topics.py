@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import unicodedata
+import uuid
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loam.functions.markdown import strip
+from loam.functions.ranking import global_rank
 from loam.operators import vectors
 from loam.session import materialise
 
@@ -56,13 +61,68 @@ def route_keywords(routes: DataFrame, column: str = "keywords") -> DataFrame:
     return routes.select("id", "route_ix", F.posexplode(column).alias("kw_ix", "k")).select("id", "route_ix", "kw_ix", F.lower(strip(F.col("k"))).alias("kw")).withColumn("kw_len", F.char_length("kw")).filter("kw <> ''")
 
 
-def match_routes(texts: DataFrame, routes: DataFrame, key: str = "doc_id") -> DataFrame:
+def _alone(text: str, at: int, end: int) -> bool:
+    """No letter, digit or underscore stands beside ``text[at:end]``."""
+    return not any(c == "_" or unicodedata.category(c)[0] in "LN" for c in text[max(at - 1, 0) : at] + text[end : end + 1])
+
+
+#: Automata of a worker process.
+_automata: dict[str, object] = {}
+
+
+def _automaton(name: str, words: list[tuple[int, str]]):
+    """The automaton of ``words`` (rank, keyword), built once a worker."""
+    if name not in _automata:
+        import ahocorasick
+
+        a = ahocorasick.Automaton()
+        for r, w in words:
+            a.add_word(w, (r, len(w), " " in w or "-" in w or len(w) >= 5))
+        a.make_automaton()
+        _automata[name] = a
+    return _automata[name]
+
+
+def first_keywords(texts: DataFrame, words: list[tuple[int, str]], key: str, text: str) -> DataFrame:
+    """``key, rank``: the least rank of the ``words`` (rank, keyword) that stand in a text as ``keyword_hit`` has it; both in
+    lower case. An automaton reads each text once, however many words there are."""
+    name = uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = _automaton(name, words)
+        for batch in batches:
+            place, ranks = [], []
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                best = None
+                for last, (r, n, loose) in a.iter(t):
+                    if (best is None or r < best) and (loose or _alone(t, last + 1 - n, last + 1)):
+                        best = r
+                if best is not None:
+                    place.append(i)
+                    ranks.append(best)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(place, pa.int64())), pa.array(ranks, pa.int64())], [key, "rank"])
+
+    kind = dict(texts.dtypes)[key]
+    return texts.select(key, text).mapInArrow(run, f"`{key}` {kind}, rank long")
+
+
+def match_routes(texts: DataFrame, routes: DataFrame, key: str = "doc_id", most_bytes: int = 16 << 20) -> DataFrame:
     """``key, topic, kw``: the route of the longest keyword that a text holds, of several the first; texts without a hit
-    have no row. The keyword table is a fixed rule set of a few hundred rows, broadcast."""
-    kws = route_keywords(routes)
+    have no row. Keywords are ranked, then looked up by an automaton of ``most_bytes`` of keywords at most; more of them go
+    in several passes over the texts."""
+    best = F.struct((-F.col("kw_len")).alias("l"), "route_ix", "kw_ix", "id")
+    kws = materialise(global_rank(route_keywords(routes).groupBy("kw").agg(F.min(best).alias("b")), "rank", F.col("b").asc()).select("rank", "kw", F.col("b.id").alias("id")), "keywords")
+    passes = max(1, -(-(kws.agg(F.sum(F.octet_length("kw") + 64)).first()[0] or 0) // most_bytes))
     low = texts.select(key, F.lower(F.coalesce("text", F.lit(""))).alias("_t"))
-    hits = low.join(F.broadcast(kws), keyword_hit(F.col("_t"), F.col("kw")))
-    return hits.groupBy(key).agg(F.min_by(F.struct("id", "kw"), F.struct((-F.col("kw_len")).alias("l"), "route_ix", "kw_ix")).alias("b")).select(key, F.col("b.id").alias("topic"), F.col("b.kw").alias("kw"))
+    found = None
+    for i in range(passes):
+        words = [(r["rank"], r["kw"]) for r in kws.filter(F.pmod(F.xxhash64("kw"), F.lit(passes)) == i).select("rank", "kw").collect()]  # bounded by most_bytes
+        if words:
+            part = first_keywords(low, words, key, "_t")
+            found = part if found is None else found.unionByName(part)
+    if found is None:
+        return texts.select(key, F.lit("").alias("topic"), F.lit("").alias("kw")).limit(0)
+    return found.groupBy(key).agg(F.min("rank").alias("rank")).join(kws, "rank").select(key, F.col("id").alias("topic"), "kw")
 
 
 def project_link(matched: DataFrame, routes: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -76,12 +136,18 @@ def profiles(routes: DataFrame) -> DataFrame:
     return routes.select("id", "route_ix", F.array_join(F.filter(F.array(*(F.coalesce(p, F.lit("")) for p in parts), *words), lambda x: x != ""), " | ").alias("profile"))
 
 
-def decisions(texts: DataFrame, routes: DataFrame, key: str = "doc_id") -> DataFrame:
+def decisions(texts: DataFrame, routes: DataFrame, key: str = "doc_id", load: Callable | None = None, most_bytes: int = 64 << 20) -> DataFrame:
     """``key, topic, best, second, reason`` by cosine of a text's first 2000 characters and the profiles: assigned,
-    below_threshold or weak_margin."""
-    q = vectors.embed(texts.withColumn("text", F.left("text", F.lit(2000))), key, "text")
-    p = vectors.embed(profiles(routes), "id", "profile").join(routes.select("id", "route_ix"), "id")
-    c = q.join(F.broadcast(p.select("id", "route_ix", F.col("embedding").alias("p")))).select(key, "id", "route_ix", F.round(vectors.cosine("embedding", "p"), 6).alias("cosine"))
+    below_threshold or weak_margin. ``load`` as in ``vectors.embed``. The vectors of topics are broadcast up to ``most_bytes``;
+    more go in blocks of that size."""
+    q = vectors.embed(texts.withColumn("text", F.left("text", F.lit(2000))), key, "text", load=load)
+    p = vectors.embed(profiles(routes), "id", "profile", load=load).join(routes.select("id", "route_ix"), "id")
+    p = materialise(p.select("id", "route_ix", F.col("embedding").alias("p")), "topics")
+    blocks = max(1, -(-(p.agg(F.sum(F.size("p") * 8 + 64)).first()[0] or 0) // most_bytes))
+    if blocks > 1:
+        q = materialise(q, "texts")
+    part = lambda i: F.broadcast(p.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i) if blocks > 1 else p)
+    c = reduce(DataFrame.unionByName, (q.join(part(i)).select(key, "id", "route_ix", F.round(vectors.cosine("embedding", "p"), 6).alias("cosine")) for i in range(blocks)))
     top = c.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("c"), "route_ix", "id"))), 1, 2).alias("t"))
     best, second = -F.col("t")[0]["c"], F.greatest(F.lit(0.0), F.coalesce(-F.get(F.col("t"), F.lit(1))["c"], F.lit(0.0)))
     x = top.select(key, F.col("t")[0]["id"].alias("nearest"), best.alias("best"), second.alias("second"))
@@ -101,12 +167,12 @@ def accepted_votes(votes: DataFrame, made: DataFrame, routes: DataFrame, key: st
     return v.filter(F.col("confidence") >= VOTE_CONFIDENCE).join(middling, key, "left_semi").join(F.broadcast(known), "vid").select(key, "topic", "confidence")
 
 
-def cascade(texts: DataFrame, routes: DataFrame, votes: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+def cascade(texts: DataFrame, routes: DataFrame, votes: DataFrame | None = None, key: str = "doc_id", load: Callable | None = None) -> DataFrame:
     """``key, topic, how, score``: keyword, else embedding, else vote, else inbox. Only texts without a keyword are
-    embedded."""
-    kw = match_routes(texts, routes, key)
+    embedded; both results are written once."""
+    kw = materialise(match_routes(texts, routes, key), "matched")
     rest = texts.join(kw.select(key), key, "left_anti")
-    emb = decisions(rest, routes, key)
+    emb = materialise(decisions(rest, routes, key, load), "decided")
     out = kw.select(key, "topic", F.lit("keyword").alias("how"), F.lit(1.0).alias("score"))
     out = out.unionByName(emb.filter("topic is not null").select(key, "topic", F.lit("embed").alias("how"), F.col("best").alias("score")))
     left = emb.filter("topic is null").select(key)
@@ -153,28 +219,34 @@ def near_duplicate(a: Column, b: Column) -> Column:
 
 
 def near_duplicate_pairs(phrases: DataFrame) -> DataFrame:
-    """``a, b`` (a < b) of near duplicates among distinct phrases of two words.
+    """``a, b`` (a < b) of near duplicates among distinct phrases of seven characters or more."""
+    p = phrases.select("phrase").distinct()
+    x = near_duplicates(p, p).filter("a <> b")
+    return x.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    Phrases meet by keys that near duplicates must share: their words in order, or one of three pieces of a phrase at a
+
+def near_duplicates(phrases: DataFrame, others: DataFrame) -> DataFrame:
+    """``a, b`` of each phrase and those of the ``others`` (both: phrase) that are near duplicates of it; phrases have seven
+    characters or more, others any number.
+
+    They meet by keys that near duplicates must share: their words in order, or one of three pieces of a phrase at a
     position shifted by two at most. A shared word beside one two edits off is two edits in all, so it needs no key."""
-    p = phrases.select("phrase").distinct()
+    p, o = phrases.select("phrase").distinct(), others.select("phrase").distinct()
     n = F.char_length("phrase")
     third = F.floor(n / 3).cast("int")
-    words = F.split("phrase", " ")
-    left = p.select(F.col("phrase").alias("a"), F.array_join(F.array_sort(words), " ").alias("k"))
-    exact = left.join(left.select(F.col("a").alias("b"), "k"), "k").filter("a < b").select("a", "b")
+    words = F.array_join(F.array_sort(F.array_distinct(F.split("phrase", " "))), " ")
+    exact = p.select(F.col("phrase").alias("a"), words.alias("k")).join(o.select(F.col("phrase").alias("b"), words.alias("k")), "k").select("a", "b")
     part = lambda i: F.substr("phrase", third * i + 1, F.when(F.lit(i) == 2, n - 2 * third).otherwise(third))
     pieces = p.select(F.col("phrase").alias("a"), n.alias("n"), F.posexplode(F.array(*(part(i) for i in range(3)))).alias("i", "piece"), third.alias("t"))
     # any phrase within two edits holds one of the three pieces whole, moved by two at most
-    grams = p.select(F.col("phrase").alias("b"), n.alias("m"), F.explode(F.sequence(F.lit(0), n - 1)).alias("at"))
+    grams = o.filter(n > 0).select(F.col("phrase").alias("b"), n.alias("m"), F.explode(F.sequence(F.lit(0), n - 1)).alias("at"))
     least, most = F.floor((F.col("m") - 2) / 3).cast("int"), F.floor((F.col("m") + 2) / 3).cast("int") + 2
     grams = grams.withColumn("len", F.explode(F.sequence(F.greatest(F.lit(1), least), most)))
     grams = grams.filter(F.col("at") + F.col("len") <= F.col("m")).withColumn("piece", F.expr("substr(b, at + 1, len)"))
     # they meet by piece and place, so that a short piece which very many phrases hold is no single key
     start = F.col("t") * F.col("i")
     pieces = pieces.withColumn("at", F.explode(F.sequence(start - 2, start + 2))).filter("at >= 0")
-    beside = (F.abs(F.col("n") - F.col("m")) <= 2) & (F.col("a") != F.col("b"))
-    close = pieces.join(grams, ["piece", "at"]).filter(beside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    close = pieces.join(grams, ["piece", "at"]).filter(F.abs(F.col("n") - F.col("m")) <= 2).select("a", "b")
     return exact.unionByName(close).distinct().filter(near_duplicate(F.col("a"), F.col("b")))
 
 
@@ -195,9 +267,9 @@ def learn(texts: DataFrame, routed: DataFrame, routes: DataFrame, key: str = "do
     sure = routed.filter((F.col("score") >= LEARN) & (F.col("topic") != INBOX)).select(key, "topic")
     c = texts.select(F.col(key).alias("k"), F.posexplode(candidate_phrases(F.col("text"))).alias("pos", "phrase")).join(sure.withColumnRenamed(key, "k"), "k")
     prof = profiles(routes).select(F.col("id").alias("topic"), F.regexp_extract_all(F.lower("profile"), F.lit(r"[a-z][a-z0-9\-]{3,}"), F.lit(0)).alias("tokens"))
-    c = c.join(F.broadcast(prof), "topic").filter(F.arrays_overlap(F.split("phrase", " "), "tokens")).drop("tokens")
-    known = route_keywords(routes).unionByName(route_keywords(routes, "learned_keywords")).select("kw").distinct()
-    c = c.join(F.broadcast(known), near_duplicate(F.col("phrase"), F.col("kw")), "left_anti")
+    c = materialise(c.join(prof, "topic").filter(F.arrays_overlap(F.split("phrase", " "), "tokens")).drop("tokens"), "phrases")
+    known = route_keywords(routes).unionByName(route_keywords(routes, "learned_keywords")).select(F.col("kw").alias("phrase"))
+    c = c.join(near_duplicates(c, known).select(F.col("a").alias("phrase")).distinct(), "phrase", "left_anti")
     taken = in_order(c.select("k", "pos", "topic", "phrase"), most_rounds)
     return taken.withColumn("rank", F.row_number().over(W.partitionBy("topic").orderBy(F.desc("k"), F.desc("pos")))).filter(F.col("rank") <= PER_TOPIC).select("topic", "phrase", "rank")
 

@@ -2,17 +2,42 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 DIM = 64
+#: Models of a worker process, by the column that asks for them.
+_models: dict[str, Callable[[list[str]], list[list[float]]]] = {}
+
+
+def encoded(text: Column, load: Callable[[], Callable[[list[str]], list[list[float]]]], batch: int = 256) -> Column:
+    """Vectors of texts by a model. ``load`` gives a function from texts to vectors; a worker calls it once, and the model takes
+    ``batch`` texts at a time."""
+    name = uuid.uuid4().hex
+
+    @F.pandas_udf("array<double>")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        if name not in _models:
+            _models[name] = load()
+        for t in parts:
+            rows = t.tolist()
+            yield pd.Series([[float(x) for x in v] for i in range(0, len(rows), batch) for v in _models[name](rows[i : i + batch])], index=t.index, dtype=object)
+
+    return run(text)
 
 
-def embed(df: DataFrame, key: str, text: str, dim: int = DIM, prefix: str = "") -> DataFrame:
+def embed(df: DataFrame, key: str, text: str, dim: int = DIM, prefix: str = "", load: Callable | None = None) -> DataFrame:
     """``key, embedding``: counts of words by ``md5(word) mod dim``, at unit length; zeros for texts without words.
 
-    ``prefix`` stands before each text, as an instruction before questions does."""
+    ``prefix`` stands before each text, as an instruction before questions does; a null text is an empty one. With ``load`` a
+    model gives the vectors instead (see ``encoded``)."""
+    if load is not None:
+        return df.select(key, encoded(F.concat(F.lit(prefix), F.coalesce(text, F.lit(""))), load).alias("embedding"))
     word = F.explode(F.regexp_extract_all(F.lower(F.concat(F.lit(prefix), F.coalesce(text, F.lit("")))), F.lit("[a-z0-9_]+"), F.lit(0)))
     slot = F.conv(F.right(F.md5("w"), F.lit(2)), 16, 10).cast("int") % dim
     n = df.select(key, word.alias("w")).select(key, slot.alias("slot")).groupBy(key, "slot").agg(F.count("*").cast("double").alias("n"))

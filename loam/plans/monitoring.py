@@ -139,6 +139,34 @@ def w02_stream_ratios(spark, sf_dir):
     return _streamed(spark, sf_dir, plan, "append").select("ns", F.round(F.unix_seconds("end") / 60).cast("long").alias("minute"), "n", "errors", "breach")
 
 
+#: Two streams of events over half an hour's windows; what the slower watermark has passed.
+PAIR = """WITH x AS (SELECT CAST(user_id % 4 AS INT) AS ns, CAST(epoch(ts) AS BIGINT) // 1800 AS w, event_type, value, ts FROM events),
+  a AS (SELECT ns, w, max(value) AS av FROM x WHERE event_type = '{}' GROUP BY ALL), b AS (SELECT ns, w, max(value) AS bv FROM x WHERE event_type = '{}' GROUP BY ALL),
+  j AS (SELECT a.ns, (a.w + 1) * 30 AS minute, av, bv FROM a LEFT JOIN b ON a.ns = b.ns AND a.w = b.w
+  WHERE (a.w + 1) * 1800 <= (SELECT least(max(epoch(ts)) FILTER (event_type = '{}'), max(epoch(ts)) FILTER (event_type = '{}')) FROM x) - 1800)"""
+SIDES = ("click", "purchase")
+
+
+def _sides(stream, value):
+    """The two sides of a joined stream."""
+    x = stream.withColumn("ns", (F.col("user_id") % 4).cast("int"))
+    return [x.filter(F.col("event_type") == t).select("ns", "ts", F.col("value").alias(n)) for t, n in zip(SIDES, value)]
+
+
+@query("w05_stream_below", f"{PAIR.format(*SIDES, *SIDES)} SELECT ns, minute, av AS rate, bv AS baseline, av < bv AS breach FROM j")
+def w05_stream(spark, sf_dir):
+    """Rates (clicks) against recorded baselines (purchases), as two streams joined by window."""
+    plan = lambda s: st.below_baseline(*_sides(s, ("value", "baseline")), "ns", "value", "30 minutes")
+    return _streamed(spark, sf_dir, plan, "append").select("ns", F.round(F.unix_seconds("end") / 60).cast("long").alias("minute"), "rate", "baseline", "breach")
+
+
+@query("w10_stream_shortfall", f"{PAIR.format(*SIDES, *SIDES)} SELECT ns, minute, av AS wanted, bv AS available FROM j WHERE bv IS NULL OR av > bv")
+def w10_stream(spark, sf_dir):
+    """Replicas asked for (clicks) against those there (purchases), as two streams joined by window."""
+    plan = lambda s: st.shortfall(*_sides(s, ("n", "n")), "ns", "30 minutes")
+    return _streamed(spark, sf_dir, plan, "append").select("ns", F.round(F.unix_seconds("end") / 60).cast("long").alias("minute"), "wanted", "available")
+
+
 @query("w06_stream_silence", """WITH r AS (SELECT user_id, epoch_us(ts) AS t, 1 AS report FROM events WHERE event_type = 'error'
   UNION ALL SELECT DISTINCT user_id, 1704067200000000, 0 FROM events),
   x AS (SELECT user_id, t, report, lead(t) OVER (PARTITION BY user_id ORDER BY t, report) AS n FROM r)

@@ -230,12 +230,12 @@ def v04(spark, sf_dir):
     return neighbours.knn(e.withColumnRenamed("item_id", "query_id"), e, 4).select("query_id", "pos", "item_id", "distance")
 
 
-def scoped_neighbours(q: DataFrame, c: DataFrame, k: int) -> DataFrame:
+def scoped_neighbours(q: DataFrame, c: DataFrame, k: int, prefix: str = "", load=None) -> DataFrame:
     """The ``k`` nearest chunks in the scope of each question (query_id, question, scope): a search for each scope, over
-    its own chunks alone."""
+    its own chunks alone. ``prefix`` stands before questions only; ``load`` as in ``vectors.embed``."""
     scope = F.coalesce(F.when(F.col("scope").isin("chats", "notes"), F.col("scope")), F.lit("all"))
-    asked = materialise(vectors.embed(q, "query_id", "question").join(q.select("query_id", "scope"), "query_id"), "asked")
-    held = materialise(vectors.embed(c, "chunk_id", "chunk").join(c.select("chunk_id", "category"), "chunk_id"), "vectors")
+    asked = materialise(vectors.embed(q, "query_id", "question", prefix=prefix, load=load).join(q.select("query_id", "scope"), "query_id"), "asked")
+    held = materialise(vectors.embed(c, "chunk_id", "chunk", load=load).join(c.select("chunk_id", "category"), "chunk_id"), "vectors")
     out = None
     for s in ("chats", "notes", "all"):
         part = vectors.knn(asked.filter(scope == s), held.filter(lexical.scope_matches(F.lit(s), F.col("category"))), k, "query_id", "chunk_id")
@@ -413,7 +413,7 @@ def v03(spark, sf_dir):
 
 RETRIEVE = f"""{N}, {CUES}, aq AS (SELECT query_id, lower(question) AS x FROM cue), {ANCHOR},
 {BM25.replace(QUESTIONS_SQL, WIDE_SQL)}, {SEARCH},
-{NEAR},
+{NEAR.replace("lower(question)", f"lower(concat('{rank.Config.prefix}', question))")},
 v0 AS (SELECT * FROM near WHERE pos <= 60), w0 AS (SELECT {PAYLOAD}, pos FROM hits WHERE pos <= 60), {guard_sql('v0', 'v1')}, {guard_sql('w0', 'w1')},
 legs AS (SELECT *, 0 AS leg FROM v1 WHERE pos <= 30 UNION ALL BY NAME SELECT *, 1 AS leg FROM w1 WHERE pos <= 30),
 x0 AS (SELECT query_id, chunk_id, any_value(source) AS source, any_value(title) AS title, any_value(chunk) AS chunk, any_value(category) AS category, any_value(mtime) AS mtime, any_value(scope) AS scope,
@@ -442,5 +442,5 @@ x9 AS (SELECT *, CASE WHEN n < 2 THEN -CAST(pos AS DOUBLE) ELSE round(r + CASE
 def r12(spark, sf_dir):
     """One chunk table, one index and one expanded question for both legs."""
     q, c = cue_questions(spark, sf_dir), stored(spark, sf_dir)
-    leg = scoped_neighbours(rank.widened(q), c, 2 * rank.Config.pool)
+    leg = scoped_neighbours(rank.widened(q), c, 2 * rank.Config.pool, rank.Config.prefix)
     return rank.retrieve(q, c, leg, rank.Config(), lexical.index(c)).select("query_id", "pos", "chunk_id", "rrf_score", "rerank_score")

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.functions.ranking import global_rank
-from loam.session import texts
+from loam.operators.maintenance import status
+from loam.session import materialise, texts
 
 #: Path components that scans leave out; a component that starts with a full stop is left out always.
 EXCLUDED = ("Templates", "Attachments", "node_modules", "dist", "build", "venv")
@@ -67,16 +68,45 @@ def eligible(path: Column, exclude: tuple[str, ...] = EXCLUDED, keep_index: bool
     return ok if keep_index else ok & ~name.contains("Index.md") & (name != "Vault Health Report.md")
 
 
+def _listed(files: DataFrame, root: str, exclude: tuple[str, ...], keep_index: bool) -> DataFrame:
+    """Eligible rows of note files, their paths below ``root``."""
+    base = root.rstrip("/").split("://")[-1]
+    path = F.regexp_replace(F.regexp_replace(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), r"^[a-z]+:/*(?=/)", ""), "^/*" + base.lstrip("/").replace(".", r"\.") + "/", "")
+    return files.withColumn("path", path).filter(eligible(F.col("path"), exclude, keep_index)).withColumn("mtime", F.unix_micros("modificationTime") / 1e6)
+
+
+def _files(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(root)
+
+
+def _contents(listed: DataFrame) -> DataFrame:
+    text = F.regexp_replace(F.decode("content", "UTF-8"), r"\r\n?", "\n")
+    return listed.select("path", *note_attributes(F.col("path")), "mtime", text.alias("content"))
+
+
 def scan_notes(spark: SparkSession, root: str, exclude: tuple[str, ...] = EXCLUDED, keep_index: bool = False) -> DataFrame:
     """``path, title, category, mtime, content`` of every eligible file below ``root``; line ends become line feeds.
 
     Names are judged before contents are read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(root)
-    base = root.rstrip("/").split("://")[-1]
-    path = F.regexp_replace(F.regexp_replace(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), r"^[a-z]+:/*(?=/)", ""), "^/*" + base.lstrip("/").replace(".", r"\.") + "/", "")
-    df = files.select(path.alias("path"), F.unix_micros("modificationTime").alias("t"), "content").filter(eligible(F.col("path"), exclude, keep_index))
-    text = F.regexp_replace(F.decode("content", "UTF-8"), r"\r\n?", "\n")
-    return df.select("path", *note_attributes(F.col("path")), (F.col("t") / 1e6).alias("mtime"), text.alias("content"))
+    return _contents(_listed(_files(spark, root), root, exclude, keep_index))
+
+
+def list_notes(spark: SparkSession, root: str, exclude: tuple[str, ...] = EXCLUDED, keep_index: bool = False) -> DataFrame:
+    """``path, title, category, mtime`` of every eligible file below ``root``: names and times, no content is read."""
+    return _listed(_files(spark, root), root, exclude, keep_index).select("path", *note_attributes(F.col("path")), "mtime")
+
+
+def scan_changed(spark: SparkSession, root: str, indexed: DataFrame, exclude: tuple[str, ...] = EXCLUDED, keep_index: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``source, status`` of all files below ``root`` against ``indexed`` (source, mtime), and the notes that are new or changed.
+
+    The first phase joins names and times. The second reads the new and changed files alone: their names prune the listing,
+    which the driver holds for any scan, so no other file is opened."""
+    files = _files(spark, root).select("path", "modificationTime", F.col("_metadata.file_path").alias("file"))
+    listed = materialise(_listed(files, root, exclude, keep_index).select("path", "mtime", "file"), "listing")
+    states = materialise(status(listed.select("path", "mtime"), indexed), "states")
+    fresh = listed.join(states.filter("status in ('new', 'changed')").select(F.col("source").alias("path")), "path", "left_semi")
+    names = [r["file"] for r in fresh.select("file").collect()]
+    return states, _contents(_listed(_files(spark, root).filter(F.col("_metadata.file_path").isin(names)), root, exclude, keep_index))
 
 
 def note_attributes(path: Column) -> list[Column]:

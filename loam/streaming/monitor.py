@@ -110,6 +110,27 @@ def silences(reports: DataFrame, key: str, minutes: int, late: str = "30 minutes
         step, f"{key} {kind}, last timestamp, at timestamp", "last long, first boolean, told boolean, wait array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def _windows(stream: DataFrame, key: str, value, name: str, width: str, late: str) -> DataFrame:
+    return stream.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), key).agg(value.alias(name))
+
+
+def below_baseline(rates: DataFrame, baselines: DataFrame, key: str, value: str, width: str = "20 minutes", late: str = "30 minutes") -> DataFrame:
+    """``key, end, rate, baseline, breach``: the greatest value of a window of one stream (key, ts, value) against the greatest
+    that another (key, ts, baseline) records in it.
+
+    Windows of both streams are joined by key and window once the slower watermark has passed them, each told once; where no
+    baseline came in time, it and the breach are null. State ends with the watermark on both sides."""
+    x = _windows(rates, key, F.max(value), "rate", width, late).join(_windows(baselines, key, F.max("baseline"), "baseline", width, late), ["w", key], "left")
+    return x.select(key, F.col("w.end").alias("end"), "rate", "baseline", (F.col("rate") < F.col("baseline")).alias("breach"))
+
+
+def shortfall(wanted: DataFrame, there: DataFrame, key: str, width: str = "5 minutes", late: str = "30 minutes") -> DataFrame:
+    """``key, end, wanted, available`` of windows with fewer replicas (key, ts, n) than asked for; of windows in which none is
+    reported ``available`` is null."""
+    x = _windows(wanted, key, F.max("n"), "wanted", width, late).join(_windows(there, key, F.max("n"), "available", width, late), ["w", key], "left")
+    return x.select(key, F.col("w.end").alias("end"), "wanted", "available").filter("available is null or wanted > available")
+
+
 def incremental_index(stream: DataFrame, root: str, chunker: Callable[[DataFrame], DataFrame], checkpoint: str, late: str = "1 day"):
     """A query that brings changed notes (path, title, category, mtime, content, seen) into the chunk table at ``root``.
 
