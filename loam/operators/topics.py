@@ -111,7 +111,7 @@ def match_routes(texts: DataFrame, routes: DataFrame, key: str = "doc_id", most_
     have no row. Keywords are ranked, then looked up by an automaton of ``most_bytes`` of keywords at most; more of them go
     in several passes over the texts."""
     best = F.struct((-F.col("kw_len")).alias("l"), "route_ix", "kw_ix", "id")
-    kws = materialise(global_rank(route_keywords(routes).groupBy("kw").agg(F.min(best).alias("b")), "rank", F.col("b").asc()).select("rank", "kw", F.col("b.id").alias("id")), "keywords")
+    kws = materialise(global_rank(route_keywords(routes).groupBy("kw").agg(F.min(best).alias("b")), "rank", F.col("b").asc()).select("rank", "kw", F.col("b.id").alias("topic")), "keywords")
     passes = max(1, -(-(kws.agg(F.sum(F.octet_length("kw") + 64)).first()[0] or 0) // most_bytes))
     low = texts.select(key, F.lower(F.coalesce("text", F.lit(""))).alias("_t"))
     found = None
@@ -122,7 +122,7 @@ def match_routes(texts: DataFrame, routes: DataFrame, key: str = "doc_id", most_
             found = part if found is None else found.unionByName(part)
     if found is None:
         return texts.select(key, F.lit("").alias("topic"), F.lit("").alias("kw")).limit(0)
-    return found.groupBy(key).agg(F.min("rank").alias("rank")).join(kws, "rank").select(key, F.col("id").alias("topic"), "kw")
+    return found.groupBy(key).agg(F.min("rank").alias("rank")).join(kws, "rank").select(key, "topic", "kw")
 
 
 def project_link(matched: DataFrame, routes: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -142,15 +142,15 @@ def decisions(texts: DataFrame, routes: DataFrame, key: str = "doc_id", load: Ca
     more go in blocks of that size."""
     q = vectors.embed(texts.withColumn("text", F.left("text", F.lit(2000))), key, "text", load=load)
     p = vectors.embed(profiles(routes), "id", "profile", load=load).join(routes.select("id", "route_ix"), "id")
-    p = materialise(p.select("id", "route_ix", F.col("embedding").alias("p")), "topics")
+    p = materialise(p.select(F.col("id").alias("_topic"), "route_ix", F.col("embedding").alias("p")), "topics")
     blocks = max(1, -(-(p.agg(F.sum(F.size("p") * 8 + 64)).first()[0] or 0) // most_bytes))
     if blocks > 1:
         q = materialise(q, "texts")
-    part = lambda i: F.broadcast(p.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i) if blocks > 1 else p)
-    c = reduce(DataFrame.unionByName, (q.join(part(i)).select(key, "id", "route_ix", F.round(vectors.cosine("embedding", "p"), 6).alias("cosine")) for i in range(blocks)))
-    top = c.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("c"), "route_ix", "id"))), 1, 2).alias("t"))
+    part = lambda i: F.broadcast(p.filter(F.pmod(F.xxhash64("_topic"), F.lit(blocks)) == i) if blocks > 1 else p)
+    c = reduce(DataFrame.unionByName, (q.join(part(i)).select(key, "_topic", "route_ix", F.round(vectors.cosine("embedding", "p"), 6).alias("cosine")) for i in range(blocks)))
+    top = c.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("c"), "route_ix", "_topic"))), 1, 2).alias("t"))
     best, second = -F.col("t")[0]["c"], F.greatest(F.lit(0.0), F.coalesce(-F.get(F.col("t"), F.lit(1))["c"], F.lit(0.0)))
-    x = top.select(key, F.col("t")[0]["id"].alias("nearest"), best.alias("best"), second.alias("second"))
+    x = top.select(key, F.col("t")[0]["_topic"].alias("nearest"), best.alias("best"), second.alias("second"))
     reason = F.when(F.col("best") < ASSIGN, "below_threshold").when(F.round(F.col("best") - F.col("second"), 6) < MARGIN, "weak_margin").otherwise("assigned")
     return x.withColumn("reason", reason).withColumn("topic", F.when(F.col("reason") == "assigned", F.col("nearest"))).drop("nearest")
 

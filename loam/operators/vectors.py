@@ -15,6 +15,12 @@ DIM = 64
 _models: dict[str, Callable[[list[str]], list[list[float]]]] = {}
 
 
+def _model(name: str, load: Callable) -> Callable[[list[str]], list[list[float]]]:
+    if name not in _models:
+        _models[name] = load()
+    return _models[name]
+
+
 def encoded(text: Column, load: Callable[[], Callable[[list[str]], list[list[float]]]], batch: int = 256) -> Column:
     """Vectors of texts by a model. ``load`` gives a function from texts to vectors; a worker calls it once, and the model takes
     ``batch`` texts at a time."""
@@ -22,11 +28,10 @@ def encoded(text: Column, load: Callable[[], Callable[[list[str]], list[list[flo
 
     @F.pandas_udf("array<double>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        if name not in _models:
-            _models[name] = load()
+        model = _model(name, load)
         for t in parts:
             rows = t.tolist()
-            yield pd.Series([[float(x) for x in v] for i in range(0, len(rows), batch) for v in _models[name](rows[i : i + batch])], index=t.index, dtype=object)
+            yield pd.Series([[float(x) for x in v] for i in range(0, len(rows), batch) for v in model(rows[i : i + batch])], index=t.index, dtype=object)
 
     return run(text)
 

@@ -140,7 +140,7 @@ def w02_stream_ratios(spark, sf_dir):
 
 
 #: Two streams of events over half an hour's windows; what the slower watermark has passed.
-PAIR = """WITH x AS (SELECT CAST(user_id % 4 AS INT) AS ns, CAST(epoch(ts) AS BIGINT) // 1800 AS w, event_type, value, ts FROM events),
+PAIR = """WITH x AS (SELECT CAST(user_id % 4 AS INT) AS ns, CAST(floor(epoch(ts)) AS BIGINT) // 1800 AS w, event_type, value, ts FROM events),
   a AS (SELECT ns, w, max(value) AS av FROM x WHERE event_type = '{}' GROUP BY ALL), b AS (SELECT ns, w, max(value) AS bv FROM x WHERE event_type = '{}' GROUP BY ALL),
   j AS (SELECT a.ns, (a.w + 1) * 30 AS minute, av, bv FROM a LEFT JOIN b ON a.ns = b.ns AND a.w = b.w
   WHERE (a.w + 1) * 1800 <= (SELECT least(max(epoch(ts)) FILTER (event_type = '{}'), max(epoch(ts)) FILTER (event_type = '{}')) FROM x) - 1800)"""

@@ -71,7 +71,7 @@ def eligible(path: Column, exclude: tuple[str, ...] = EXCLUDED, keep_index: bool
 def _listed(files: DataFrame, root: str, exclude: tuple[str, ...], keep_index: bool) -> DataFrame:
     """Eligible rows of note files, their paths below ``root``."""
     base = root.rstrip("/").split("://")[-1]
-    path = F.regexp_replace(F.regexp_replace(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), r"^[a-z]+:/*(?=/)", ""), "^/*" + base.lstrip("/").replace(".", r"\.") + "/", "")
+    path = F.regexp_replace(F.regexp_replace("path", r"^[a-z][a-z0-9+.-]*:/*(?=/)", ""), r"^/*\Q" + base.lstrip("/") + r"\E/", "")
     return files.withColumn("path", path).filter(eligible(F.col("path"), exclude, keep_index)).withColumn("mtime", F.unix_micros("modificationTime") / 1e6)
 
 
