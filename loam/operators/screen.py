@@ -9,6 +9,8 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loam.functions.markdown import let
+
 #: Kinds of secrets and what they look like, as published by those who issue them.
 SECRETS = [
     ("content", "anthropic-key", r"sk-ant-[A-Za-z0-9_-]{20,}"),
@@ -87,12 +89,16 @@ def scan(files: DataFrame, patterns: list[tuple[str, str, str]] = SECRETS, path:
     """``path, name, line`` of every pattern that a path (line 0) or a line of a text matches, never the text matched; a
     text with NUL bytes or none is ``unreadable``. Lines are cut only of texts that hold a literal of some pattern."""
     content = [(n, r) for k, n, r in patterns if k == "content"]
-    bad = F.col(text).isNull() | F.contains(text, F.lit("\x00"))
-    low = F.lower(F.col(text))
-    any_ = reduce(Column.__or__, (matches(F.col(text), low, r) for _, r in content)) if content else F.lit(False)
-    hit = F.array_compact(F.array(*(F.when(matches(F.col("s"), F.lower("s"), r), F.lit(n)) for n, r in content)))
-    lines = files.filter(~bad & any_).select(F.col(path), F.posexplode(F.split(text, "\n")).alias("line", "s")).select(F.col(path), F.explode(hit).alias("name"), (F.col("line") + 1).alias("line"))
-    names = files.select(F.col(path), F.explode(F.array_compact(F.array(*(F.when(F.col(path).cast("string").rlike(r), F.lit(n)) for k, n, r in patterns if k == "path"), F.when(bad, "unreadable")))).alias("name"), F.lit(0).alias("line"))
+    bad = lambda t: t.isNull() | F.contains(t, F.lit("\x00"))
+    any_ = lambda t: let(F.lower(t), lambda low: reduce(Column.__or__, (matches(t, low, r) for _, r in content)))
+    hit = let(F.lower("s"), lambda low: F.array_compact(F.array(*(F.when(matches(F.col("s"), low, r), F.lit(n)) for n, r in content))))
+    # a text is named once and arrays are exploded as outer ones: else its expression, which a caller may have made of many, is
+    # written out for each pattern, and once more for the size of what is exploded
+    some = files.filter(let(F.col(text), lambda t: ~bad(t) & any_(t))) if content else files.limit(0)
+    lines = some.select(F.col(path), F.posexplode_outer(F.split(text, "\n")).alias("line", "s"))
+    lines = lines.select(F.col(path), F.explode_outer(hit).alias("name"), (F.col("line") + 1).alias("line")).filter("name is not null")
+    found = F.array(*(F.when(F.col(path).cast("string").rlike(r), F.lit(n)) for k, n, r in patterns if k == "path"), F.when(let(F.col(text), bad), "unreadable"))
+    names = files.select(F.col(path), F.explode_outer(F.array_compact(found)).alias("name"), F.lit(0).alias("line")).filter("name is not null")
     return lines.unionByName(names)
 
 
