@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loam.functions.markdown import strip
+from loam.functions.markdown import let, strip
 from loam.functions.ranking import global_rank
 from loam.operators import vectors
 from loam.session import materialise
@@ -202,7 +202,7 @@ def noisy(tok: Column) -> Column:
 def candidate_phrases(text: Column) -> Column:
     """Two neighbouring words that are left after stop and noisy words go; distinct in order, the first 25."""
     ws = F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[a-z][a-z0-9\-]{3,}"), F.lit(0)), lambda w: ~noisy(w))
-    pairs = F.zip_with(ws, F.slice(ws, 2, F.greatest(F.size(ws), F.lit(1))), lambda a, b: F.when(b.isNotNull() & (a != b), F.concat(a, F.lit(" "), b)))
+    pairs = let(ws, lambda x: F.zip_with(x, F.slice(x, 2, F.greatest(F.size(x), F.lit(1))), lambda a, b: F.when(b.isNotNull() & (a != b), F.concat(a, F.lit(" "), b))))
     ok = F.filter(F.array_distinct(F.array_compact(pairs)), lambda p: ~p.isin(*BLOCKED) & F.char_length(p).between(7, 40))
     return F.slice(ok, 1, CANDIDATES)
 
@@ -229,27 +229,34 @@ def near_duplicates(phrases: DataFrame, others: DataFrame) -> DataFrame:
     """``a, b`` of each phrase and those of the ``others`` (both: phrase) that are near duplicates of it; phrases have seven
     characters or more, others any number.
 
-    They meet by keys that near duplicates must share: their words in order, or one of three pieces of a phrase at a
-    position shifted by two at most. A shared word beside one two edits off is two edits in all, so it needs no key."""
+    They meet by keys that near duplicates must share: their words in order, or what is left of both when two characters at
+    most go. Few phrases share such a rest, however many begin with one word. A shared word beside one two edits off is two
+    edits in all, so it needs no key."""
     p, o = phrases.select("phrase").distinct(), others.select("phrase").distinct()
-    n = F.char_length("phrase")
-    third = F.floor(n / 3).cast("int")
     words = F.array_join(F.array_sort(F.array_distinct(F.split("phrase", " "))), " ")
     exact = p.select(F.col("phrase").alias("a"), words.alias("k")).join(o.select(F.col("phrase").alias("b"), words.alias("k")), "k").select("a", "b")
-    part = lambda i: F.substr("phrase", third * i + 1, F.when(F.lit(i) == 2, n - 2 * third).otherwise(third))
-    pieces = p.select(F.col("phrase").alias("a"), n.alias("n"), F.posexplode(F.array(*(part(i) for i in range(3)))).alias("i", "piece"), third.alias("t"))
-    # any phrase within two edits holds one of the three pieces whole, moved by two at most
-    grams = o.filter(n > 0).select(F.col("phrase").alias("b"), n.alias("m"), F.explode(F.sequence(F.lit(0), n - 1)).alias("at"))
-    least, most = F.floor((F.col("m") - 2) / 3).cast("int"), F.floor((F.col("m") + 2) / 3).cast("int") + 2
-    grams = grams.withColumn("len", F.explode(F.sequence(F.greatest(F.lit(1), least), most)))
-    grams = grams.filter(F.col("at") + F.col("len") <= F.col("m")).withColumn("piece", F.expr("substr(b, at + 1, len)"))
-    # they meet by piece and place, so that a short piece which very many phrases hold is no single key
-    start = F.col("t") * F.col("i")
-    pieces = pieces.withColumn("at", F.explode(F.sequence(start - 2, start + 2))).filter("at >= 0")
-    close = pieces.join(grams, ["piece", "at"]).filter(F.abs(F.col("n") - F.col("m")) <= 2).select("a", "b")
+    close = rests(p, "a").join(rests(o, "b"), "rest").select("a", "b")
     return exact.unionByName(close).distinct().filter(near_duplicate(F.col("a"), F.col("b")))
 
 
+def rests(phrases: DataFrame, name: str) -> DataFrame:
+    """``name, rest``: a hash of each string that a phrase becomes when none, one or two of its characters go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            every = b.column(0).to_pylist()
+            for i in range(0, len(every), 256):
+                whose, left = [], []
+                for s in every[i : i + 256]:
+                    one = {s[:j] + s[j + 1 :] for j in range(len(s))}
+                    some = {s} | one | {t[:j] + t[j + 1 :] for t in one for j in range(len(t))}
+                    left += some
+                    whose += [s] * len(some)
+                yield pa.RecordBatch.from_arrays([pa.array(whose, pa.string()), pa.array(left, pa.string())], [name, "rest"])
+
+    return phrases.select("phrase").filter("phrase is not null").mapInArrow(run, f"{name} string, rest string").select(name, F.xxhash64("rest").alias("rest"))
+
+
 def near_duplicate_counts(phrases: DataFrame) -> DataFrame:
     """``phrase, n_near`` of every distinct phrase: its near duplicates on both sides, 0 for none."""
     p = phrases.select("phrase").distinct()

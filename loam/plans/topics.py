@@ -139,7 +139,7 @@ def t08(spark, sf_dir):
 
 @query("t09_near_duplicates")
 def t09(spark, sf_dir):
-    return t.near_duplicate_counts(docs(spark, sf_dir).select(F.explode(t.candidate_phrases(F.col("text"))).alias("phrase")))
+    return t.near_duplicate_counts(docs(spark, sf_dir).select(F.explode_outer(t.candidate_phrases(F.col("text"))).alias("phrase")).filter("phrase is not null"))
 
 
 #: Whether phrase and keyword are near duplicates.
