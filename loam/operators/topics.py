@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from loam.functions.markdown import let, strip
 from loam.functions.ranking import global_rank
-from loam.operators import vectors
+from loam.operators import alike, vectors
 from loam.session import materialise
 
 ASSIGN, MARGIN, LEARN = 0.50, 0.04, 0.58
@@ -218,24 +218,40 @@ def near_duplicate(a: Column, b: Column) -> Column:
     return (a == b) | (F.array_sort(F.array_distinct(sa)) == F.array_sort(F.array_distinct(sb))) | ((F.abs(F.char_length(a) - F.char_length(b)) <= 2) & near(a, b)) | (two & place)
 
 
+def _by_shape(phrases: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """The distinct phrases in a written table, those of them that are two words, and the others, if there are any."""
+    p = materialise(phrases.select("phrase").distinct(), "distinct")
+    two = F.col("phrase").rlike(alike.TWO)
+    odd = p.filter(~two)
+    return p, p.filter(two), odd if odd.limit(1).count() else None
+
+
+def _odd_pairs(odd: DataFrame, every: DataFrame) -> DataFrame:
+    x = near_duplicates(every, odd).filter("a <> b")
+    return x.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicate_pairs(phrases: DataFrame) -> DataFrame:
     """``a, b`` (a < b) of near duplicates among distinct phrases of seven characters or more."""
-    p = phrases.select("phrase").distinct()
-    x = near_duplicates(p, p).filter("a <> b")
-    return x.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    every, two, odd = _by_shape(phrases)
+    x = alike.compared(two).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return x if odd is None else x.unionByName(_odd_pairs(odd, every))
 
 
 def near_duplicates(phrases: DataFrame, others: DataFrame) -> DataFrame:
     """``a, b`` of each phrase and those of the ``others`` (both: phrase) that are near duplicates of it; phrases have seven
-    characters or more, others any number.
+    characters or more, others any number and should be the fewer.
 
     They meet by keys that near duplicates must share: their words in order, or what is left of both when two characters at
     most go. Few phrases share such a rest, however many begin with one word. A shared word beside one two edits off is two
-    edits in all, so it needs no key."""
+    edits in all, so it needs no key. The others' keys are broadcast up to 64 MB; else neither side is, as plans don't see how many
+    rests a phrase has."""
     p, o = phrases.select("phrase").distinct(), others.select("phrase").distinct()
+    few = (o.agg(F.sum(F.char_length("phrase") * F.char_length("phrase"))).first()[0] or 0) * 60 <= 64 << 20
+    side = F.broadcast if few else lambda df: df.hint("merge")
     words = F.array_join(F.array_sort(F.array_distinct(F.split("phrase", " "))), " ")
-    exact = p.select(F.col("phrase").alias("a"), words.alias("k")).join(o.select(F.col("phrase").alias("b"), words.alias("k")), "k").select("a", "b")
-    close = rests(p, "a").join(rests(o, "b"), "rest").select("a", "b")
+    exact = p.select(F.col("phrase").alias("a"), words.alias("k")).join(side(o.select(F.col("phrase").alias("b"), words.alias("k"))), "k").select("a", "b")
+    close = rests(p, "a").join(side(rests(o, "b")), "rest").select("a", "b")
     return exact.unionByName(close).distinct().filter(near_duplicate(F.col("a"), F.col("b")))
 
 
@@ -258,12 +274,12 @@ def rests(phrases: DataFrame, name: str) -> DataFrame:
 
 
 def near_duplicate_counts(phrases: DataFrame) -> DataFrame:
-    """``phrase, n_near`` of every distinct phrase: its near duplicates on both sides, 0 for none."""
-    p = phrases.select("phrase").distinct()
-    pairs = near_duplicate_pairs(p)
-    both = pairs.select(F.col("a").alias("phrase")).unionByName(pairs.select(F.col("b").alias("phrase")))
-    n = both.groupBy("phrase").agg(F.count("*").alias("n_near"))
-    return p.join(n, "phrase", "left").select("phrase", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
+    """``phrase, n_near`` of every distinct phrase: its near duplicates on both sides, 0 for none. Pairs are counted where they are found."""
+    every, two, odd = _by_shape(phrases)
+    n = every.withColumn("n", F.lit(0).cast("long")).unionByName(alike.compared(two, counts=True))
+    if odd is not None:
+        n = n.unionByName(_odd_pairs(odd, every).select(F.explode(F.array("a", "b")).alias("phrase"), F.lit(1).cast("long").alias("n")))
+    return n.groupBy("phrase").agg(F.sum("n").alias("n_near"))
 
 
 def learn(texts: DataFrame, routed: DataFrame, routes: DataFrame, key: str = "doc_id", most_rounds: int = 500) -> DataFrame:
