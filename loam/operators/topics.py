@@ -17,6 +17,8 @@ from loam.functions.ranking import global_rank
 from loam.operators import alike, vectors
 from loam.session import materialise
 
+#: What a broadcast may take, and bytes of a row of short texts there.
+BROADCAST, ROW = 16 << 20, 120
 ASSIGN, MARGIN, LEARN = 0.50, 0.04, 0.58
 VOTE_FLOOR, VOTE_CONFIDENCE = 0.35, 0.75
 PER_CHAT, PER_TOPIC, CANDIDATES = 3, 40, 25
@@ -244,17 +246,23 @@ def near_duplicates(phrases: DataFrame, others: DataFrame) -> DataFrame:
 
     They meet by keys that near duplicates must share: their words in order, or what is left of both when two characters at
     most go. Few phrases share such a rest, however many begin with one word. A shared word beside one two edits off is two
-    edits in all, so it needs no key. The others' keys are broadcast up to 64 MB; else neither side is, as plans don't see how many
+    edits in all, so it needs no key. The others' keys are broadcast up to 16 MB; else neither side is, as plans don't see how many
     rests a phrase has."""
     p, o = phrases.select("phrase").distinct(), others.select("phrase").distinct()
-    few = (o.agg(F.sum(F.char_length("phrase") * F.char_length("phrase"))).first()[0] or 0) * 60 <= 64 << 20
-    side = F.broadcast if few else lambda df: df.hint("merge")
+    most = (o.agg(F.sum(F.char_length("phrase") * F.char_length("phrase"))).first()[0] or 0) * ROW // 2
+    side = _side(most)
     words = F.array_join(F.array_sort(F.array_distinct(F.split("phrase", " "))), " ")
     exact = p.select(F.col("phrase").alias("a"), words.alias("k")).join(side(o.select(F.col("phrase").alias("b"), words.alias("k"))), "k").select("a", "b")
     close = rests(p, "a").join(side(rests(o, "b")), "rest").select("a", "b")
     return exact.unionByName(close).distinct().filter(near_duplicate(F.col("a"), F.col("b")))
 
 
+def _side(most: int) -> Callable[[DataFrame], DataFrame]:
+    """How a table of ``most`` bytes is joined: by broadcast up to ``BROADCAST``, else in a shuffle, whatever a plan takes its size to be; a plan goes by
+    compressed files, which unfold in the driver."""
+    return F.broadcast if most <= BROADCAST else lambda df: df.hint("merge")
+
+
 def rests(phrases: DataFrame, name: str) -> DataFrame:
     """``name, rest``: a hash of each string that a phrase becomes when none, one or two of its characters go."""
 
@@ -287,12 +295,13 @@ def learn(texts: DataFrame, routed: DataFrame, routes: DataFrame, key: str = "do
     of the topic's profile, no near duplicate of a keyword of any topic or of a phrase taken up before, the latest 40 a topic.
 
     Routes and profiles are those the batch began with."""
-    sure = routed.filter((F.col("score") >= LEARN) & (F.col("topic") != INBOX)).select(key, "topic")
-    c = texts.select(F.col(key).alias("k"), F.posexplode(candidate_phrases(F.col("text"))).alias("pos", "phrase")).join(sure.withColumnRenamed(key, "k"), "k")
+    sure = materialise(routed.filter((F.col("score") >= LEARN) & (F.col("topic") != INBOX)).select(F.col(key).alias("k"), "topic"), "sure")
+    c = texts.select(F.col(key).alias("k"), F.posexplode(candidate_phrases(F.col("text"))).alias("pos", "phrase")).join(_side(sure.count() * ROW)(sure), "k")
     prof = profiles(routes).select(F.col("id").alias("topic"), F.regexp_extract_all(F.lower("profile"), F.lit(r"[a-z][a-z0-9\-]{3,}"), F.lit(0)).alias("tokens"))
     c = materialise(c.join(prof, "topic").filter(F.arrays_overlap(F.split("phrase", " "), "tokens")).drop("tokens"), "phrases")
     known = route_keywords(routes).unionByName(route_keywords(routes, "learned_keywords")).select(F.col("kw").alias("phrase"))
-    c = c.join(near_duplicates(c, known).select(F.col("a").alias("phrase")).distinct(), "phrase", "left_anti")
+    near = materialise(near_duplicates(c, known).select(F.col("a").alias("phrase")).distinct(), "near")
+    c = c.join(_side(near.count() * ROW)(near), "phrase", "left_anti")
     taken = in_order(c.select("k", "pos", "topic", "phrase"), most_rounds)
     return taken.withColumn("rank", F.row_number().over(W.partitionBy("topic").orderBy(F.desc("k"), F.desc("pos")))).filter(F.col("rank") <= PER_TOPIC).select("topic", "phrase", "rank")
 
@@ -305,24 +314,27 @@ def in_order(cands: DataFrame, most_rounds: int = 500) -> DataFrame:
     three; it is taken once no alike row before it is open and those open before it in its ``k`` can't use up the three. Each
     round decides the first open row at least, mostly nearly all; only open rows are read again."""
     c = materialise(cands, "candidates")
-    pairs = near_duplicate_pairs(c)
+    both = near_duplicate_pairs(c).select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
     same = c.select(F.col("phrase").alias("a"), F.col("phrase").alias("b")).distinct()
-    alike = materialise(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(same), "alike")
+    alike = materialise(both.unionByName(same), "alike")
     at = F.struct("k", "pos")
-    done, left = [], c.withColumn("had", F.lit(0))
+    done, left, n = [], c.withColumn("had", F.lit(0)), c.count()
+    some = _side(c.select("phrase").distinct().count() * ROW)
     for _ in range(most_rounds):
+        few = _side(n * ROW)
         first = left.groupBy("phrase").agg(F.min(at).alias("first"))
-        before = alike.join(first.withColumnRenamed("phrase", "b"), "b").groupBy("a").agg(F.min("first").alias("first")).withColumnRenamed("a", "phrase")
+        before = alike.join(few(first.withColumnRenamed("phrase", "b")), "b").groupBy("a").agg(F.min("first").alias("first")).withColumnRenamed("a", "phrase")
         w = W.partitionBy("k").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
-        x = left.join(before, "phrase").withColumn("open", F.count("*").over(w))
+        x = left.join(some(before), "phrase").withColumn("open", F.count("*").over(w))
         x = materialise(x.withColumn("take", (F.col("first") == at) & (F.col("had") + F.col("open") < PER_CHAT)).drop("open", "first"), "round")
         new = x.filter("take")
         done.append(new.select("k", "pos", "topic", "phrase"))
         # what the new ones close: alike rows after them, and the rest of a k that has its three before
-        hit = alike.join(new.select(F.col("phrase").alias("a"), at.alias("taken")), "a").groupBy("b").agg(F.min("taken").alias("taken")).withColumnRenamed("b", "phrase")
-        x = x.join(hit, "phrase", "left").withColumn("now", F.coalesce(F.sum(F.col("take").cast("int")).over(W.partitionBy("k").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+        hit = alike.join(few(new.select(F.col("phrase").alias("a"), at.alias("taken"))), "a").groupBy("b").agg(F.min("taken").alias("taken")).withColumnRenamed("b", "phrase")
+        x = x.join(some(hit), "phrase", "left").withColumn("now", F.coalesce(F.sum(F.col("take").cast("int")).over(W.partitionBy("k").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
         x = x.withColumn("had", (F.col("had") + F.col("now")).cast("int")).filter(~F.col("take") & (F.col("taken").isNull() | (at < F.col("taken"))) & (F.col("had") < PER_CHAT))
         left = materialise(x.select("k", "pos", "topic", "phrase", "had"), "open")
-        if not left.limit(1).count():
+        n = left.count()
+        if not n:
             return reduce(DataFrame.unionByName, done)
     raise RuntimeError(f"phrases are still open after {most_rounds} rounds")
