@@ -14,6 +14,15 @@ def test_nothing_is_shuffled_but_the_best(spark):
     assert plain(got) == plain(lexical.best(questions(spark), idx, 5).select(got.columns))
 
 
+def test_an_index_for_the_early_stop_is_not_shuffled(spark):
+    """Its rows were dealt into buckets, for which they lay on disk twice."""
+    idx = lexical.index(chunks_of(spark), dealt=False)
+    read = idx["rows"]._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" not in read and "Exchange" not in read
+    got = lexical.search(questions(spark), chunks_of(spark), 4, early=True)
+    assert plain(got.select("query_id", "chunk_id", "score", "pos")) == plain(lexical.best(questions(spark), lexical.index(chunks_of(spark)), 4).select("query_id", "chunk_id", "score", "pos"))
+
+
 def test_early_stop_over_segments_and_in_blocks_of_questions(spark, tmp_path, monkeypatch):
     c, q = chunks_of(spark), questions(spark)
     lexical.write_index(c, f"file://{tmp_path}/index", 3)
